@@ -1,0 +1,20 @@
+"""Size-checked broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# a side is broadcast only after it was counted to be at most this many rows
+DEFAULT_BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else
+    ``df`` unchanged (a shuffle join; AQE may still broadcast it at run time
+    from measured sizes). The check stops reading after ``max_rows + 1``
+    rows, so it stays cheap for large inputs."""
+    if max_rows is None:
+        return df
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

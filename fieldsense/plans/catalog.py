@@ -8,7 +8,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from ..operators import readings as R
+from ..operators import state as ST
+from ..operators import sync as SY
 from ..sources import adapters as A
 from . import oracle as O
 
@@ -52,6 +56,86 @@ def trailing_mark_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("id", "type", "val", "ts", "agg")
 
 
+# --- sync -------------------------------------------------------------------
+
+def _pending_measurements(spark, sf_dir):
+    return SY.pending(A.measurements(spark, sf_dir), columns=SY.MEASUREMENT_COLUMNS)
+
+
+def pending_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pending_measurements(spark, sf_dir)
+
+
+def pending_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SY.pending(A.aggregates(spark, sf_dir), columns=SY.AGGREGATE_COLUMNS)
+
+
+def _acked_runs(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    acked = runs.where(F.col("ts_end") < F.expr(f"TIMESTAMP_NTZ '{A.SYNC_CUTOFF}'")).select("id")
+    return SY.mark_synced(runs, acked)
+
+
+def _pending_state(spark, sf_dir):
+    return SY.pending(_acked_runs(spark, sf_dir), columns=("device_id",) + SY.STATE_COLUMNS)
+
+
+def pending_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pending_state(spark, sf_dir)
+
+
+def sync_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SY.sync_envelope(_pending_measurements(spark, sf_dir), _pending_state(spark, sf_dir))
+
+
+def mark_synced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = A.measurements(spark, sf_dir)
+    acked = _pending_measurements(spark, sf_dir).select("id")
+    out = SY.mark_synced(m, acked)
+    return out.select("id", F.to_json("sync").alias("sync_json"))
+
+
+def reset_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = SY.reset_sync(A.measurements(spark, sf_dir))
+    return out.select("id", F.to_json("sync").alias("sync_json"))
+
+
+# --- state log --------------------------------------------------------------
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.raw_observations(spark, sf_dir)
+
+
+def _valid(spark, sf_dir):
+    return ST.check_observations(A.raw_observations(spark, sf_dir))[0]
+
+
+def state_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _valid(spark, sf_dir)
+
+
+def state_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rej = ST.check_observations(A.raw_observations(spark, sf_dir))[1]
+    return rej.select("device_id", "id", "reason")
+
+
+def restart_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ST.restart_epochs(_valid(spark, sf_dir)).select("device_id", "id", "segment", "epoch")
+
+
+def _runs(spark, sf_dir):
+    return ST.collapse_runs(_valid(spark, sf_dir))
+
+
+def state_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir).drop("sync")
+
+
+def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ST.latest_state(_runs(spark, sf_dir)).select(
+        "device_id", "segment", "id", "data", "ts_start", "ts_end")
+
+
 QUERIES: dict[str, Query] = {
     "outlier_filter": outlier_filter,
     "rollup_1h": rollup_1h,
@@ -60,6 +144,18 @@ QUERIES: dict[str, Query] = {
     "rollup_params": rollup_params,
     "trailing_aggregate": trailing_aggregate,
     "trailing_mark_used": trailing_mark_used,
+    "pending_measurements": pending_measurements,
+    "pending_agg": pending_agg,
+    "pending_state": pending_state,
+    "sync_envelope": sync_envelope,
+    "mark_synced": mark_synced,
+    "reset_sync": reset_sync,
+    "observations": observations,
+    "state_valid": state_valid,
+    "state_rejected": state_rejected,
+    "restart_epoch": restart_epoch,
+    "state_runs": state_runs,
+    "latest_state": latest_state,
 }
 
 _M = O.with_(O.MEASUREMENTS)
@@ -92,3 +188,52 @@ ORDER BY mac, sid, type, description NULLS LAST""",
             THEN TRUE ELSE agg END AS agg
 FROM m""",
 }
+
+_PM = f"""SELECT id, mac, sid, type, description, val, ts, battery FROM m
+WHERE COALESCE(sync_cloud, FALSE) = FALSE ORDER BY id LIMIT 500"""
+
+_RUNS = O.with_(O.OBSERVATIONS, O.RUNS)
+
+_PS = """SELECT device_id, id, segment, data, ts_start, ts_end FROM runs
+WHERE NOT (ts_end < TIMESTAMP '2024-01-15 00:00:00') ORDER BY id LIMIT 500"""
+
+_TS = "'%Y-%m-%dT%H:%M:%S.%f'"
+
+ORACLE.update({
+    "pending_measurements": _M + _PM,
+    "pending_agg": O.with_(O.MEASUREMENTS, O.AGGREGATES) + """SELECT id, mac, sid, type, description, avg,
+       stddev, n, ts, battery FROM ag WHERE sync = FALSE ORDER BY id LIMIT 500""",
+    "pending_state": _RUNS + _PS,
+    "sync_envelope": O.with_(O.MEASUREMENTS, O.OBSERVATIONS, O.RUNS) + f""", pm AS ({_PM}), ps AS ({_PS})
+SELECT 'measurements' AS source, id,
+       to_json({{'id': id, 'mac': mac, 'sid': sid, 'type': type, 'description': description,
+                'val': CAST(val AS DOUBLE), 'ts': strftime(ts, {_TS}), 'battery': battery}}) AS payload
+FROM pm
+UNION ALL
+SELECT 'logState' AS source, id,
+       to_json({{'device_id': device_id, 'id': id, 'segment': segment, 'data': CAST(data AS JSON),
+                'ts_start': strftime(ts_start, {_TS}), 'ts_end': strftime(ts_end, {_TS})}}) AS payload
+FROM ps""",
+    "mark_synced": _M + f""", pm AS ({_PM})
+SELECT m.id, CASE WHEN pm.id IS NOT NULL THEN '{{"cloud":true}}'
+                  WHEN sync_cloud IS NULL THEN '{{}}'
+                  ELSE '{{"cloud":' || CAST(sync_cloud AS VARCHAR) || '}}' END AS sync_json
+FROM m LEFT JOIN pm ON m.id = pm.id""",
+    "reset_sync": _M + """SELECT id, '{"cloud":false}' AS sync_json FROM m""",
+    "observations": O.with_(O.OBSERVATIONS) + "SELECT device_id, id, segment, data, ts FROM o",
+    "state_valid": O.with_(O.OBSERVATIONS) + "SELECT device_id, id, segment, data, ts FROM ov",
+    "state_rejected": O.with_(O.OBSERVATIONS) + """SELECT device_id, id,
+       CASE WHEN segment NOT IN ('gpio', 'connectivity', 'cloud', 'app') THEN 'segment' ELSE 'data' END AS reason
+FROM o WHERE segment NOT IN ('gpio', 'connectivity', 'cloud', 'app') OR canon IS NULL""",
+    "restart_epoch": _RUNS + "SELECT device_id, id, segment, epoch FROM ep",
+    "state_runs": _RUNS + "SELECT device_id, id, segment, data, ts_start, ts_end, epoch, n_obs FROM runs",
+    "latest_state": _RUNS + """, cur AS (
+  SELECT device_id, MAX(id) AS cur FROM runs
+  WHERE segment = 'app' AND data = '{"value":"restart"}' GROUP BY device_id
+), lat AS (
+  SELECT device_id, segment, arg_max(id, id) AS id, arg_max(data, id) AS data,
+         arg_max(ts_start, id) AS ts_start, arg_max(ts_end, id) AS ts_end
+  FROM runs GROUP BY device_id, segment
+)
+SELECT lat.* FROM lat LEFT JOIN cur USING (device_id) WHERE lat.id > COALESCE(cur.cur, -1)""",
+})
