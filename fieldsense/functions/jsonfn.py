@@ -21,12 +21,22 @@ def key_count(text: Column) -> Column:
 
 def with_default_key(text: Column, key: str, default_json: str) -> Column:
     """Add ``key: default`` to a JSON object when the key is absent or JSON
-    null (``jsonb_set`` when ``->>key`` is NULL); canonical text out."""
+    null (``jsonb_set`` when ``->>key`` is NULL); canonical text out.
+
+    The common case (key absent) splices the pair into the text and parses
+    once; only an explicit JSON null takes the slower map rewrite."""
+    v = F.try_parse_json(text)
+    current = F.try_variant_get(v, f"$.{key}", "variant")
+    body = F.trim(text)
+    head = F.lit('{"' + key + '":' + default_json)
+    spliced = F.when(body.rlike(r"^\{\s*\}$"), F.concat(head, F.lit("}"))) \
+        .otherwise(F.concat(head, F.lit(","), F.substring(body, 2, 1 << 30)))
     as_map = F.from_json(text, "map<string,variant>")
-    current = as_map.getItem(key)
-    missing = current.isNull() | F.is_variant_null(current)
     patched = F.map_concat(
-        F.map_filter(as_map, lambda k, v: k != F.lit(key)),
+        F.map_filter(as_map, lambda k, v_: k != F.lit(key)),
         F.create_map(F.lit(key), F.parse_json(F.lit(default_json))),
     )
-    return F.when(missing, canonical_json(F.to_json(patched))).otherwise(canonical_json(text))
+    return (F.when(v.isNull(), F.lit(None).cast("string"))
+            .when(current.isNull(), canonical_json(spliced))
+            .when(F.is_variant_null(current), canonical_json(F.to_json(patched)))
+            .otherwise(F.to_json(v)))

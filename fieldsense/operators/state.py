@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import canonical_json, empty_flags, key_count, with_default_key
+from ..session import cut_lineage
 
 DEFAULT_CHUNK_IDS = 1 << 22
 KEYS = ("device_id", "segment")
@@ -59,79 +60,134 @@ def check_observations(obs: DataFrame, segments=S.SEGMENTS):
     return valid, rejected
 
 
-def _w(*order_frame):
+def _w(*frame):
     w = Window.partitionBy("device_id", "segment", "_chunk").orderBy("id")
-    return w.rowsBetween(*order_frame) if order_frame else w
+    return w.rowsBetween(*frame) if frame else w
 
 
-def _chunks():
-    return Window.partitionBy("device_id", "segment").orderBy("_chunk")
+def _chunks(desc: bool = False):
+    return Window.partitionBy("device_id", "segment").orderBy(
+        F.col("_chunk").desc() if desc else F.col("_chunk"))
 
 
 _CKEYS = ["device_id", "segment", "_chunk"]
+_UNB = Window.unboundedPreceding
 
 
-def restart_epochs(valid: DataFrame, chunk_ids: int = DEFAULT_CHUNK_IDS,
-                   segments=S.SEGMENTS) -> DataFrame:
-    """Valid observations with ``epoch``: the id of the device's last restart
-    strictly before the row (-1 when none), so a restart row belongs to the
-    epoch before it. Restarts are copied as marker rows into every other
-    segment of the device, so the lookup is a per-segment window (an as-of
-    join without a join), never a window over the whole device."""
+def _with_markers(valid: DataFrame, chunk_ids: int, segments, materialize: bool = True) -> DataFrame:
+    """Observations plus one marker row per restart in every other segment of
+    the device, hash-partitioned once by (device, segment, id chunk).
+
+    The windows and the per-chunk summaries all read this frame. Column
+    pruning gives each reader a different exchange, so without
+    ``materialize`` the source would be scanned, parsed and shuffled once
+    per reader; with it the partitioned frame is written once to the
+    checkpoint folder (reliable, keeps its partitioning) and read back."""
     rows = valid.select("device_id", "id", "segment", "data", "ts",
                         is_restart(F.col("segment"), F.col("data")).alias("_restart"),
                         F.lit(False).alias("_marker"))
     others = [s for s in segments if s != S.RESTART_SEGMENT]
     markers = (rows.where("_restart")
-               .select("device_id", "id", F.explode(F.array(*[F.lit(s) for s in others])).alias("segment"),
-                       F.lit(None).cast("string").alias("data"), F.lit(None).cast(rows.schema["ts"].dataType).alias("ts"),
+               .select("device_id", "id",
+                       F.explode(F.array(*[F.lit(s) for s in others])).alias("segment"),
+                       F.lit(None).cast("string").alias("data"),
+                       F.lit(None).cast(rows.schema["ts"].dataType).alias("ts"),
                        F.lit(False).alias("_restart"), F.lit(True).alias("_marker")))
     u = rows.unionByName(markers).withColumn("_chunk", F.floor(F.col("id") / F.lit(int(chunk_ids))))
+    u = u.repartition(*_CKEYS)
+    return cut_lineage(u) if materialize else u
+
+
+def _local_epochs(u: DataFrame) -> DataFrame:
+    """``_lep``: last restart id before the row inside its chunk (NULL: none
+    in this chunk yet, i.e. the epoch carried in from earlier chunks)."""
+    rid = F.when(F.col("_restart") | F.col("_marker"), F.col("id"))
+    return u.withColumn("_lep", F.max(rid).over(_w(_UNB, -1)))
+
+
+def _restart_summary(u: DataFrame) -> DataFrame:
+    """Per chunk: the last restart id in it and the epoch carried into it."""
     rid = F.when(F.col("_restart") | F.col("_marker"), F.col("id"))
-    u = u.withColumn("_rid", rid)
-    local = F.max("_rid").over(_w(Window.unboundedPreceding, -1))
-    summary = (u.groupBy(*_CKEYS).agg(F.max("_rid").alias("_m"))
-               .select(*_CKEYS, F.max("_m").over(_chunks().rowsBetween(Window.unboundedPreceding, -1))
-                       .alias("_carry")))
-    out = (u.withColumn("_local", local)
-           .join(summary, _CKEYS, "left")
-           .withColumn("epoch", F.coalesce(F.greatest("_local", "_carry"), F.lit(-1).cast("long"))))
-    return out.where(~F.col("_marker")).drop("_marker", "_rid", "_local", "_carry")
+    return (u.groupBy(*_CKEYS).agg(F.max(rid).alias("_rmax"))
+            .withColumn("_ce", F.max("_rmax").over(_chunks().rowsBetween(_UNB, -1))))
+
+
+def restart_epochs(valid: DataFrame, chunk_ids: int = DEFAULT_CHUNK_IDS,
+                   segments=S.SEGMENTS, materialize: bool = True) -> DataFrame:
+    """Valid observations with ``epoch``: the id of the device's last restart
+    strictly before the row (-1 when none), so a restart row belongs to the
+    epoch before it. Restarts are copied as marker rows into every other
+    segment of the device, so the lookup is a per-segment window (an as-of
+    join without a join), never a window over the whole device."""
+    u = _with_markers(valid, chunk_ids, segments, materialize)
+    carry = _restart_summary(u).select(*_CKEYS, "_ce")
+    out = (_local_epochs(u).where(~F.col("_marker"))
+           .join(carry, _CKEYS, "left")
+           .withColumn("epoch", F.coalesce(F.greatest("_lep", "_ce"), F.lit(-1).cast("long"))))
+    return out.select(*valid.columns, "epoch")
 
 
 def collapse_runs(valid: DataFrame, chunk_ids: int = DEFAULT_CHUNK_IDS,
-                  segments=S.SEGMENTS) -> DataFrame:
+                  segments=S.SEGMENTS, materialize: bool = True) -> DataFrame:
     """Runs ``(device_id, id, segment, data, ts_start, ts_end, epoch, n_obs,
     sync)`` of valid, canonical observations. ``id`` is the id of the
     observation that opened the run; ``ts_end`` is the start of the next run
     of the segment in the same epoch, else the time of the run's last
-    observation. ``sync`` is empty: every run is still to be sent."""
-    y = restart_epochs(valid, chunk_ids, segments)
-    row_prev = F.struct(F.col("data").alias("data"), F.col("epoch").alias("epoch"))
-    row_next = F.struct(F.col("ts").alias("ts"), F.col("epoch").alias("epoch"))
-    edges = (y.groupBy(*_CKEYS)
-             .agg(F.max_by(row_prev, "id").alias("_last"), F.min_by(row_next, "id").alias("_first"))
-             .select(*_CKEYS, F.lag("_last").over(_chunks()).alias("_prev_chunk"),
-                     F.lead("_first").over(_chunks()).alias("_next_chunk")))
-    z = (y.withColumn("_prev", F.lag(row_prev).over(_w()))
-         .withColumn("_next", F.lead(row_next).over(_w()))
-         .join(edges, _CKEYS, "left")
-         .withColumn("_prev", F.coalesce("_prev", "_prev_chunk"))
-         .withColumn("_next", F.coalesce("_next", "_next_chunk")))
-    prev = F.col("_prev")
-    start = (prev.isNull() | (prev["epoch"] != F.col("epoch"))
-             | F.coalesce(prev["data"] != F.col("data"), F.lit(False)))
-    nxt = F.col("_next")
-    end_candidate = F.when(nxt.isNotNull() & (nxt["epoch"] == F.col("epoch")), nxt["ts"]).otherwise(F.col("ts"))
-    z = (z.withColumn("_start_id", F.when(start, F.col("id")))
-         .withColumn("_end", end_candidate)
-         .drop("_prev", "_next", "_prev_chunk", "_next_chunk"))
-    starts = (z.groupBy(*_CKEYS).agg(F.max("_start_id").alias("_m"))
-              .select(*_CKEYS, F.max("_m").over(_chunks().rowsBetween(Window.unboundedPreceding, -1))
-                      .alias("_carry")))
-    z = (z.withColumn("_local", F.max("_start_id").over(_w(Window.unboundedPreceding, 0)))
-         .join(starts, _CKEYS, "left")
-         .withColumn("run_id", F.greatest("_local", "_carry")))
+    observation. ``sync`` is empty: every run is still to be sent.
+
+    Plan: one shuffle by (device, segment, chunk); inside a chunk, windows
+    find each row's previous/next row, local epoch and local run starts;
+    what only earlier or later chunks know (epoch carried in, the last row of
+    the previous chunk, the first row of the next one, the run in effect) is
+    resolved on a per-chunk summary table and joined back on the same keys.
+    """
+    u = _with_markers(valid, chunk_ids, segments, materialize)
+    w = _local_epochs(u).where(~F.col("_marker"))
+    prev = F.lag(F.struct(F.col("data").alias("data"), F.col("_lep").alias("lep"))).over(_w())
+    nxt = F.lead(F.struct(F.col("ts").alias("ts"), F.col("_lep").alias("lep"))).over(_w())
+    w = w.withColumn("_p", prev).withColumn("_n", nxt)
+    p, n = F.col("_p"), F.col("_n")
+    local_start = F.when(p.isNotNull(), ~p["lep"].eqNullSafe(F.col("_lep"))
+                         | F.coalesce(p["data"] != F.col("data"), F.lit(False)))
+    local_end = F.when(n.isNotNull(), F.when(n["lep"].eqNullSafe(F.col("_lep")), n["ts"])
+                       .otherwise(F.col("ts")))
+    w = (w.withColumn("_lstart", local_start).withColumn("_lend", local_end)
+         .withColumn("_ls", F.max(F.when(F.col("_lstart"), F.col("id"))).over(_w(_UNB, 0)))
+         .drop("_p", "_n"))
+
+    # per-chunk summary, resolved across chunks
+    row = F.struct(F.col("id").alias("id"), F.col("data").alias("data"),
+                   F.col("_lep").alias("lep"), F.col("ts").alias("ts"))
+    real = (w.groupBy(*_CKEYS)
+            .agg(F.min(row).alias("_first"), F.max(row).alias("_last"),
+                 F.max(F.when(F.col("_lstart"), F.col("id"))).alias("_max_ls")))
+    summ = _restart_summary(u).join(real, _CKEYS, "left")
+    ce = F.col("_ce")
+    first_ep = F.coalesce(F.greatest(F.col("_first.lep"), ce), F.lit(-1).cast("long"))
+    last_ep = F.coalesce(F.greatest(F.col("_last.lep"), ce), F.lit(-1).cast("long"))
+    summ = (summ
+            .withColumn("_last_r", F.when(F.col("_last").isNotNull(),
+                                          F.struct(F.col("_last.data").alias("data"), last_ep.alias("ep"))))
+            .withColumn("_first_r", F.when(F.col("_first").isNotNull(),
+                                           F.struct(F.col("_first.ts").alias("ts"), first_ep.alias("ep"))))
+            .withColumn("_prev_last", F.last("_last_r", ignorenulls=True).over(_chunks().rowsBetween(_UNB, -1)))
+            .withColumn("_next_first", F.last("_first_r", ignorenulls=True)
+                        .over(_chunks(desc=True).rowsBetween(_UNB, -1))))
+    pl, nf = F.col("_prev_last"), F.col("_next_first")
+    first_start = (pl.isNull() | (pl["ep"] != first_ep)
+                   | F.coalesce(pl["data"] != F.col("_first.data"), F.lit(False)))
+    summ = (summ.where(F.col("_first").isNotNull())
+            .withColumn("_first_start_id", F.when(first_start, F.col("_first.id")))
+            .withColumn("_chunk_last_start", F.greatest("_max_ls", "_first_start_id"))
+            .withColumn("_run_carry", F.max("_chunk_last_start").over(_chunks().rowsBetween(_UNB, -1)))
+            .withColumn("_last_end", F.when(nf.isNotNull() & (nf["ep"] == last_ep), nf["ts"])
+                        .otherwise(F.col("_last.ts")))
+            .select(*_CKEYS, "_ce", "_first_start_id", "_run_carry", "_last_end"))
+
+    z = (w.join(summ, _CKEYS, "left")
+         .withColumn("epoch", F.coalesce(F.greatest("_lep", "_ce"), F.lit(-1).cast("long")))
+         .withColumn("run_id", F.greatest("_ls", "_first_start_id", "_run_carry"))
+         .withColumn("_end", F.coalesce("_lend", "_last_end")))
     runs = (z.groupBy("device_id", "segment", "run_id")
             .agg(F.min_by("data", "id").alias("data"),
                  F.min_by("ts", "id").alias("ts_start"),

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from ..operators import ingest as IN
+from ..operators import queue as QU
 from ..operators import readings as R
 from ..operators import state as ST
 from ..operators import sync as SY
@@ -136,6 +138,64 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         "device_id", "segment", "id", "data", "ts_start", "ts_end")
 
 
+# --- ingest -----------------------------------------------------------------
+
+def _checked(spark, sf_dir):
+    return IN.validate_batches(A.raw_batches(spark, sf_dir))
+
+
+def ingest_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _checked(spark, sf_dir)[0]
+    return good.select("batch_id", "mac", F.size("items").alias("n_items"))
+
+
+def ingest_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir)[1].select("batch_id", "reason")
+
+
+def _ingest_rows(spark, sf_dir):
+    return IN.reshape_batches(_checked(spark, sf_dir)[0], A.EVENTS_AS_OF)
+
+
+def ingest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ingest_rows(spark, sf_dir).drop("sync")
+
+
+def ingest_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return IN.ingest_receipt(_ingest_rows(spark, sf_dir), A.EVENTS_AS_OF)
+
+
+def upgrade_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = IN.upgrade_measurements(A.measurements_v1(spark, sf_dir))
+    return out.select("id", "mac", "sid", "type", "description", "val", "ts", "battery", "sync_old",
+                      F.to_json("sync").alias("sync_json"))
+
+
+# --- queue ------------------------------------------------------------------
+
+def queue_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QU.queue_pending(A.queue(spark, sf_dir), A.QUEUE_AS_OF)
+
+
+def queue_ttf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QU.with_time_to_finish(A.queue(spark, sf_dir), A.QUEUE_AS_OF).select("id", "time_to_finish")
+
+
+def queue_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = QU.queue_decode(A.raw_jobs(spark, sf_dir), A.QUEUE_AS_OF)[0]
+    return rows.select("id", "job_type", "delay", "ts_created", "ts_executed")
+
+
+def queue_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QU.queue_decode(A.raw_jobs(spark, sf_dir), A.QUEUE_AS_OF)[1].select("id", "reason")
+
+
+def queue_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = A.queue(spark, sf_dir)
+    due = QU.queue_pending(q, A.QUEUE_AS_OF, sort=False).where(F.col("time_to_finish") <= 0).select("id")
+    return QU.queue_complete(q, due, A.QUEUE_AS_OF).select("id", "ts_executed")
+
+
 QUERIES: dict[str, Query] = {
     "outlier_filter": outlier_filter,
     "rollup_1h": rollup_1h,
@@ -156,6 +216,16 @@ QUERIES: dict[str, Query] = {
     "restart_epoch": restart_epoch,
     "state_runs": state_runs,
     "latest_state": latest_state,
+    "ingest_valid": ingest_valid,
+    "ingest_rejected": ingest_rejected,
+    "ingest_rows": ingest_rows,
+    "ingest_receipt": ingest_receipt,
+    "upgrade_layout": upgrade_layout,
+    "queue_pending": queue_pending,
+    "queue_ttf": queue_ttf,
+    "queue_insert": queue_insert,
+    "queue_rejected": queue_rejected,
+    "queue_complete": queue_complete,
 }
 
 _M = O.with_(O.MEASUREMENTS)
@@ -237,3 +307,39 @@ FROM o WHERE segment NOT IN ('gpio', 'connectivity', 'cloud', 'app') OR canon IS
 )
 SELECT lat.* FROM lat LEFT JOIN cur USING (device_id) WHERE lat.id > COALESCE(cur.cur, -1)""",
 })
+
+_B = O.with_(O.BATCHES)
+_Q = O.with_(O.QUEUE)
+
+ORACLE.update({
+    "ingest_valid": _B + """SELECT batch_id, mac, COUNT(*) AS n_items FROM b
+WHERE batch_id IN (SELECT batch_id FROM bv) GROUP BY batch_id, mac""",
+    "ingest_rejected": _B + """SELECT batch_id, 'type' AS reason FROM b
+GROUP BY batch_id HAVING NOT bool_and(type IN ('t', 'h'))""",
+    "ingest_rows": _B + """SELECT batch_id,
+       CAST(ROW_NUMBER() OVER (PARTITION BY batch_id ORDER BY event_id) - 1 AS INTEGER) AS pos,
+       mac, sid, type, description, val, battery, TIMESTAMP '2024-01-31 00:00:00' AS ts
+FROM b WHERE batch_id IN (SELECT batch_id FROM bv)""",
+    "ingest_receipt": _B + """SELECT batch_id, COUNT(*) AS new_records, TIMESTAMP '2024-01-31 00:00:00' AS ts
+FROM b WHERE batch_id IN (SELECT batch_id FROM bv) GROUP BY batch_id""",
+    "upgrade_layout": _M + """SELECT id, mac, sid, type, description, val, ts, battery, sync_cloud AS sync_old,
+       CASE WHEN sync_cloud IS NULL THEN NULL
+            ELSE '{"cloud":' || CAST(sync_cloud AS VARCHAR) || '}' END AS sync_json
+FROM m""",
+    "queue_pending": _Q + f"""SELECT id, job_type, ts_created, delay, {O.QUEUE_TTF} AS time_to_finish
+FROM qq WHERE ts_executed IS NULL ORDER BY id""",
+    "queue_ttf": _Q + f"SELECT id, {O.QUEUE_TTF} AS time_to_finish FROM qq",
+    "queue_insert": """SELECT o_orderkey AS id,
+       CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'irrigation_on'
+            ELSE 'irrigation_off' END AS job_type,
+       CASE WHEN o_orderstatus = 'F' THEN NULL ELSE CAST(o_custkey AS INTEGER) END AS delay,
+       TIMESTAMP '1998-01-01 00:00:00' AS ts_created, CAST(NULL AS TIMESTAMP) AS ts_executed
+FROM orders
+WHERE o_orderpriority <> '4-NOT SPECIFIED' AND NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')""",
+    "queue_rejected": """SELECT o_orderkey AS id, 'job_type' AS reason FROM orders
+WHERE o_orderpriority = '4-NOT SPECIFIED' OR (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')""",
+    "queue_complete": _Q + f"""SELECT id,
+       CASE WHEN ts_executed IS NULL AND {O.QUEUE_TTF} <= 0 THEN TIMESTAMP '1998-01-01 00:00:00'
+            ELSE ts_executed END AS ts_executed
+FROM qq""",
+})
