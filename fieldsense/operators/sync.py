@@ -77,13 +77,13 @@ def envelope_document(envelope: DataFrame) -> DataFrame:
 
     Only for envelopes built from ``pending(..., limit=n)`` inputs: the
     document holds at most 2n rows in one task by construction."""
-    item = F.struct("id", F.parse_json("payload").alias("row"))
+    item = F.struct("id", "payload")
     g = envelope.groupBy().agg(
         F.array_sort(F.collect_list(F.when(F.col("source") == "measurements", item))).alias("m"),
         F.array_sort(F.collect_list(F.when(F.col("source") == "logState", item))).alias("s"),
         F.count(F.lit(1)).alias("n"))
-    doc = F.struct(F.transform("m", lambda x: x["row"]).alias("measurements"),
-                   F.transform("s", lambda x: x["row"]).alias("logState"))
+    doc = F.struct(F.transform("m", lambda x: F.parse_json(x["payload"])).alias("measurements"),
+                   F.transform("s", lambda x: F.parse_json(x["payload"])).alias("logState"))
     return g.where(F.col("n") > 0).select(F.to_json(doc).alias("document"))
 
 

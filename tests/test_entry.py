@@ -1,0 +1,41 @@
+import duckdb
+import pytest
+
+import __spark_entry__ as E
+
+SF = "/root/testdata/sf0.001"
+TABLES = ["events", "orders"]
+
+
+def test_entry_runs(spark):
+    df = E.entry(spark)
+    assert df.count() >= 0
+    assert df.columns == ["time", "n_series", "readings_json"]
+
+
+def test_every_query_has_oracle():
+    assert set(E.queries()) == set(E.oracle_sql())
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    return c
+
+
+def _norm(rows):
+    return sorted((tuple(None if v != v else v for v in r) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_query_matches_oracle(spark, con, name):
+    df = E.queries()[name](spark, SF)
+    rel = con.sql(E.oracle_sql()[name])
+    assert sorted(df.columns) == sorted(rel.columns)
+    cols = sorted(df.columns)
+    got = _norm(tuple(r[c] for c in cols) for r in df.collect())
+    idx = [rel.columns.index(c) for c in cols]
+    want = _norm(tuple(r[i] for i in idx) for r in rel.fetchall())
+    assert got == want
