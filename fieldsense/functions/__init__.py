@@ -10,3 +10,17 @@ __all__ = [
     "is_ntz", "is_pending", "key_count", "micros_between", "minutes", "round_numeric",
     "round_to_short", "set_flag", "ts_literal", "with_default_key",
 ]
+
+
+def with_computed(df, **exprs):
+    """Add columns whose expressions are expensive (JSON parsing, checks)
+    so that each is evaluated once per row.
+
+    A filter on a plain derived column is pushed below the projection by
+    inlining the expression, which evaluates it twice (in the filter and in
+    the projection). Producing the values through a one-row generator puts
+    them behind a plan node that filters cannot be pushed through."""
+    from pyspark.sql import functions as _F
+
+    packed = _F.struct(*[e.alias(k) for k, e in exprs.items()])
+    return df.select(*[c for c in df.columns if c not in exprs], _F.inline(_F.array(packed)))

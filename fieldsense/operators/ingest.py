@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import empty_flags, is_ntz, ts_literal
+from ..functions import empty_flags, ts_literal, with_computed
 
 SHORT_MIN, SHORT_MAX = -32768, 32767
 
@@ -61,7 +61,7 @@ def validate_batches(raw: DataFrame, batch_col: str = "batch_id", raw_col: str =
         .when(any_item(lambda x: x["type"].isNull() | ~x["type"].isin(types)), F.lit("type"))
         .when(any_item(lambda x: x["battery"].isNotNull() & _short_int(x["battery"]).isNull()), F.lit("battery"))
     )
-    tagged = raw.withColumn("_b", parsed).withColumn("reason", reason)
+    tagged = with_computed(raw.withColumn("_b", parsed), reason=reason)
     typed = F.transform(items, lambda x: F.struct(
         _short_int(x["sid"]).alias("sid"),
         _number(x["value"]).cast("float").alias("val"),
@@ -110,7 +110,7 @@ def insert_measurements(raw: DataFrame, as_of, raw_col: str = "raw", ntz: bool =
                         | (x["battery"].isNotNull() & _short_int(x["battery"]).isNull())
                         | (x["val"].isNotNull() & _number(x["val"]).isNull()))
     reason = F.when(items.isNull(), F.lit("json")).when(bad_item, F.lit("row"))
-    tagged = raw.withColumn("_items", items).withColumn("reason", reason)
+    tagged = with_computed(raw.withColumn("_items", items), reason=reason)
     rows = (tagged.where(F.col("reason").isNull())
             .select(*[c for c in raw.columns if c != raw_col], F.posexplode("_items").alias("pos", "_i"))
             .select(*[c for c in raw.columns if c != raw_col], "pos", "_i.mac",

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import canonical_json, empty_flags, key_count, with_default_key
+from ..functions import canonical_json, empty_flags, key_count, with_computed, with_default_key
 from ..session import cut_lineage
 
 DEFAULT_CHUNK_IDS = 1 << 22
@@ -46,8 +46,9 @@ def tag_observations(obs: DataFrame, segments=S.SEGMENTS) -> DataFrame:
     reason = (F.when(seg.isNull() | ~seg.isin(list(segments)), F.lit("segment"))
               .when(F.coalesce(key_count(data), F.lit(0)) == 0, F.lit("data"))
               .when(canonical_json(data).isNull(), F.lit("data")))
-    return obs.withColumn("reason", reason).withColumn(
-        "data", F.when(F.col("reason").isNull(), canon).otherwise(data))
+    tagged = with_computed(obs, _canon=canon, reason=reason)
+    return tagged.withColumn("data", F.when(F.col("reason").isNull(), F.col("_canon")).otherwise(F.col("data"))) \
+        .drop("_canon")
 
 
 def check_observations(obs: DataFrame, segments=S.SEGMENTS):

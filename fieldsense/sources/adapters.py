@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import day_start, hours, minutes, set_flag, empty_flags, ts_literal
 from ..operators.readings import Bounds
+from .tables import ensure_parallelism
 
 # as-of instants of the test mapping (never the wall clock)
 EVENTS_AS_OF = "2024-01-31 00:00:00"
@@ -29,12 +30,16 @@ EVENTS_LEGACY = Bounds({"view": (1.0, 60.0), "click": (2.0, 101.0)}, other=None,
 BATCH_SPAN = 64  # consecutive event ids that may share one ingest batch
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+def events(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """The events table; ``spread`` for derivations that do heavy per-row
+    JSON work (see ``ensure_parallelism``)."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return ensure_parallelism(df) if spread else df
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+def orders(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return ensure_parallelism(df) if spread else df
 
 
 def _k() -> Column:
@@ -99,7 +104,7 @@ def raw_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingest requests: the readings of one device within a span of
     ``BATCH_SPAN`` consecutive event ids form one batch (bounded size).
     ``error`` events keep their own type and so reject their batch."""
-    ev = events(spark, sf_dir)
+    ev = events(spark, sf_dir, spread=True)
     k = _k()
     item = F.struct(
         F.col("event_id").alias("_order"),
@@ -122,7 +127,7 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State observations: signup = app restart; error events with k >= 95 get
     an unknown segment and with 90 <= k < 95 an empty data object (rejects);
     the rest go to gpio / connectivity / cloud by k % 3."""
-    ev = events(spark, sf_dir)
+    ev = events(spark, sf_dir, spread=True)
     k = _k()
     bit = (k % 2).cast("string")
     is_err = F.col("event_type") == "error"
@@ -164,7 +169,7 @@ def raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queue insert requests: job_type missing for unspecified priority and
     unknown ('irrigation_pause') for low-priority pending orders; no delay for
     finished orders."""
-    o = orders(spark, sf_dir)
+    o = orders(spark, sf_dir, spread=True)
     p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
     jt = (F.when(p == "4-NOT SPECIFIED", F.lit(None).cast("string"))
           .when((s == "P") & (p == "5-LOW"), F.lit("irrigation_pause"))

@@ -37,3 +37,12 @@ def write_version(df: DataFrame, path: str, partition_by=None, fmt: str = "parqu
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has cores
+    (a small table stored as one Parquet row group is read by one task) with
+    a round-robin repartition; a large input, already split into many
+    partitions, is returned untouched, so no shuffle is added at scale."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
