@@ -1 +1,9 @@
 """Structured Streaming wrappers of the batch operators."""
+
+from .ingest import ingest_stream, read_batches, write_ingest_batch
+from .rollup import rollup_stream
+from .state import latest_versions, state_runs_stream
+from .sync import notify_stream, sync_stream, sync_tick, tick_stream
+
+__all__ = ["ingest_stream", "latest_versions", "notify_stream", "read_batches", "rollup_stream",
+           "state_runs_stream", "sync_stream", "sync_tick", "tick_stream", "write_ingest_batch"]
