@@ -95,8 +95,12 @@ def _with_markers(valid: DataFrame, chunk_ids: int, segments, materialize: bool
                        F.lit(None).cast(rows.schema["ts"].dataType).alias("ts"),
                        F.lit(False).alias("_restart"), F.lit(True).alias("_marker")))
     u = rows.unionByName(markers).withColumn("_chunk", F.floor(F.col("id") / F.lit(int(chunk_ids))))
-    u = u.repartition(*_CKEYS)
-    return cut_lineage(u) if materialize else u
+    if not materialize:
+        return u.repartition(*_CKEYS)
+    # a fixed partition count keeps the hash partitioning visible after the
+    # checkpoint, so the windows below need no second exchange
+    n = int(valid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(u.repartition(n, *_CKEYS))
 
 
 def _local_epochs(u: DataFrame) -> DataFrame:
@@ -146,13 +150,13 @@ def collapse_runs(valid: DataFrame, chunk_ids: int = DEFAULT_CHUNK_IDS,
     w = _local_epochs(u).where(~F.col("_marker"))
     prev = F.lag(F.struct(F.col("data").alias("data"), F.col("_lep").alias("lep"))).over(_w())
     nxt = F.lead(F.struct(F.col("ts").alias("ts"), F.col("_lep").alias("lep"))).over(_w())
-    w = w.withColumn("_p", prev).withColumn("_n", nxt)
+    w = w.withColumns({"_p": prev, "_n": nxt})
     p, n = F.col("_p"), F.col("_n")
     local_start = F.when(p.isNotNull(), ~p["lep"].eqNullSafe(F.col("_lep"))
                          | F.coalesce(p["data"] != F.col("data"), F.lit(False)))
     local_end = F.when(n.isNotNull(), F.when(n["lep"].eqNullSafe(F.col("_lep")), n["ts"])
                        .otherwise(F.col("ts")))
-    w = (w.withColumn("_lstart", local_start).withColumn("_lend", local_end)
+    w = (w.withColumns({"_lstart": local_start, "_lend": local_end})
          .withColumn("_ls", F.max(F.when(F.col("_lstart"), F.col("id"))).over(_w(_UNB, 0)))
          .drop("_p", "_n"))
 
@@ -167,28 +171,30 @@ def collapse_runs(valid: DataFrame, chunk_ids: int = DEFAULT_CHUNK_IDS,
     first_ep = F.coalesce(F.greatest(F.col("_first.lep"), ce), F.lit(-1).cast("long"))
     last_ep = F.coalesce(F.greatest(F.col("_last.lep"), ce), F.lit(-1).cast("long"))
     summ = (summ
-            .withColumn("_last_r", F.when(F.col("_last").isNotNull(),
-                                          F.struct(F.col("_last.data").alias("data"), last_ep.alias("ep"))))
-            .withColumn("_first_r", F.when(F.col("_first").isNotNull(),
-                                           F.struct(F.col("_first.ts").alias("ts"), first_ep.alias("ep"))))
-            .withColumn("_prev_last", F.last("_last_r", ignorenulls=True).over(_chunks().rowsBetween(_UNB, -1)))
-            .withColumn("_next_first", F.last("_first_r", ignorenulls=True)
-                        .over(_chunks(desc=True).rowsBetween(_UNB, -1))))
+            .withColumns({
+                "_last_r": F.when(F.col("_last").isNotNull(),
+                                  F.struct(F.col("_last.data").alias("data"), last_ep.alias("ep"))),
+                "_first_r": F.when(F.col("_first").isNotNull(),
+                                   F.struct(F.col("_first.ts").alias("ts"), first_ep.alias("ep")))})
+            .withColumns({
+                "_prev_last": F.last("_last_r", ignorenulls=True).over(_chunks().rowsBetween(_UNB, -1)),
+                "_next_first": F.last("_first_r", ignorenulls=True).over(_chunks(desc=True).rowsBetween(_UNB, -1))}))
     pl, nf = F.col("_prev_last"), F.col("_next_first")
     first_start = (pl.isNull() | (pl["ep"] != first_ep)
                    | F.coalesce(pl["data"] != F.col("_first.data"), F.lit(False)))
+    first_start_id = F.when(first_start, F.col("_first.id"))
     summ = (summ.where(F.col("_first").isNotNull())
-            .withColumn("_first_start_id", F.when(first_start, F.col("_first.id")))
-            .withColumn("_chunk_last_start", F.greatest("_max_ls", "_first_start_id"))
+            .select(*_CKEYS, "_ce", first_start_id.alias("_first_start_id"),
+                    F.greatest("_max_ls", first_start_id).alias("_chunk_last_start"),
+                    F.when(nf.isNotNull() & (nf["ep"] == last_ep), nf["ts"])
+                    .otherwise(F.col("_last.ts")).alias("_last_end"))
             .withColumn("_run_carry", F.max("_chunk_last_start").over(_chunks().rowsBetween(_UNB, -1)))
-            .withColumn("_last_end", F.when(nf.isNotNull() & (nf["ep"] == last_ep), nf["ts"])
-                        .otherwise(F.col("_last.ts")))
-            .select(*_CKEYS, "_ce", "_first_start_id", "_run_carry", "_last_end"))
-
-    z = (w.join(summ, _CKEYS, "left")
-         .withColumn("epoch", F.coalesce(F.greatest("_lep", "_ce"), F.lit(-1).cast("long")))
-         .withColumn("run_id", F.greatest("_ls", "_first_start_id", "_run_carry"))
-         .withColumn("_end", F.coalesce("_lend", "_last_end")))
+            .drop("_chunk_last_start"))
+
+    z = w.join(summ, _CKEYS, "left").withColumns({
+        "epoch": F.coalesce(F.greatest("_lep", "_ce"), F.lit(-1).cast("long")),
+        "run_id": F.greatest("_ls", "_first_start_id", "_run_carry"),
+        "_end": F.coalesce("_lend", "_last_end")})
     runs = (z.groupBy("device_id", "segment", "run_id")
             .agg(F.min_by("data", "id").alias("data"),
                  F.min_by("ts", "id").alias("ts_start"),

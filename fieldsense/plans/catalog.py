@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..operators import ingest as IN
 from ..operators import queue as QU
 from ..operators import readings as R
@@ -125,12 +126,15 @@ def restart_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.restart_epochs(_valid(spark, sf_dir)).select("device_id", "id", "segment", "epoch")
 
 
-def _runs(spark, sf_dir):
-    return ST.collapse_runs(_valid(spark, sf_dir))
+def _runs(spark, sf_dir, stored: bool = True):
+    # the run table is a stored table in practice; queries that read it more
+    # than once read it from the checkpoint folder instead of recomputing it
+    runs = ST.collapse_runs(_valid(spark, sf_dir))
+    return cut_lineage(runs) if stored else runs
 
 
 def state_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(spark, sf_dir).drop("sync")
+    return _runs(spark, sf_dir, stored=False).drop("sync")
 
 
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
