@@ -30,9 +30,10 @@ def append(df: DataFrame, path: str, partition_by=None, fmt: str = "parquet") ->
 
 
 def write_version(df: DataFrame, path: str, partition_by=None, fmt: str = "parquet") -> None:
-    """Write a rewritten table as a new version directory; readers switch to
-    it once the write has committed (no in-place update without a lakehouse
-    format)."""
+    """Write a rewritten table into a new version folder ``path`` (the caller
+    picks a fresh one, e.g. ``.../v=<n>``); readers switch to it once the
+    write has committed. Without a lakehouse format there is no in-place
+    update, and a rewrite must never overwrite the folder it reads from."""
     w = df.write.mode("overwrite").format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
