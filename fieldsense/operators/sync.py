@@ -116,3 +116,14 @@ def reset_sync(df: DataFrame, dest: str = S.CLOUD, sync: str = "sync") -> DataFr
         return df.withColumn(sync, F.lit(False))
     return df.withColumn(sync, set_flag(F.col(sync), dest, False))
 
+
+
+ACK_SCHEMA = "array<struct<id:bigint>>"
+
+
+def ids_from_json(df: DataFrame, col: str = "reply") -> DataFrame:
+    """Acknowledged ids from the receiver's JSON reply (``[{"id": 1}, ...]``
+    or a single object), one row per id; other keys are ignored."""
+    doc = F.col(col)
+    arr = F.when(F.trim(doc).startswith("{"), F.concat(F.lit("["), doc, F.lit("]"))).otherwise(doc)
+    return df.select(F.inline(F.from_json(arr, ACK_SCHEMA))).where(F.col("id").isNotNull())

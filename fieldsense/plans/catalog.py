@@ -169,6 +169,15 @@ def ingest_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IN.ingest_receipt(_ingest_rows(spark, sf_dir), A.EVENTS_AS_OF)
 
 
+def insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = IN.insert_measurements(A.raw_inserts(spark, sf_dir), A.EVENTS_AS_OF)[0]
+    return rows.drop("sync")
+
+
+def insert_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return IN.insert_measurements(A.raw_inserts(spark, sf_dir), A.EVENTS_AS_OF)[1].select("req", "reason")
+
+
 def upgrade_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = IN.upgrade_measurements(A.measurements_v1(spark, sf_dir))
     return out.select("id", "mac", "sid", "type", "description", "val", "ts", "battery", "sync_old",
@@ -224,6 +233,8 @@ QUERIES: dict[str, Query] = {
     "ingest_rejected": ingest_rejected,
     "ingest_rows": ingest_rows,
     "ingest_receipt": ingest_receipt,
+    "insert_rows": insert_rows,
+    "insert_rejected": insert_rejected,
     "upgrade_layout": upgrade_layout,
     "queue_pending": queue_pending,
     "queue_ttf": queue_ttf,
@@ -326,6 +337,13 @@ GROUP BY batch_id HAVING NOT bool_and(type IN ('t', 'h'))""",
 FROM b WHERE batch_id IN (SELECT batch_id FROM bv)""",
     "ingest_receipt": _B + """SELECT batch_id, COUNT(*) AS new_records, TIMESTAMP '2024-01-31 00:00:00' AS ts
 FROM b WHERE batch_id IN (SELECT batch_id FROM bv) GROUP BY batch_id""",
+    "insert_rows": f"""SELECT event_id AS req, 0 AS pos, CAST(user_id AS VARCHAR) AS mac,
+       CAST({O.K} % 4 AS SMALLINT) AS sid, event_type AS type,
+       CASE WHEN {O.K} % 10 = 0 THEN NULL ELSE 'd' END AS description,
+       CAST(value AS FLOAT) AS val, CAST({O.K} AS SMALLINT) AS battery,
+       TIMESTAMP '2024-01-31 00:00:00' AS ts
+FROM events WHERE event_type <> 'error'""",
+    "insert_rejected": "SELECT event_id AS req, 'row' AS reason FROM events WHERE event_type = 'error'",
     "upgrade_layout": _M + """SELECT id, mac, sid, type, description, val, ts, battery, sync_cloud AS sync_old,
        CASE WHEN sync_cloud IS NULL THEN NULL
             ELSE '{"cloud":' || CAST(sync_cloud AS VARCHAR) || '}' END AS sync_json

@@ -177,3 +177,23 @@ def raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     delay = F.when(s == "F", F.lit(None).cast("long")).otherwise(F.col("o_custkey"))
     raw = F.to_json(F.struct(jt.alias("job_type"), delay.alias("delay")))
     return o.select(F.col("o_orderkey").alias("id"), raw.alias("raw"))
+
+
+def raw_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct insert documents, one per event: the table's own keys plus
+    ignored extra ones; signup events come as a one-element array, error
+    events lack ``sid`` (a NOT NULL column, so their document is refused)."""
+    ev = events(spark, sf_dir, spread=True)
+    k = _k()
+    obj = F.struct(
+        F.col("user_id").cast("string").alias("mac"),
+        F.when(F.col("event_type") != "error", k % 4).alias("sid"),
+        F.col("event_type").alias("type"),
+        F.when(k % 10 == 0, F.lit(None).cast("string")).otherwise(F.lit("d")).alias("description"),
+        F.col("value").alias("val"),
+        k.alias("battery"),
+        F.col("value").alias("value"),
+        F.lit("extra").alias("desc"),
+    )
+    doc = F.when(F.col("event_type") == "signup", F.to_json(F.array(obj))).otherwise(F.to_json(obj))
+    return ev.select(F.col("event_id").alias("req"), doc.alias("raw"))

@@ -103,3 +103,11 @@ def latest_versions(updates: DataFrame) -> DataFrame:
             .agg(F.max_by(F.struct(*[c for c in RUN_FIELDS if c not in ("device_id", "id")]),
                           F.struct("n_obs", "ts_end")).alias("r"))
             .select("device_id", "id", "r.*"))
+
+
+def live_state_rows(updates: DataFrame, segment: str = S.GPIO_SEGMENT) -> DataFrame:
+    """The live push of a segment's state: ``{state, updatedAt}`` JSON per
+    run update (second sink of the state stream, e.g. in ``foreachBatch``)."""
+    doc = F.struct(F.get_json_object("data", "$.value").cast("int").alias("state"),
+                   F.date_format("ts_end", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("updatedAt"))
+    return updates.where(F.col("segment") == segment).select("device_id", F.to_json(doc).alias("payload"))

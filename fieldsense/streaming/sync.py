@@ -46,7 +46,7 @@ def sync_stream(spark: SparkSession, load_measurements: Callable[[], DataFrame],
 
 def notify_stream(spark: SparkSession, agg_dir: str, schema, outbox_dir: str, checkpoint: str,
                   load_aggregates: Callable[[], DataFrame], limit: int = 100,
-                  debounce: str = "5 seconds") -> StreamingQuery:
+                  debounce: str = "5 seconds", trigger: dict | None = None) -> StreamingQuery:
     """Change notification on the aggregate table: new files in ``agg_dir``
     trigger (at most once per ``debounce``) shipping the oldest ``limit``
     pending aggregates to ``outbox_dir/batch=<id>``."""
@@ -59,4 +59,4 @@ def notify_stream(spark: SparkSession, agg_dir: str, schema, outbox_dir: str, ch
 
     return (spark.readStream.schema(schema).parquet(agg_dir).writeStream
             .foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-            .trigger(processingTime=debounce).start())
+            .trigger(**(trigger or {"processingTime": debounce})).start())
