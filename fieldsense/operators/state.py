@@ -195,9 +195,11 @@ def collapse_runs(valid: DataFrame, chunk_ids: int = DEFAULT_CHUNK_IDS,
         "epoch": F.coalesce(F.greatest("_lep", "_ce"), F.lit(-1).cast("long")),
         "run_id": F.greatest("_ls", "_first_start_id", "_run_carry"),
         "_end": F.coalesce("_lend", "_last_end")})
-    runs = (z.groupBy("device_id", "segment", "run_id")
-            .agg(F.min_by("data", "id").alias("data"),
-                 F.min_by("ts", "id").alias("ts_start"),
+    # every observation of a run has the same data, so it can be a grouping
+    # key: the aggregate buffers stay fixed-width and the hash aggregate
+    # (no sort) is used
+    runs = (z.groupBy("device_id", "segment", "run_id", "data")
+            .agg(F.min_by("ts", "id").alias("ts_start"),
                  F.max_by("_end", "id").alias("ts_end"),
                  F.min("epoch").alias("epoch"),
                  F.count(F.lit(1)).alias("n_obs")))

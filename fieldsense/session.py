@@ -28,11 +28,15 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster names in
     ``spark.checkpoint.dir``. Only when nothing is configured (tests, local
-    runs) a fresh local folder is made and registered."""
-    sc = spark.sparkContext
+    runs) a fresh local folder is made and registered. Returns None when the
+    session gives no access to its context (the server then decides)."""
+    try:
+        sc = spark.sparkContext
+    except Exception:
+        return None
     current = sc.getCheckpointDir()
     if current:
         return current

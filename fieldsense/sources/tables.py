@@ -45,5 +45,30 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     (a small table stored as one Parquet row group is read by one task) with
     a round-robin repartition; a large input, already split into many
     partitions, is returned untouched, so no shuffle is added at scale."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a remote session): leave the plan as is
+        return df
+    return df.repartition(target) if current < target else df
+
+
+def read_observations(spark: SparkSession, path: str, streaming: bool = False,
+                      schema: T.StructType | None = None) -> DataFrame:
+    """State observations ``(device_id, id, segment, data, ts)`` from
+    JSON-lines files, as a batch or a stream (``data`` is the JSON text)."""
+    from ..schemas import OBSERVATIONS
+    s = schema or OBSERVATIONS
+    if streaming:
+        return spark.readStream.schema(s).json(path)
+    return spark.read.schema(s).json(path)
+
+
+def read_measurements(spark: SparkSession, path: str, streaming: bool = False,
+                      schema: T.StructType | None = None) -> DataFrame:
+    """The measurements table (Parquet, partition columns allowed)."""
+    from ..schemas import MEASUREMENTS
+    s = schema or MEASUREMENTS
+    if streaming:
+        return spark.readStream.schema(s).parquet(path)
+    return spark.read.schema(s).parquet(path)
