@@ -36,14 +36,16 @@ def is_restart(segment: Column, data: Column) -> Column:
 def tag_observations(obs: DataFrame, segments=S.SEGMENTS) -> DataFrame:
     """Add ``reason`` (NULL when valid) and canonicalise ``data``.
 
-    Rejected: segment missing or unknown ('segment'); data not a JSON object,
+    Rejected: no device ('device'); segment missing or unknown ('segment');
+    data not a JSON object,
     with no key, or with duplicate keys ('data'). A gpio row without a
     (non-null) ``userId`` gets ``userId: 0``."""
     seg, data = F.col("segment"), F.col("data")
     canon = F.when(seg == F.lit(S.GPIO_SEGMENT),
                    with_default_key(data, S.GPIO_USER_KEY, str(S.GPIO_DEFAULT_USER))) \
         .otherwise(canonical_json(data))
-    reason = (F.when(seg.isNull() | ~seg.isin(list(segments)), F.lit("segment"))
+    reason = (F.when(F.col("device_id").isNull(), F.lit("device"))
+              .when(seg.isNull() | ~seg.isin(list(segments)), F.lit("segment"))
               .when(F.coalesce(key_count(data), F.lit(0)) == 0, F.lit("data"))
               .when(canonical_json(data).isNull(), F.lit("data")))
     tagged = with_computed(obs, _canon=canon, reason=reason)
@@ -61,18 +63,7 @@ def check_observations(obs: DataFrame, segments=S.SEGMENTS):
     return valid, rejected
 
 
-def _w(*frame):
-    w = Window.partitionBy("device_id", "segment", "_chunk").orderBy("id")
-    return w.rowsBetween(*frame) if frame else w
-
-
-def _chunks(desc: bool = False):
-    return Window.partitionBy("device_id", "segment").orderBy(
-        F.col("_chunk").desc() if desc else F.col("_chunk"))
-
-
 _CKEYS = ["device_id", "segment", "_chunk"]
-_UNB = Window.unboundedPreceding
 
 
 def _with_markers(valid: DataFrame, chunk_ids: int, segments, materialize: bool = True) -> DataFrame:
@@ -100,21 +91,31 @@ def _with_markers(valid: DataFrame, chunk_ids: int, segments, materialize: bool
     # a fixed partition count keeps the hash partitioning visible after the
     # checkpoint, so the windows below need no second exchange
     n = int(valid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(u.repartition(n, *_CKEYS))
-
-
-def _local_epochs(u: DataFrame) -> DataFrame:
-    """``_lep``: last restart id before the row inside its chunk (NULL: none
-    in this chunk yet, i.e. the epoch carried in from earlier chunks)."""
-    rid = F.when(F.col("_restart") | F.col("_marker"), F.col("id"))
-    return u.withColumn("_lep", F.max(rid).over(_w(_UNB, -1)))
-
-
-def _restart_summary(u: DataFrame) -> DataFrame:
-    """Per chunk: the last restart id in it and the epoch carried into it."""
-    rid = F.when(F.col("_restart") | F.col("_marker"), F.col("id"))
-    return (u.groupBy(*_CKEYS).agg(F.max(rid).alias("_rmax"))
-            .withColumn("_ce", F.max("_rmax").over(_chunks().rowsBetween(_UNB, -1))))
+    return cut_lineage(u.repartition(n, *_CKEYS), keep_partitioning=True)
+
+
+# Window and summary steps are written as one SQL statement over the
+# partitioned frame: the same logical plan as chained DataFrame calls, built
+# in a single round trip to the JVM.
+_LOCAL_EPOCH = """
+e AS (
+  SELECT *,
+         max(CASE WHEN _restart OR _marker THEN id END)
+           OVER (PARTITION BY device_id, segment, _chunk ORDER BY id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _lep
+  FROM {u}
+),
+ce AS (
+  SELECT device_id, segment, _chunk, _rmax,
+         max(_rmax) OVER (PARTITION BY device_id, segment ORDER BY _chunk
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _ce
+  FROM (SELECT device_id, segment, _chunk, max(CASE WHEN _restart OR _marker THEN id END) AS _rmax
+        FROM {u} GROUP BY device_id, segment, _chunk)
+)"""
+
+# plain equality on exactly the partitioning keys, so the big side of each
+# join keeps its partitioning (device and segment are never NULL here)
+_SAME_CHUNK = "l.device_id = r.device_id AND l.segment = r.segment AND l._chunk = r._chunk"
 
 
 def restart_epochs(valid: DataFrame, chunk_ids: int = DEFAULT_CHUNK_IDS,
@@ -123,13 +124,13 @@ def restart_epochs(valid: DataFrame, chunk_ids: int = DEFAULT_CHUNK_IDS,
     strictly before the row (-1 when none), so a restart row belongs to the
     epoch before it. Restarts are copied as marker rows into every other
     segment of the device, so the lookup is a per-segment window (an as-of
-    join without a join), never a window over the whole device."""
+    join without a join), never a window over the whole device; the epoch
+    carried into a chunk comes from a per-chunk summary."""
     u = _with_markers(valid, chunk_ids, segments, materialize)
-    carry = _restart_summary(u).select(*_CKEYS, "_ce")
-    out = (_local_epochs(u).where(~F.col("_marker"))
-           .join(carry, _CKEYS, "left")
-           .withColumn("epoch", F.coalesce(F.greatest("_lep", "_ce"), F.lit(-1).cast("long"))))
-    return out.select(*valid.columns, "epoch")
+    return valid.sparkSession.sql(f"""WITH {_LOCAL_EPOCH}
+SELECT l.device_id, l.id, l.segment, l.data, l.ts, coalesce(greatest(l._lep, r._ce), -1) AS epoch
+FROM e l LEFT JOIN ce r ON {_SAME_CHUNK}
+WHERE NOT l._marker""", u=u)
 
 
 def collapse_runs(valid: DataFrame, chunk_ids: int = DEFAULT_CHUNK_IDS,
@@ -145,66 +146,80 @@ def collapse_runs(valid: DataFrame, chunk_ids: int = DEFAULT_CHUNK_IDS,
     what only earlier or later chunks know (epoch carried in, the last row of
     the previous chunk, the first row of the next one, the run in effect) is
     resolved on a per-chunk summary table and joined back on the same keys.
+    Every observation of a run has the same data, so ``data`` is a grouping
+    key of the last aggregate and its buffers stay fixed-width (hash
+    aggregate, no sort).
     """
     u = _with_markers(valid, chunk_ids, segments, materialize)
-    w = _local_epochs(u).where(~F.col("_marker"))
-    prev = F.lag(F.struct(F.col("data").alias("data"), F.col("_lep").alias("lep"))).over(_w())
-    nxt = F.lead(F.struct(F.col("ts").alias("ts"), F.col("_lep").alias("lep"))).over(_w())
-    w = w.withColumns({"_p": prev, "_n": nxt})
-    p, n = F.col("_p"), F.col("_n")
-    local_start = F.when(p.isNotNull(), ~p["lep"].eqNullSafe(F.col("_lep"))
-                         | F.coalesce(p["data"] != F.col("data"), F.lit(False)))
-    local_end = F.when(n.isNotNull(), F.when(n["lep"].eqNullSafe(F.col("_lep")), n["ts"])
-                       .otherwise(F.col("ts")))
-    w = (w.withColumns({"_lstart": local_start, "_lend": local_end})
-         .withColumn("_ls", F.max(F.when(F.col("_lstart"), F.col("id"))).over(_w(_UNB, 0)))
-         .drop("_p", "_n"))
-
-    # per-chunk summary, resolved across chunks
-    row = F.struct(F.col("id").alias("id"), F.col("data").alias("data"),
-                   F.col("_lep").alias("lep"), F.col("ts").alias("ts"))
-    real = (w.groupBy(*_CKEYS)
-            .agg(F.min(row).alias("_first"), F.max(row).alias("_last"),
-                 F.max(F.when(F.col("_lstart"), F.col("id"))).alias("_max_ls")))
-    summ = _restart_summary(u).join(real, _CKEYS, "left")
-    ce = F.col("_ce")
-    first_ep = F.coalesce(F.greatest(F.col("_first.lep"), ce), F.lit(-1).cast("long"))
-    last_ep = F.coalesce(F.greatest(F.col("_last.lep"), ce), F.lit(-1).cast("long"))
-    summ = (summ
-            .withColumns({
-                "_last_r": F.when(F.col("_last").isNotNull(),
-                                  F.struct(F.col("_last.data").alias("data"), last_ep.alias("ep"))),
-                "_first_r": F.when(F.col("_first").isNotNull(),
-                                   F.struct(F.col("_first.ts").alias("ts"), first_ep.alias("ep")))})
-            .withColumns({
-                "_prev_last": F.last("_last_r", ignorenulls=True).over(_chunks().rowsBetween(_UNB, -1)),
-                "_next_first": F.last("_first_r", ignorenulls=True).over(_chunks(desc=True).rowsBetween(_UNB, -1))}))
-    pl, nf = F.col("_prev_last"), F.col("_next_first")
-    first_start = (pl.isNull() | (pl["ep"] != first_ep)
-                   | F.coalesce(pl["data"] != F.col("_first.data"), F.lit(False)))
-    first_start_id = F.when(first_start, F.col("_first.id"))
-    summ = (summ.where(F.col("_first").isNotNull())
-            .select(*_CKEYS, "_ce", first_start_id.alias("_first_start_id"),
-                    F.greatest("_max_ls", first_start_id).alias("_chunk_last_start"),
-                    F.when(nf.isNotNull() & (nf["ep"] == last_ep), nf["ts"])
-                    .otherwise(F.col("_last.ts")).alias("_last_end"))
-            .withColumn("_run_carry", F.max("_chunk_last_start").over(_chunks().rowsBetween(_UNB, -1)))
-            .drop("_chunk_last_start"))
-
-    z = w.join(summ, _CKEYS, "left").withColumns({
-        "epoch": F.coalesce(F.greatest("_lep", "_ce"), F.lit(-1).cast("long")),
-        "run_id": F.greatest("_ls", "_first_start_id", "_run_carry"),
-        "_end": F.coalesce("_lend", "_last_end")})
-    # every observation of a run has the same data, so it can be a grouping
-    # key: the aggregate buffers stay fixed-width and the hash aggregate
-    # (no sort) is used
-    runs = (z.groupBy("device_id", "segment", "run_id", "data")
-            .agg(F.min_by("ts", "id").alias("ts_start"),
-                 F.max_by("_end", "id").alias("ts_end"),
-                 F.min("epoch").alias("epoch"),
-                 F.count(F.lit(1)).alias("n_obs")))
-    return runs.select("device_id", F.col("run_id").alias("id"), "segment", "data", "ts_start",
-                       "ts_end", "epoch", "n_obs", empty_flags().alias("sync"))
+    return valid.sparkSession.sql(f"""WITH {_LOCAL_EPOCH},
+nb AS (
+  SELECT device_id, segment, _chunk, id, data, ts, _lep,
+         lag(named_struct('data', data, 'lep', _lep)) OVER c AS _p,
+         lead(named_struct('ts', ts, 'lep', _lep)) OVER c AS _n
+  FROM e WHERE NOT _marker
+  WINDOW c AS (PARTITION BY device_id, segment, _chunk ORDER BY id)
+),
+loc AS (
+  SELECT device_id, segment, _chunk, id, data, ts, _lep,
+         CASE WHEN _p IS NOT NULL THEN NOT (_p.lep <=> _lep) OR coalesce(_p.data <> data, false) END AS _lstart,
+         CASE WHEN _n IS NOT NULL THEN CASE WHEN _n.lep <=> _lep THEN _n.ts ELSE ts END END AS _lend
+  FROM nb
+),
+w AS (
+  SELECT *, max(CASE WHEN _lstart THEN id END)
+              OVER (PARTITION BY device_id, segment, _chunk ORDER BY id
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _ls
+  FROM loc
+),
+edge AS (
+  SELECT device_id, segment, _chunk,
+         min(named_struct('id', id, 'data', data, 'lep', _lep, 'ts', ts)) AS _first,
+         max(named_struct('id', id, 'data', data, 'lep', _lep, 'ts', ts)) AS _last,
+         max(CASE WHEN _lstart THEN id END) AS _max_ls
+  FROM w GROUP BY device_id, segment, _chunk
+),
+s1 AS (
+  SELECT r.device_id, r.segment, r._chunk, r._ce, l._first, l._last, l._max_ls,
+         coalesce(greatest(l._first.lep, r._ce), -1) AS _first_ep,
+         coalesce(greatest(l._last.lep, r._ce), -1) AS _last_ep
+  FROM ce r LEFT JOIN edge l ON {_SAME_CHUNK}
+),
+s2 AS (
+  SELECT *,
+         last(CASE WHEN _last IS NOT NULL THEN named_struct('data', _last.data, 'ep', _last_ep) END, true)
+           OVER (PARTITION BY device_id, segment ORDER BY _chunk
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _prev_last,
+         last(CASE WHEN _first IS NOT NULL THEN named_struct('ts', _first.ts, 'ep', _first_ep) END, true)
+           OVER (PARTITION BY device_id, segment ORDER BY _chunk DESC
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _next_first
+  FROM s1
+),
+s3 AS (
+  SELECT device_id, segment, _chunk, _ce, _max_ls,
+         CASE WHEN _prev_last IS NULL OR _prev_last.ep <> _first_ep
+                   OR coalesce(_prev_last.data <> _first.data, false) THEN _first.id END AS _first_start_id,
+         CASE WHEN _next_first IS NOT NULL AND _next_first.ep = _last_ep THEN _next_first.ts
+              ELSE _last.ts END AS _last_end
+  FROM s2 WHERE _first IS NOT NULL
+),
+summ AS (
+  SELECT device_id, segment, _chunk, _ce, _first_start_id, _last_end,
+         max(greatest(_max_ls, _first_start_id))
+           OVER (PARTITION BY device_id, segment ORDER BY _chunk
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _run_carry
+  FROM s3
+),
+z AS (
+  SELECT l.device_id, l.segment, l.id, l.data, l.ts,
+         coalesce(greatest(l._lep, r._ce), -1) AS epoch,
+         greatest(l._ls, r._first_start_id, r._run_carry) AS run_id,
+         coalesce(l._lend, r._last_end) AS _end
+  FROM w l LEFT JOIN summ r ON {_SAME_CHUNK}
+)
+SELECT device_id, run_id AS id, segment, data,
+       min_by(ts, id) AS ts_start, max_by(_end, id) AS ts_end,
+       min(epoch) AS epoch, count(*) AS n_obs, CAST(map() AS MAP<STRING, BOOLEAN>) AS sync
+FROM z GROUP BY device_id, segment, run_id, data""", u=u)
 
 
 def latest_state(runs: DataFrame) -> DataFrame:

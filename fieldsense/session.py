@@ -47,8 +47,22 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
     """Reliable checkpoint (written to the shared checkpoint folder, so it
-    survives executor loss); never a local checkpoint."""
+    survives executor loss); never a local checkpoint.
+
+    With ``keep_partitioning`` the checkpoint job runs without adaptive
+    execution, whose not-yet-final plan reports no partitioning: the frame
+    read back then keeps ``df``'s hash partitioning and later windows, joins
+    and aggregations on the same keys need no exchange. (The setting is the
+    session's, restored right after the job.)"""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not keep_partitioning:
+        return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled", "true")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
