@@ -252,10 +252,10 @@ WHERE {O.STRICT_EVENTS_70} AND {O.RANGE} ORDER BY ts""",
     "rollup_12h": _M + O.rollup_sql(12, f"AND {O.RANGE}"),
     "rollup_nested_json": _M + f""", r AS ({O.rollup_sql(12, f"AND {O.RANGE}")})
 SELECT time, COUNT(*) AS n_series,
-       to_json(list({{'key': mac || '_' || CAST(sid AS VARCHAR) || '_' || type,
-                      'val_avg': val_avg, 'val_stddev': val_stddev, 'val_count': val_count}}
-                    ORDER BY mac || '_' || CAST(sid AS VARCHAR) || '_' || type,
-                             val_avg, val_stddev, val_count)) AS readings_json
+       CAST(to_json(list({{'key': mac || '_' || CAST(sid AS VARCHAR) || '_' || type,
+                           'val_avg': val_avg, 'val_stddev': val_stddev, 'val_count': val_count}}
+                         ORDER BY mac || '_' || CAST(sid AS VARCHAR) || '_' || type,
+                                  val_avg, val_stddev, val_count)) AS VARCHAR) AS readings_json
 FROM r GROUP BY time ORDER BY time""",
     "rollup_params": _M + O.rollup_sql(
         6, "AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00' "
@@ -291,13 +291,13 @@ ORACLE.update({
     "pending_state": _RUNS + _PS,
     "sync_envelope": O.with_(O.MEASUREMENTS, O.OBSERVATIONS, O.RUNS) + f""", pm AS ({_PM}), ps AS ({_PS})
 SELECT 'measurements' AS source, id,
-       to_json({{'id': id, 'mac': mac, 'sid': sid, 'type': type, 'description': description,
-                'val': CAST(val AS DOUBLE), 'ts': strftime(ts, {_TS}), 'battery': battery}}) AS payload
+       CAST(to_json({{'id': id, 'mac': mac, 'sid': sid, 'type': type, 'description': description,
+                     'val': CAST(val AS DOUBLE), 'ts': strftime(ts, {_TS}), 'battery': battery}}) AS VARCHAR) AS payload
 FROM pm
 UNION ALL
 SELECT 'logState' AS source, id,
-       to_json({{'device_id': device_id, 'id': id, 'segment': segment, 'data': CAST(data AS JSON),
-                'ts_start': strftime(ts_start, {_TS}), 'ts_end': strftime(ts_end, {_TS})}}) AS payload
+       CAST(to_json({{'device_id': device_id, 'id': id, 'segment': segment, 'data': CAST(data AS JSON),
+                     'ts_start': strftime(ts_start, {_TS}), 'ts_end': strftime(ts_end, {_TS})}}) AS VARCHAR) AS payload
 FROM ps""",
     "mark_synced": _M + f""", pm AS ({_PM})
 SELECT m.id, CASE WHEN pm.id IS NOT NULL THEN '{{"cloud":true}}'
@@ -327,7 +327,7 @@ _B = O.with_(O.BATCHES)
 _Q = O.with_(O.QUEUE)
 
 ORACLE.update({
-    "ingest_valid": _B + """SELECT batch_id, mac, COUNT(*) AS n_items FROM b
+    "ingest_valid": _B + """SELECT batch_id, mac, CAST(COUNT(*) AS INTEGER) AS n_items FROM b
 WHERE batch_id IN (SELECT batch_id FROM bv) GROUP BY batch_id, mac""",
     "ingest_rejected": _B + """SELECT batch_id, 'type' AS reason FROM b
 GROUP BY batch_id HAVING NOT bool_and(type IN ('t', 'h'))""",
