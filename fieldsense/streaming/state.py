@@ -42,36 +42,60 @@ def _restart(segment: str, data: str) -> bool:
         return False
 
 
+def _segment_runs(g: pd.DataFrame, open_run: dict | None) -> tuple[list[dict], dict]:
+    """Runs touched by one segment's rows of a micro-batch (sorted by id),
+    given the run left open by earlier batches; vectorised over the rows.
+    Returns the touched runs and the run left open afterwards."""
+    prev_data = g["data"].shift(1)
+    prev_ep = g["epoch"].shift(1)
+    if open_run is not None:
+        prev_data.iloc[0] = open_run["data"]
+        prev_ep.iloc[0] = open_run["epoch"]
+    start = prev_ep.isna() | (prev_ep != g["epoch"]) | (prev_data.notna() & (prev_data != g["data"]))
+    run = g["id"].where(start).ffill()
+    cont = run.isna()                      # leading rows that extend the open run
+    same_next = g["epoch"].shift(-1) == g["epoch"]
+    end = g["ts"].astype("float64").where(~same_next, g["ts"].shift(-1))
+    touched = []
+    kept = None
+    if open_run is not None:
+        if cont.any():
+            kept = dict(open_run, end=int(end[cont].iloc[-1]), n=open_run["n"] + int(cont.sum()))
+            touched.append(kept)
+        elif open_run["epoch"] == g["epoch"].iloc[0]:
+            # the first row changes the data: the open run ends there
+            touched.append(dict(open_run, end=int(g["ts"].iloc[0])))
+        # else it was opened before a restart and is left as it is
+    new = g[~cont].assign(_run=run[~cont], _end=end[~cont])
+    for rid, r in new.groupby("_run", sort=True):
+        touched.append({"id": int(rid), "data": r["data"].iloc[0], "start": int(r["ts"].iloc[0]),
+                        "end": int(r["_end"].iloc[-1]), "n": int(len(r)), "epoch": int(r["epoch"].iloc[0])})
+    return touched, (touched[-1] if not new.empty else kept)
+
+
 def _advance(key, batches, state):
     """Apply one micro-batch of a device's observations in id order."""
     (device,) = key
     st = json.loads(state.get[0]) if state.exists else {"restart": -1, "open": {}}
-    touched = {}
     frames = [b for b in batches if len(b)]
     if not frames:
         return
-    pdf = pd.concat(frames).sort_values("id")
-    for oid, seg, data, ts in zip(pdf["id"], pdf["segment"], pdf["data"], pdf["ts"]):
-        oid, ts_us = int(oid), int(pd.Timestamp(ts).value // 1000)
-        cur = st["open"].get(seg)
-        if cur is not None and cur["epoch"] != st["restart"]:
-            cur = None  # opened before the last restart: not continued
-        if cur is None or (cur["data"] is not None and cur["data"] != data):
-            if cur is not None:
-                cur["end"] = ts_us
-                touched[cur["id"]] = dict(cur, seg=seg)
-            new = {"id": oid, "data": data, "start": ts_us, "end": ts_us, "n": 1, "epoch": st["restart"]}
-            st["open"][seg] = new
-            touched[oid] = dict(new, seg=seg)
-            if _restart(seg, data):
-                st["restart"] = oid
-        else:
-            cur["end"] = ts_us
-            cur["n"] += 1
-            touched[cur["id"]] = dict(cur, seg=seg)
+    pdf = pd.concat(frames).sort_values("id", kind="stable").reset_index(drop=True)
+    pdf["ts"] = pd.to_datetime(pdf["ts"]).dt.as_unit("us").astype("int64")  # microseconds
+    app = pdf["segment"] == S.RESTART_SEGMENT
+    restart = pd.Series([bool(a) and _restart(S.RESTART_SEGMENT, d) for a, d in zip(app, pdf["data"])],
+                        index=pdf.index, dtype=bool)
+    # epoch: last restart strictly before the row (a restart belongs to the epoch before it)
+    pdf["epoch"] = (pdf["id"].where(restart).shift(1).ffill().fillna(st["restart"]).astype("int64"))
+    if restart.any():
+        st["restart"] = int(pdf.loc[restart, "id"].iloc[-1])
+    rows = []
+    for seg, g in pdf.groupby("segment", sort=False):
+        touched, last = _segment_runs(g.reset_index(drop=True), st["open"].get(seg))
+        st["open"][seg] = last
+        rows += [dict(t, seg=seg) for t in touched]
     state.update((json.dumps(st),))
-    if touched:
-        rows = list(touched.values())
+    if rows:
         yield pd.DataFrame({
             "device_id": [device] * len(rows),
             "id": [r["id"] for r in rows],

@@ -18,10 +18,19 @@ def _tmp():
     return tempfile.mkdtemp(prefix="fs-test-")
 
 
+_MTIME = [1_700_000_000]
+
+
 def _write_jsonl(folder, name, records):
-    with open(os.path.join(folder, name), "w") as f:
+    """Write one JSON-lines file with a distinct, increasing modification
+    time: the file source takes files oldest first, so arrival order is the
+    writing order."""
+    path = os.path.join(folder, name)
+    with open(path, "w") as f:
         for r in records:
             f.write(json.dumps(r) + "\n")
+    _MTIME[0] += 10
+    os.utime(path, (_MTIME[0], _MTIME[0]))
 
 
 def test_state_stream_in_order_equals_batch(spark):
@@ -81,3 +90,36 @@ def test_sync_tick(spark):
     doc = json.loads(spark.read.text(f"{out}/tick=0").collect()[0].value)
     assert [r["id"] for r in doc["measurements"]] == [1, 2, 3, 4, 5] and len(doc["logState"]) == 1
     assert not sync_tick(m.where("false"), state.where("false"), out, 1)
+
+
+def _stream_runs(spark, obs, parts, name):
+    src = _tmp()
+    size = (len(obs) + parts - 1) // parts
+    for part in range(parts):
+        chunk = obs[part * size:(part + 1) * size]
+        _write_jsonl(src, f"part-{part:03d}.json", [
+            {"device_id": d, "id": i, "segment": s, "data": data, "ts": ts.isoformat()} for d, i, s, data, ts in chunk])
+    stream = spark.readStream.schema(FX.OBS_SCHEMA).option("maxFilesPerTrigger", 1).json(src)
+    q = (state_runs_stream(stream).writeStream.format("memory").queryName(name)
+         .outputMode("update").option("checkpointLocation", _tmp())
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    return {tuple(r) for r in latest_versions(spark.table(name)).select(
+        "device_id", "id", "segment", "data", "ts_start", "ts_end", "epoch", "n_obs").collect()}
+
+
+def test_state_stream_fixture_split(spark):
+    obs = [("d1", i, seg, data, FX.T0 + dt.timedelta(minutes=m)) for i, m, seg, data in FX.STATE_SEQUENCE]
+    got = _stream_runs(spark, obs, 3, "runs_fixture")
+    df = spark.createDataFrame(obs, FX.OBS_SCHEMA)
+    want = {tuple(r) for r in ST.collapse_runs(ST.check_observations(df)[0]).drop("sync").collect()}
+    assert got == want and len(got) == 7
+
+
+def test_state_stream_many_batches(spark):
+    for seed in (31, 32):
+        obs = sorted(_random_observations(seed, n=500, devices=2), key=lambda r: r[1])
+        got = _stream_runs(spark, obs, 9, f"runs_many_{seed}")
+        df = spark.createDataFrame(obs, FX.OBS_SCHEMA)
+        want = {tuple(r) for r in ST.collapse_runs(ST.check_observations(df)[0]).drop("sync").collect()}
+        assert got == want
