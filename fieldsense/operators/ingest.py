@@ -62,16 +62,10 @@ def validate_batches(raw: DataFrame, batch_col: str = "batch_id", raw_col: str =
         .when(any_item(lambda x: x["battery"].isNotNull() & _short_int(x["battery"]).isNull()), F.lit("battery"))
     )
     tagged = with_computed(raw.withColumn("_b", parsed), reason=reason)
-    typed = F.transform(items, lambda x: F.struct(
-        _short_int(x["sid"]).alias("sid"),
-        _number(x["value"]).cast("float").alias("val"),
-        x["type"].alias("type"),
-        x["desc"].alias("description"),
-        _short_int(x["battery"]).alias("battery")))
     good = (tagged.where(F.col("reason").isNull())
             .select(batch_col, F.col("_b.mac").alias("mac"),
                     _number(F.col("_b.battery")).cast("float").alias("battery"),
-                    typed.alias("items")))
+                    items.alias("items")))
     rejected = tagged.where(F.col("reason").isNotNull()).select(batch_col, raw_col, "reason")
     return good, rejected
 
@@ -83,8 +77,11 @@ def reshape_batches(good: DataFrame, as_of, batch_col: str = "batch_id", ntz: bo
     time ``as_of``, sync flags empty. ``pos`` is the item's place in its
     batch, so (batch, pos) identifies the row."""
     rows = good.select(batch_col, "mac", F.posexplode("items").alias("pos", "_i"))
-    return rows.select(batch_col, "pos", "mac", "_i.sid", "_i.type", "_i.description", "_i.val",
-                       "_i.battery", ts_literal(as_of, ntz).alias("ts"), empty_flags().alias("sync"))
+    return rows.select(batch_col, "pos", "mac", _short_int(F.col("_i.sid")).alias("sid"),
+                       F.col("_i.type").alias("type"), F.col("_i.desc").alias("description"),
+                       _number(F.col("_i.value")).cast("float").alias("val"),
+                       _short_int(F.col("_i.battery")).alias("battery"),
+                       ts_literal(as_of, ntz).alias("ts"), empty_flags().alias("sync"))
 
 
 def ingest_receipt(rows: DataFrame, as_of, batch_col: str = "batch_id", ntz: bool = True) -> DataFrame:
