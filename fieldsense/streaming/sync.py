@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
+from ..operators.readings import LEGACY_CLOSED, Bounds, aggregate_and_mark
 from ..operators.sync import (AGGREGATE_COLUMNS, MEASUREMENT_COLUMNS, STATE_COLUMNS, envelope_document,
                               pending, sync_envelope)
 
@@ -60,3 +61,29 @@ def notify_stream(spark: SparkSession, agg_dir: str, schema, outbox_dir: str, ch
     return (spark.readStream.schema(schema).parquet(agg_dir).writeStream
             .foreachBatch(on_batch).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": debounce})).start())
+
+
+def aggregate_tick(measurements: DataFrame, agg_dir: str, marked_dir: str, tick_id: int, as_of,
+                   window_minutes: int, bounds: Bounds = LEGACY_CLOSED) -> None:
+    """One run of the trailing aggregate at ``as_of`` (the trigger time): the
+    aggregates are appended to ``agg_dir`` and the measurements with their new
+    consumed flags are written as a new version ``marked_dir/v=<tick>``
+    (both from the same ``as_of``; the aggregates are written first, so a
+    failed tick leaves the flags untouched and is simply run again)."""
+    aggs, marked = aggregate_and_mark(measurements, as_of, window_minutes, bounds)
+    aggs.write.mode("append").parquet(agg_dir)
+    marked.write.mode("overwrite").parquet(f"{marked_dir}/v={tick_id}")
+
+
+def aggregate_stream(spark: SparkSession, load_measurements: Callable[[], DataFrame], agg_dir: str,
+                     marked_dir: str, checkpoint: str, window_minutes: int,
+                     bounds: Bounds = LEGACY_CLOSED, interval: str = "30 minutes") -> StreamingQuery:
+    """Periodic trailing aggregate: every ``interval`` aggregate what the
+    last ``window_minutes`` brought, with the trigger time as ``as_of``."""
+    import datetime as _dt
+
+    def run(i: int) -> None:
+        now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None, microsecond=0)
+        aggregate_tick(load_measurements(), agg_dir, marked_dir, i, now, window_minutes, bounds)
+
+    return tick_stream(spark, run, checkpoint, interval)

@@ -62,3 +62,16 @@ def test_tick_stream(spark):
         time.sleep(0.5)
     q.stop()
     assert len(seen) >= 2 and seen == sorted(seen)
+
+
+def test_aggregate_tick(spark):
+    from fieldsense.operators import readings as R
+    from fieldsense.streaming import aggregate_tick
+    agg_dir, marked_dir = tempfile.mkdtemp(prefix="fs-"), tempfile.mkdtemp(prefix="fs-")
+    m = FX.readings(spark)
+    aggregate_tick(m, agg_dir, marked_dir, 0, "2016-09-03 00:00:00", 3 * 24 * 60, R.LEGACY_CLOSED)
+    assert sum(r.n for r in spark.read.parquet(agg_dir).collect()) == 53
+    marked = spark.read.parquet(f"{marked_dir}/v=0")
+    assert marked.where("agg").count() == 53
+    aggregate_tick(marked, agg_dir, marked_dir, 1, "2016-09-03 00:00:00", 3 * 24 * 60, R.LEGACY_CLOSED)
+    assert spark.read.parquet(agg_dir).count() == 6
