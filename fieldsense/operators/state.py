@@ -16,11 +16,11 @@ joins use the same partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import canonical_json, empty_flags, key_count, with_computed, with_default_key
+from ..functions import canonical_json, key_count, with_computed, with_default_key
 from ..session import cut_lineage
 
 DEFAULT_CHUNK_IDS = 1 << 22
@@ -37,9 +37,8 @@ def tag_observations(obs: DataFrame, segments=S.SEGMENTS) -> DataFrame:
     """Add ``reason`` (NULL when valid) and canonicalise ``data``.
 
     Rejected: no device ('device'); segment missing or unknown ('segment');
-    data not a JSON object,
-    with no key, or with duplicate keys ('data'). A gpio row without a
-    (non-null) ``userId`` gets ``userId: 0``."""
+    data not a JSON object, with no key, or with duplicate keys ('data').
+    A gpio row without a (non-null) ``userId`` gets ``userId: 0``."""
     seg, data = F.col("segment"), F.col("data")
     canon = F.when(seg == F.lit(S.GPIO_SEGMENT),
                    with_default_key(data, S.GPIO_USER_KEY, str(S.GPIO_DEFAULT_USER))) \
@@ -85,7 +84,8 @@ def _with_markers(valid: DataFrame, chunk_ids: int, segments, materialize: bool
                        F.lit(None).cast("string").alias("data"),
                        F.lit(None).cast(rows.schema["ts"].dataType).alias("ts"),
                        F.lit(False).alias("_restart"), F.lit(True).alias("_marker")))
-    u = rows.unionByName(markers).withColumn("_chunk", F.floor(F.col("id") / F.lit(int(chunk_ids))))
+    # integer division keeps chunks exact for any 64-bit id (non-decreasing in id)
+    u = rows.unionByName(markers).withColumn("_chunk", F.expr(f"id div {int(chunk_ids)}"))
     if not materialize:
         return u.repartition(*_CKEYS)
     # a fixed partition count keeps the hash partitioning visible after the

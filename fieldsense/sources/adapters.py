@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import day_start, hours, minutes, set_flag, empty_flags, ts_literal
+from ..functions import day_start, empty_flags, hours, minutes, ts_literal
 from ..operators.readings import Bounds
 from .tables import ensure_parallelism
 

@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from fieldsense.operators import queue as QU
 from fieldsense.operators import sync as SY
