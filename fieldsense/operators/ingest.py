@@ -61,7 +61,7 @@ def validate_batches(raw: DataFrame, batch_col: str = "batch_id", raw_col: str =
         .when(any_item(lambda x: x["type"].isNull() | ~x["type"].isin(types)), F.lit("type"))
         .when(any_item(lambda x: x["battery"].isNotNull() & _short_int(x["battery"]).isNull()), F.lit("battery"))
     )
-    tagged = with_computed(raw.withColumn("_b", parsed), reason=reason)
+    tagged = with_computed(with_computed(raw, _b=parsed), reason=reason)
     good = (tagged.where(F.col("reason").isNull())
             .select(batch_col, F.col("_b.mac").alias("mac"),
                     _number(F.col("_b.battery")).cast("float").alias("battery"),
@@ -101,13 +101,14 @@ def insert_measurements(raw: DataFrame, as_of, raw_col: str = "raw", ntz: bool =
     is rejected whole: ``(rows, rejected)``."""
     doc = F.col(raw_col)
     arr = F.when(F.trim(doc).startswith("{"), F.concat(F.lit("["), doc, F.lit("]"))).otherwise(doc)
-    items = F.from_json(arr, INSERT_ITEM)
+    parsed = F.from_json(arr, INSERT_ITEM)
+    items = F.col("_items")
     bad_item = F.exists(items, lambda x: x["mac"].isNull() | x["type"].isNull()
                         | _short_int(x["sid"]).isNull()
                         | (x["battery"].isNotNull() & _short_int(x["battery"]).isNull())
                         | (x["val"].isNotNull() & _number(x["val"]).isNull()))
     reason = F.when(items.isNull(), F.lit("json")).when(bad_item, F.lit("row"))
-    tagged = with_computed(raw.withColumn("_items", items), reason=reason)
+    tagged = with_computed(with_computed(raw, _items=parsed), reason=reason)
     rows = (tagged.where(F.col("reason").isNull())
             .select(*[c for c in raw.columns if c != raw_col], F.posexplode("_items").alias("pos", "_i"))
             .select(*[c for c in raw.columns if c != raw_col], "pos", "_i.mac",

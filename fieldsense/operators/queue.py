@@ -47,7 +47,7 @@ def queue_decode(raw: DataFrame, as_of, raw_col: str = "raw", job_types=S.JOB_TY
               .when(F.col("_j.job_type").isNull() | ~F.col("_j.job_type").isin(list(job_types)),
                     F.lit("job_type"))
               .when(F.col("_j.delay").isNotNull() & ~F.coalesce(delay_ok, F.lit(False)), F.lit("delay")))
-    tagged = with_computed(raw.withColumn("_j", j), reason=reason)
+    tagged = with_computed(with_computed(raw, _j=j), reason=reason)
     keep = [c for c in raw.columns if c != raw_col]
     rows = (tagged.where(F.col("reason").isNull())
             .select(*keep, F.col("_j.job_type").alias("job_type"),
