@@ -19,13 +19,19 @@ def key_count(text: Column) -> Column:
     return F.size(F.json_object_keys(text))
 
 
-def with_default_key(text: Column, key: str, default_json: str) -> Column:
+def object_key_count(v: Column) -> Column:
+    """Top-level key count of a parsed JSON value (VARIANT); NULL unless an object."""
+    return F.size(F.try_variant_get(v, "$", "map<string,variant>"))
+
+
+def with_default_key(text: Column, key: str, default_json: str, parsed: Column | None = None) -> Column:
     """Add ``key: default`` to a JSON object when the key is absent or JSON
     null (``jsonb_set`` when ``->>key`` is NULL); canonical text out.
 
-    The common case (key absent) splices the pair into the text and parses
-    once; only an explicit JSON null takes the slower map rewrite."""
-    v = F.try_parse_json(text)
+    ``parsed`` may pass ``try_parse_json(text)`` computed once upstream. The
+    common case (key absent) splices the pair into the text and parses once
+    more; only an explicit JSON null takes the slower map rewrite."""
+    v = F.try_parse_json(text) if parsed is None else parsed
     current = F.try_variant_get(v, f"$.{key}", "variant")
     body = F.trim(text)
     head = F.lit('{"' + key + '":' + default_json)

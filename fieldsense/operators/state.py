@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import canonical_json, key_count, with_computed, with_default_key
+from ..functions import object_key_count, with_computed, with_default_key
 from ..session import cut_lineage
 
 DEFAULT_CHUNK_IDS = 1 << 22
@@ -40,16 +40,18 @@ def tag_observations(obs: DataFrame, segments=S.SEGMENTS) -> DataFrame:
     data not a JSON object, with no key, or with duplicate keys ('data').
     A gpio row without a (non-null) ``userId`` gets ``userId: 0``."""
     seg, data = F.col("segment"), F.col("data")
+    parsed = with_computed(obs, _v=F.try_parse_json(data))   # one parse per row
+    v = F.col("_v")
     canon = F.when(seg == F.lit(S.GPIO_SEGMENT),
-                   with_default_key(data, S.GPIO_USER_KEY, str(S.GPIO_DEFAULT_USER))) \
-        .otherwise(canonical_json(data))
+                   with_default_key(data, S.GPIO_USER_KEY, str(S.GPIO_DEFAULT_USER), parsed=v)) \
+        .otherwise(F.to_json(v))
+    # invalid JSON and duplicate keys parse to NULL; non-objects have no key count
     reason = (F.when(F.col("device_id").isNull(), F.lit("device"))
               .when(seg.isNull() | ~seg.isin(list(segments)), F.lit("segment"))
-              .when(F.coalesce(key_count(data), F.lit(0)) == 0, F.lit("data"))
-              .when(canonical_json(data).isNull(), F.lit("data")))
-    tagged = with_computed(obs, _canon=canon, reason=reason)
-    return tagged.withColumn("data", F.when(F.col("reason").isNull(), F.col("_canon")).otherwise(F.col("data"))) \
-        .drop("_canon")
+              .when(F.coalesce(object_key_count(v), F.lit(0)) == 0, F.lit("data")))
+    tagged = with_computed(parsed, _canon=canon, reason=reason)
+    return (tagged.withColumn("data", F.when(F.col("reason").isNull(), F.col("_canon")).otherwise(data))
+            .drop("_canon", "_v"))
 
 
 def check_observations(obs: DataFrame, segments=S.SEGMENTS):
