@@ -68,13 +68,18 @@ def queue_complete(queue: DataFrame, ids: DataFrame, as_of, strict: bool = True,
                    broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Set ``ts_executed = as_of`` on the given ids (re-completing overwrites).
     With ``strict`` an id missing from the queue raises ``UnknownJobError``
-    (checked with an anti join that stops at the first hit)."""
-    keys = ids.select("id").dropDuplicates()
-    if strict:
-        missing = keys.join(queue.select("id"), "id", "left_anti").limit(1).collect()
-        if missing:
-            raise UnknownJobError(f"no job with id {missing[0]['id']}")
+    (checked by counting a semi join, so the queue is scanned, not shuffled,
+    when the id set is small)."""
+    keys = ids.select("id").where(F.col("id").isNotNull()).dropDuplicates()
     done = broadcast_if_small(keys.withColumn("_done", F.lit(True)), broadcast_rows)
+    if strict:
+        # ids are unique on both sides: every id is known when the semi join
+        # (the small id set broadcast, the queue only scanned) keeps them all
+        n_ids = keys.count()
+        n_known = queue.select("id").join(done, "id", "left_semi").count()
+        if n_known != n_ids:
+            missing = keys.join(queue.select("id"), "id", "left_anti").limit(1).collect()
+            raise UnknownJobError(f"no job with id {missing[0]['id'] if missing else '?'}")
     now = ts_literal(as_of, is_ntz(queue, "ts_created"))
     return (queue.join(done, "id", "left")
             .withColumn("ts_executed", F.when(F.col("_done"), now).otherwise(F.col("ts_executed")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import (bucket_start, is_ntz, minutes, round_numeric, round_to_short,
                          ts_literal)
+from .skew import broadcast_if_small
 
 SERIES_KEYS = ("mac", "sid", "type")
 
@@ -95,15 +96,16 @@ def rollup(df: DataFrame, n_hours: int = 12, bounds: Bounds = STRICT_60, start=N
     the count of values.
 
     ``types`` keeps only these reading types; ``series`` (a DataFrame of
-    ``keys`` columns) keeps only those series through a semi join, which
-    Spark broadcasts when the series list is small.
+    ``keys`` columns) keeps only those series through a semi join, broadcast
+    after a row-count check.
     Output: time, *keys, val_avg, val_stddev, val_count.
     """
     rows = filter_readings(df, bounds, start, end, sort=False, value=value, ts=ts)
     if types is not None:
         rows = rows.where(F.col("type").isin(list(types)))
     if series is not None:
-        rows = rows.join(series.select(*keys).dropDuplicates(), list(keys), "left_semi")
+        chosen = broadcast_if_small(series.select(*keys).dropDuplicates())
+        rows = rows.join(chosen, list(keys), "left_semi")
     bucket = bucket_start(F.col(ts), n_hours, is_ntz(df, ts)).alias("time")
     out = (rows.groupBy(bucket, *keys)
            .agg(round_numeric(F.avg(value)).alias("val_avg"),
