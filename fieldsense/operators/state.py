@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import object_key_count, with_computed, with_default_key
 from ..session import cut_lineage
+from .skew import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 
 DEFAULT_CHUNK_IDS = 1 << 22
 KEYS = ("device_id", "segment")
@@ -224,16 +225,19 @@ SELECT device_id, run_id AS id, segment, data,
 FROM z GROUP BY device_id, segment, run_id, data""", u=u)
 
 
-def latest_state(runs: DataFrame) -> DataFrame:
+def latest_state(runs: DataFrame, broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Current run of each (device, segment): the latest run opened after the
     device's last restart. A segment with no run since then (and the app
-    segment right after a restart) has no row. Both sides are aggregated
-    before the join, to one row per device and segment."""
+    segment right after a restart) has no row.
+
+    Only ids are aggregated (hash aggregates, one row per device and
+    segment); the chosen runs are then picked from the run table by a semi
+    join with that small id set, broadcast after a size check, so the run
+    table is scanned, not shuffled or sorted."""
     cur = (runs.where(is_restart(F.col("segment"), F.col("data")))
            .groupBy("device_id").agg(F.max("id").alias("_cur")))
-    cols = [c for c in runs.columns if c not in KEYS]
-    latest = (runs.groupBy(*KEYS).agg(F.max_by(F.struct(*cols), "id").alias("_r"))
-              .select(*KEYS, "_r.*"))
-    return (latest.join(cur, "device_id", "left")
+    last = runs.groupBy(*KEYS).agg(F.max("id").alias("id"))
+    keep = (last.join(cur, "device_id", "left")
             .where(F.col("id") > F.coalesce(F.col("_cur"), F.lit(-1).cast("long")))
-            .drop("_cur"))
+            .select(*KEYS, "id"))
+    return runs.join(broadcast_if_small(keep, broadcast_rows), [*KEYS, "id"], "left_semi")
