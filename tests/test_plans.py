@@ -1,0 +1,60 @@
+"""Plan shape checks: the properties the operators are designed for at scale."""
+
+import re
+
+from fieldsense.operators import state as ST
+from fieldsense.operators import sync as SY
+from fieldsense.plans import catalog as C
+from fieldsense.sources import adapters as A
+
+SF = "/root/testdata/sf0.001"
+
+
+def _plan(df) -> str:
+    df.write.format("noop").mode("overwrite").save()   # run it: final adaptive plan
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _formatted(df) -> str:
+    jvm = df.sparkSession.sparkContext._jvm
+    return jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def test_time_range_reaches_scan(spark):
+    plan = _formatted(C.QUERIES["outlier_filter"](spark, SF))
+    pushed = re.search(r"PushedFilters: \[(.*)\]", plan).group(1)
+    assert "GreaterThanOrEqual(ts" in pushed and "LessThanOrEqual(ts" in pushed
+
+
+def test_scan_reads_only_needed_columns(spark):
+    plan = _formatted(C.QUERIES["mark_synced"](spark, SF))
+    assert re.findall(r"ReadSchema: (\S+)", plan) == ["struct<event_id:bigint>"] * 2
+
+
+def test_pending_is_top_k(spark):
+    plan = SY.pending(A.measurements(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+
+
+def test_ack_join_is_broadcast(spark):
+    m = A.measurements(spark, SF)
+    acked = SY.pending(m).select("id")
+    assert "BroadcastHashJoin" in _plan(SY.mark_synced(m, acked))
+
+
+def test_run_collapse_single_big_exchange(spark):
+    valid = C._valid(spark, SF)
+    plan = _plan(ST.collapse_runs(valid))
+    # after the checkpointed, hash-partitioned input: windows and carry joins
+    # need no exchange of the big side; only the final per-run aggregate and
+    # the small per-chunk summary shuffle
+    big = [ln for ln in plan.splitlines() if "Exchange hashpartitioning" in ln]
+    assert any("run_id" in ln for ln in big)
+    assert not any("_chunk" in ln for ln in big)
+    assert "SortAggregate" not in plan.split("Exchange hashpartitioning")[0]
+
+
+def test_latest_state_semi_join_broadcast(spark):
+    runs = ST.collapse_runs(C._valid(spark, SF))
+    plan = _plan(ST.latest_state(runs))
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
