@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import reshape_batches, validate_batches
+from ..operators.ingest import ingest_receipt, reshape_batches, validate_batches
 
 RAW_SCHEMA = "batch_id string, raw string"
 
@@ -19,16 +19,22 @@ def read_batches(spark: SparkSession, source_dir: str, max_files: int | None = N
     return r.json(source_dir)
 
 
-def write_ingest_batch(batch: DataFrame, epoch_id: int, rows_dir: str, reject_dir: str) -> None:
+def write_ingest_batch(batch: DataFrame, epoch_id: int, rows_dir: str, reject_dir: str,
+                       receipt_dir: str | None = None) -> None:
     """One micro-batch: validate, stamp every row with the batch's arrival
     time (``current_timestamp`` is fixed for a micro-batch, like ``now()`` in
-    a transaction), write rows and rejects under ``epoch=<id>``. A replayed
-    epoch overwrites its own folder, so output is exactly once."""
+    a transaction), write rows and rejects under ``epoch=<id>``, and, with
+    ``receipt_dir``, one receipt per request (``new_records``, ``ts``). A
+    replayed epoch overwrites its own folders, so output is exactly once."""
     batch = batch.persist()
     try:
         good, rejected = validate_batches(batch)
-        rows = reshape_batches(good, F.current_timestamp(), ntz=False)
+        rows = reshape_batches(good, F.current_timestamp(), ntz=False).persist()
         rows.write.mode("overwrite").parquet(f"{rows_dir}/epoch={epoch_id}")
+        if receipt_dir is not None:
+            ingest_receipt(rows, F.current_timestamp(), ntz=False) \
+                .write.mode("overwrite").parquet(f"{receipt_dir}/epoch={epoch_id}")
+        rows.unpersist()
         if not rejected.isEmpty():
             rejected.write.mode("overwrite").parquet(f"{reject_dir}/epoch={epoch_id}")
     finally:
@@ -36,10 +42,11 @@ def write_ingest_batch(batch: DataFrame, epoch_id: int, rows_dir: str, reject_di
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, rows_dir: str, reject_dir: str,
-                  checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+                  checkpoint: str, trigger: dict | None = None,
+                  receipt_dir: str | None = None) -> StreamingQuery:
     """Start the ingest stream; ``trigger`` e.g. ``{"availableNow": True}`` or
     ``{"processingTime": "10 seconds"}``."""
     w = (read_batches(spark, source_dir).writeStream
-         .foreachBatch(lambda df, i: write_ingest_batch(df, i, rows_dir, reject_dir))
+         .foreachBatch(lambda df, i: write_ingest_batch(df, i, rows_dir, reject_dir, receipt_dir))
          .option("checkpointLocation", checkpoint))
     return w.trigger(**(trigger or {"processingTime": "10 seconds"})).start()

@@ -59,10 +59,14 @@ def test_ingest_stream(spark):
     reqs.append({"batch_id": "bad", "raw": '{"mac": "x", "data": []}'})
     _write_jsonl(src, "a.json", reqs[:4])
     _write_jsonl(src, "b.json", reqs[4:])
-    q = ingest_stream(spark, src, rows_dir, rej_dir, _tmp(), trigger={"availableNow": True})
+    rec_dir = _tmp()
+    q = ingest_stream(spark, src, rows_dir, rej_dir, _tmp(), trigger={"availableNow": True},
+                      receipt_dir=rec_dir)
     q.awaitTermination(300)
     rows = spark.read.parquet(rows_dir)
     assert rows.count() == 10
+    receipts = {r.batch_id: r.new_records for r in spark.read.parquet(rec_dir).collect()}
+    assert receipts["r7"] == 2 and len(receipts) == 8
     assert rows.where(F.col("ts").isNull()).count() == 0
     assert [r.batch_id for r in spark.read.parquet(rej_dir).collect()] == ["bad"]
 
