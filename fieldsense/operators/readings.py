@@ -187,6 +187,20 @@ def mark_used(df: DataFrame, as_of, window_minutes: int, bounds: Bounds = LEGACY
     return df.withColumn("agg", F.when(used, F.lit(True)).otherwise(F.col("agg")))
 
 
+def mark_used_days(df: DataFrame, as_of, window_minutes: int, bounds: Bounds = LEGACY_CLOSED,
+                   value: str = "val", ts: str = "ts") -> DataFrame:
+    """``mark_used`` restricted to the days the run can change: only readings
+    of a day at or after the window start can gain the flag. Written with
+    dynamic partition overwrite into a table partitioned by day
+    (``sources.tables.overwrite_partitions``), a run rewrites the few days of
+    its window instead of the whole table; the day filter prunes partitions
+    at the scan."""
+    ntz = is_ntz(df, ts)
+    first_day = (ts_literal(as_of, ntz) - minutes(window_minutes)).cast("date")
+    recent = df.where(F.col(ts) >= first_day.cast("timestamp_ntz" if ntz else "timestamp"))
+    return mark_used(recent, as_of, window_minutes, bounds, value, ts)
+
+
 def aggregate_and_mark(df: DataFrame, as_of, window_minutes: int, bounds: Bounds = LEGACY_CLOSED,
                        value: str = "val", ts: str = "ts"):
     """One aggregation run: ``(aggregates, measurements_with_new_agg)`` for the

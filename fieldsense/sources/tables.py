@@ -40,6 +40,15 @@ def write_version(df: DataFrame, path: str, partition_by=None, fmt: str = "parqu
     w.save(path)
 
 
+def overwrite_partitions(df: DataFrame, path: str, partition_by, fmt: str = "parquet") -> None:
+    """Replace only the partitions present in ``df`` (dynamic partition
+    overwrite); other partitions of the table stay as they are. When ``df``
+    was derived from the same table, pass it through ``cut_lineage`` first
+    so the job never re-reads the files it replaces."""
+    (df.write.mode("overwrite").format(fmt).partitionBy(*partition_by)
+     .option("partitionOverwriteMode", "dynamic").save(path))
+
+
 def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread a scan that yields fewer partitions than the cluster has cores
     (a small table stored as one Parquet row group is read by one task) with

@@ -135,3 +135,20 @@ def test_battery_rounds_half_away(spark):
         "id long, mac string, sid short, type string, description string, val float, ts timestamp_ntz, battery short, agg boolean")
     row = R.trailing_aggregate(df, "2016-09-01 00:10:00", 60, R.LEGACY_CLOSED).collect()[0]
     assert row.battery == 50
+
+
+def test_mark_used_days_rewrites_only_window_days(readings, spark, tmp_path):
+    from fieldsense.sources.tables import overwrite_partitions
+    path = str(tmp_path / "m")
+    table = readings.drop("sync").withColumn("day", F.to_date("ts"))
+    table.write.partitionBy("day").parquet(path)
+    stored = spark.read.parquet(path)
+    as_of = "2016-09-02 14:00:00"
+    changed = R.mark_used_days(stored, as_of, 60, R.LEGACY_CLOSED)
+    assert {r.day for r in changed.select("day").distinct().collect()} == {dt.date(2016, 9, 2)}
+    from fieldsense.session import cut_lineage
+    overwrite_partitions(cut_lineage(changed), path, ["day"])
+    after = spark.read.parquet(path)
+    assert after.count() == 54
+    full = R.mark_used(stored.drop("day"), as_of, 60, R.LEGACY_CLOSED)
+    assert after.where("agg").count() == full.where("agg").count() > 0
