@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
-from ..operators.readings import LEGACY_CLOSED, Bounds, aggregate_and_mark
+from ..operators.readings import LEGACY_CLOSED, Bounds, aggregate_and_mark, mark_used, mark_used_days
+from ..session import cut_lineage
+from ..sources.tables import overwrite_partitions
 from ..operators.sync import (AGGREGATE_COLUMNS, MEASUREMENT_COLUMNS, STATE_COLUMNS, envelope_document,
                               pending, sync_envelope)
 
@@ -64,15 +66,24 @@ def notify_stream(spark: SparkSession, agg_dir: str, schema, outbox_dir: str, ch
 
 
 def aggregate_tick(measurements: DataFrame, agg_dir: str, marked_dir: str, tick_id: int, as_of,
-                   window_minutes: int, bounds: Bounds = LEGACY_CLOSED) -> None:
+                   window_minutes: int, bounds: Bounds = LEGACY_CLOSED, day_col: str = "day") -> None:
     """One run of the trailing aggregate at ``as_of`` (the trigger time): the
-    aggregates are appended to ``agg_dir`` and the measurements with their new
-    consumed flags are written as a new version ``marked_dir/v=<tick>``
-    (both from the same ``as_of``; the aggregates are written first, so a
-    failed tick leaves the flags untouched and is simply run again)."""
-    aggs, marked = aggregate_and_mark(measurements, as_of, window_minutes, bounds)
+    aggregates are appended to ``agg_dir``, then the consumed flags are
+    written (both from the same ``as_of``; aggregates first, so a failed tick
+    leaves the flags untouched and is simply run again).
+
+    When the measurements carry a ``day_col`` partition column, ``marked_dir``
+    is that day-partitioned table and only the days of the window are
+    rewritten (dynamic partition overwrite); otherwise the whole marked table
+    is written as a new version ``marked_dir/v=<tick>``."""
+    aggs, _ = aggregate_and_mark(measurements, as_of, window_minutes, bounds)
     aggs.write.mode("append").parquet(agg_dir)
-    marked.write.mode("overwrite").parquet(f"{marked_dir}/v={tick_id}")
+    if day_col in measurements.columns:
+        changed = cut_lineage(mark_used_days(measurements, as_of, window_minutes, bounds))
+        overwrite_partitions(changed, marked_dir, [day_col])
+    else:
+        mark_used(measurements, as_of, window_minutes, bounds) \
+            .write.mode("overwrite").parquet(f"{marked_dir}/v={tick_id}")
 
 
 def aggregate_stream(spark: SparkSession, load_measurements: Callable[[], DataFrame], agg_dir: str,

@@ -74,3 +74,16 @@ def test_aggregate_tick(spark):
     assert marked.where("agg").count() == 53
     aggregate_tick(marked, agg_dir, marked_dir, 1, "2016-09-03 00:00:00", 3 * 24 * 60, R.LEGACY_CLOSED)
     assert spark.read.parquet(agg_dir).count() == 6
+
+
+def test_aggregate_tick_day_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from fieldsense.operators import readings as R
+    from fieldsense.streaming import aggregate_tick
+    agg_dir, table = tempfile.mkdtemp(prefix="fs-"), tempfile.mkdtemp(prefix="fs-") + "/m"
+    FX.readings(spark).drop("sync").withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(table)
+    aggregate_tick(spark.read.parquet(table), agg_dir, table, 0, "2016-09-03 00:00:00", 24 * 60, R.LEGACY_CLOSED)
+    after = spark.read.parquet(table)
+    assert after.count() == 54
+    assert after.where("agg").count() == sum(r.n for r in spark.read.parquet(agg_dir).collect()) > 0
