@@ -107,6 +107,25 @@ def mark_synced(df: DataFrame, acked: DataFrame, dest: str = S.CLOUD, value: boo
     return joined.withColumn(sync, flag).drop("_acked").select(*df.columns)
 
 
+def mark_synced_days(df: DataFrame, acked: DataFrame, dest: str = S.CLOUD, value: bool = True,
+                     day_col: str = "day", ts_col: str = "ts", max_days: int = 10_000,
+                     broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """``mark_synced`` for a day-partitioned table, returning only the days
+    that hold acknowledged rows (to be written back with
+    ``overwrite_partitions``). ``acked`` carries ``id`` and ``ts`` (both are in
+    the envelope). Its distinct days are a small set (at most one per
+    acknowledged row): read up to ``max_days`` of them, they become a
+    partition filter the scan prunes with; beyond that bound a semi join on
+    the partition column is used instead."""
+    days = acked.select(F.to_date(F.col(ts_col)).alias(day_col)).dropDuplicates()
+    few = days.limit(max_days + 1).collect()
+    if len(few) <= max_days:
+        touched = df.where(F.col(day_col).isin([r[0] for r in few if r[0] is not None]))
+    else:
+        touched = df.join(broadcast_if_small(days, broadcast_rows), day_col, "left_semi")
+    return mark_synced(touched, acked.select("id"), dest, value, broadcast_rows=broadcast_rows)
+
+
 def reset_sync(df: DataFrame, dest: str = S.CLOUD, sync: str = "sync") -> DataFrame:
     """Mark every row unsynced for ``dest`` (full resync). Boolean legacy
     flags become false; map flags get ``dest: false`` (a NULL map becomes

@@ -98,3 +98,21 @@ def test_queue_complete(jobs, spark):
     assert out[1] == dt.datetime(2024, 1, 2) and out[4] == dt.datetime(2024, 1, 2) and out[2] is None
     with pytest.raises(QU.UnknownJobError):
         QU.queue_complete(jobs, spark.createDataFrame([(42,)], "id long"), "2024-01-02 00:00:00")
+
+
+def test_mark_synced_days(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from fieldsense.session import cut_lineage
+    from fieldsense.sources import fixtures as FX
+    from fieldsense.sources.tables import overwrite_partitions
+    path = str(tmp_path / "m")
+    FX.readings(spark).withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(path)
+    stored = spark.read.parquet(path)
+    envelope = SY.pending(stored, limit=3, columns=["id", "ts"])
+    changed = SY.mark_synced_days(stored, envelope)
+    assert {r.day for r in changed.select("day").distinct().collect()} == {dt.date(2016, 9, 1)}
+    overwrite_partitions(cut_lineage(changed), path, ["day"])
+    after = {r.id: r.sync for r in spark.read.parquet(path).collect()}
+    assert len(after) == 54
+    assert [i for i, m in sorted(after.items()) if m.get("cloud")] == [1, 2, 3]
