@@ -188,7 +188,7 @@ def mark_used(df: DataFrame, as_of, window_minutes: int, bounds: Bounds = LEGACY
 
 
 def mark_used_days(df: DataFrame, as_of, window_minutes: int, bounds: Bounds = LEGACY_CLOSED,
-                   value: str = "val", ts: str = "ts") -> DataFrame:
+                   value: str = "val", ts: str = "ts", day_col: str = "day") -> DataFrame:
     """``mark_used`` restricted to the days the run can change: only readings
     of a day at or after the window start can gain the flag. Written with
     dynamic partition overwrite into a table partitioned by day
@@ -197,7 +197,10 @@ def mark_used_days(df: DataFrame, as_of, window_minutes: int, bounds: Bounds = L
     at the scan."""
     ntz = is_ntz(df, ts)
     first_day = (ts_literal(as_of, ntz) - minutes(window_minutes)).cast("date")
-    recent = df.where(F.col(ts) >= first_day.cast("timestamp_ntz" if ntz else "timestamp"))
+    if day_col in df.columns:      # partition column: pruned at planning time
+        recent = df.where(F.col(day_col) >= first_day)
+    else:
+        recent = df.where(F.col(ts) >= first_day.cast("timestamp_ntz" if ntz else "timestamp"))
     return mark_used(recent, as_of, window_minutes, bounds, value, ts)
 
 
