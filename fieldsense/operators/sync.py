@@ -26,17 +26,33 @@ def pending_predicate(df: DataFrame, dest: str = S.CLOUD, sync: str = "sync") ->
 
 
 def pending(df: DataFrame, dest: str = S.CLOUD, limit: int | None = S.DEFAULT_SYNC_LIMIT,
-            columns=None, order_by: str = "id", sync: str = "sync") -> DataFrame:
+            columns=None, order_by: str = "id", sync: str = "sync", from_day=None,
+            day_col: str = "day") -> DataFrame:
     """The ``limit`` oldest (by ``order_by``) rows still to send to ``dest``.
     A limit under an order becomes a top-k (each task keeps its own k, one
-    small merge), not a full sort."""
+    small merge), not a full sort.
+
+    The flag sits in a map, which Parquet cannot filter on, so every tick
+    would scan the whole table. ``from_day`` (a date before which every row
+    is known to be acknowledged, e.g. the day of the oldest row of the
+    previous envelope, see ``oldest_pending_day``) prunes a day-partitioned
+    table to the recent partitions."""
     out = df.where(pending_predicate(df, dest, sync))
+    if from_day is not None and day_col in df.columns:
+        out = out.where(F.col(day_col) >= F.lit(str(from_day)).cast("date"))
     if columns is not None:
         out = out.select(*columns)
     out = out.orderBy(order_by)
     return out.limit(limit) if limit is not None else out
 
 
+def oldest_pending_day(df: DataFrame, dest: str = S.CLOUD, day_col: str = "day", sync: str = "sync"):
+    """Day of the oldest row still to send (one aggregate pass; None when
+    nothing is pending): the ``from_day`` watermark for later ticks."""
+    row = df.where(pending_predicate(df, dest, sync)).agg(F.min(day_col).alias("d")).collect()[0]
+    return row["d"]
+
+
 def _iso(df: DataFrame, c: str) -> Column:
     dt = df.schema[c].dataType
     if isinstance(dt, T.TimestampNTZType):

@@ -116,3 +116,19 @@ def test_mark_synced_days(spark, tmp_path):
     after = {r.id: r.sync for r in spark.read.parquet(path).collect()}
     assert len(after) == 54
     assert [i for i, m in sorted(after.items()) if m.get("cloud")] == [1, 2, 3]
+
+
+def test_pending_from_day(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from fieldsense.sources import fixtures as FX
+    path = str(tmp_path / "p")
+    rows = FX.readings(spark).withColumn("sync", F.when(F.col("id") <= 30, F.create_map(F.lit("cloud"), F.lit(True)))
+                                         .otherwise(F.col("sync")))
+    rows.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(path)
+    t = spark.read.parquet(path)
+    day = SY.oldest_pending_day(t)
+    assert day == dt.date(2016, 9, 2)
+    full = [r.id for r in SY.pending(t, limit=5).collect()]
+    pruned = SY.pending(t, limit=5, from_day=day)
+    assert [r.id for r in pruned.collect()] == full == [31, 32, 33, 34, 35]
