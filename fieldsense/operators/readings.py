@@ -67,13 +67,24 @@ STRICT_60 = Bounds(S.STRICT_60, S.OTHER_TYPE_BOUNDS, closed=False)
 LEGACY_CLOSED = Bounds(S.LEGACY_CLOSED, None, closed=True)
 
 
+DAY_COL = "day"  # partition column (date of ts) of a stored measurements table
+
+
 def _time_range(df: DataFrame, ts: str, start, end) -> Column:
+    """Closed time range on ``ts``; on a day-partitioned table the same range
+    on the partition column as well, so whole partitions are pruned at
+    planning time (the ``ts`` bounds only skip row groups)."""
     ntz = is_ntz(df, ts)
+    day = DAY_COL in df.columns
     pred = F.lit(True)
     if start is not None:
         pred = pred & (F.col(ts) >= ts_literal(start, ntz))
+        if day:
+            pred = pred & (F.col(DAY_COL) >= ts_literal(start, ntz).cast("date"))
     if end is not None:
         pred = pred & (F.col(ts) <= ts_literal(end, ntz))
+        if day:
+            pred = pred & (F.col(DAY_COL) <= ts_literal(end, ntz).cast("date"))
     return pred
 
 
@@ -154,7 +165,10 @@ def _trailing_predicate(df: DataFrame, as_of, window_minutes: int, bounds: Bound
     # now() - ts < interval, written as ts > now() - interval so the scan can
     # use it; rows stamped in the future stay inside, as in the original
     since = ts_literal(as_of, ntz) - minutes(window_minutes)
-    return (F.col(ts) > since) & bounds.predicate(F.col(value), F.col("type"))
+    pred = (F.col(ts) > since) & bounds.predicate(F.col(value), F.col("type"))
+    if DAY_COL in df.columns:
+        pred = pred & (F.col(DAY_COL) >= since.cast("date"))
+    return pred
 
 
 def trailing_aggregate(df: DataFrame, as_of, window_minutes: int, bounds: Bounds = LEGACY_CLOSED,

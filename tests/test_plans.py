@@ -58,3 +58,19 @@ def test_latest_state_semi_join_broadcast(spark):
     runs = ST.collapse_runs(C._valid(spark, SF))
     plan = _plan(ST.latest_state(runs))
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+
+
+def test_day_partitions_pruned(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from fieldsense.operators import readings as R
+    from fieldsense.sources import fixtures as FX
+    path = str(tmp_path / "r")
+    FX.readings(spark).withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(path)
+    t = spark.read.parquet(path)
+    out = R.rollup(t, 12, R.STRICT_60, "2016-09-02 00:00:00", "2016-09-03 00:00:00")
+    plan = _formatted(out)
+    assert re.search(r"PartitionFilters: \[[^\n]*day[^\n]*>= 2016-09-02", plan)
+    assert out.count() == 6
+    agg = R.trailing_aggregate(t, "2016-09-02 14:00:00", 120, R.LEGACY_CLOSED)
+    assert re.search(r"PartitionFilters: \[[^\n]*day", _formatted(agg))
