@@ -40,6 +40,18 @@ def write_version(df: DataFrame, path: str, partition_by=None, fmt: str = "parqu
     w.save(path)
 
 
+def with_day(df: DataFrame, ts: str = "ts", day_col: str = "day") -> DataFrame:
+    """Add the ``day`` partition column (date of ``ts``)."""
+    from pyspark.sql import functions as F
+    return df if day_col in df.columns else df.withColumn(day_col, F.to_date(F.col(ts)))
+
+
+def write_measurements(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Store measurements partitioned by day, the layout the time-range,
+    trailing-window and sync operators prune on."""
+    with_day(df).write.mode(mode).partitionBy("day").parquet(path)
+
+
 def overwrite_partitions(df: DataFrame, path: str, partition_by, fmt: str = "parquet") -> None:
     """Replace only the partitions present in ``df`` (dynamic partition
     overwrite); other partitions of the table stay as they are. When ``df``
