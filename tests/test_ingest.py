@@ -36,6 +36,11 @@ BAD = {
     "no_value": ({"mac": "m", "data": [{"sid": 1, "type": "t"}]}, "value"),
     "one_bad": ({"mac": "m", "data": [{"sid": 1, "value": 1, "type": "t"},
                                       {"sid": 2, "value": 2, "type": "q"}]}, "type"),
+    "null_item": ({"mac": "m", "data": [None]}, "sid"),
+    "data_object": ({"mac": "m", "data": {"sid": 1, "value": 1, "type": "t"}}, "data"),
+    "item_battery": ({"mac": "m", "data": [{"sid": 1, "value": 1, "type": "t", "battery": "x"}]}, "battery"),
+    "value_inf": ({"mac": "m", "data": [{"sid": 1, "value": "Infinity", "type": "t"}]}, "value"),
+    "sid_bool": ({"mac": "m", "data": [{"sid": True, "value": 1, "type": "t"}]}, "sid"),
 }
 
 
