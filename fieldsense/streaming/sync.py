@@ -16,12 +16,13 @@ from ..operators.sync import (AGGREGATE_COLUMNS, MEASUREMENT_COLUMNS, STATE_COLU
 
 
 def sync_tick(measurements: DataFrame, log_state: DataFrame, outbox_dir: str, tick_id: int,
-              limit: int = S.DEFAULT_SYNC_LIMIT) -> bool:
+              limit: int = S.DEFAULT_SYNC_LIMIT, from_day=None) -> bool:
     """One sync: the oldest ``limit`` pending rows of both tables as one
     document written to ``outbox_dir/tick=<id>``; nothing is written when
     both are empty. Returns whether a document was written. Acknowledged ids
-    come back later and go through ``mark_synced``."""
-    env = sync_envelope(pending(measurements, limit=limit, columns=MEASUREMENT_COLUMNS),
+    come back later and go through ``mark_synced``. ``from_day`` (the day
+    watermark of ``pending``) limits the measurement scan to recent days."""
+    env = sync_envelope(pending(measurements, limit=limit, columns=MEASUREMENT_COLUMNS, from_day=from_day),
                         pending(log_state, limit=limit, columns=STATE_COLUMNS))
     if env.isEmpty():
         return False
