@@ -5,8 +5,12 @@ from __future__ import annotations
 
 from .curriculum import OP10_SQL, op10_mix_sources
 from .quality import op9_quality_rules
+from .sharding import op3_shard
+from .simhash import op8_simhash_near_dedup
 
 QUERIES = {
+    "op3_shard": op3_shard,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_mix_sources": op10_mix_sources,
 }
