@@ -7,8 +7,10 @@ from .curriculum import OP10_SQL, op10_mix_sources
 from .quality import op9_quality_rules
 from .sharding import op3_shard
 from .simhash import op8_simhash_near_dedup
+from .winnow import op6_winnowing
 
 QUERIES = {
+    "op6_winnowing": op6_winnowing,
     "op3_shard": op3_shard,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
