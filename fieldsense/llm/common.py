@@ -54,3 +54,17 @@ def words_of(text: str | None) -> list[bytes]:
     """The words as UTF-8; splitting bytes knows exactly the white space of
     ``WORD`` and no other."""
     return (text or "").encode().split()
+
+
+def row_groups(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, chars: int = BATCH_CHARS) -> Iterator[list[tuple]]:
+    """Lists of (doc_id, text), each of at most ``rows`` rows and about ``chars`` characters."""
+    held, size = [], 0
+    for b in batches:
+        for i, t in zip(b.column(0), b.column(1)):
+            held.append((i.as_py(), t.as_py()))
+            size += len(held[-1][1] or "")
+            if len(held) >= rows or size >= chars:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
