@@ -4,6 +4,7 @@ can express."""
 from __future__ import annotations
 
 from .curriculum import OP10_SQL, op10_mix_sources
+from .linededup import op1_line_dedup
 from .pieces import op5_sentencepiece
 from .quality import op9_quality_rules
 from .sharding import op3_shard
@@ -11,6 +12,7 @@ from .simhash import op8_simhash_near_dedup
 from .winnow import op6_winnowing
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_winnowing": op6_winnowing,
     "op3_shard": op3_shard,
