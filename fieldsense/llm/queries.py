@@ -9,9 +9,11 @@ from .pieces import op5_sentencepiece
 from .quality import op9_quality_rules
 from .sharding import op3_shard
 from .simhash import op8_simhash_near_dedup
+from .toxicity import op7_toxicity
 from .winnow import op6_winnowing
 
 QUERIES = {
+    "op7_toxicity": op7_toxicity,
     "op1_line_dedup": op1_line_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_winnowing": op6_winnowing,
