@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from .curriculum import OP10_SQL, op10_mix_sources
 from .linededup import op1_line_dedup
+from .lmscore import op4_lm_scoring
 from .pieces import op5_sentencepiece
 from .quality import op9_quality_rules
 from .sharding import op3_shard
@@ -13,6 +14,7 @@ from .toxicity import op7_toxicity
 from .winnow import op6_winnowing
 
 QUERIES = {
+    "op4_lm_scoring": op4_lm_scoring,
     "op7_toxicity": op7_toxicity,
     "op1_line_dedup": op1_line_dedup,
     "op5_sentencepiece": op5_sentencepiece,

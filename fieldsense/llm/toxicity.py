@@ -31,6 +31,8 @@ STEMS = (4, 5, 6)
 WINDOW = 5
 #: What a match counts for when quoted or reported, and when it addresses somebody.
 QUOTED, ADDRESSED = 0.25, 1.25
+#: What a misspelled match counts for beside an exact one.
+MISSPELLED = 0.5
 #: Words and automaton moves that a process keeps.
 KEPT_WORDS, KEPT_MOVES = 600_000, 400_000
 
@@ -193,8 +195,8 @@ def matches(lexicon: Lexicon, text: str | None, window: int = WINDOW) -> tuple[i
 
 
 def features(m: tuple) -> list[float]:
-    words, _, _, _, exact, misspelled = m
-    return [1.0, math.log1p(exact), math.log1p(misspelled), math.log1p(1000 * (exact + misspelled) / max(words, 1))]
+    weight = m[4] + MISSPELLED * m[5]
+    return [1.0, math.log1p(weight), math.log1p(1000 * weight / max(m[0], 1))]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -263,7 +265,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     kinds = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     p, n = kinds.get(1, 0), kinds.get(0, 0)
     if not p or not n:
-        return Lexicon([], []), np.array([-30.0 if not p else 30.0, 0, 0, 0])
+        return Lexicon([], []), np.array([-30.0 if not p else 30.0, 0, 0])
     found = _terms(sample)
     found = found.withColumn("looked", F.lit(found.count()))
     both = F.col("toxic") + F.col("clean")
@@ -319,8 +321,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     own = id_and_text(docs, id_col, text_col)
     lexicon, w = learn(own, labels)
     out = own.mapInArrow(_measured(lexicon), _DDL)
-    weight = F.col("exact_weight") + F.col("misspelled_weight")
-    x = [F.lit(1.0), F.log1p("exact_weight"), F.log1p("misspelled_weight"), F.log1p(1000 * weight / F.greatest("n_words", F.lit(1)))]
+    weight = F.col("exact_weight") + MISSPELLED * F.col("misspelled_weight")
+    x = [F.lit(1.0), F.log1p(weight), F.log1p(1000 * weight / F.greatest("n_words", F.lit(1)))]
     z = sum((F.lit(float(a)) * b for a, b in zip(w, x)), F.lit(0.0))
     score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
     return (out.withColumn("held_out", held_out()).withColumn("score", score)
