@@ -4,6 +4,7 @@ can express."""
 from __future__ import annotations
 
 from .curriculum import OP10_SQL, op10_mix_sources
+from .license import op2_license_scan
 from .linededup import op1_line_dedup
 from .lmscore import op4_lm_scoring
 from .pieces import op5_sentencepiece
@@ -14,12 +15,13 @@ from .toxicity import op7_toxicity
 from .winnow import op6_winnowing
 
 QUERIES = {
-    "op4_lm_scoring": op4_lm_scoring,
-    "op7_toxicity": op7_toxicity,
     "op1_line_dedup": op1_line_dedup,
+    "op2_license_scan": op2_license_scan,
+    "op3_shard": op3_shard,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_winnowing": op6_winnowing,
-    "op3_shard": op3_shard,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_mix_sources": op10_mix_sources,
