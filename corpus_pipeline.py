@@ -8,18 +8,56 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldsense.llm.curriculum import curriculum_mix, in_training_order
+from fieldsense.llm.linededup import drop_recurring
+from fieldsense.llm.pieces import encode_documents
 from fieldsense.llm.quality import keep_clean
+from fieldsense.llm.simhash import keep_one
 from fieldsense.session import checkpoint_dir
 
 
+def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The columns of ``docs``, with the length of the text as it is now."""
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line-first cleaning: failing lines go, and documents that lose too much."""
-    return keep_clean(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    return _like(docs, keep_clean(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines whose template an earlier document has go; no document goes."""
+    return _like(docs, drop_recurring(docs))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return keep_one(docs).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix's copies of the documents in training order: a document is there
+    as often as the mix takes it."""
+    return in_training_order(curriculum_mix(docs)).select(docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every copy."""
+    return encode_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("mixing sources", mix_sources),
+    ("SentencePiece", sentencepiece),
+]
 
-#: The line rules are no SQL.
+#: Line rules, templates and pieces are no SQL.
 ORACLE_SQL = None
 
 
