@@ -2,8 +2,8 @@
 
 A line's fields that hold digits, addresses or links become ``<*>``. The tree's
 first level is the number of tokens, the next ones the leading tokens; in a
-leaf, lines that agree in enough places share a template, whose other places
-become ``<*>`` too. A template that recurs across documents stays in the first
+leaf, lines that agree in enough of the places after these share a template,
+whose other places become ``<*>`` too. A template that recurs across documents stays in the first
 of them (by id) and is dropped from the others."""
 
 from __future__ import annotations
@@ -61,20 +61,21 @@ def lines_of(text: str | None, depth: int, min_tokens: int) -> dict[bytes, tuple
     return out
 
 
-def templates(lines: list[list[bytes]], similarity: float) -> list[int]:
+def templates(lines: list[list[bytes]], similarity: float, depth: int = DEPTH) -> list[int]:
     """For the lines of a leaf in their order, the number of the template that
-    each joins: the one with the most equal places (the first of equals) if
-    they are a share of ``similarity`` or more, else a new one. A place where a
+    each joins: the one with the most equal places after the ``depth`` leading
+    ones (the first of equals) if they are a share of ``similarity`` or more of
+    those places, else a new one. A place where a
     line differs from its template becomes ``<*>``, which equals nothing else."""
     known: list[list[bytes]] = []
     out = []
     for tokens in lines:
         most, best = -1, -1
         for k, t in enumerate(known):
-            same = sum(a == b for a, b in zip(t, tokens))
+            same = sum(a == b for a, b in zip(t[depth:], tokens[depth:]))
             if same > most:
                 most, best = same, k
-        if best >= 0 and most >= similarity * len(tokens):
+        if best >= 0 and most >= similarity * (len(tokens) - depth):
             known[best] = [a if a == b else FIELD for a, b in zip(known[best], tokens)]
         else:
             best = len(known)
@@ -123,7 +124,7 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIM
     def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((x["leaf"].as_py(), x["line"].as_py(), x["first"].as_py(), x["last"].as_py(), x["tokens"].as_py())
                 for b in batches for x in _rows(b))
-        return in_batches(_recurring(rows, similarity), pa.schema([("line", pa.int64()), ("first", pa.int64())]))
+        return in_batches(_recurring(rows, similarity, depth), pa.schema([("line", pa.int64()), ("first", pa.int64())]))
 
     found = (variants.repartition("leaf").sortWithinPartitions("leaf", "first", "tokens")
              .mapInArrow(cluster, "line bigint, first bigint"))
@@ -136,7 +137,7 @@ def _rows(b: pa.RecordBatch) -> Iterator[dict]:
         yield dict(zip(names, values))
 
 
-def _recurring(rows: Iterator[tuple], similarity: float) -> Iterator[tuple[int, int]]:
+def _recurring(rows: Iterator[tuple], similarity: float, depth: int) -> Iterator[tuple[int, int]]:
     """From sorted (leaf, line, first, last, tokens): the lines whose template
     lies in several documents, with the first of these."""
     for _, group in groupby(rows, key=lambda r: r[0]):
@@ -146,7 +147,7 @@ def _recurring(rows: Iterator[tuple], similarity: float) -> Iterator[tuple[int,
             if first != last:
                 yield line, first
             continue
-        of = templates([r[4].split(b" ") for r in group], similarity)
+        of = templates([r[4].split(b" ") for r in group], similarity, depth)
         first, last = {}, {}
         for k, r in zip(of, group):
             first[k], last[k] = min(first.get(k, r[2]), r[2]), max(last.get(k, r[3]), r[3])
