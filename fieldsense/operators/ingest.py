@@ -7,22 +7,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import empty_flags, ts_literal, with_computed
+from ..functions import empty_flags, integer_in, real_number, ts_literal, whole_json, with_computed
 
 SHORT_MIN, SHORT_MAX = -32768, 32767
 
 
 def _number(text: Column) -> Column:
-    """A finite number given as JSON number or numeric text, else NULL."""
-    d = text.try_cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) != F.lit(float("inf"))), d)
+    """A number that a 4-byte float holds, given as JSON number or numeric text, else NULL."""
+    return real_number(text)
 
 
 def _short_int(text: Column) -> Column:
     """An integral number inside the smallint range, else NULL."""
-    d = _number(text)
-    ok = (d == F.floor(d)) & (d >= SHORT_MIN) & (d <= SHORT_MAX)
-    return F.when(ok, d.cast("smallint"))
+    return integer_in(text, SHORT_MIN, SHORT_MAX).cast("smallint")
+
+
+def _string(v: Column) -> Column:
+    """The text of a VARIANT that is a string, else NULL."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def _not_string(v: Column) -> Column:
+    """Present, not null, and no string."""
+    return F.coalesce(~F.schema_of_variant(v).isin("STRING", "VOID"), F.lit(False))
+
+
+def _row_id(*parts: Column) -> Column:
+    """A positive id of a row that is the same on every run: a hash of what
+    names the row. Rows keep their order by (batch, pos), not by it."""
+    return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 63) - 1))
 
 
 def validate_batches(raw: DataFrame, batch_col: str = "batch_id", raw_col: str = "raw",
@@ -32,16 +45,16 @@ def validate_batches(raw: DataFrame, batch_col: str = "batch_id", raw_col: str =
     Returns ``(good, rejected)``. ``good``: batch id, ``mac``, ``battery``
     (float or NULL) and ``items`` (array of typed structs). ``rejected``:
     batch id, raw text and the first failing rule as ``reason``:
-    ``json`` (not a JSON object), ``mac`` (missing or empty), ``battery``
+    ``json`` (not one JSON object), ``mac`` (missing, empty or no string), ``battery``
     (not a number), ``data`` (missing, not a list or empty), then, over
     all items, ``sid`` (integer within smallint), ``value`` (number),
     ``type`` (one of ``valid_types``) and the optional per-item
-    ``battery`` (integer within smallint); ``desc`` may be empty or absent
-    (a scalar in its place is kept as text). One bad item
+    ``battery`` (integer within smallint), and ``desc`` (a string, may be
+    empty or absent). One bad item
     rejects its whole batch. Unknown keys are allowed. Everything is a
     per-row expression: no shuffle."""
     doc = F.col(raw_col)
-    parsed = F.from_json(doc, S.RAW_BATCH)
+    parsed = whole_json(doc, S.RAW_BATCH)
     items = F.col("_b.data")
     types = list(valid_types)
 
@@ -52,18 +65,19 @@ def validate_batches(raw: DataFrame, batch_col: str = "batch_id", raw_col: str =
         return _number(x).isNull()
 
     reason = (
-        F.when(F.json_object_keys(doc).isNull(), F.lit("json"))
-        .when(F.col("_b.mac").isNull() | (F.col("_b.mac") == ""), F.lit("mac"))
+        F.when(F.col("_b").isNull() | ~F.ltrim(doc).startswith("{"), F.lit("json"))
+        .when(F.coalesce(_string(F.col("_b.mac")), F.lit("")) == "", F.lit("mac"))
         .when(F.col("_b.battery").isNotNull() & _number(F.col("_b.battery")).isNull(), F.lit("battery"))
         .when(items.isNull() | (F.size(items) < 1), F.lit("data"))
         .when(any_item(lambda x: x.isNull() | _short_int(x["sid"]).isNull()), F.lit("sid"))
         .when(any_item(lambda x: bad_num(x["value"])), F.lit("value"))
         .when(any_item(lambda x: x["type"].isNull() | ~x["type"].isin(types)), F.lit("type"))
         .when(any_item(lambda x: x["battery"].isNotNull() & _short_int(x["battery"]).isNull()), F.lit("battery"))
+        .when(any_item(lambda x: _not_string(x["desc"])), F.lit("desc"))
     )
     tagged = with_computed(with_computed(raw, _b=parsed), reason=reason)
     good = (tagged.where(F.col("reason").isNull())
-            .select(batch_col, F.col("_b.mac").alias("mac"),
+            .select(batch_col, _string(F.col("_b.mac")).alias("mac"),
                     _number(F.col("_b.battery")).cast("float").alias("battery"),
                     items.alias("items")))
     rejected = tagged.where(F.col("reason").isNotNull()).select(batch_col, raw_col, "reason")
@@ -75,10 +89,10 @@ def reshape_batches(good: DataFrame, as_of, batch_col: str = "batch_id", ntz: bo
     -> ``description`` (missing stays NULL), ``value`` -> ``val``; the batch
     ``battery`` is dropped, a per-item battery kept; ``ts`` is the arrival
     time ``as_of``, sync flags empty. ``pos`` is the item's place in its
-    batch, so (batch, pos) identifies the row."""
+    batch, so (batch, pos) identifies the row, and ``id`` is a hash of the two."""
     rows = good.select(batch_col, "mac", F.posexplode("items").alias("pos", "_i"))
-    return rows.select(batch_col, "pos", "mac", _short_int(F.col("_i.sid")).alias("sid"),
-                       F.col("_i.type").alias("type"), F.col("_i.desc").alias("description"),
+    return rows.select(_row_id(F.col(batch_col).cast("string"), F.col("pos")).alias("id"), batch_col, "pos", "mac", _short_int(F.col("_i.sid")).alias("sid"),
+                       F.col("_i.type").alias("type"), _string(F.col("_i.desc")).alias("description"),
                        _number(F.col("_i.value")).cast("float").alias("val"),
                        _short_int(F.col("_i.battery")).alias("battery"),
                        ts_literal(as_of, ntz).alias("ts"), empty_flags().alias("sync"))
@@ -90,29 +104,33 @@ def ingest_receipt(rows: DataFrame, as_of, batch_col: str = "batch_id", ntz: boo
             .withColumn("ts", ts_literal(as_of, ntz)))
 
 
-INSERT_ITEM = "array<struct<mac:string,sid:string,type:string,description:string,val:string,battery:string>>"
+INSERT_ITEM = "struct<mac:variant,sid:string,type:string,description:variant,val:string,battery:string>"
 
 
 def insert_measurements(raw: DataFrame, as_of, raw_col: str = "raw", ntz: bool = True):
     """Direct insert of a JSON object or array of readings: only mac, sid,
     type, description, val and battery are kept (other keys ignored), ts is
     ``as_of`` and sync empty. A document with any row that cannot be stored
-    (missing mac/sid/type, sid or battery not a smallint, val not a number)
-    is rejected whole: ``(rows, rejected)``."""
+    (missing mac/sid/type, mac or description no string, sid or battery not a
+    smallint, val not a number) is rejected whole: ``(rows, rejected)``.
+    ``id`` is a hash of the request's columns and ``pos``."""
     doc = F.col(raw_col)
-    arr = F.when(F.trim(doc).startswith("{"), F.concat(F.lit("["), doc, F.lit("]"))).otherwise(doc)
-    parsed = F.from_json(arr, INSERT_ITEM)
+    parsed = F.when(F.ltrim(doc).startswith("{"), F.array(whole_json(doc, INSERT_ITEM))) \
+        .when(F.ltrim(doc).startswith("["), whole_json(doc, f"array<{INSERT_ITEM}>"))
+    parsed = F.when(~F.exists(parsed, lambda x: x.isNull()), parsed)
     items = F.col("_items")
-    bad_item = F.exists(items, lambda x: x["mac"].isNull() | x["type"].isNull()
+    keep = [c for c in raw.columns if c != raw_col]
+    bad_item = F.exists(items, lambda x: _string(x["mac"]).isNull() | x["type"].isNull() | _not_string(x["description"])
                         | _short_int(x["sid"]).isNull()
                         | (x["battery"].isNotNull() & _short_int(x["battery"]).isNull())
                         | (x["val"].isNotNull() & _number(x["val"]).isNull()))
     reason = F.when(items.isNull(), F.lit("json")).when(bad_item, F.lit("row"))
     tagged = with_computed(with_computed(raw, _items=parsed), reason=reason)
     rows = (tagged.where(F.col("reason").isNull())
-            .select(*[c for c in raw.columns if c != raw_col], F.posexplode("_items").alias("pos", "_i"))
-            .select(*[c for c in raw.columns if c != raw_col], "pos", "_i.mac",
-                    _short_int(F.col("_i.sid")).alias("sid"), "_i.type", "_i.description",
+            .select(*keep, F.posexplode("_items").alias("pos", "_i"))
+            .select(_row_id(*(F.col(c).cast("string") for c in keep), F.col("pos")).alias("id"), *keep, "pos",
+                    _string(F.col("_i.mac")).alias("mac"), _short_int(F.col("_i.sid")).alias("sid"), "_i.type",
+                    _string(F.col("_i.description")).alias("description"),
                     _number(F.col("_i.val")).cast("float").alias("val"),
                     _short_int(F.col("_i.battery")).alias("battery"),
                     ts_literal(as_of, ntz).alias("ts"), empty_flags().alias("sync")))

@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import empty_flags, is_ntz, micros_between, minutes, ts_literal, with_computed
-from .skew import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from ..functions import empty_flags, integer_in, is_ntz, micros_between, minutes, ts_literal, whole_json, with_computed
 
 INT_MIN, INT_MAX = -(2 ** 31), 2 ** 31 - 1
 
@@ -40,13 +39,12 @@ def queue_decode(raw: DataFrame, as_of, raw_col: str = "raw", job_types=S.JOB_TY
     object, ``job_type`` missing or not one of ``job_types``, ``delay`` not an
     integer. A missing delay stays NULL (the column default is not applied)."""
     doc = F.col(raw_col)
-    j = F.from_json(doc, S.RAW_JOB)
-    d = F.col("_j.delay").try_cast("double")
-    delay_ok = (d == F.floor(d)) & (d >= INT_MIN) & (d <= INT_MAX)
-    reason = (F.when(F.json_object_keys(doc).isNull(), F.lit("json"))
+    j = whole_json(doc, S.RAW_JOB)
+    d = integer_in(F.col("_j.delay"), INT_MIN, INT_MAX)
+    reason = (F.when(F.col("_j").isNull() | ~F.ltrim(doc).startswith("{"), F.lit("json"))
               .when(F.col("_j.job_type").isNull() | ~F.col("_j.job_type").isin(list(job_types)),
                     F.lit("job_type"))
-              .when(F.col("_j.delay").isNotNull() & ~F.coalesce(delay_ok, F.lit(False)), F.lit("delay")))
+              .when(F.col("_j.delay").isNotNull() & d.isNull(), F.lit("delay")))
     tagged = with_computed(with_computed(raw, _j=j), reason=reason)
     keep = [c for c in raw.columns if c != raw_col]
     rows = (tagged.where(F.col("reason").isNull())
@@ -60,27 +58,15 @@ def queue_decode(raw: DataFrame, as_of, raw_col: str = "raw", job_types=S.JOB_TY
     return rows, rejected
 
 
-class UnknownJobError(ValueError):
-    """Completing an id that is not in the queue."""
-
-
-def queue_complete(queue: DataFrame, ids: DataFrame, as_of, strict: bool = True,
-                   broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def queue_complete(queue: DataFrame, ids: DataFrame, as_of, strict: bool = True) -> DataFrame:
     """Set ``ts_executed = as_of`` on the given ids (re-completing overwrites).
-    With ``strict`` an id missing from the queue raises ``UnknownJobError``
-    (checked by counting a semi join, so the queue is scanned, not shuffled,
-    when the id set is small)."""
-    keys = ids.select("id").where(F.col("id").isNotNull()).dropDuplicates()
-    done = broadcast_if_small(keys.withColumn("_done", F.lit(True)), broadcast_rows)
-    if strict:
-        # ids are unique on both sides: every id is known when the semi join
-        # (the small id set broadcast, the queue only scanned) keeps them all
-        n_ids = keys.count()
-        n_known = queue.select("id").join(done, "id", "left_semi").count()
-        if n_known != n_ids:
-            missing = keys.join(queue.select("id"), "id", "left_anti").limit(1).collect()
-            raise UnknownJobError(f"no job with id {missing[0]['id'] if missing else '?'}")
+    With ``strict`` an id missing from the queue fails the job that reads the
+    result, with "no job with id"; else such ids change nothing. One join of
+    the two tables, nothing runs when the plan is built."""
+    done = ids.select(F.col("id").alias("_id")).where(F.col("_id").isNotNull()).dropDuplicates()
     now = ts_literal(as_of, is_ntz(queue, "ts_created"))
-    return (queue.join(done, "id", "left")
-            .withColumn("ts_executed", F.when(F.col("_done"), now).otherwise(F.col("ts_executed")))
-            .select(*queue.columns))
+    rows = queue.withColumn("_queued", F.lit(True))
+    rows = rows.join(done, rows["id"] == done["_id"], "full_outer" if strict else "left")
+    unknown = F.raise_error(F.concat(F.lit("no job with id "), F.col("_id").cast("string"))).cast(queue.schema["ts_executed"].dataType)
+    at = F.when(F.col("_queued").isNull(), unknown).when(F.col("_id").isNotNull(), now).otherwise(F.col("ts_executed"))
+    return rows.withColumn("ts_executed", at).select(*queue.columns)

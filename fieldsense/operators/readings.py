@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import (bucket_start, is_ntz, minutes, round_numeric, round_to_short,
+from ..functions import (bucket_start, day_range, is_ntz, minutes, round_numeric, round_to_short,
                          ts_literal)
-from .skew import broadcast_if_small
 
 SERIES_KEYS = ("mac", "sid", "type")
 
@@ -67,56 +66,69 @@ STRICT_60 = Bounds(S.STRICT_60, S.OTHER_TYPE_BOUNDS, closed=False)
 LEGACY_CLOSED = Bounds(S.LEGACY_CLOSED, None, closed=True)
 
 
-DAY_COL = "day"  # partition column (date of ts) of a stored measurements table
-
-
-def _time_range(df: DataFrame, ts: str, start, end) -> Column:
-    """Closed time range on ``ts``; on a day-partitioned table the same range
-    on the partition column as well, so whole partitions are pruned at
-    planning time (the ``ts`` bounds only skip row groups)."""
+def _time_range(df: DataFrame, ts: str, start, end, day_col: str | None = None) -> Column:
+    """Closed time range on ``ts``. With ``day_col``, the partition column of a
+    table stored by ``sources.tables.write_measurements``, also a range of days
+    with a day of slack on either side, so whole partitions are pruned at
+    planning time in whatever zone writer and reader are; the ``ts`` bounds
+    stay exact."""
     ntz = is_ntz(df, ts)
-    day = DAY_COL in df.columns
     pred = F.lit(True)
     if start is not None:
         pred = pred & (F.col(ts) >= ts_literal(start, ntz))
-        if day:
-            pred = pred & (F.col(DAY_COL) >= ts_literal(start, ntz).cast("date"))
     if end is not None:
         pred = pred & (F.col(ts) <= ts_literal(end, ntz))
-        if day:
-            pred = pred & (F.col(DAY_COL) <= ts_literal(end, ntz).cast("date"))
+    if day_col is not None:
+        pred = pred & day_range(F.col(day_col), None if start is None else ts_literal(start, ntz),
+                                None if end is None else ts_literal(end, ntz), ntz)
     return pred
 
 
 def filter_readings(df: DataFrame, bounds: Bounds = STRICT_70, start=None, end=None,
                     sort: bool = True, value: str = "val", type_col: str = "type",
-                    ts: str = "ts") -> DataFrame:
+                    ts: str = "ts", day_col: str | None = None) -> DataFrame:
     """Readings whose value is inside the type's bounds and whose time is in
     the closed range ``[start, end]`` (an ``end`` given as a date is its
     midnight, so that day itself is left out). NULL values drop out.
     Ordered by time when ``sort``."""
-    out = df.where(_time_range(df, ts, start, end) & bounds.predicate(F.col(value), F.col(type_col)))
+    out = df.where(_time_range(df, ts, start, end, day_col) & bounds.predicate(F.col(value), F.col(type_col)))
     return out.orderBy(ts) if sort else out
 
 
+def outliers(df: DataFrame, bounds: Bounds = STRICT_70, start=None, end=None, value: str = "val",
+             type_col: str = "type", ts: str = "ts", day_col: str | None = None) -> DataFrame:
+    """The side output of ``filter_readings``: readings of the same time range
+    that it drops, NULL values included."""
+    inside = F.coalesce(bounds.predicate(F.col(value), F.col(type_col)), F.lit(False))
+    return df.where(_time_range(df, ts, start, end, day_col) & ~inside)
+
+
+def retain(df: DataFrame, as_of, keep_minutes: int, dest: str = S.CLOUD, ts: str = "ts",
+           sync: str = "sync", day_col: str | None = None) -> DataFrame:
+    """The rows a clean-up at ``as_of`` leaves: everything younger than
+    ``keep_minutes`` and everything that ``dest`` has not acknowledged."""
+    ntz = is_ntz(df, ts)
+    since = ts_literal(as_of, ntz) - minutes(keep_minutes)
+    return df.where((F.col(ts) > since) | ~F.coalesce(F.col(sync).getItem(dest), F.lit(False)))
+
+
 def rollup(df: DataFrame, n_hours: int = 12, bounds: Bounds = STRICT_60, start=None, end=None,
            keys=SERIES_KEYS, series: DataFrame | None = None, types=None, sort: bool = True,
-           value: str = "val", ts: str = "ts") -> DataFrame:
+           value: str = "val", ts: str = "ts", day_col: str | None = None) -> DataFrame:
     """Calendar rollup: per ``n_hours`` bucket (anchored at local midnight) and
     series, the average and population deviation rounded to 2 places, and
     the count of values.
 
     ``types`` keeps only these reading types; ``series`` (a DataFrame of
-    ``keys`` columns) keeps only those series through a semi join, broadcast
-    after a row-count check.
+    ``keys`` columns) keeps only those series through a semi join, which
+    adaptive execution turns into a broadcast when the measured side is small.
     Output: time, *keys, val_avg, val_stddev, val_count.
     """
-    rows = filter_readings(df, bounds, start, end, sort=False, value=value, ts=ts)
+    rows = filter_readings(df, bounds, start, end, sort=False, value=value, ts=ts, day_col=day_col)
     if types is not None:
         rows = rows.where(F.col("type").isin(list(types)))
     if series is not None:
-        chosen = broadcast_if_small(series.select(*keys).dropDuplicates())
-        rows = rows.join(chosen, list(keys), "left_semi")
+        rows = rows.join(series.select(*keys), list(keys), "left_semi")
     bucket = bucket_start(F.col(ts), n_hours, is_ntz(df, ts)).alias("time")
     out = (rows.groupBy(bucket, *keys)
            .agg(round_numeric(F.avg(value)).alias("val_avg"),
@@ -135,21 +147,21 @@ def series_key(keys=SERIES_KEYS) -> Column:
     return F.concat(*parts)
 
 
-def rollup_nested(rollup_df: DataFrame, keys=SERIES_KEYS, parts: int = 1, as_json: bool = True,
+def rollup_nested(rollup_df: DataFrame, keys=SERIES_KEYS, parts: int = 64, as_json: bool = True,
                   sort: bool = True) -> DataFrame:
     """One row per bucket holding all its series as an array of
     ``{key, val_avg, val_stddev, val_count}`` sorted by key (JSON text when
     ``as_json``).
 
-    The array holds one element per series of the bucket, so it grows with the
-    number of series, not with the readings. For very wide fleets pass
-    ``parts > 1``: each bucket is then split into that many rows by a hash of
-    the key (column ``part``), keeping every row bounded.
+    An array has one element per series, so it grows with the fleet, not with
+    the readings. A bucket is split into ``parts`` rows by a hash of the key
+    (column ``part``; parts without a series have no row), so that no row
+    and no task holds a whole fleet; ``parts=1`` gives one row per bucket.
     """
     item = F.struct(series_key(keys).alias("key"), "val_avg", "val_stddev", "val_count")
     group = [F.col("time")]
     if parts > 1:
-        group.append(F.pmod(F.xxhash64(series_key(keys)), F.lit(parts)).alias("part"))
+        group.append((F.conv(F.substring(F.md5(F.coalesce(series_key(keys), F.lit(""))), 1, 6), 16, 10).cast("int") % parts).alias("part"))
     arr = F.array_sort(F.collect_list(item))
     out = rollup_df.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_series"),
@@ -160,33 +172,39 @@ def rollup_nested(rollup_df: DataFrame, keys=SERIES_KEYS, parts: int = 1, as_jso
 
 
 def _trailing_predicate(df: DataFrame, as_of, window_minutes: int, bounds: Bounds,
-                        value: str, ts: str) -> Column:
+                        value: str, ts: str, day_col: str | None = None) -> Column:
     ntz = is_ntz(df, ts)
     # now() - ts < interval, written as ts > now() - interval so the scan can
     # use it; rows stamped in the future stay inside, as in the original
     since = ts_literal(as_of, ntz) - minutes(window_minutes)
     pred = (F.col(ts) > since) & bounds.predicate(F.col(value), F.col("type"))
-    if DAY_COL in df.columns:
-        pred = pred & (F.col(DAY_COL) >= since.cast("date"))
+    if day_col is not None:
+        pred = pred & day_range(F.col(day_col), since, None, ntz)
     return pred
 
 
 def trailing_aggregate(df: DataFrame, as_of, window_minutes: int, bounds: Bounds = LEGACY_CLOSED,
-                       value: str = "val", ts: str = "ts", sort: bool = True) -> DataFrame:
+                       value: str = "val", ts: str = "ts", sort: bool = True,
+                       day_col: str | None = None, run_id: int = 0) -> DataFrame:
     """Per (mac, sid, type, description), over readings younger than
     ``window_minutes`` at ``as_of`` whose value is inside the bounds and that
     no earlier run consumed (``agg = false``; NULL counts as consumed): mean and
     population deviation as float, count, run time, rounded mean battery and
-    ``sync = false``. One pass covers every type of ``bounds``."""
+    ``sync = false``. One pass covers every type of ``bounds``.
+
+    ``id`` tells the rows of all runs apart and orders them by run:
+    ``run_id`` in the upper bits, a hash of the series in the lower 40."""
     ntz = is_ntz(df, ts)
-    rows = df.where(_trailing_predicate(df, as_of, window_minutes, bounds, value, ts)
+    rows = df.where(_trailing_predicate(df, as_of, window_minutes, bounds, value, ts, day_col)
                     & (F.col("agg") == F.lit(False)))
+    series = F.xxhash64("mac", "sid", "type", "description").bitwiseAND(F.lit((1 << 40) - 1))
     out = (rows.groupBy("mac", "sid", "type", "description")
            .agg(F.avg(value).cast("float").alias("avg"),
                 F.stddev_pop(value).cast("float").alias("stddev"),
                 F.count(value).alias("n"),
                 round_to_short(F.avg("battery")).alias("battery"))
-           .select("mac", "sid", "type", "description", "avg", "stddev", "n",
+           .select((F.lit(int(run_id) << 40).cast("bigint") + series).alias("id"),
+                   "mac", "sid", "type", "description", "avg", "stddev", "n",
                    ts_literal(as_of, ntz).alias("ts"), "battery", F.lit(False).alias("sync")))
     if sort:
         out = out.orderBy("mac", "sid", "type", F.col("description").asc_nulls_last())
@@ -204,24 +222,21 @@ def mark_used(df: DataFrame, as_of, window_minutes: int, bounds: Bounds = LEGACY
 def mark_used_days(df: DataFrame, as_of, window_minutes: int, bounds: Bounds = LEGACY_CLOSED,
                    value: str = "val", ts: str = "ts", day_col: str = "day") -> DataFrame:
     """``mark_used`` restricted to the days the run can change: only readings
-    of a day at or after the window start can gain the flag. Written with
+    of a day at or after the window start (less the slack) can gain the flag. Written with
     dynamic partition overwrite into a table partitioned by day
     (``sources.tables.overwrite_partitions``), a run rewrites the few days of
     its window instead of the whole table; the day filter prunes partitions
     at the scan."""
     ntz = is_ntz(df, ts)
-    first_day = (ts_literal(as_of, ntz) - minutes(window_minutes)).cast("date")
-    if day_col in df.columns:      # partition column: pruned at planning time
-        recent = df.where(F.col(day_col) >= first_day)
-    else:
-        recent = df.where(F.col(ts) >= first_day.cast("timestamp_ntz" if ntz else "timestamp"))
+    since = ts_literal(as_of, ntz) - minutes(window_minutes)
+    recent = df.where(day_range(F.col(day_col), since, None, ntz))
     return mark_used(recent, as_of, window_minutes, bounds, value, ts)
 
 
 def aggregate_and_mark(df: DataFrame, as_of, window_minutes: int, bounds: Bounds = LEGACY_CLOSED,
-                       value: str = "val", ts: str = "ts"):
+                       value: str = "val", ts: str = "ts", day_col: str | None = None, run_id: int = 0):
     """One aggregation run: ``(aggregates, measurements_with_new_agg)`` for the
     same ``as_of``. Write both in one job (or stage the aggregates first) so a
     failed run consumes nothing."""
-    return (trailing_aggregate(df, as_of, window_minutes, bounds, value, ts, sort=False),
+    return (trailing_aggregate(df, as_of, window_minutes, bounds, value, ts, sort=False, day_col=day_col, run_id=run_id),
             mark_used(df, as_of, window_minutes, bounds, value, ts))

@@ -10,21 +10,19 @@ chunk). A device that sends a third of all rows is split into chunks of at
 most ``chunk_ids`` consecutive ids; what a window needs from earlier or later
 chunks (last restart, previous row, next row, current run) is carried over
 from a per-chunk summary (one row per device, segment and chunk), the usual
-two-level form of a prefix scan. The big input is shuffled once; the carry
-joins use the same partitioning.
+two-level form of a prefix scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import object_key_count, with_computed, with_default_key
+from ..functions import canonical_variant, drop_flag, object_key_count, whole_variant, with_computed, with_default_key
 from ..session import cut_lineage
-from .skew import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 
-DEFAULT_CHUNK_IDS = 1 << 22
+CHUNK_ROWS = 1 << 20
 KEYS = ("device_id", "segment")
 
 
@@ -38,15 +36,15 @@ def tag_observations(obs: DataFrame, segments=S.SEGMENTS) -> DataFrame:
     """Add ``reason`` (NULL when valid) and canonicalise ``data``.
 
     Rejected: no device ('device'); segment missing or unknown ('segment');
-    data not a JSON object, with no key, or with duplicate keys ('data').
-    A gpio row without a (non-null) ``userId`` gets ``userId: 0``."""
+    data not one JSON object, or with no key ('data'); of repeated keys the
+    last counts. A gpio row without a (non-null) ``userId`` gets ``userId: 0``."""
     seg, data = F.col("segment"), F.col("data")
-    parsed = with_computed(obs, _v=F.try_parse_json(data))   # one parse per row
+    parsed = with_computed(obs, _v=whole_variant(data))   # one parse per row
     v = F.col("_v")
     canon = F.when(seg == F.lit(S.GPIO_SEGMENT),
-                   with_default_key(data, S.GPIO_USER_KEY, str(S.GPIO_DEFAULT_USER), parsed=v)) \
-        .otherwise(F.to_json(v))
-    # invalid JSON and duplicate keys parse to NULL; non-objects have no key count
+                   with_default_key(v, S.GPIO_USER_KEY, str(S.GPIO_DEFAULT_USER))) \
+        .otherwise(canonical_variant(v))
+    # invalid JSON parses to NULL; non-objects have no key count
     reason = (F.when(F.col("device_id").isNull(), F.lit("device"))
               .when(seg.isNull() | ~seg.isin(list(segments)), F.lit("segment"))
               .when(F.coalesce(object_key_count(v), F.lit(0)) == 0, F.lit("data")))
@@ -65,36 +63,28 @@ def check_observations(obs: DataFrame, segments=S.SEGMENTS):
     return valid, rejected
 
 
-_CKEYS = ["device_id", "segment", "_chunk"]
-
-
-def _with_markers(valid: DataFrame, chunk_ids: int, segments, materialize: bool = True) -> DataFrame:
+def _with_markers(valid: DataFrame, chunk_ids: int | None, segments) -> DataFrame:
     """Observations plus one marker row per restart in every other segment of
-    the device, hash-partitioned once by (device, segment, id chunk).
+    the device, with the id chunk. One pass over the input: a restart row is
+    exploded into all segments. The frame is written once to the checkpoint
+    folder, as several windows and summaries read it.
 
-    The windows and the per-chunk summaries all read this frame. Column
-    pruning gives each reader a different exchange, so without
-    ``materialize`` the source would be scanned, parsed and shuffled once
-    per reader; with it the partitioned frame is written once to the
-    checkpoint folder (reliable, keeps its partitioning) and read back."""
+    Without ``chunk_ids`` a chunk is as wide as holds ``CHUNK_ROWS`` rows on
+    average, counted on the frame, so that sparse ids make no tiny chunks."""
+    others = F.array(*[F.lit(s) for s in segments if s != S.RESTART_SEGMENT])
+    own = F.array("segment")
     rows = valid.select("device_id", "id", "segment", "data", "ts",
-                        is_restart(F.col("segment"), F.col("data")).alias("_restart"),
-                        F.lit(False).alias("_marker"))
-    others = [s for s in segments if s != S.RESTART_SEGMENT]
-    markers = (rows.where("_restart")
-               .select("device_id", "id",
-                       F.explode(F.array(*[F.lit(s) for s in others])).alias("segment"),
-                       F.lit(None).cast("string").alias("data"),
-                       F.lit(None).cast(rows.schema["ts"].dataType).alias("ts"),
-                       F.lit(False).alias("_restart"), F.lit(True).alias("_marker")))
+                        is_restart(F.col("segment"), F.col("data")).alias("_restart"))
+    rows = rows.select("*", F.explode(F.when(F.col("_restart"), F.concat(own, others)).otherwise(own)).alias("_to"))
+    marker = F.col("_to") != F.col("segment")
+    u = cut_lineage(rows.select("device_id", "id", F.col("_to").alias("segment"), F.when(~marker, F.col("data")).alias("data"),
+                                F.when(~marker, F.col("ts")).alias("ts"), (F.col("_restart") & ~marker).alias("_restart"),
+                                marker.alias("_marker")))
+    if chunk_ids is None:
+        n, low, high = u.agg(F.count("*"), F.min("id"), F.max("id")).first()
+        chunk_ids = max(1, -(-(high - low + 1) // -(-n // CHUNK_ROWS))) if n else 1
     # integer division keeps chunks exact for any 64-bit id (non-decreasing in id)
-    u = rows.unionByName(markers).withColumn("_chunk", F.expr(f"id div {int(chunk_ids)}"))
-    if not materialize:
-        return u.repartition(*_CKEYS)
-    # a fixed partition count keeps the hash partitioning visible after the
-    # checkpoint, so the windows below need no second exchange
-    n = int(valid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(u.repartition(n, *_CKEYS), keep_partitioning=True)
+    return u.withColumn("_chunk", F.expr(f"id div {int(chunk_ids)}"))
 
 
 # Window and summary steps are written as one SQL statement over the
@@ -116,35 +106,33 @@ ce AS (
         FROM {u} GROUP BY device_id, segment, _chunk)
 )"""
 
-# plain equality on exactly the partitioning keys, so the big side of each
-# join keeps its partitioning (device and segment are never NULL here)
+# plain equality on exactly the windows' keys, so the big side of each join
+# keeps their partitioning (device and segment are never NULL here)
 _SAME_CHUNK = "l.device_id = r.device_id AND l.segment = r.segment AND l._chunk = r._chunk"
 
 
-def restart_epochs(valid: DataFrame, chunk_ids: int = DEFAULT_CHUNK_IDS,
-                   segments=S.SEGMENTS, materialize: bool = True) -> DataFrame:
+def restart_epochs(valid: DataFrame, chunk_ids: int | None = None, segments=S.SEGMENTS) -> DataFrame:
     """Valid observations with ``epoch``: the id of the device's last restart
     strictly before the row (-1 when none), so a restart row belongs to the
     epoch before it. Restarts are copied as marker rows into every other
     segment of the device, so the lookup is a per-segment window (an as-of
     join without a join), never a window over the whole device; the epoch
     carried into a chunk comes from a per-chunk summary."""
-    u = _with_markers(valid, chunk_ids, segments, materialize)
+    u = _with_markers(valid, chunk_ids, segments)
     return valid.sparkSession.sql(f"""WITH {_LOCAL_EPOCH}
 SELECT l.device_id, l.id, l.segment, l.data, l.ts, coalesce(greatest(l._lep, r._ce), -1) AS epoch
 FROM e l LEFT JOIN ce r ON {_SAME_CHUNK}
 WHERE NOT l._marker""", u=u)
 
 
-def collapse_runs(valid: DataFrame, chunk_ids: int = DEFAULT_CHUNK_IDS,
-                  segments=S.SEGMENTS, materialize: bool = True) -> DataFrame:
+def collapse_runs(valid: DataFrame, chunk_ids: int | None = None, segments=S.SEGMENTS) -> DataFrame:
     """Runs ``(device_id, id, segment, data, ts_start, ts_end, epoch, n_obs,
     sync)`` of valid, canonical observations. ``id`` is the id of the
     observation that opened the run; ``ts_end`` is the start of the next run
     of the segment in the same epoch, else the time of the run's last
     observation. ``sync`` is empty: every run is still to be sent.
 
-    Plan: one shuffle by (device, segment, chunk); inside a chunk, windows
+    Plan: rows are shuffled by (device, segment, chunk); inside a chunk, windows
     find each row's previous/next row, local epoch and local run starts;
     what only earlier or later chunks know (epoch carried in, the last row of
     the previous chunk, the first row of the next one, the run in effect) is
@@ -153,7 +141,7 @@ def collapse_runs(valid: DataFrame, chunk_ids: int = DEFAULT_CHUNK_IDS,
     key of the last aggregate and its buffers stay fixed-width (hash
     aggregate, no sort).
     """
-    u = _with_markers(valid, chunk_ids, segments, materialize)
+    u = _with_markers(valid, chunk_ids, segments)
     return valid.sparkSession.sql(f"""WITH {_LOCAL_EPOCH},
 nb AS (
   SELECT device_id, segment, _chunk, id, data, ts, _lep,
@@ -225,19 +213,48 @@ SELECT device_id, run_id AS id, segment, data,
 FROM z GROUP BY device_id, segment, run_id, data""", u=u)
 
 
-def latest_state(runs: DataFrame, broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def latest_state(runs: DataFrame) -> DataFrame:
     """Current run of each (device, segment): the latest run opened after the
     device's last restart. A segment with no run since then (and the app
     segment right after a restart) has no row.
 
-    Only ids are aggregated (hash aggregates, one row per device and
-    segment); the chosen runs are then picked from the run table by a semi
-    join with that small id set, broadcast after a size check, so the run
-    table is scanned, not shuffled or sorted."""
-    cur = (runs.where(is_restart(F.col("segment"), F.col("data")))
-           .groupBy("device_id").agg(F.max("id").alias("_cur")))
-    last = runs.groupBy(*KEYS).agg(F.max("id").alias("id"))
-    keep = (last.join(cur, "device_id", "left")
-            .where(F.col("id") > F.coalesce(F.col("_cur"), F.lit(-1).cast("long")))
-            .select(*KEYS, "id"))
-    return runs.join(broadcast_if_small(keep, broadcast_rows), [*KEYS, "id"], "left_semi")
+    One pass: the greatest row of each (device, segment) and of each device's
+    restarts come from partial aggregates, whose results have a row for each
+    device and segment at most."""
+    fields = [c for c in runs.columns if c not in (*KEYS, "id", "sync")]
+    restart = F.when(is_restart(F.col("segment"), F.col("data")), F.col("id"))
+    rest = F.struct(*fields, *(F.map_entries(c).alias(c) for c in runs.columns if c == "sync"))
+    last = runs.groupBy(*KEYS).agg(F.max_by(F.struct("id", rest.alias("rest")), "id").alias("last"), F.max(restart).alias("_restart"))
+    current = F.max("_restart").over(Window.partitionBy("device_id"))  # a row for each segment
+    last = last.withColumn("_current", F.coalesce(current, F.lit(-1).cast("long"))).where(F.col("last.id") > F.col("_current"))
+    out = last.select(*KEYS, F.col("last.id").alias("id"), *(F.col(f"last.rest.{c}").alias(c) for c in fields),
+                      *(F.map_from_entries(F.col(f"last.rest.{c}")).alias(c) for c in runs.columns if c == "sync"))
+    return out.select(*runs.columns)
+
+
+def merge_runs(stored: DataFrame, new_obs: DataFrame, dest: str = S.CLOUD, chunk_ids: int | None = None,
+               segments=S.SEGMENTS) -> DataFrame:
+    """The run table after ``new_obs`` (valid observations whose ids are all
+    greater than those that made ``stored``): stored runs are extended or
+    closed and new ones added, as if all observations had been collapsed at
+    once. A run that is extended loses its flag for ``dest`` and is sent
+    again; one that is only closed keeps its flags.
+
+    Only the last run of each (device, segment) and each device's last restart
+    can still matter: they go into the collapse as observations of their own."""
+    tail = stored.groupBy(*KEYS).agg(F.max_by(F.struct("id", "data", "ts_end"), "id").alias("r"))
+    restart = (stored.where(is_restart(F.col("segment"), F.col("data"))).groupBy("device_id")
+               .agg(F.max_by(F.struct("segment", "id", "data", "ts_end"), "id").alias("r")))
+    columns = ("device_id", "id", "segment", "data", "ts")
+    seeds = (tail.select("device_id", "r.id", "segment", "r.data", F.col("r.ts_end").alias("ts"))
+             .union(restart.select("device_id", "r.id", "r.segment", "r.data", F.col("r.ts_end").alias("ts"))).distinct())
+    runs = collapse_runs(seeds.select(*columns).unionByName(new_obs.select(*columns)), chunk_ids, segments)
+    new = runs.select(*(F.col(c).alias(f"_{c}") for c in ("device_id", "id", "segment", "data", "ts_start", "ts_end", "epoch", "n_obs")))
+    both = stored.join(new, (F.col("device_id") == F.col("_device_id")) & (F.col("id") == F.col("_id")), "full_outer")
+    extended = F.col("n_obs") + F.col("_n_obs") - 1
+    return both.select(
+        *(F.coalesce(c, f"_{c}").alias(c) for c in ("device_id", "id", "segment", "data", "ts_start")),
+        F.coalesce("_ts_end", "ts_end").alias("ts_end"), F.coalesce("epoch", "_epoch").alias("epoch"),
+        F.coalesce(extended, F.col("n_obs"), F.col("_n_obs")).alias("n_obs"),
+        F.when(F.col("id").isNull(), F.create_map().cast(S.SYNC_MAP)).when(F.col("_n_obs") > 1, drop_flag(F.col("sync"), dest))
+        .otherwise(F.col("sync")).alias("sync"))

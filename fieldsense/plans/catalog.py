@@ -14,7 +14,6 @@ from ..operators import queue as QU
 from ..operators import readings as R
 from ..operators import state as ST
 from ..operators import sync as SY
-from ..session import cut_lineage
 from ..sources import adapters as A
 from . import oracle as O
 
@@ -49,7 +48,7 @@ def rollup_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trailing_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.trailing_aggregate(A.measurements(spark, sf_dir), A.EVENTS_AS_OF, 14400, A.EVENTS_LEGACY)
+    return R.trailing_aggregate(A.measurements(spark, sf_dir), A.EVENTS_AS_OF, 14400, A.EVENTS_LEGACY).drop("id")
 
 
 def trailing_mark_used(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +96,39 @@ def mark_synced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.to_json("sync").alias("sync_json"))
 
 
+def apply_ack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer to one message of measurements: what was pending is flagged."""
+    m = A.measurements(spark, sf_dir)
+    doc = F.to_json(F.collect_list(F.struct("id")))
+    reply = _pending_measurements(spark, sf_dir).agg(doc.alias("reply")).withColumn("source", F.lit("measurements"))
+    out = SY.apply_reply(200, reply, {"measurements": m})["measurements"]
+    return out.select("id", F.to_json("sync").alias("sync_json"))
+
+
+def ingest_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a sync would send of freshly ingested rows."""
+    rows = _ingest_rows(spark, sf_dir)
+    out = SY.pending(rows, order_by=("batch_id", "pos"), columns=SY.MEASUREMENT_COLUMNS + ("batch_id", "pos"))
+    return out.drop("id")
+
+
+def agg_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a notification would send of a fresh trailing aggregate."""
+    rows = R.trailing_aggregate(A.measurements(spark, sf_dir), A.EVENTS_AS_OF, 14400, A.EVENTS_LEGACY, sort=False)
+    out = SY.pending(rows, limit=None, columns=SY.AGGREGATE_COLUMNS, order_by="id")
+    return out.drop("id")
+
+
+def outlier_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.outliers(A.measurements(spark, sf_dir), A.EVENTS_BOUNDS_70, A.EVENTS_START, A.EVENTS_END)
+    return out.select("id", "mac", "sid", "type", "val", "ts")
+
+
+def retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a clean-up of what was sent more than ten days before."""
+    return R.retain(A.measurements(spark, sf_dir), A.EVENTS_AS_OF, 14400).select("id", "ts")
+
+
 def reset_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = SY.reset_sync(A.measurements(spark, sf_dir))
     return out.select("id", F.to_json("sync").alias("sync_json"))
@@ -125,15 +157,27 @@ def restart_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.restart_epochs(_valid(spark, sf_dir)).select("device_id", "id", "segment", "epoch")
 
 
-def _runs(spark, sf_dir, stored: bool = True):
-    # the run table is a stored table in practice; queries that read it more
-    # than once read it from the checkpoint folder instead of recomputing it
-    runs = ST.collapse_runs(_valid(spark, sf_dir))
-    return cut_lineage(runs) if stored else runs
+def _runs(spark, sf_dir):
+    return ST.collapse_runs(_valid(spark, sf_dir))
 
 
 def state_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(spark, sf_dir, stored=False).drop("sync")
+    return _runs(spark, sf_dir).drop("sync")
+
+
+def state_runs_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with chunks of few ids, so that most runs cross a border."""
+    return ST.collapse_runs(_valid(spark, sf_dir), chunk_ids=97).drop("sync")
+
+
+def state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations up to an id collapsed and sent, the others merged in: the
+    runs of all, with the flags that sending and extending leave."""
+    valid = _valid(spark, sf_dir)
+    early = F.col("id") < A.MERGE_AT
+    stored = ST.collapse_runs(valid.where(early)).withColumn("sync", F.create_map(F.lit("cloud"), F.lit(True)))
+    out = ST.merge_runs(stored, valid.where(~early))
+    return out.withColumn("sent", F.coalesce(F.col("sync").getItem("cloud"), F.lit(False))).drop("sync")
 
 
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +205,7 @@ def _ingest_rows(spark, sf_dir):
 
 
 def ingest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ingest_rows(spark, sf_dir).drop("sync")
+    return _ingest_rows(spark, sf_dir).drop("sync", "id")
 
 
 def ingest_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +214,7 @@ def ingest_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = IN.insert_measurements(A.raw_inserts(spark, sf_dir), A.EVENTS_AS_OF)[0]
-    return rows.drop("sync")
+    return rows.drop("sync", "id")
 
 
 def insert_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,6 +271,13 @@ QUERIES: dict[str, Query] = {
     "state_rejected": state_rejected,
     "restart_epoch": restart_epoch,
     "state_runs": state_runs,
+    "state_runs_chunked": state_runs_chunked,
+    "state_merge": state_merge,
+    "apply_ack": apply_ack,
+    "ingest_pending": ingest_pending,
+    "agg_pending": agg_pending,
+    "outlier_rejected": outlier_rejected,
+    "retained": retained,
     "latest_state": latest_state,
     "ingest_valid": ingest_valid,
     "ingest_rejected": ingest_rejected,
@@ -250,12 +301,13 @@ WHERE {O.STRICT_EVENTS_70} AND {O.RANGE} ORDER BY ts""",
     "rollup_1h": _M + O.rollup_sql(1, f"AND {O.RANGE}"),
     "rollup_12h": _M + O.rollup_sql(12, f"AND {O.RANGE}"),
     "rollup_nested_json": _M + f""", r AS ({O.rollup_sql(12, f"AND {O.RANGE}")})
-SELECT time, COUNT(*) AS n_series,
+SELECT time, part, COUNT(*) AS n_series,
        CAST(to_json(list({{'key': mac || '_' || CAST(sid AS VARCHAR) || '_' || type,
                            'val_avg': val_avg, 'val_stddev': val_stddev, 'val_count': val_count}}
                          ORDER BY mac || '_' || CAST(sid AS VARCHAR) || '_' || type,
                                   val_avg, val_stddev, val_count)) AS VARCHAR) AS readings_json
-FROM r GROUP BY time ORDER BY time""",
+FROM (SELECT *, {O.key_part("mac || '_' || CAST(sid AS VARCHAR) || '_' || type", 64)} AS part FROM r)
+GROUP BY time, part ORDER BY time, part""",
     "rollup_params": _M + O.rollup_sql(
         6, "AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00' "
            "AND type IN ('view', 'click', 'purchase')"),
@@ -303,6 +355,16 @@ SELECT m.id, CASE WHEN pm.id IS NOT NULL THEN '{{"cloud":true}}'
                   WHEN sync_cloud IS NULL THEN '{{}}'
                   ELSE '{{"cloud":' || CAST(sync_cloud AS VARCHAR) || '}}' END AS sync_json
 FROM m LEFT JOIN pm ON m.id = pm.id""",
+    "agg_pending": _M + f"""SELECT mac, sid, type, description,
+       CAST(AVG(val) AS FLOAT) AS avg, CAST(STDDEV_POP(val) AS FLOAT) AS stddev, COUNT(val) AS n,
+       TIMESTAMP '2024-01-31 00:00:00' AS ts, CAST(ROUND(AVG(battery)) AS SMALLINT) AS battery
+FROM m
+WHERE ts > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 14400 MINUTE AND {O.LEGACY_EVENTS} AND agg = FALSE
+GROUP BY mac, sid, type, description""",
+    "outlier_rejected": _M + f"""SELECT id, mac, sid, type, val, ts FROM m
+WHERE {O.RANGE} AND NOT COALESCE({O.STRICT_EVENTS_70}, FALSE)""",
+    "retained": _M + """SELECT id, ts FROM m
+WHERE ts > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 14400 MINUTE OR NOT COALESCE(sync_cloud, FALSE)""",
     "reset_sync": _M + """SELECT id, '{"cloud":false}' AS sync_json FROM m""",
     "observations": O.with_(O.OBSERVATIONS) + "SELECT device_id, id, segment, data, ts FROM o",
     "state_valid": O.with_(O.OBSERVATIONS) + "SELECT device_id, id, segment, data, ts FROM ov",
@@ -311,6 +373,10 @@ FROM m LEFT JOIN pm ON m.id = pm.id""",
 FROM o WHERE segment NOT IN ('gpio', 'connectivity', 'cloud', 'app') OR canon IS NULL""",
     "restart_epoch": _RUNS + "SELECT device_id, id, segment, epoch FROM ep",
     "state_runs": _RUNS + "SELECT device_id, id, segment, data, ts_start, ts_end, epoch, n_obs FROM runs",
+    "state_runs_chunked": _RUNS + "SELECT device_id, id, segment, data, ts_start, ts_end, epoch, n_obs FROM runs",
+    "state_merge": _RUNS + """, mx AS (SELECT device_id, run_id, MAX(id) AS last_id FROM rn GROUP BY device_id, run_id)
+SELECT r.device_id, r.id, segment, data, ts_start, ts_end, epoch, n_obs, last_id < 5000 AS sent
+FROM runs r JOIN mx ON r.device_id = mx.device_id AND r.id = mx.run_id""",
     "latest_state": _RUNS + """, cur AS (
   SELECT device_id, MAX(id) AS cur FROM runs
   WHERE segment = 'app' AND data = '{"value":"restart"}' GROUP BY device_id
@@ -328,8 +394,10 @@ _Q = O.with_(O.QUEUE)
 ORACLE.update({
     "ingest_valid": _B + """SELECT batch_id, mac, CAST(COUNT(*) AS INTEGER) AS n_items FROM b
 WHERE batch_id IN (SELECT batch_id FROM bv) GROUP BY batch_id, mac""",
-    "ingest_rejected": _B + """SELECT batch_id, 'type' AS reason FROM b
-GROUP BY batch_id HAVING NOT bool_and(type IN ('t', 'h'))""",
+    "ingest_rejected": _B + "SELECT batch_id, reason FROM br WHERE reason IS NOT NULL",
+    "ingest_pending": _B + """SELECT mac, sid, type, description, val, TIMESTAMP '2024-01-31 00:00:00' AS ts, battery, batch_id,
+       CAST(ROW_NUMBER() OVER (PARTITION BY batch_id ORDER BY event_id) - 1 AS INTEGER) AS pos
+FROM b WHERE batch_id IN (SELECT batch_id FROM bv) ORDER BY batch_id, pos LIMIT 500""",
     "ingest_rows": _B + """SELECT batch_id,
        CAST(ROW_NUMBER() OVER (PARTITION BY batch_id ORDER BY event_id) - 1 AS INTEGER) AS pos,
        mac, sid, type, description, val, battery, TIMESTAMP '2024-01-31 00:00:00' AS ts
@@ -341,8 +409,9 @@ FROM b WHERE batch_id IN (SELECT batch_id FROM bv) GROUP BY batch_id""",
        CASE WHEN {O.K} % 10 = 0 THEN NULL ELSE 'd' END AS description,
        CAST(value AS FLOAT) AS val, CAST({O.K} AS SMALLINT) AS battery,
        TIMESTAMP '2024-01-31 00:00:00' AS ts
-FROM events WHERE event_type <> 'error'""",
-    "insert_rejected": "SELECT event_id AS req, 'row' AS reason FROM events WHERE event_type = 'error'",
+FROM events WHERE event_type <> 'error' AND event_id % 37 > 6""",
+    "insert_rejected": """SELECT event_id AS req, CASE WHEN event_id % 37 < 3 THEN 'json' ELSE 'row' END AS reason
+FROM events WHERE event_type = 'error' OR event_id % 37 <= 6""",
     "upgrade_layout": _M + """SELECT id, mac, sid, type, description, val, ts, battery, sync_cloud AS sync_old,
        CASE WHEN sync_cloud IS NULL THEN NULL
             ELSE '{"cloud":' || CAST(sync_cloud AS VARCHAR) || '}' END AS sync_json
@@ -356,11 +425,17 @@ FROM qq WHERE ts_executed IS NULL ORDER BY id""",
        CASE WHEN o_orderstatus = 'F' THEN NULL ELSE CAST(o_custkey AS INTEGER) END AS delay,
        TIMESTAMP '1998-01-01 00:00:00' AS ts_created, CAST(NULL AS TIMESTAMP) AS ts_executed
 FROM orders
-WHERE o_orderpriority <> '4-NOT SPECIFIED' AND NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')""",
-    "queue_rejected": """SELECT o_orderkey AS id, 'job_type' AS reason FROM orders
-WHERE o_orderpriority = '4-NOT SPECIFIED' OR (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')""",
+WHERE o_orderpriority <> '4-NOT SPECIFIED' AND NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')
+  AND o_orderkey % 31 NOT IN (0, 2) AND NOT (o_orderkey % 31 = 1 AND o_orderstatus <> 'F')""",
+    "queue_rejected": """SELECT * FROM (SELECT o_orderkey AS id,
+  CASE WHEN o_orderkey % 31 IN (0, 2) THEN 'json'
+       WHEN o_orderpriority = '4-NOT SPECIFIED' OR (o_orderstatus = 'P' AND o_orderpriority = '5-LOW') THEN 'job_type'
+       WHEN o_orderkey % 31 = 1 AND o_orderstatus <> 'F' THEN 'delay' END AS reason FROM orders)
+WHERE reason IS NOT NULL""",
     "queue_complete": _Q + f"""SELECT id,
        CASE WHEN ts_executed IS NULL AND {O.QUEUE_TTF} <= 0 THEN TIMESTAMP '1998-01-01 00:00:00'
             ELSE ts_executed END AS ts_executed
 FROM qq""",
 })
+
+ORACLE["apply_ack"] = ORACLE["mark_synced"]

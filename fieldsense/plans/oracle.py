@@ -59,7 +59,7 @@ BATCHES = f"""
 b AS (
   SELECT CAST(user_id AS VARCHAR) || '-' || CAST(event_id // 64 AS VARCHAR) AS batch_id,
          CAST(user_id AS VARCHAR) AS mac,
-         event_id,
+         event_id, (user_id + event_id // 64) % 40 AS kind,
          CAST({K} % 4 AS SMALLINT) AS sid,
          CAST(CAST(value AS FLOAT) AS FLOAT) AS val,
          {READING_TYPE} AS type,
@@ -67,12 +67,21 @@ b AS (
          CAST({K} AS SMALLINT) AS battery
   FROM events
 ),
+br AS (
+  SELECT batch_id,
+         CASE WHEN any_value(kind) IN (0, 1, 2) THEN 'json' WHEN any_value(kind) IN (3, 4, 5) THEN 'mac'
+              WHEN any_value(kind) = 6 THEN 'battery' WHEN any_value(kind) = 7 THEN 'data'
+              WHEN any_value(kind) = 8 THEN 'sid' WHEN any_value(kind) IN (9, 10) THEN 'value'
+              WHEN NOT bool_and(type IN ('t', 'h')) THEN 'type'
+              WHEN any_value(kind) = 11 AND bool_or(description IS NOT NULL) THEN 'desc' END AS reason
+  FROM b GROUP BY batch_id
+),
 bv AS (
-  SELECT batch_id FROM b GROUP BY batch_id HAVING bool_and(type IN ('t', 'h'))
+  SELECT batch_id FROM br WHERE reason IS NULL
 )"""
 
 OBSERVATIONS = f"""
-o AS (
+oo AS (
   SELECT CAST(user_id AS VARCHAR) AS device_id, event_id AS id, ts,
          CASE WHEN event_type = 'signup' THEN 'app'
               WHEN event_type = 'error' AND {K} >= 95 THEN 'x'
@@ -87,6 +96,14 @@ o AS (
               ELSE '{{"value":' || CAST({K} % 2 AS VARCHAR) || '}}' END AS canon
   FROM events
 ),
+o AS (
+  SELECT device_id, id, ts, segment,
+         CASE id % 29 WHEN 0 THEN data || ' tail'
+              WHEN 1 THEN regexp_replace(data, '"value": ([01])}}', '"value": \\1e0}}')
+              WHEN 2 THEN regexp_replace(data, '^.', '{{"value": 9, ') ELSE data END AS data,
+         CASE WHEN id % 29 = 0 THEN NULL ELSE canon END AS canon
+  FROM oo
+),
 ov AS (
   SELECT device_id, id, segment, canon AS data, ts FROM o
   WHERE segment IN ('gpio', 'connectivity', 'cloud', 'app') AND canon IS NOT NULL
@@ -151,6 +168,12 @@ def bucket(n: int) -> str:
     return f"date_trunc('day', ts) + to_hours(CAST(hour(ts) // {n} * {n} AS BIGINT))"
 
 
+def key_part(key: str, parts: int) -> str:
+    """The first six hex digits of the key's MD5, modulo ``parts``."""
+    digits = [f"(strpos('0123456789abcdef', substr(md5({key}), {k}, 1)) - 1) * {16 ** (6 - k)}" for k in range(1, 7)]
+    return f"CAST(({' + '.join(digits)}) % {parts} AS INTEGER)"
+
+
 def rollup_sql(n: int, extra_where: str = "") -> str:
     return f"""SELECT {bucket(n)} AS time, mac, sid, type,
        CAST(ROUND(CAST(AVG(val) AS DECIMAL(38,12)), 2) AS DOUBLE) AS val_avg,

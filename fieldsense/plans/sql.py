@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas as S
-from ..operators.sync import MEASUREMENT_COLUMNS, STATE_COLUMNS, pending
+from ..operators.queue import queue_pending
+from ..operators.sync import AGGREGATE_COLUMNS, MEASUREMENT_COLUMNS, STATE_COLUMNS, pending
 
 FUNCTIONS = {
     # whole minutes until ts_created + delay, half to even; NULL delay -> NULL
@@ -31,10 +32,12 @@ def register_functions(spark: SparkSession) -> list[str]:
 
 
 def register_views(spark: SparkSession, measurements: DataFrame | None = None,
-                   log_state: DataFrame | None = None, limit: int = S.DEFAULT_SYNC_LIMIT) -> list[str]:
+                   log_state: DataFrame | None = None, limit: int = S.DEFAULT_SYNC_LIMIT,
+                   queue: DataFrame | None = None, aggregates: DataFrame | None = None, as_of=None) -> list[str]:
     """Temporary views of the tables and of their pending rows
-    (``sync_measurements``, ``sync_log_state``: oldest ``limit`` rows not yet
-    acknowledged by the cloud)."""
+    (``sync_measurements``, ``sync_log_state``, ``sync_agg``: oldest ``limit``
+    rows not yet acknowledged by the cloud; ``pending_queue``: jobs not
+    executed, with the minutes to finish at ``as_of``)."""
     made = []
     if measurements is not None:
         measurements.createOrReplaceTempView("t_measurements")
@@ -44,4 +47,12 @@ def register_views(spark: SparkSession, measurements: DataFrame | None = None,
         log_state.createOrReplaceTempView("t_log_state")
         pending(log_state, limit=limit, columns=STATE_COLUMNS).createOrReplaceTempView("sync_log_state")
         made += ["t_log_state", "sync_log_state"]
+    if aggregates is not None:
+        aggregates.createOrReplaceTempView("t_agg")
+        pending(aggregates, limit=limit, columns=AGGREGATE_COLUMNS).createOrReplaceTempView("sync_agg")
+        made += ["t_agg", "sync_agg"]
+    if queue is not None:
+        queue.createOrReplaceTempView("t_queue")
+        queue_pending(queue, as_of).createOrReplaceTempView("pending_queue")
+        made += ["t_queue", "pending_queue"]
     return made

@@ -7,20 +7,25 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "fieldsense", extra: dict | None = None) -> SparkSession:
     """A session configured the way the operators expect: AQE on (runtime
     coalescing, skew-join splitting, runtime broadcast of small sides), UTC
-    session zone so calendar buckets are reproducible, no UI server."""
-    b = (SparkSession.builder.master(master).appName(app)
+    session zone so calendar buckets are reproducible, no UI server. Master
+    and shuffle partitions stay what the cluster submit says unless given."""
+    b = (SparkSession.builder.appName(app)
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    if master:
+        b = b.master(master)
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -28,41 +33,25 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
+def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``. Only when nothing is configured (tests, local
-    runs) a fresh local folder is made and registered. Returns None when the
-    session gives no access to its context (the server then decides)."""
-    try:
-        sc = spark.sparkContext
-    except Exception:
-        return None
+    ``spark.checkpoint.dir``. Only a local master, whose tasks all see this
+    machine's disk, gets a fresh folder when nothing is configured."""
+    sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="fieldsense-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (written to the shared checkpoint folder, so it
-    survives executor loss); never a local checkpoint.
-
-    With ``keep_partitioning`` the checkpoint job runs without adaptive
-    execution, whose not-yet-final plan reports no partitioning: the frame
-    read back then keeps ``df``'s hash partitioning and later windows, joins
-    and aggregations on the same keys need no exchange. (The setting is the
-    session's, restored right after the job.)"""
+    survives executor loss); never a local checkpoint."""
     checkpoint_dir(df.sparkSession)
-    if not keep_partitioning:
-        return df.checkpoint(eager=True)
-    conf = df.sparkSession.conf
-    before = conf.get("spark.sql.adaptive.enabled", "true")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        conf.set("spark.sql.adaptive.enabled", before)
+    return df.checkpoint(eager=True)

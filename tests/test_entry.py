@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from fieldsense.plans.catalog import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["events", "orders"]
@@ -10,11 +11,12 @@ TABLES = ["events", "orders"]
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() >= 0
-    assert df.columns == ["time", "n_series", "readings_json"]
+    assert df.columns == ["time", "part", "n_series", "readings_json"]
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +31,7 @@ def _norm(rows):
     return sorted((tuple(None if v != v else v for v in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     rel = con.sql(E.oracle_sql()[name])

@@ -62,7 +62,7 @@ def test_rollup_12h(readings):
 
 def test_rollup_nested(readings):
     r = R.rollup(readings, 12, R.STRICT_60, START, END, sort=False)
-    rows = R.rollup_nested(r).collect()
+    rows = R.rollup_nested(r, parts=1).collect()
     assert len(rows) == 2
     assert {r.n_series for r in rows} == {6}
     import json
@@ -75,6 +75,8 @@ def test_rollup_nested_parts_keep_every_series(readings):
     r = R.rollup(readings, 12, R.STRICT_60, START, END, sort=False)
     rows = R.rollup_nested(r, parts=4, as_json=False).collect()
     assert sum(len(x.readings) for x in rows) == 12
+    rows = R.rollup_nested(r).collect()
+    assert sum(x.n_series for x in rows) == 12 and len({(x.time, x.part) for x in rows}) == len(rows)
 
 
 def test_rollup_series_selection(readings, spark):
@@ -145,7 +147,7 @@ def test_mark_used_days_rewrites_only_window_days(readings, spark, tmp_path):
     stored = spark.read.parquet(path)
     as_of = "2016-09-02 14:00:00"
     changed = R.mark_used_days(stored, as_of, 60, R.LEGACY_CLOSED)
-    assert {r.day for r in changed.select("day").distinct().collect()} == {dt.date(2016, 9, 2)}
+    assert {r.day for r in changed.select("day").distinct().collect()} == {dt.date(2016, 9, 1), dt.date(2016, 9, 2)}
     want = R.mark_used(stored.drop("day"), as_of, 60, R.LEGACY_CLOSED).where("agg").count()
     from fieldsense.session import cut_lineage
     overwrite_partitions(cut_lineage(changed), path, ["day"])

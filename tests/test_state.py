@@ -47,12 +47,14 @@ def test_rejects(spark):
     rows = [("d", 1, "x", '{"a":1}', T0), ("d", 2, "gpio", "{}", T0), ("d", 3, "gpio", "[1]", T0),
             ("d", 4, None, '{"a":1}', T0), ("d", 5, "cloud", "nope", T0), ("d", 6, "cloud", '{"a":1,"a":2}', T0),
             ("d", 7, "cloud", '{"value": 1.0}', T0), ("d", 8, "gpio", '{"userId": 3, "value": 1}', T0),
-            ("d", 9, "gpio", '{"userId": null, "value": 1}', T0)]
+            ("d", 9, "gpio", '{"userId": null, "value": 1}', T0), ("d", 10, "cloud", '{"a":1} tail', T0),
+            ("d", 11, "cloud", '{"a":1},{"a":2}', T0), ("d", 12, "cloud", '{"v":1e2}', T0),
+            ("d", 13, "cloud", '{"v":[1e2, 15e-1], "s": "1.0,"}', T0)]
     valid, rejected = ST.check_observations(spark.createDataFrame(rows, FX.OBS_SCHEMA))
     assert {r.id: r.reason for r in rejected.collect()} == {
-        1: "segment", 2: "data", 3: "data", 4: "segment", 5: "data", 6: "data"}
+        1: "segment", 2: "data", 3: "data", 4: "segment", 5: "data", 10: "data", 11: "data"}
     assert {r.id: r.data for r in valid.collect()} == {
-        7: '{"value":1}', 8: '{"userId":3,"value":1}', 9: '{"userId":0,"value":1}'}
+        6: '{"a":2}', 12: '{"v":100}', 13: '{"s":"1.0,","v":[100,1.5]}', 7: '{"value":1}', 8: '{"userId":3,"value":1}', 9: '{"userId":0,"value":1}'}
 
 
 def _random_observations(seed, n=400, devices=3):
@@ -70,7 +72,7 @@ def _random_observations(seed, n=400, devices=3):
     return out
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, 1 << 22), (2, 7), (3, 50), (4, 1)])
+@pytest.mark.parametrize("seed,chunk", [(1, None), (2, 7), (3, 50), (4, 1)])
 def test_runs_equal_sequential_model(spark, seed, chunk):
     obs = _random_observations(seed)
     df = spark.createDataFrame(obs, FX.OBS_SCHEMA)
@@ -79,9 +81,26 @@ def test_runs_equal_sequential_model(spark, seed, chunk):
     assert got == collapse(obs)
 
 
-def test_runs_without_materialize(spark):
-    obs = _random_observations(9, n=120)
+def test_sparse_ids_make_no_tiny_chunks(spark, monkeypatch):
+    monkeypatch.setattr(ST, "CHUNK_ROWS", 100)
+    obs = [(d, i << 22, s, data, ts) for d, i, s, data, ts in _random_observations(5, n=300)]
     df = spark.createDataFrame(obs, FX.OBS_SCHEMA)
-    got = {r.id: (r.device_id, r.segment, r.data, r.ts_start, r.ts_end, r.epoch, r.n_obs)
-           for r in ST.collapse_runs(df, chunk_ids=11, materialize=False).collect()}
+    chunks = ST._with_markers(df, None, ("gpio", "connectivity", "cloud", "app")).select("_chunk").distinct().count()
+    assert chunks <= 10
+    got = {r.id: (r.device_id, r.segment, r.data, r.ts_start, r.ts_end, r.epoch, r.n_obs) for r in ST.collapse_runs(df).collect()}
     assert got == collapse(obs)
+
+
+@pytest.mark.parametrize("seed,cut", [(6, 400), (7, 30), (8, 1150)])
+def test_merge_equals_collapse_at_once(spark, seed, cut):
+    obs = _random_observations(seed)
+    early, late = [o for o in obs if o[1] < cut], [o for o in obs if o[1] >= cut]
+    stored = ST.collapse_runs(spark.createDataFrame(early, FX.OBS_SCHEMA))
+    from pyspark.sql import functions as F
+    stored = stored.withColumn("sync", F.create_map(F.lit("cloud"), F.lit(True), F.lit("other"), F.lit(True)))
+    merged = ST.merge_runs(stored, spark.createDataFrame(late, FX.OBS_SCHEMA)).collect()
+    assert {r.id: (r.device_id, r.segment, r.data, r.ts_start, r.ts_end, r.epoch, r.n_obs) for r in merged} == collapse(obs)
+    before = {k: v[-1] for k, v in collapse(early).items()}
+    for r in merged:  # extended runs are sent again, closed ones are not
+        want = {} if r.id not in before else {"other": True} if r.n_obs > before[r.id] else {"cloud": True, "other": True}
+        assert r.sync == want

@@ -33,8 +33,6 @@ def test_mark_synced_and_unknown_ids(table, spark):
     assert out[2] == {"cloud": True} and out[3] == {"cloud": True}
     assert out[1] == {"cloud": True} and out[4] is None and out[6] == {"other": True}
     assert len(out) == 6
-    out = {r.id: r.sync for r in SY.mark_synced(table, acked, broadcast_rows=1).collect()}
-    assert out[2] == {"cloud": True}
 
 
 def test_mark_synced_with_version(table, spark):
@@ -96,8 +94,10 @@ def test_queue_complete(jobs, spark):
     ids = spark.createDataFrame([(1,), (4,)], "id long")
     out = {r.id: r.ts_executed for r in QU.queue_complete(jobs, ids, "2024-01-02 00:00:00").collect()}
     assert out[1] == dt.datetime(2024, 1, 2) and out[4] == dt.datetime(2024, 1, 2) and out[2] is None
-    with pytest.raises(QU.UnknownJobError):
-        QU.queue_complete(jobs, spark.createDataFrame([(42,)], "id long"), "2024-01-02 00:00:00")
+    unknown = spark.createDataFrame([(42,), (None,)], "id long")
+    with pytest.raises(Exception, match="no job with id 42"):
+        QU.queue_complete(jobs, unknown, "2024-01-02 00:00:00").collect()
+    assert QU.queue_complete(jobs, unknown, "2024-01-02 00:00:00", strict=False).count() == 4
 
 
 def test_mark_synced_days(spark, tmp_path):
@@ -132,3 +132,37 @@ def test_pending_from_day(spark, tmp_path):
     full = [r.id for r in SY.pending(t, limit=5).collect()]
     pruned = SY.pending(t, limit=5, from_day=day)
     assert [r.id for r in pruned.collect()] == full == [31, 32, 33, 34, 35]
+
+
+def test_envelope_document_is_bounded(table):
+    env = SY.sync_envelope(SY.pending(table, columns=["id", "mac", "ts"]), SY.pending(table, columns=["id", "mac", "ts"]), ())
+    assert SY.envelope_document(env, 8).count() == 1
+    with pytest.raises(Exception, match="more than 7 rows"):
+        SY.envelope_document(env, 7).collect()
+
+
+def test_pending_keeps_rows_of_no_day(spark):
+    df = spark.createDataFrame([(1, None, {}), (2, dt.date(2024, 1, 5), {}), (3, dt.date(2024, 1, 1), {"cloud": True})],
+                               "id long, day date, sync map<string,boolean>")
+    assert [r.id for r in SY.pending(df, from_day="2024-01-05").collect()] == [1, 2]
+
+
+def test_reply(table, spark):
+    reply = spark.createDataFrame([("measurements", '[{"id": 2}, {"id": 99}]'), ("logState", '{"id": 4} tail')], "source string, reply string")
+    done = SY.apply_reply(200, reply, {"measurements": table, "logState": table})
+    assert {r.id for r in done["measurements"].collect() if (r.sync or {}).get("cloud")} == {1, 2, 5}
+    assert {r.id for r in done["logState"].collect() if (r.sync or {}).get("cloud")} == {1, 5}
+    for status in (0, 404, 500):
+        same = SY.apply_reply(status, reply, {"measurements": table})["measurements"]
+        assert {r.id: r.sync for r in same.collect()} == {r.id: r.sync for r in table.collect()}
+
+
+def test_ingest_to_pending_to_ack(spark):
+    from fieldsense.operators import ingest as IN
+    from fieldsense.sources import fixtures as FX
+    rows = IN.reshape_batches(IN.validate_batches(FX.ingest_batches(spark))[0], "2024-01-31 00:00:00")
+    first = SY.pending(rows, limit=4, columns=SY.MEASUREMENT_COLUMNS).collect()
+    assert len({r.id for r in first}) == 4 and first == SY.pending(rows, limit=4, columns=SY.MEASUREMENT_COLUMNS).collect()
+    after = SY.mark_synced(rows, spark.createDataFrame([(r.id,) for r in first], "id long"))
+    left = SY.pending(after, limit=None, columns=SY.MEASUREMENT_COLUMNS).collect()
+    assert len(left) == 6 and not {r.id for r in first} & {r.id for r in left}
