@@ -109,9 +109,8 @@ def _advance(key, batches, state):
 
 
 def state_runs_stream(observations: DataFrame) -> DataFrame:
-    """Streaming observations -> run upserts. Invalid rows are dropped here
-    (route them with ``check_observations`` in ``foreachBatch`` to keep
-    them). Sorting happens inside each group, since arrival order within a
+    """Streaming observations -> run upserts of the valid ones; the others are
+    the stream of ``rejected_stream``. Sorting happens inside each group, since arrival order within a
     micro-batch is not guaranteed."""
     valid, _ = check_observations(observations)
     ts_type = observations.schema["ts"].dataType
@@ -121,6 +120,11 @@ def state_runs_stream(observations: DataFrame) -> DataFrame:
                                     GroupStateTimeout.NoTimeout))
 
 
+def rejected_stream(observations: DataFrame) -> DataFrame:
+    """The observations that ``state_runs_stream`` doesn't take, with the reason."""
+    return check_observations(observations)[1]
+
+
 def latest_versions(updates: DataFrame) -> DataFrame:
     """Fold run upserts into the current run table (latest version per run)."""
     return (updates.groupBy("device_id", "id")

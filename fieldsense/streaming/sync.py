@@ -11,7 +11,7 @@ from .. import schemas as S
 from ..operators.readings import LEGACY_CLOSED, Bounds, aggregate_and_mark, mark_used, mark_used_days
 from ..session import cut_lineage
 from ..sources.tables import overwrite_partitions
-from ..operators.sync import (AGGREGATE_COLUMNS, MEASUREMENT_COLUMNS, STATE_COLUMNS, envelope_document,
+from ..operators.sync import (AGGREGATE_COLUMNS, MEASUREMENT_COLUMNS, STATE_COLUMNS, apply_reply, envelope_document,
                               pending, sync_envelope)
 
 
@@ -24,9 +24,11 @@ def sync_tick(measurements: DataFrame, log_state: DataFrame, outbox_dir: str, ti
     watermark of ``pending``) limits the measurement scan to recent days."""
     env = sync_envelope(pending(measurements, limit=limit, columns=MEASUREMENT_COLUMNS, from_day=from_day),
                         pending(log_state, limit=limit, columns=STATE_COLUMNS))
-    if env.isEmpty():
+    document = envelope_document(env, 2 * limit).first()  # one document of 2 * limit rows at most
+    if document is None:
         return False
-    envelope_document(env).coalesce(1).write.mode("overwrite").text(f"{outbox_dir}/tick={tick_id}")
+    spark = measurements.sparkSession
+    spark.createDataFrame([tuple(document)], "document string").write.mode("overwrite").text(f"{outbox_dir}/tick={tick_id}")
     return True
 
 
@@ -42,44 +44,79 @@ def tick_stream(spark: SparkSession, action: Callable[[int], None], checkpoint:
 
 def sync_stream(spark: SparkSession, load_measurements: Callable[[], DataFrame],
                 load_state: Callable[[], DataFrame], outbox_dir: str, checkpoint: str,
-                interval: str = "5 minutes", limit: int = S.DEFAULT_SYNC_LIMIT) -> StreamingQuery:
-    """Periodic sync: each tick re-reads both tables and ships what is pending."""
-    return tick_stream(spark, lambda i: sync_tick(load_measurements(), load_state(), outbox_dir, i, limit),
-                       checkpoint, interval)
+                interval: str = "5 minutes", limit: int = S.DEFAULT_SYNC_LIMIT,
+                from_day: Callable[[], object] | None = None) -> StreamingQuery:
+    """Periodic sync: each tick re-reads both tables and ships what is pending.
+    ``from_day`` gives each tick's day watermark (see ``oldest_pending_day``)."""
+    return tick_stream(spark, lambda i: sync_tick(load_measurements(), load_state(), outbox_dir, i, limit,
+                                                  from_day() if from_day else None), checkpoint, interval)
+
+
+def ack_tick(reply: DataFrame, tables: dict[str, DataFrame], dirs: dict[str, str], tick_id: int, status: int) -> bool:
+    """The answer to the message of ``tick_id``: with status 200 each table is
+    written anew, acknowledged rows flagged, to ``dirs[name]/v=<tick>``; with any
+    other nothing is written. Returns whether it was."""
+    if status != 200:
+        return False
+    for name, table in apply_reply(status, reply, tables).items():
+        table.write.mode("overwrite").parquet(f"{dirs[name]}/v={tick_id}")
+    return True
 
 
 def notify_stream(spark: SparkSession, agg_dir: str, schema, outbox_dir: str, checkpoint: str,
-                  load_aggregates: Callable[[], DataFrame], limit: int = 100,
+                  load_aggregates: Callable[[], DataFrame], limit: int,
                   debounce: str = "5 seconds", trigger: dict | None = None) -> StreamingQuery:
     """Change notification on the aggregate table: new files in ``agg_dir``
-    trigger (at most once per ``debounce``) shipping the oldest ``limit``
-    pending aggregates to ``outbox_dir/batch=<id>``."""
+    trigger (at most once per ``debounce``) shipping all pending aggregates, in
+    messages of ``limit`` rows in the order of their ids, to
+    ``outbox_dir/batch=<id>/message=<n>``."""
     def on_batch(df: DataFrame, i: int) -> None:
         if df.isEmpty():
             return
-        out = pending(load_aggregates(), limit=limit, columns=AGGREGATE_COLUMNS)
-        if not out.isEmpty():
-            out.write.mode("overwrite").json(f"{outbox_dir}/batch={i}")
+        left, n = load_aggregates(), 0
+        while rows := pending(left, limit=limit, columns=AGGREGATE_COLUMNS).collect():  # one message
+            spark.createDataFrame(rows, left.select(*AGGREGATE_COLUMNS).schema).coalesce(1) \
+                .write.mode("overwrite").json(f"{outbox_dir}/batch={i}/message={n}")
+            left, n = left.where(left["id"] > rows[-1]["id"]), n + 1
 
     return (spark.readStream.schema(schema).parquet(agg_dir).writeStream
             .foreachBatch(on_batch).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": debounce})).start())
 
 
+def _done(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has been committed."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _kept_as_of(spark: SparkSession, path: str, as_of) -> str:
+    """The time of the tick's first try, kept as text."""
+    if not _done(spark, path):
+        spark.createDataFrame([(str(as_of),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return spark.read.text(path).first()["value"]
+
+
 def aggregate_tick(measurements: DataFrame, agg_dir: str, marked_dir: str, tick_id: int, as_of,
                    window_minutes: int, bounds: Bounds = LEGACY_CLOSED, day_col: str = "day") -> None:
-    """One run of the trailing aggregate at ``as_of`` (the trigger time): the
-    aggregates are appended to ``agg_dir``, then the consumed flags are
-    written (both from the same ``as_of``; aggregates first, so a failed tick
-    leaves the flags untouched and is simply run again).
+    """One run of the trailing aggregate: the aggregates go to
+    ``agg_dir/tick=<id>``, then the consumed flags are written. The first try
+    of a tick keeps its ``as_of`` in ``agg_dir/_as_of/tick=<id>``; a replay takes
+    that and overwrites the tick's own folder, so it repeats the same run and
+    no reading counts twice, wherever the first try failed.
 
     When the measurements carry a ``day_col`` partition column, ``marked_dir``
     is that day-partitioned table and only the days of the window are
     rewritten (dynamic partition overwrite); otherwise the whole marked table
     is written as a new version ``marked_dir/v=<tick>``."""
-    aggs, _ = aggregate_and_mark(measurements, as_of, window_minutes, bounds)
-    aggs.write.mode("append").parquet(agg_dir)
-    if day_col in measurements.columns:
+    spark = measurements.sparkSession
+    as_of = _kept_as_of(spark, f"{agg_dir}/_as_of/tick={tick_id}", as_of)
+    by_day = day_col if day_col in measurements.columns else None
+    if not _done(spark, f"{agg_dir}/tick={tick_id}"):
+        aggs, _ = aggregate_and_mark(measurements, as_of, window_minutes, bounds, day_col=by_day, run_id=tick_id)
+        aggs.write.mode("overwrite").parquet(f"{agg_dir}/tick={tick_id}")
+    if by_day:
         changed = cut_lineage(mark_used_days(measurements, as_of, window_minutes, bounds))
         overwrite_partitions(changed, marked_dir, [day_col])
     else:
@@ -92,10 +129,9 @@ def aggregate_stream(spark: SparkSession, load_measurements: Callable[[], DataFr
                      bounds: Bounds = LEGACY_CLOSED, interval: str = "30 minutes") -> StreamingQuery:
     """Periodic trailing aggregate: every ``interval`` aggregate what the
     last ``window_minutes`` brought, with the trigger time as ``as_of``."""
-    import datetime as _dt
-
     def run(i: int) -> None:
-        now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None, microsecond=0)
+        # wall-clock text of the session zone, which is how time literals are read
+        now = spark.sql("SELECT date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss') AS t").first()["t"]
         aggregate_tick(load_measurements(), agg_dir, marked_dir, i, now, window_minutes, bounds)
 
     return tick_stream(spark, run, checkpoint, interval)

@@ -48,8 +48,8 @@ def test_notify_stream(spark):
                       lambda: spark.read.parquet(agg_dir + "/part"), limit=2,
                       trigger={"availableNow": True})
     q.awaitTermination(300)
-    shipped = spark.read.json(out)
-    assert sorted(r.id for r in shipped.collect()) == [1, 3]
+    shipped = spark.read.json(out).collect()
+    assert sorted((r.message, r.id) for r in shipped) == [(0, 1), (0, 3), (1, 5)]
 
 
 def test_tick_stream(spark):
@@ -87,3 +87,83 @@ def test_aggregate_tick_day_partitions(spark):
     after = spark.read.parquet(table)
     assert after.count() == 54
     assert after.where("agg").count() == sum(r.n for r in spark.read.parquet(agg_dir).collect()) > 0
+
+
+def test_aggregate_tick_failing_between_its_writes(spark, monkeypatch):
+    from fieldsense.operators import readings as R
+    from fieldsense.streaming import aggregate_tick, sync
+    agg_dir, marked_dir = tempfile.mkdtemp(prefix="fs-"), tempfile.mkdtemp(prefix="fs-")
+    m = FX.readings(spark)
+
+    def fail(*a, **k):
+        raise OSError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(sync, "mark_used", fail)
+        try:
+            aggregate_tick(m, agg_dir, marked_dir, 0, "2016-09-03 00:00:00", 3 * 24 * 60, R.LEGACY_CLOSED)
+        except OSError:
+            pass
+    # the replay comes later, and yet repeats the same run
+    aggregate_tick(m, agg_dir, marked_dir, 0, "2016-09-09 00:00:00", 3 * 24 * 60, R.LEGACY_CLOSED)
+    rows = spark.read.parquet(f"{agg_dir}/tick=0").collect()
+    assert sum(r.n for r in rows) == 53 and len({r.id for r in rows}) == len(rows)
+    assert spark.read.parquet(f"{marked_dir}/v=0").where("agg").count() == 53
+
+
+def test_ack_tick(spark):
+    from fieldsense.streaming import ack_tick
+    table = tempfile.mkdtemp(prefix="fs-")
+    reply = spark.createDataFrame([("measurements", '[{"id": 1}, {"id": 2}]')], "source string, reply string")
+    assert not ack_tick(reply, {"measurements": FX.readings(spark)}, {"measurements": table}, 0, 503)
+    assert ack_tick(reply, {"measurements": FX.readings(spark)}, {"measurements": table}, 1, 200)
+    assert spark.read.parquet(f"{table}/v=1").where("sync['cloud']").count() == 2
+
+
+def test_rejected_stream(spark):
+    from fieldsense.streaming import rejected_stream
+    rows = spark.createDataFrame([("d", 1, "x", "{}", T0), ("d", 2, "gpio", '{"a":1}', T0)], FX.OBS_SCHEMA)
+    assert [(r.id, r.reason) for r in rejected_stream(rows).collect()] == [(1, "segment")]
+
+
+def test_queue_and_aggregate_views(spark):
+    jobs = spark.createDataFrame([(1, "irrigation_on", T0, 30, None), (2, "irrigation_on", T0, 1, T0)],
+                                 "id long, job_type string, ts_created timestamp_ntz, delay int, ts_executed timestamp_ntz")
+    aggs = spark.createDataFrame([(1, "m", 1, "t", None, 1.0, 0.0, 1, T0, None, False)],
+                                 "id long, mac string, sid short, type string, description string, avg float, stddev float, "
+                                 "n long, ts timestamp_ntz, battery short, sync boolean")
+    register_views(spark, queue=jobs, aggregates=aggs, as_of="2024-01-01 00:10:00")
+    assert [tuple(r) for r in spark.sql("SELECT id, time_to_finish FROM pending_queue").collect()] == [(1, 20)]
+    assert spark.sql("SELECT count(*) AS n FROM sync_agg").first().n == 1
+
+
+def test_stored_tables(spark, tmp_path):
+    from fieldsense.schemas import MEASUREMENTS, OBSERVATIONS, QUEUE
+    from fieldsense.sources import tables as TB
+    m = FX.readings(spark).selectExpr("* EXCEPT (ts)", "cast(ts AS timestamp) AS ts")
+    TB.append(m, str(tmp_path / "a"))
+    TB.append(m, str(tmp_path / "a"))
+    assert TB.read_table(spark, str(tmp_path / "a"), MEASUREMENTS).count() == 108
+    TB.write_measurements(m, str(tmp_path / "m"))
+    assert TB.read_measurements(spark, str(tmp_path / "m")).count() == 54
+    TB.write_version(m.limit(3), str(tmp_path / "t" / "v=1"), partition_by=["type"])
+    assert spark.read.parquet(str(tmp_path / "t" / "v=1")).count() == 3
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "x.json").write_text('{"device_id": "d", "id": 1, "segment": "gpio", "data": "{}", "ts": "2024-01-01T00:00:00Z"}\n')
+    assert TB.read_observations(spark, str(tmp_path / "o")).first().id == 1
+    assert TB.read_json_lines(spark, str(tmp_path / "o"), OBSERVATIONS).count() == 1
+    spark.createDataFrame([], QUEUE).write.parquet(str(tmp_path / "q"))
+    assert TB.read_table(spark, str(tmp_path / "q"), QUEUE).count() == 0
+
+
+def test_outliers_and_retention(spark):
+    from pyspark.sql import functions as F
+
+    from fieldsense.operators import readings as R
+    m = FX.readings(spark)
+    kept, out = R.filter_readings(m, R.STRICT_60, sort=False), R.outliers(m, R.STRICT_60)
+    assert kept.count() + out.count() == 54 and kept.select("id").intersect(out.select("id")).count() == 0
+    sent = m.withColumn("sync", F.create_map(F.lit("cloud"), F.col("id") <= 20))
+    left = R.retain(sent, "2016-09-30 00:00:00", 60)
+    assert sorted(r.id for r in left.collect()) == list(range(21, 55))
+    assert R.retain(sent, "2016-09-30 00:00:00", 60 * 24 * 60).count() == 54
