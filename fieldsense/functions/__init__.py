@@ -1,14 +1,14 @@
 """Column-level building blocks (pure ``pyspark.sql.functions`` expressions)."""
 
 from .flags import drop_flag, empty_flags, is_pending, set_flag
-from .jsonfn import canonical_json, key_count, object_key_count, with_default_key
-from .numeric import round_numeric, round_to_short
-from .timefn import bucket_start, day_start, hours, is_ntz, micros_between, minutes, ts_literal
+from .jsonfn import canonical_json, canonical_variant, object_key_count, whole_json, whole_variant, with_default_key
+from .numeric import finite_number, integer_in, real_number, round_numeric, round_to_short
+from .timefn import bucket_start, day_range, day_start, hours, is_ntz, micros_between, minutes, ts_literal, utc_day
 
 __all__ = [
-    "bucket_start", "canonical_json", "day_start", "drop_flag", "empty_flags", "hours",
-    "is_ntz", "is_pending", "key_count", "object_key_count", "micros_between", "minutes", "round_numeric",
-    "round_to_short", "set_flag", "ts_literal", "with_default_key",
+    "bucket_start", "canonical_json", "canonical_variant", "day_range", "day_start", "drop_flag", "empty_flags", "finite_number", "hours", "integer_in",
+    "is_ntz", "is_pending", "object_key_count", "micros_between", "minutes", "real_number", "round_numeric",
+    "round_to_short", "set_flag", "ts_literal", "utc_day", "whole_json", "whole_variant", "with_default_key",
 ]
 
 

@@ -6,17 +6,39 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A JSON string, or the whole part of a number that a double prints as ``n.0``.
+_WHOLE_DOUBLE = r'("(?:[^"\\]|\\.)*")|(-?\d+)\.0(?=[,\]}])'
+
+
+def canonical_variant(v: Column) -> Column:
+    """Canonical text of a VARIANT: keys sorted, numbers normalised (1.0 and
+    1e0 -> 1; exponents beyond what a double prints plainly are kept),
+    strings kept apart from numbers ("1" vs 1)."""
+    return F.regexp_replace(F.to_json(v), F.lit(_WHOLE_DOUBLE), F.lit("$1$2"))
+
+
 def canonical_json(text: Column) -> Column:
-    """Canonical text of a JSON document: keys sorted, numbers normalised
-    (1.0 -> 1), strings kept apart from numbers ("1" vs 1). Two documents are
-    equal as jsonb exactly when their canonical texts are equal. Invalid JSON
-    and objects with duplicate keys give NULL."""
-    return F.to_json(F.try_parse_json(text))
+    """Canonical text of a JSON document; NULL for a text that is not one JSON value."""
+    return canonical_variant(whole_variant(text))
 
 
-def key_count(text: Column) -> Column:
-    """Number of top-level keys; NULL when ``text`` is not a JSON object."""
-    return F.size(F.json_object_keys(text))
+def whole_json(text: Column, schema: str) -> Column:
+    """``from_json`` of a text that is one JSON value and nothing else, else
+    NULL. The parser stops after the first value; put before a second one in
+    an array, the text must end exactly where its value does."""
+    ddl = schema if isinstance(schema, str) else schema.simpleString()
+    pair = F.from_json(F.concat(F.lit("["), text, F.lit(",null]")), f"array<{ddl}>")
+    return F.when(F.size(pair) == 2, F.get(pair, F.lit(0)))
+
+
+def whole_variant(text: Column) -> Column:
+    """The same as a VARIANT. An object with repeated keys keeps the last of
+    each, as jsonb does."""
+    pair = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]"))), "$", "array<variant>")
+    value = F.when(F.size(pair) == 2, F.get(pair, F.lit(0)))
+    entries = F.map_entries(whole_json(text, "map<string,variant>"))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+    return F.coalesce(value, F.when(F.ltrim(text).startswith("{"), F.try_parse_json(F.to_json(F.map_from_entries(last)))))
 
 
 def object_key_count(v: Column) -> Column:
@@ -24,25 +46,11 @@ def object_key_count(v: Column) -> Column:
     return F.size(F.try_variant_get(v, "$", "map<string,variant>"))
 
 
-def with_default_key(text: Column, key: str, default_json: str, parsed: Column | None = None) -> Column:
-    """Add ``key: default`` to a JSON object when the key is absent or JSON
-    null (``jsonb_set`` when ``->>key`` is NULL); canonical text out.
-
-    ``parsed`` may pass ``try_parse_json(text)`` computed once upstream. The
-    common case (key absent) splices the pair into the text and parses once
-    more; only an explicit JSON null takes the slower map rewrite."""
-    v = F.try_parse_json(text) if parsed is None else parsed
+def with_default_key(v: Column, key: str, default_json: str) -> Column:
+    """Add ``key: default`` to a JSON object (VARIANT) when the key is absent
+    or JSON null (``jsonb_set`` when ``->>key`` is NULL); canonical text out."""
     current = F.try_variant_get(v, f"$.{key}", "variant")
-    body = F.trim(text)
-    head = F.lit('{"' + key + '":' + default_json)
-    spliced = F.when(body.rlike(r"^\{\s*\}$"), F.concat(head, F.lit("}"))) \
-        .otherwise(F.concat(head, F.lit(","), F.substring(body, 2, 1 << 30)))
-    as_map = F.from_json(text, "map<string,variant>")
-    patched = F.map_concat(
-        F.map_filter(as_map, lambda k, v_: k != F.lit(key)),
-        F.create_map(F.lit(key), F.parse_json(F.lit(default_json))),
-    )
-    return (F.when(v.isNull(), F.lit(None).cast("string"))
-            .when(current.isNull(), canonical_json(spliced))
-            .when(F.is_variant_null(current), canonical_json(F.to_json(patched)))
-            .otherwise(F.to_json(v)))
+    others = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: k != F.lit(key))
+    patched = F.map_concat(others, F.create_map(F.lit(key), F.parse_json(F.lit(default_json))))
+    return (F.when(current.isNull() | F.is_variant_null(current), canonical_variant(F.try_parse_json(F.to_json(patched))))
+            .otherwise(canonical_variant(v)))

@@ -20,3 +20,26 @@ def round_to_short(col: Column) -> Column:
     """``x::smallint`` of a fractional value: round half away from zero
     (a bare cast would truncate)."""
     return F.round(col.cast("double")).cast("smallint")
+
+
+#: Decimal notation with an optional exponent; no suffixes, hex forms or names.
+_DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_REAL_MAX = 3.4028235677973366e38
+
+
+def finite_number(text: Column) -> Column:
+    """The number that a text writes in decimal notation, if finite, else NULL."""
+    d = F.when(text.rlike(_DECIMAL), F.trim(text).try_cast("double"))
+    return F.when(F.abs(d) != F.lit(float("inf")), d)
+
+
+def real_number(text: Column) -> Column:
+    """The same, if a 4-byte float holds it without becoming infinite."""
+    d = finite_number(text)
+    return F.when(F.abs(d) < F.lit(_REAL_MAX), d)
+
+
+def integer_in(text: Column, low: int, high: int) -> Column:
+    """The whole number that a text writes, if within ``low`` and ``high``, else NULL."""
+    d = finite_number(text)
+    return F.when((d == F.floor(d)) & (d >= low) & (d <= high), d)

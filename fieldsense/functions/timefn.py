@@ -58,3 +58,22 @@ def bucket_start(ts: Column, n_hours: int, ntz: bool) -> Column:
 def micros_between(start: Column, end: Column) -> Column:
     """Exact microseconds from ``start`` to ``end`` (both same timestamp kind)."""
     return F.timestamp_diff("MICROSECOND", start, end)
+
+
+def utc_day(ts: Column, ntz: bool) -> Column:
+    """The date that stored tables are partitioned by: that of ``ts`` in UTC
+    (of the wall clock for NTZ), whatever the session zone."""
+    if ntz:
+        return ts.cast("date")
+    return F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))
+
+
+def day_range(day: Column, start: Column | None, end: Column | None, ntz: bool) -> Column:
+    """Partitions that can hold times from ``start`` to ``end``, with a day of
+    slack on either side; rows without a day are kept."""
+    pred = F.lit(True)
+    if start is not None:
+        pred = pred & (day >= F.date_sub(utc_day(start, ntz), 1))
+    if end is not None:
+        pred = pred & (day <= F.date_add(utc_day(end, ntz), 1))
+    return pred | day.isNull()

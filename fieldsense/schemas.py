@@ -1,7 +1,7 @@
 """Explicit schemas, enum sets and preset bounds of the telemetry tables.
 
-Nothing is ever inferred: every reader and decoder in the package takes one
-of these ``StructType`` objects.
+Readers and decoders of telemetry take one of these ``StructType`` objects; only
+the supplied test tables (``sources.adapters``) come with the schema of their files.
 """
 
 from __future__ import annotations
@@ -114,17 +114,18 @@ QUEUE = T.StructType([
     T.StructField("sync", SYNC_MAP, True),
 ])
 
-# raw ingest batch as it arrives: every leaf is read as text so that bad
-# values can be told apart from absent ones (from_json would silently NULL them)
+# raw ingest batch as it arrives: leaves are read as text, so that bad values
+# can be told apart from absent ones (from_json would silently NULL them), or
+# as VARIANT where only a JSON string will do
 RAW_ITEM = T.StructType([
     T.StructField("sid", T.StringType(), True),
     T.StructField("value", T.StringType(), True),
     T.StructField("type", T.StringType(), True),
-    T.StructField("desc", T.StringType(), True),
+    T.StructField("desc", T.VariantType(), True),
     T.StructField("battery", T.StringType(), True),
 ])
 RAW_BATCH = T.StructType([
-    T.StructField("mac", T.StringType(), True),
+    T.StructField("mac", T.VariantType(), True),
     T.StructField("battery", T.StringType(), True),
     T.StructField("data", T.ArrayType(RAW_ITEM), True),
 ])

@@ -27,6 +27,9 @@ EVENTS_START = "2024-01-01 00:00:00"
 EVENTS_END = "2024-01-30 00:00:00"
 EVENTS_LEGACY = Bounds({"view": (1.0, 60.0), "click": (2.0, 101.0)}, other=None, closed=True)
 
+MERGE_AT = 5_000  # observations of smaller ids are stored before the others come
+# one in so many batches, observations, jobs and inserts is spoilt in each of the ways below
+SPOILT_BATCHES, SPOILT_OBSERVATIONS, SPOILT_JOBS, SPOILT_INSERTS = 40, 29, 31, 37
 BATCH_SPAN = 64  # consecutive event ids that may share one ingest batch
 
 
@@ -103,7 +106,9 @@ def _reading_type() -> Column:
 def raw_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingest requests: the readings of one device within a span of
     ``BATCH_SPAN`` consecutive event ids form one batch (bounded size).
-    ``error`` events keep their own type and so reject their batch."""
+    ``error`` events keep their own type and so reject their batch. Some
+    batches, by user and span, are spoilt in one of twelve ways, so that every
+    reason for a reject occurs (twin: ``plans.oracle.BATCHES``)."""
     ev = events(spark, sf_dir, spread=True)
     k = _k()
     item = F.struct(
@@ -120,13 +125,30 @@ def raw_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
                .agg(F.array_sort(F.collect_list(item)).alias("items")))
     data = F.transform("items", lambda x: x.dropFields("_order"))
     raw = F.to_json(F.struct(F.col("user_id").cast("string").alias("mac"), data.alias("data")))
-    return grouped.select("batch_id", raw.alias("raw"))
+    kind = (F.col("user_id") + F.element_at(F.split("batch_id", "-"), -1).cast("bigint")) % SPOILT_BATCHES
+    r = F.col("raw")
+    spoilt = {0: F.concat(r, F.lit(" xyz")), 1: F.concat(r, F.lit(","), r), 2: F.concat(F.lit("["), r, F.lit("]")),
+              3: F.regexp_replace(r, r'"mac":"(\d+)"', '"mac":{"x":$1}'), 4: F.regexp_replace(r, r'"mac":"(\d+)"', '"mac":$1'),
+              5: F.regexp_replace(r, r'"mac":"\d+"', '"mac":""'), 6: F.regexp_replace(r, r'^\{', '{"battery":"5d",'),
+              7: F.regexp_replace(r, r'"data":\[.*\]', '"data":[]'), 8: F.regexp_replace(r, r'"sid":\d+', '"sid":"1f"'),
+              9: F.regexp_replace(r, r'"value":[-+0-9.E]+', '"value":"0x1p3"'),
+              10: F.regexp_replace(r, r'"value":[-+0-9.E]+', '"value":1e300'), 11: F.replace(r, F.lit('"desc":"d"'), F.lit('"desc":{"a":1}'))}
+    return _spoil(grouped.select("batch_id", raw.alias("raw"), kind.alias("_kind")), spoilt)
+
+
+def _spoil(df, ways: dict):
+    """``raw`` changed as ``ways`` says for the row's ``_kind``."""
+    out = F.col("raw")
+    for k, changed in ways.items():
+        out = F.when(F.col("_kind") == k, changed).otherwise(out)
+    return df.withColumn("raw", out).drop("_kind")
 
 
 def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State observations: signup = app restart; error events with k >= 95 get
     an unknown segment and with 90 <= k < 95 an empty data object (rejects);
-    the rest go to gpio / connectivity / cloud by k % 3."""
+    the rest go to gpio / connectivity / cloud by k % 3. By id, some data
+    have text after the document, an exponent, or a repeated key."""
     ev = events(spark, sf_dir, spread=True)
     k = _k()
     bit = (k % 2).cast("string")
@@ -140,6 +162,10 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(is_err & (k >= 90) & (k < 95), F.lit("{}"))
             .when(by_k == "gpio", F.concat(F.lit('{"pin": 7, "value": '), bit, F.lit("}")))
             .otherwise(F.concat(F.lit('{"value": '), bit, F.lit("}"))))
+    kind = F.col("event_id") % SPOILT_OBSERVATIONS
+    data = (F.when(kind == 0, F.concat(data, F.lit(" tail")))
+            .when(kind == 1, F.regexp_replace(data, r'"value": ([01])\}', '"value": $1e0}'))
+            .when(kind == 2, F.regexp_replace(data, r'^\{', '{"value": 9, ')).otherwise(data))
     return ev.select(F.col("user_id").cast("string").alias("device_id"),
                      F.col("event_id").alias("id"), segment.alias("segment"),
                      data.alias("data"), F.col("ts"))
@@ -168,7 +194,8 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queue insert requests: job_type missing for unspecified priority and
     unknown ('irrigation_pause') for low-priority pending orders; no delay for
-    finished orders."""
+    finished orders. By key, some have text after the document, two documents,
+    or a delay that is no decimal number."""
     o = orders(spark, sf_dir, spread=True)
     p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
     jt = (F.when(p == "4-NOT SPECIFIED", F.lit(None).cast("string"))
@@ -176,13 +203,17 @@ def raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
           .otherwise(_job_type(p)))
     delay = F.when(s == "F", F.lit(None).cast("long")).otherwise(F.col("o_custkey"))
     raw = F.to_json(F.struct(jt.alias("job_type"), delay.alias("delay")))
-    return o.select(F.col("o_orderkey").alias("id"), raw.alias("raw"))
+    r = F.col("raw")
+    return _spoil(o.select(F.col("o_orderkey").alias("id"), raw.alias("raw"), (F.col("o_orderkey") % SPOILT_JOBS).alias("_kind")),
+                  {0: F.concat(r, F.lit(" x")), 1: F.regexp_replace(r, r'"delay":\d+', '"delay":"5d"'), 2: F.concat(r, F.lit(","), r)})
 
 
 def raw_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct insert documents, one per event: the table's own keys plus
     ignored extra ones; signup events come as a one-element array, error
-    events lack ``sid`` (a NOT NULL column, so their document is refused)."""
+    events lack ``sid`` (a NOT NULL column, so their document is refused).
+    By id, some documents are followed by text or by another document, or have
+    a value of the wrong kind."""
     ev = events(spark, sf_dir, spread=True)
     k = _k()
     obj = F.struct(
@@ -196,4 +227,8 @@ def raw_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("extra").alias("desc"),
     )
     doc = F.when(F.col("event_type") == "signup", F.to_json(F.array(obj))).otherwise(F.to_json(obj))
-    return ev.select(F.col("event_id").alias("req"), doc.alias("raw"))
+    r = F.col("raw")
+    return _spoil(ev.select(F.col("event_id").alias("req"), doc.alias("raw"), (F.col("event_id") % SPOILT_INSERTS).alias("_kind")),
+                  {0: F.concat(r, F.lit(" tail")), 1: F.concat(r, F.lit(","), r), 2: F.concat(r, F.lit(" ]garbage")),
+                   3: F.regexp_replace(r, r'"mac":"(\d+)"', '"mac":$1'), 4: F.regexp_replace(r, r'"val":[-+0-9.E]+', '"val":"10d"'),
+                   5: F.regexp_replace(r, r'"val":[-+0-9.E]+', '"val":1e300'), 6: F.regexp_replace(r, r'"battery":\d+', '"battery":"0x1"')})

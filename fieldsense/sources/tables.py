@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import is_ntz, utc_day
+
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
                fmt: str = "parquet") -> DataFrame:
@@ -41,9 +44,8 @@ def write_version(df: DataFrame, path: str, partition_by=None, fmt: str = "parqu
 
 
 def with_day(df: DataFrame, ts: str = "ts", day_col: str = "day") -> DataFrame:
-    """Add the ``day`` partition column (date of ``ts``)."""
-    from pyspark.sql import functions as F
-    return df if day_col in df.columns else df.withColumn(day_col, F.to_date(F.col(ts)))
+    """Add the ``day`` partition column: the date of ``ts`` in UTC."""
+    return df.withColumn(day_col, utc_day(F.col(ts), is_ntz(df, ts)))
 
 
 def write_measurements(df: DataFrame, path: str, mode: str = "append") -> None:

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fieldsense.functions import bucket_start, canonical_json, round_numeric, set_flag, with_default_key
+from fieldsense.functions import bucket_start, canonical_json, drop_flag, round_numeric, set_flag, whole_variant, with_default_key
 
 scalars = st.one_of(st.none(), st.booleans(), st.integers(-10**6, 10**6),
                     st.text(alphabet="abcxyz _-", max_size=5))
@@ -37,7 +37,7 @@ def test_default_key_matches_python(spark, docs):
         return _canon(d)
     rows = [(i, json.dumps(d)) for i, d in enumerate(docs)]
     df = spark.createDataFrame(rows, "i int, data string")
-    got = {r.i: r.c for r in df.select("i", with_default_key(F.col("data"), "userId", "0").alias("c")).collect()}
+    got = {r.i: r.c for r in df.select("i", with_default_key(whole_variant(F.col("data")), "userId", "0").alias("c")).collect()}
     assert got == {i: expect(d) for i, d in enumerate(docs)}
 
 
@@ -54,3 +54,17 @@ def test_set_flag_replaces_key(spark):
     df = spark.createDataFrame([({"cloud": False, "x": True},), (None,)], "m map<string,boolean>")
     out = [r.m for r in df.select(set_flag(F.col("m"), "cloud", True).alias("m")).collect()]
     assert out == [{"x": True, "cloud": True}, {"cloud": True}]
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.integers(-10**6, 10**6), min_size=20, max_size=40))
+def test_number_forms_are_one(spark, numbers):
+    rows = [(n, f) for n in numbers for f in (f"{n}", f"{n}.0", f"{n}e0", f"{n}0e-1" if n else "0e5")]
+    df = spark.createDataFrame([(n, f'{{"v": {f}, "s": "{f},"}}', f) for n, f in rows], "n long, data string, f string")
+    for r in df.select("n", "f", canonical_json(F.col("data")).alias("c")).collect():
+        assert r.c == f'{{"s":"{r.f},","v":{r.n}}}'
+
+
+def test_drop_flag(spark):
+    df = spark.createDataFrame([({"cloud": True, "x": True},), ({"x": None},), (None,)], "m map<string,boolean>")
+    assert [r.m for r in df.select(drop_flag(F.col("m"), "cloud").alias("m")).collect()] == [{"x": True}, {"x": None}, None]

@@ -40,16 +40,28 @@ BAD = {
     "data_object": ({"mac": "m", "data": {"sid": 1, "value": 1, "type": "t"}}, "data"),
     "item_battery": ({"mac": "m", "data": [{"sid": 1, "value": 1, "type": "t", "battery": "x"}]}, "battery"),
     "value_inf": ({"mac": "m", "data": [{"sid": 1, "value": "Infinity", "type": "t"}]}, "value"),
+    "sid_float_suffix": ({"mac": "m", "data": [{"sid": "1f", "value": 1, "type": "t"}]}, "sid"),
+    "value_suffix": ({"mac": "m", "data": [{"sid": 1, "value": "10d", "type": "t"}]}, "value"),
+    "value_hex": ({"mac": "m", "data": [{"sid": 1, "value": "0x1p3", "type": "t"}]}, "value"),
+    "value_no_float": ({"mac": "m", "data": [{"sid": 1, "value": 1e300, "type": "t"}]}, "value"),
+    "mac_number": ({"mac": 5, "data": [{"sid": 1, "value": 1, "type": "t"}]}, "mac"),
+    "mac_object": ({"mac": {"x": 1}, "data": [{"sid": 1, "value": 1, "type": "t"}]}, "mac"),
+    "desc_object": ({"mac": "m", "data": [{"sid": 1, "value": 1, "type": "t", "desc": {"x": 1}}]}, "desc"),
+    "desc_number": ({"mac": "m", "data": [{"sid": 1, "value": 1, "type": "t", "desc": 3}]}, "desc"),
     "sid_bool": ({"mac": "m", "data": [{"sid": True, "value": 1, "type": "t"}]}, "sid"),
 }
 
 
+OK = '{"mac": "m", "data": [{"sid": 1, "value": 1, "type": "t"}]}'
+NOT_ONE = {"tail": OK + " xyz", "two": OK + "," + OK, "bracket": OK + " ]garbage", "list": f"[{OK}]", "number": "5", "empty": ""}
+
+
 def test_rejects(spark):
-    rows = [(k, json.dumps(doc)) for k, (doc, _) in BAD.items()] + [("not_json", "{oops")]
+    rows = [(k, json.dumps(doc)) for k, (doc, _) in BAD.items()] + [("not_json", "{oops")] + list(NOT_ONE.items())
     good, rejected = IN.validate_batches(spark.createDataFrame(rows, "batch_id string, raw string"))
     assert good.count() == 0
     got = {r.batch_id: r.reason for r in rejected.collect()}
-    want = {k: reason for k, (_, reason) in BAD.items()} | {"not_json": "json"}
+    want = {k: reason for k, (_, reason) in BAD.items()} | {"not_json": "json"} | dict.fromkeys(NOT_ONE, "json")
     assert got == want
 
 
