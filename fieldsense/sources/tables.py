@@ -63,19 +63,6 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by, fmt: str = "par
      .option("partitionOverwriteMode", "dynamic").save(path))
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the cluster has cores
-    (a small table stored as one Parquet row group is read by one task) with
-    a round-robin repartition; a large input, already split into many
-    partitions, is returned untouched, so no shuffle is added at scale."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a remote session): leave the plan as is
-        return df
-    return df.repartition(target) if current < target else df
-
-
 def read_observations(spark: SparkSession, path: str, streaming: bool = False,
                       schema: T.StructType | None = None) -> DataFrame:
     """State observations ``(device_id, id, segment, data, ts)`` from
