@@ -8,7 +8,6 @@ of them (by id) and is dropped from the others."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -30,14 +29,17 @@ LEAF_LINES = 5_000
 #: A null id counts as a document of its own, after all others.
 _NO_ID = (1 << 63) - 1
 _WORDS = 1 << 20  # of 64 bits, in the map of leaves that lie in several documents
-_DIGITS, _LINKS = re.compile(rb"\S*[0-9]\S*"), re.compile(rb"\S*(?:@|://)\S*")
+_DIGITS, _SPACE = b"0123456789", " \t\n\x0b\x0c\r"
 
 
 def masked(line: bytes) -> list[bytes]:
     """The line's tokens, variable fields as ``<*>``."""
+    tokens = line.split()
     if b"@" in line or b"://" in line:
-        line = _LINKS.sub(FIELD, line)
-    return _DIGITS.sub(FIELD, line).split()
+        tokens = [FIELD if b"@" in t or b"://" in t else t for t in tokens]
+    if len(line.translate(None, _DIGITS)) < len(line):
+        tokens = [FIELD if len(t.translate(None, _DIGITS)) < len(t) else t for t in tokens]
+    return tokens
 
 
 def leaf_of(tokens: list[bytes], depth: int) -> int:
@@ -46,18 +48,22 @@ def leaf_of(tokens: list[bytes], depth: int) -> int:
     return h - (h >> 63 << 64)
 
 
-def _line_hash(tokens: list[bytes]) -> int:
-    h = xxhash.xxh64_intdigest(b" ".join(tokens), 1)
+def _line_hash(line: bytes) -> int:
+    """Of a masked line."""
+    h = xxhash.xxh64_intdigest(line, 1)
     return h - (h >> 63 << 64)
 
 
-def lines_of(text: str | None, depth: int, min_tokens: int) -> dict[bytes, tuple[int, list[bytes]]]:
-    """By masked line, each once: its leaf and tokens."""
+def lines_of(text: str | None, depth: int, min_tokens: int, leaves: np.ndarray | None = None) -> dict[bytes, int]:
+    """The leaves of the masked lines, each line once; with ``leaves``, a bit
+    map, only the lines of those."""
     out = {}
     for line in set((text or "").encode().split(b"\n")):
         tokens = masked(line)
         if len(tokens) >= min_tokens:
-            out[b" ".join(tokens)] = leaf_of(tokens, depth), tokens
+            leaf = leaf_of(tokens, depth)
+            if leaves is None or int(leaves[leaf & _WORDS - 1]) >> (leaf >> 20 & 63) & 1:
+                out[b" ".join(tokens)] = leaf
     return out
 
 
@@ -91,7 +97,7 @@ def _shared_leaves(docs: DataFrame, depth: int, min_tokens: int) -> np.ndarray:
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((i.as_py(), leaf) for b in batches for i, t in zip(b.column(0), b.column(1))
-                for leaf in {x[0] for x in lines_of(t.as_py(), depth, min_tokens).values()})
+                for leaf in set(lines_of(t.as_py(), depth, min_tokens).values()))
         return in_batches(rows, schema)
 
     shared = (docs.mapInArrow(leaves, "doc_id bigint, leaf bigint").groupBy("leaf")
@@ -112,9 +118,8 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIM
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits.value
-        rows = ((leaf, _line_hash(tokens), i.as_py(), line) for b in batches for i, t in zip(b.column(0), b.column(1))
-                for line, (leaf, tokens) in lines_of(t.as_py(), depth, min_tokens).items()
-                if int(known[leaf & _WORDS - 1]) >> (leaf >> 20 & 63) & 1)
+        rows = ((leaf, _line_hash(line), i.as_py(), line) for b in batches for i, t in zip(b.column(0), b.column(1))
+                for line, leaf in lines_of(t.as_py(), depth, min_tokens, known).items())
         return in_batches(rows, schema, lambda r: len(r[3]))
 
     lines = cut_lineage(docs.mapInArrow(candidates, "leaf bigint, line bigint, doc_id bigint, tokens binary"))
@@ -207,20 +212,13 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _without(text: str | None, drops: set[int]) -> tuple[str | None, int, int]:
+    """The text without the lines of ``drops``, its lines with a token, and those dropped."""
     if text is None:
         return None, 0, 0
-    kept, n, gone = [], 0, 0
-    for line in text.split("\n"):
-        data = line.encode()
-        if not data.strip():
-            kept.append(line)
-            continue
-        n += 1
-        if drops and _line_hash(masked(data)) in drops:
-            gone += 1
-        else:
-            kept.append(line)
-    return "\n".join(kept), n, gone
+    lines = text.split("\n")
+    gone = [bool(drops) and bool(t := masked(line.encode())) and _line_hash(b" ".join(t)) in drops for line in lines]
+    n = sum(bool(line.strip(_SPACE)) for line in lines)
+    return "\n".join([line for line, x in zip(lines, gone) if not x]) if any(gone) else text, n, sum(gone)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ def brute(rows, depth=3, similarity=0.7, least=2):
     order = lambda i: L._NO_ID if i is None else i
     seen = {}
     for i, text in rows:
-        for line, (leaf, _) in L.lines_of(text, depth, least).items():
+        for line, leaf in L.lines_of(text, depth, least).items():
             v = seen.setdefault((leaf, line), [order(i), order(i)])
             v[0], v[1] = min(v[0], order(i)), max(v[1], order(i))
     leaves, first = {}, {}
