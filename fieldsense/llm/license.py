@@ -59,6 +59,7 @@ BLOCK_LINES, CONFIRMED, COVERED, BESIDES = 12, 4, 0.85, 0.35
 TELLING = frozenset("mit apache gnu general lesser affero public mozilla bsd clause cc cc0 by sa nc nd not non without commercial "
                     "all rights reserved no domain".split())
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _CUE = re.compile(CUE)
 #: Who holds the rights is no wording of the license.
 _HOLDER = re.compile(r"(?:copyright|©|\(c\))[^.\n]*", re.I)
@@ -84,6 +85,8 @@ class Scanner:
     def __init__(self, notices=NOTICES):
         self.names = [n for n, _ in notices]
         self.words = [words(t) for _, t in notices]
+        #: a block of more words has too many besides those of any template
+        self.most_words = max(map(len, self.words)) / (1 - BESIDES)
         self.plain = zstandard.ZstdCompressor(level=3)
         self.with_template = []
         for w in self.words:
@@ -128,7 +131,8 @@ class Scanner:
 
     def scan(self, text: str | None) -> list[tuple[int, int, Finding]]:
         """(first line, number of lines, finding). From a line with a cue, the
-        longest block of up to ``BLOCK_LINES`` lines that holds a license;
+        block of up to ``BLOCK_LINES`` lines with the fewest differences, the
+        longest of equals, or else each sentence of the line with a cue;
         lines of a finding start no other."""
         lines = (text or "").split("\n")
         out, after = [], 0
@@ -140,7 +144,7 @@ class Scanner:
                 if k + n > len(lines) or n > 1 and not lines[k + n - 1].strip():
                     break
                 block = "\n".join(lines[k:k + n])
-                if len(block) > 4000 * n:  # prose, not a notice
+                if len(words(_HOLDER.sub(" ", block))) > self.most_words:
                     break
                 if found := self.find(block):
                     if not best or len(found.missing) + len(found.added) <= len(best[2].missing) + len(best[2].added):
@@ -148,6 +152,9 @@ class Scanner:
             if best:
                 out.append(best)
                 after = k + best[1]
+            else:
+                parts = _SENTENCE.split(line)
+                out += [(k, 1, f) for p in parts if len(parts) > 1 and _CUE.search(p) and (f := self.find(p))]
         return out
 
 

@@ -24,6 +24,12 @@ def test_wrapped_and_changed_notices():
     assert (f.license, f.missing, f.added, f.rank) == ("GPL-3.0", "", "hereby", 1)
 
 
+def test_a_notice_within_a_long_line():
+    prose = "The story goes on for a while and names many things that are of no use here. " * 60
+    found = X.Scanner().scan(f"{prose}Released under the MIT License. {prose}\nThe end.")
+    assert [(a, n, f.license) for a, n, f in found] == [(0, 1, "MIT")]
+
+
 def test_reduction_ranks_the_own_template_first():
     s = X.Scanner()
     for k, (_, notice) in enumerate(X.NOTICES):
