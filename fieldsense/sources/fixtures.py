@@ -73,10 +73,10 @@ INGEST_REQUESTS = [
     ("999-888-777", "293.12", [("1234", "20.1", "t", "microfone_1")]),
     ("999-888-777", "292.12", [("1234", "80.1", "h", "microfone_1")]),
     ("999-888-777", "290.12", [("1234", "3000", "h", "microfone_1")]),
-    ("999-888-666", None, [("1235", "90.1", "h", "pt_robotics")]),
-    ("999-888-666", None, [("1235", "99.9", "h", "pt_robotics")]),
-    ("999-888-666", None, [("1235", "99.9", "h", "pt_robotics"), ("1235", "20.1", "t", "pt_robotics")]),
-    ("999-888-666", None, [("1235", "4000.9", "h", "pt_robotics"), ("1235", "-40.1", "t", "pt_robotics")]),
+    ("999-888-666", None, [("1235", "90.1", "h", "probe_2")]),
+    ("999-888-666", None, [("1235", "99.9", "h", "probe_2")]),
+    ("999-888-666", None, [("1235", "99.9", "h", "probe_2"), ("1235", "20.1", "t", "probe_2")]),
+    ("999-888-666", None, [("1235", "4000.9", "h", "probe_2"), ("1235", "-40.1", "t", "probe_2")]),
 ]
 
 
