@@ -29,7 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _MASK = (1 << 64) - 1
 #: Chunks that a process keeps, over all variants, and their length at most.
-KEPT_CHUNKS, KEPT_CHARS = 1_000_000, 64
+KEPT_CHUNKS, KEPT_CHARS = 600_000, 64
 
 
 class PieceModel:
@@ -199,14 +199,14 @@ def ids_of(model: PieceModel, chunk: str, dropout: Dropout | None = None) -> byt
 
 
 class Chunks(dict):
-    """Ids of chunks as bytes; those that are missing are worked out alone,
-    or many at once by :meth:`add`."""
+    """Ids, as bytes, of chunks in which a space is a space; those that are
+    missing are worked out alone, or many at once by :meth:`add`."""
 
     def __init__(self, agendas: Agendas, dropout: Dropout, most: int):
         self.agendas, self.dropout, self.most = agendas, dropout, most
 
     def __missing__(self, chunk: str) -> bytes:
-        return ids_of(self.agendas.model, chunk, self.dropout)
+        return ids_of(self.agendas.model, chunk.replace(" ", SPACE), self.dropout)
 
     def add(self, chunks: set[str]) -> None:
         new = [c for c in chunks if c not in self and len(c) <= KEPT_CHARS]
@@ -214,10 +214,10 @@ class Chunks(dict):
             self.clear()
             new = [c for c in chunks if len(c) <= KEPT_CHARS]
         if new:
-            self.update(zip(new, self.agendas.run(new, self.dropout), strict=True))
+            self.update(zip(new, self.agendas.run([c.replace(" ", SPACE) for c in new], self.dropout), strict=True))
 
 
-_CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+_CHUNK = re.compile(" *[^ \n]+| +|\n")
 
 
 class Encoder:
@@ -242,7 +242,7 @@ class Encoder:
     def encode_all(self, texts: list[str | None], variant: int = 0) -> list[np.ndarray]:
         """The texts of a batch, whose new chunks are worked out together."""
         own = self.chunks[variant]
-        split = [[_CHUNK.findall(p.replace(" ", SPACE)) for p in (" " + t).split(SPACE)] if t else [] for t in texts]
+        split = [[_CHUNK.findall(p) for p in (" " + t).split(SPACE)] if t else [] for t in texts]
         own.add({c for parts in split for part in parts for c in part})
         return [np.frombuffer(self.sign.join(b"".join(map(own.__getitem__, part)) for part in parts), np.int32) for parts in split]
 
