@@ -74,7 +74,7 @@ def find_splitters(keyed: DataFrame, ranges: int, tolerance: float, whole: float
     within ``tolerance`` (a share of all bytes) of even, or as near as one
     key allows; ``whole`` is the tolerance where a closer splitter would part
     a group of equal texts. Each round puts ``probes`` candidates into the bracket of each
-    open splitter: at borders between groups of equal texts as long as the
+    open splitter, more when few are open: at borders between groups of equal texts as long as the
     bracket holds any, else inside the group."""
     known: dict[int, tuple[int, int]] = {_LOW: (0, 0)}
     todo = sorted({_LOW + (i << 64) // (ranges * probes) >> GROUP_BITS << GROUP_BITS for i in range(1, ranges * probes)})
@@ -85,7 +85,7 @@ def find_splitters(keyed: DataFrame, ranges: int, tolerance: float, whole: float
         size, rows = histogram(keyed, keys)
         known = {_LOW: (0, 0)} | {k: (int(s), int(r)) for k, s, r in zip([*keys, _HIGH], np.cumsum(size), np.cumsum(rows))}
         order, below = sorted(known), [known[k][0] for k in sorted(known)]
-        total, todo, chosen = below[-1], set(), []
+        total, todo, chosen, open_ = below[-1], set(), [], []
         for j in range(1, ranges):
             want = total * j / ranges
             i = min(max(bisect_left(below, want), 1), len(order) - 1)
@@ -95,7 +95,10 @@ def find_splitters(keyed: DataFrame, ranges: int, tolerance: float, whole: float
             step = GROUP_BITS if hi - lo > 1 << GROUP_BITS else 0
             enough = tolerance if step else whole
             if abs(known[best][0] - want) > enough * total and hi - lo > 1 and known[hi][1] - known[lo][1] > 1:
-                todo |= {lo + (hi - lo) * p // (probes + 1) >> step << step for p in range(1, probes + 1)} - {lo, hi}
+                open_.append((lo, hi, step))
+        each = max(probes, ranges * probes // max(1, len(open_)))
+        for lo, hi, step in open_:
+            todo |= {lo + (hi - lo) * p // (each + 1) >> step << step for p in range(1, each + 1)} - {lo, hi}
         if not todo:
             return Splitters(chosen, [known[k][0] for k in chosen], [known[k][1] for k in chosen], rounds)
 
