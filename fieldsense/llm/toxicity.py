@@ -228,9 +228,12 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of the labelled rows to learn from, at most ``FIT_TOXIC``
     and ``FIT_CLEAN`` of either kind."""
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out())
-    order = F.xxhash64("doc_id")
-    ids = [own.where(f"toxic = {k}").dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(n)
-           for k, n in ((1, FIT_TOXIC), (0, FIT_CLEAN))]
+    own = own.dropDuplicates(["doc_id"]).withColumn("order", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
+    counts = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
+    # the smallest hashes lie, but for chance, under twice the share that is wanted; so no task has many to sort
+    under = {k: min(1.0, 2 * (n + 100) / counts.get(k, 1)) * 2.0 ** 63 for k, n in ((1, FIT_TOXIC), (0, FIT_CLEAN))}
+    ids = [own.where((F.col("toxic") == k) & (F.col("order").cast("double") <= under[k])).orderBy("order", "doc_id").limit(n)
+           .select("doc_id", "toxic") for k, n in ((1, FIT_TOXIC), (0, FIT_CLEAN))]
     ids = ids[0].union(ids[1])  # FIT_TOXIC + FIT_CLEAN rows at most
     return cut_lineage(docs.join(F.broadcast(ids), "doc_id").select("text", "toxic"))
 
