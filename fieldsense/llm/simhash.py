@@ -6,13 +6,15 @@ the words of the binary Golay code: every 23-bit word has exactly one anchor
 at distance three or less, its home. A fingerprint is sent to every anchor at
 distance four or less (covering radius and the block's threshold), so it meets
 each fingerprint that differs in one bit of the block at that one's home, where
-whole fingerprints are compared."""
+whole fingerprints are compared. Anchors can also be made of two blocks, which
+differ in at most two bits together; they are many more and their groups smaller,
+for very many fingerprints."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ SEED = 42
 #: First bit and length of the blocks; each is filled up to 23 bits with zeros.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 _N, _RADIUS = 23, 3
+#: Fingerprints up to which comparing at anchors of one block costs less than sending more rows.
+ONE_BLOCK = 50_000_000
 #: Generator polynomial of the Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 _POLYNOMIAL = 0b110001110101
 
@@ -38,17 +42,16 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     if not words:
         return 0
     joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = ends - np.fromiter(map(len, words), np.int64, len(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
     k = min(shingle, len(words))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1:].tolist())],
-                      np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at:at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    starts, ends, n = (ends - sizes)[: len(words) - k + 1], ends[k - 1:], len(words) - k + 1
+    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    for at in range(0, n, 1 << 16):  # a very long text's shingles in parts
+        part = zip(starts[at:at + (1 << 16)].tolist(), ends[at:at + (1 << 16)].tolist())
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in part], "<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(hashes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,34 +75,45 @@ def _syndromes(words: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _leaders() -> tuple[np.ndarray, np.ndarray]:
-    """By syndrome: the one error of weight three or less, which leads from a
-    word to its home, and the errors of weight four, which lead to the other
-    anchors near it (five, or none: marked -1)."""
-    home, near, filled = np.full(2048, -1), np.full((2048, 5), -1), np.zeros(2048, int)
-    for weight in range(_RADIUS + 2):
-        errors = np.array([sum(1 << i for i in c) for c in combinations(range(_N), weight)], np.int64)
-        for s, e in zip(_syndromes(errors).tolist(), errors.tolist()):
-            if weight <= _RADIUS:
-                home[s] = e
-            else:
-                near[s, filled[s]] = e
-                filled[s] += 1
-    return home, near
-
-
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (index into ``fps``, anchor, whether it is the home) of all blocks."""
-    home, near = _leaders()
-    at, to, own = [], [], []
-    for k, (first, length) in enumerate(BLOCKS):
+def _errors(excess: int) -> np.ndarray:
+    """By syndrome: the errors that lead from a word to the anchors whose
+    distance is at most the radius (``excess`` 0: one, which leads home) or
+    the radius and ``excess``; rows are filled up with -1."""
+    weights = range(_RADIUS + 1) if excess == 0 else (_RADIUS + excess,)
+    errors = np.array([sum(1 << i for i in c) for w in weights for c in combinations(range(_N), w)], np.int64)
+    s = _syndromes(errors)
+    order = np.argsort(s, kind="stable")
+    place = np.arange(len(s)) - np.searchsorted(s[order], s[order])
+    out = np.full((2048, place.max() + 1), -1, np.int64)
+    out[s[order], place] = errors[order]
+    return out
+
+
+def anchors(fps: np.ndarray, bits: int = 4, blocks: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (index into ``fps``, anchor, whether it is the home). An anchor is
+    a code word in each of ``blocks`` of the three blocks; of some choice of
+    them, two fingerprints in reach differ in ``bits * blocks // 3`` bits at
+    most, which the excesses over the radius share."""
+    reach, near = bits * blocks // len(BLOCKS), []
+    for first, length in BLOCKS:
         word = (fps.view(np.uint64) >> np.uint64(first) & np.uint64((1 << length) - 1)).astype(np.int64)
         s = _syndromes(word)
-        every = np.column_stack([home[s], near[s]])
-        i, j = np.nonzero(every >= 0)
-        at.append(i)
-        to.append((k << 12) | (word[i] ^ every[i, j]) >> 11)  # a code word is known by its upper twelve bits
-        own.append(j == 0)
+        # a code word is known by its upper twelve bits
+        near.append([np.where((e := _errors(x)[s]) >= 0, (word[:, None] ^ e) >> 11, -1) for x in range(reach + 1)])
+    at, to, own = [], [], []
+    for k, chosen in enumerate(combinations(range(len(BLOCKS)), blocks)):
+        for share in product(range(reach + 1), repeat=blocks):
+            if sum(share) > reach:
+                continue
+            anchor = np.full((len(fps), 1), k, np.int64)
+            for block, x in zip(chosen, share):
+                part = near[block][x]
+                anchor = np.where((anchor[:, :, None] >= 0) & (part[:, None, :] >= 0),
+                                  anchor[:, :, None] << 12 | part[:, None, :], -1).reshape(len(fps), -1)
+            i, j = np.nonzero(anchor >= 0)
+            at.append(i)
+            to.append(anchor[i, j])
+            own.append(np.full(len(i), not any(share)))
     return np.concatenate(at), np.concatenate(to), np.concatenate(own)
 
 
@@ -139,29 +153,33 @@ def links_at_anchor(fps: np.ndarray, asks: np.ndarray, bits: int, cells: int = 1
     return fps[linked], fps[root[linked]]
 
 
-def anchor_links(distinct: DataFrame, bits: int = 4, group: int = 20_000) -> DataFrame:
+def anchor_links(distinct: DataFrame, bits: int = 4, group: int = 20_000, blocks: int = 1) -> DataFrame:
     """(a, b) with a > b: links that connect exactly the fingerprints
     (``distinct``, column fp, each once) which differ in ``bits`` or fewer.
 
     A group of an anchor is compared in one task as long as it has ``group``
     rows; a larger one is laid out in cells, each of a block of asking and a
-    block of asked rows, that go to tasks of their own. The table of anchor
-    sizes has one row for each of 3 * 4096 anchors."""
-    if not 0 <= bits <= 5:
-        raise ValueError("the blocks cover up to five differing bits")
-    schema = pa.schema([("anchor", pa.int32()), ("fp", pa.int64()), ("home", pa.bool_())])
+    block of asked rows, that go to tasks of their own. With ``blocks`` 1
+    there are 3 * 4096 anchors and about 16 rows for a fingerprint, with 2
+    there are 3 * 4096 ** 2 and about 180, and the same links."""
+    if not 0 <= bits <= 5 or blocks not in (1, 2):
+        raise ValueError("anchors of one or two blocks cover up to five differing bits")
+    schema = pa.schema([("anchor", pa.int64()), ("fp", pa.int64()), ("home", pa.bool_())])
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = b.column(0).to_numpy()
-            at, to, own = anchors(fps)
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(fps[at]), pa.array(own)], schema=schema)
+            for k in range(0, b.num_rows, 2000):
+                fps = b.column(0)[k:k + 2000].to_numpy()
+                at, to, own = anchors(fps, bits, blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(fps[at]), pa.array(own)], schema=schema)
 
-    sent = distinct.select("fp").mapInArrow(replicate, "anchor int, fp bigint, home boolean")
+    sent = distinct.select("fp").mapInArrow(replicate, "anchor bigint, fp bigint, home boolean")
     sizes = sent.groupBy("anchor").count()
     large = sizes.where(F.col("count") > group).select(
-        F.col("anchor"), F.ceil(F.col("count") / group).cast("int").alias("cuts"))  # 12288 rows at most
-    cut = sent.join(F.broadcast(large), "anchor", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+        F.col("anchor"), F.ceil(F.col("count") / group).cast("int").alias("cuts"))
+    if blocks == 1:
+        large = F.broadcast(large)  # 12288 rows at most
+    cut = sent.join(large, "anchor", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     block = F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")
     others = F.sequence(F.lit(0), F.col("cuts") - 1)
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("home").alias("asks")))
@@ -215,7 +233,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, group: int
     """
     own = cut_lineage(fingerprints(docs, shingle, id_col, text_col))
     distinct = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    root = components(anchor_links(distinct, bits, group))
+    blocks = 1 if distinct.count() <= ONE_BLOCK else 2  # the links are the same
+    root = components(anchor_links(distinct, bits, group, blocks))
     named = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = named.join(ids, "root").select("fp", "component_id")

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -39,25 +40,27 @@ def groups(pairs, bits):
 
 
 def test_fingerprint():
-    for text in (None, "", " \n ", "One", "a b c", "A b c D É", "a\x85b c\x1cd e f g h", cases.texts()[3][1]):
+    for text in (None, "", " \n ", "One", "a b c", "A b c D É", "a\x85b c\x1cd e f g h", cases.texts()[3][1], cases.prose(random.Random(4), 70_000)):
         assert S.fingerprint(text) == slow(text), text
 
 
 def test_golay_code():
-    home, near = S._leaders()
-    assert (home >= 0).all()
-    assert sorted(np.bincount((near >= 0).sum(axis=1)).tolist()) == [0, 0, 0, 0, 277, 1771]
+    home, near = S._errors(0), S._errors(1)
+    assert home.shape == (2048, 1) and (home >= 0).all()
+    assert np.bincount((near >= 0).sum(axis=1)).tolist() == [277, 0, 0, 0, 0, 1771]
+    assert (S._errors(2) >= 0).sum() == 33649
 
 
-@pytest.mark.parametrize("flips", range(5))
-def test_every_pair_in_reach_meets_at_a_home(flips):
+@pytest.mark.parametrize("blocks", [1, 2])
+@pytest.mark.parametrize("flips", range(6))
+def test_every_pair_in_reach_meets_at_a_home(flips, blocks):
     rng = np.random.default_rng(flips)
     x = rng.integers(-(1 << 63), (1 << 63) - 1, 400, dtype=np.int64)
     y = x.copy()
     for k in range(len(y)):
         for b in rng.choice(64, flips, replace=False):
             y[k] ^= np.uint64(1 << int(b)).astype(np.int64)
-    at, to, own = S.anchors(np.concatenate([x, y]))
+    at, to, own = S.anchors(np.concatenate([x, y]), max(4, flips), blocks)
     homes, all_ = {}, {}
     for i, a, h in zip(at.tolist(), to.tolist(), own.tolist()):
         all_.setdefault(i, set()).add(a)
@@ -75,8 +78,8 @@ def test_documents(spark):
     assert S.near_duplicates(cases.documents(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("group", [1 << 20, 10])
-def test_links_in_cells_are_the_same(spark, group):
+@pytest.mark.parametrize("group,blocks", [(1 << 20, 1), (10, 1), (1 << 20, 2), (10, 2)])
+def test_links_in_cells_are_the_same(spark, group, blocks):
     rng = np.random.default_rng(5)
     centre = rng.integers(-(1 << 63), (1 << 63) - 1, 20, dtype=np.int64)
     fps = set()
@@ -88,7 +91,7 @@ def test_links_in_cells_are_the_same(spark, group):
             fps.add(x)
     fps = sorted(fps)
     distinct = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp long")
-    links = S.anchor_links(distinct, group=group)
+    links = S.anchor_links(distinct, group=group, blocks=blocks)
     got = {r.node: r.root for r in S.components(links).collect()}
     order = sorted((f - (f >> 63 << 64) for f in fps))
     want = groups([(f, f % (1 << 64)) for f in order], 4)
