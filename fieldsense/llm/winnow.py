@@ -27,33 +27,33 @@ def _roll(j: int):
     return lambda a, b: _rotate(a, j).bitwiseXOR(b)
 
 
-def _grams(units: Column, k: int) -> Column:
-    """The rolling hash of every k units, k a power of two: that of 2j units
-    is that of the first j, rotated, with that of the next j."""
-    h, j = F.transform(units, lambda x: F.xxhash64(x)), 1
-    while j < k:
-        rest = F.greatest(F.size(h) - j, F.lit(0))
-        h = F.zip_with(F.slice(h, F.lit(1), rest), F.slice(h, F.lit(j + 1), rest),
-                       _roll(j))
-        j *= 2
-    return h
-
-
 def with_fingerprint(df: DataFrame, text_col: str, name: str, k: int = K, w: int = W) -> DataFrame:
     """``df`` with ``name``: the kept grams as longs, each the gram's hash (32
     bits) above its place counted from the end of the number range, so that the
     smallest of a window is the one with the smallest hash and, of equals, the
     rightmost. A text of fewer than ``k`` units has one gram, one without
-    units none. Each step is a column of its own, so that it is computed once."""
-    u, g, n = f"__{name}_units", f"__{name}_grams", f"__{name}_windows"
+    units none.
+
+    The rolling hash of 2j units is that of the first j, rotated, with that of
+    the next j (``k`` is a power of two). Each step is a column of its own, as
+    an expression that is used twice in a lambda function is computed twice."""
+    units, width = f"__{name}_units", f"__{name}_1"
+    df = df.withColumn(units, F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % UNIT_CHARS), F.lit(0)))
+    df = df.withColumn(width, F.transform(units, lambda x: F.xxhash64(x)))
+    made, j = [units, width], 1
+    while j < k:
+        h, rest = made[-1], F.greatest(F.size(made[-1]) - j, F.lit(0))
+        made.append(f"__{name}_{2 * j}")
+        df = df.withColumn(made[-1], F.zip_with(F.slice(h, F.lit(1), rest), F.slice(h, F.lit(j + 1), rest), _roll(j)))
+        j *= 2
     mark = lambda h, i: F.shiftleft(h.bitwiseAND(F.lit((1 << 32) - 1)), _POSITION_BITS).bitwiseOR(F.lit(_LAST) - i)
-    units = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % UNIT_CHARS), F.lit(0))
-    whole = F.array(F.xxhash64(F.array_join(u, " ")))
-    grams = F.when(F.size(u) >= k, _grams(F.col(u), k)).when(F.size(u) > 0, whole).otherwise(F.array().cast("array<bigint>"))
-    least = F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - w + 1, F.lit(1))),
-                        lambda i: F.array_min(F.slice(F.col(g), i, F.lit(w))))
-    return (df.withColumn(u, units).withColumn(g, F.transform(grams, mark)).withColumn(n, least)
-            .withColumn(name, F.when(F.size(g) > 0, F.array_distinct(n)).otherwise(F.col(g))).drop(u, g, n))
+    whole = F.when(F.size(units) > 0, F.array(F.xxhash64(F.array_join(units, " ")))).otherwise(F.array().cast("array<bigint>"))
+    grams, least = f"__{name}_grams", f"__{name}_least"
+    df = df.withColumn(grams, F.transform(F.when(F.size(units) >= k, F.col(made[-1])).otherwise(whole), mark))
+    df = df.withColumn(least, F.transform(F.sequence(F.lit(1), F.greatest(F.size(grams) - w + 1, F.lit(1))),
+                                          lambda i: F.array_min(F.slice(F.col(grams), i, F.lit(w)))))
+    df = df.withColumn(name, F.when(F.size(grams) > 0, F.array_distinct(least)).otherwise(F.col(grams)))
+    return df.drop(*made, grams, least)
 
 
 def hashes(fingerprint: str) -> Column:
@@ -83,13 +83,23 @@ def fingerprint_documents(docs: DataFrame, k: int = K, w: int = W, id_col: str =
         "doc_id", F.transform("fp", lambda x: F.shiftright(x, _POSITION_BITS)).alias("hashes"), places("fp").alias("places"))
 
 
-def _chunk_width(docs: DataFrame, id_col: str, rows: int) -> float:
-    """How wide a range of ids holds about ``rows`` rows, from the middle half of the ids."""
-    s = docs.select(F.col(id_col).cast("bigint").alias("id")).agg(
-        F.count("id"), F.percentile_approx("id", [0.25, 0.75], 1000)).first()
-    if not s[0]:
-        return 1.0
-    return max(1.0, (float(s[1][1]) - float(s[1][0])) / (s[0] / 2) * rows)
+def _chunk(docs: DataFrame, id_col: str, rows: int) -> Column:
+    """The chunk of ``doc_id``, in the order of the ids: 256 quantiles of the
+    ids, and between two of them equal ranges that hold about ``rows`` rows each
+    if ids are spread evenly there. Where they are not, a chunk holds no more
+    than the rows between two quantiles."""
+    n, low, high, at = docs.select(F.col(id_col).cast("bigint").alias("id")).agg(
+        F.count("id"), F.min("id"), F.max("id"), F.percentile_approx("id", [k / 256 for k in range(1, 256)], 10_000)).first()
+    if not n:
+        return F.lit(0).cast("bigint")
+    starts = sorted({low, *at})
+    each = max(1.0, n / len(starts) / rows)  # chunks between two quantiles
+    widths = [max(1.0, (float(b) - float(a)) / each) for a, b in zip(starts, [*starts[1:], high + 1])]
+    k = F.size(F.filter(F.array(*(F.lit(x).cast("bigint") for x in starts)), lambda x: x <= F.col("doc_id")))
+    start = F.element_at(F.array(*(F.lit(float(x)) for x in starts)), k)
+    width = F.element_at(F.array(*map(F.lit, widths)), k)
+    return F.when(F.col("doc_id").isNotNull(), F.shiftleft(k.cast("bigint"), 40)
+                  + F.floor((F.col("doc_id").cast("double") - start) / width).cast("bigint"))
 
 
 def with_next(docs: DataFrame, rows: int = 256, k: int = K, w: int = W, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,11 +111,10 @@ def with_next(docs: DataFrame, rows: int = 256, k: int = K, w: int = W, id_col:
     the next chunk that there is. Chunks are put in order in groups, and groups
     by one row for each. Null ids come last, in chunks by a hash of the text,
     which also orders repeated ids."""
-    width = _chunk_width(docs, id_col, rows)
     null = F.lit(-(1 << 62))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     df = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
-    df = df.withColumn("c1", F.coalesce(F.floor(F.col("doc_id").cast("double") / F.lit(width)).cast("bigint"), null)) \
+    df = df.withColumn("c1", F.coalesce(_chunk(docs, id_col, rows), null)) \
            .withColumn("c2", F.when(F.col("doc_id").isNull(), F.shiftright("tie", 52)).otherwise(F.lit(0).cast("bigint")))
     chunks = df.groupBy("c1", "c2").agg(F.lit(1).alias("one")).select("c1", "c2", F.shiftright("c1", 10).alias("part"))
     df = df.repartition("c1", "c2")

@@ -78,6 +78,15 @@ def test_next_across_chunks_and_gaps(spark):
         assert got == {i: f"text {ids[k - 1]}" for k, i in enumerate(ids)}
 
 
+def test_chunks_stay_small_whatever_the_ids(spark):
+    from pyspark.sql import functions as F
+    for ids in (range(20_000), [k * 977 for k in range(20_000)], [*range(10_000), *range(10**15, 10**15 + 10_000)], [k**3 - 10**12 for k in range(20_000)]):
+        docs = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        sizes = docs.withColumn("c", W._chunk(docs, "doc_id", 40)).groupBy("c").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).orderBy("c").collect()
+        assert max(r.n for r in sizes) <= 160 and len(sizes) >= 200
+        assert all(x.b < y.a for x, y in zip(sizes, sizes[1:]))
+
+
 def test_a_shared_passage_is_always_found(spark):
     rnd = random.Random(11)
     passage = [rnd.choice(cases.WORDS) + str(k) for k in range(W.K + W.W - 1)]
