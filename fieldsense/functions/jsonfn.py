@@ -27,15 +27,19 @@ def whole_json(text: Column, schema: str) -> Column:
     NULL. The parser stops after the first value; put before a second one in
     an array, the text must end exactly where its value does."""
     ddl = schema if isinstance(schema, str) else schema.simpleString()
-    pair = F.from_json(F.concat(F.lit("["), text, F.lit(",null]")), f"array<{ddl}>")
-    return F.when(F.size(pair) == 2, F.get(pair, F.lit(0)))
+    return _first_of_two(F.from_json(F.concat(F.lit("["), text, F.lit(",null]")), f"array<{ddl}>"))
+
+
+def _first_of_two(pair: Column) -> Column:
+    """The first of exactly two elements, else NULL; as a lambda's argument the
+    array is computed once."""
+    return F.get(F.transform(F.array(pair), lambda p: F.when(F.size(p) == 2, F.get(p, F.lit(0)))), F.lit(0))
 
 
 def whole_variant(text: Column) -> Column:
     """The same as a VARIANT. An object with repeated keys keeps the last of
     each, as jsonb does."""
-    pair = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]"))), "$", "array<variant>")
-    value = F.when(F.size(pair) == 2, F.get(pair, F.lit(0)))
+    value = _first_of_two(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]"))), "$", "array<variant>"))
     entries = F.map_entries(whole_json(text, "map<string,variant>"))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
     return F.coalesce(value, F.when(F.ltrim(text).startswith("{"), F.try_parse_json(F.to_json(F.map_from_entries(last)))))

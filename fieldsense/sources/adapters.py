@@ -40,6 +40,14 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """For derivations with heavy JSON work per row: the supplied files have a
+    single row group, which one task reads; such a scan is dealt out to the
+    cores. A table of as many partitions as cores or more stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
@@ -104,7 +112,7 @@ def raw_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``error`` events keep their own type and so reject their batch. Some
     batches, by user and span, are spoilt in one of twelve ways, so that every
     reason for a reject occurs (twin: ``plans.oracle.BATCHES``)."""
-    ev = events(spark, sf_dir)
+    ev = _spread(events(spark, sf_dir))
     k = _k()
     item = F.struct(
         F.col("event_id").alias("_order"),
@@ -144,7 +152,7 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     an unknown segment and with 90 <= k < 95 an empty data object (rejects);
     the rest go to gpio / connectivity / cloud by k % 3. By id, some data
     have text after the document, an exponent, or a repeated key."""
-    ev = events(spark, sf_dir)
+    ev = _spread(events(spark, sf_dir))
     k = _k()
     bit = (k % 2).cast("string")
     is_err = F.col("event_type") == "error"
@@ -191,7 +199,7 @@ def raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     unknown ('irrigation_pause') for low-priority pending orders; no delay for
     finished orders. By key, some have text after the document, two documents,
     or a delay that is no decimal number."""
-    o = orders(spark, sf_dir)
+    o = _spread(orders(spark, sf_dir))
     p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
     jt = (F.when(p == "4-NOT SPECIFIED", F.lit(None).cast("string"))
           .when((s == "P") & (p == "5-LOW"), F.lit("irrigation_pause"))
@@ -209,7 +217,7 @@ def raw_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events lack ``sid`` (a NOT NULL column, so their document is refused).
     By id, some documents are followed by text or by another document, or have
     a value of the wrong kind."""
-    ev = events(spark, sf_dir)
+    ev = _spread(events(spark, sf_dir))
     k = _k()
     obj = F.struct(
         F.col("user_id").cast("string").alias("mac"),
