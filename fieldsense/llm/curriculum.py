@@ -25,7 +25,11 @@ def _position(q: Column, knots: Sequence[tuple[float, float]]) -> Column:
     reaches ``q``: in the segment that holds it, the root of a quadratic."""
     areas = [(t1 - t0) * (v0 + v1) / 2 for (t0, v0), (t1, v1) in zip(knots, knots[1:])]
     out, before, total = None, 0.0, sum(areas)
+    if total <= 0 or any(v < 0 for _, v in knots):
+        raise ValueError("a schedule's rates are not negative, and not all zero")
     for ((t0, v0), (t1, v1)), area in zip(zip(knots, knots[1:]), areas):
+        if area == 0:  # nothing is taken while the rate is zero
+            continue
         a, need = (v1 - v0) / (t1 - t0), q * total - before
         if a == 0:
             at = F.lit(t0) + need / v0

@@ -62,6 +62,15 @@ def test_positions_follow_the_schedule(spark):
     assert {r["source"]: round(r["count"] / (n / 2), 2) for r in at} == {"x": 0.25, "y": 1.0}
 
 
+def test_no_copy_lies_where_the_rate_is_zero(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") > 3, "a b").otherwise("").alias("text"), F.lit("x").alias("source"))
+    knots = ((0.0, 0.0), (0.25, 0.0), (0.5, 1.0), (0.75, 0.0), (1.0, 0.0))
+    at = [p for r in C.curriculum_mix(docs, share=1.0, schedules=(knots,)).collect() for p in r.positions]
+    assert len(at) == 300 and min(at) >= 0.25 and max(at) <= 0.75 + 1e-9
+    with pytest.raises(ValueError):
+        C.curriculum_mix(docs, schedules=(((0.0, 0.0), (1.0, 0.0)),))
+
+
 def test_training_order(spark):
     docs = cases.documents(spark)
     out = C.in_training_order(C.curriculum_mix(docs))
