@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import documents, id_and_text, in_batches
+from .common import documents, id_and_text, texts
 
 SEED = 42
 #: First bit and length of the blocks; each is filled up to 23 bits with zeros.
@@ -56,14 +56,20 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp), fp the fingerprint's bits as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    return _with_fingerprint(id_and_text(docs, id_col, text_col), shingle)
+
+
+def _with_fingerprint(rows: DataFrame, shingle: int) -> DataFrame:
+    """``rows`` with fp in place of the text; their other columns are bigints."""
+    names = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((i.as_py(), fp - (fp >> 63 << 64)) for b in batches for i, t in zip(b.column(0), b.column(1))
-                for fp in [fingerprint(t.as_py(), shingle)])
-        return in_batches(rows, schema)
+        for b in batches:
+            found = (fingerprint(t, shingle) for t in texts(b))
+            fps = pa.array([fp - (fp >> 63 << 64) for fp in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), fps], names=[*names, "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, fp bigint")
+    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, "fp"]))
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -232,24 +238,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, group: int
     gives none; other columns are ignored.
     """
     own = cut_lineage(fingerprints(docs, shingle, id_col, text_col))
-    distinct = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    blocks = 1 if distinct.count() <= ONE_BLOCK else 2  # the links are the same
-    root = components(anchor_links(distinct, bits, group, blocks))
-    named = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(own, bits, group)
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = named.join(ids, "root").select("fp", "component_id")
     return own.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest
-    id; rows that repeat its id are copies of it and go too."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    kept = near_duplicates(docs, shingle, bits, id_col=id_col, text_col=text_col).groupBy("component_id").agg(F.lit(1).alias("n"))
-    kept = kept.select(F.coalesce(F.col("component_id").cast("string"), F.lit("null")).alias("__kept"))
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), key.alias("__key"))
-    rows = rows.join(kept, rows["__key"] == kept["__kept"], "left_semi")
-    return rows.dropDuplicates(["__key"]).select("__row.*")
+def _rooted(own: DataFrame, bits: int, group: int) -> DataFrame:
+    """(fp, first, root) for each fingerprint of (doc_id, fp): its smallest
+    doc_id, and the smallest fingerprint of its component."""
+    distinct = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    blocks = 1 if distinct.count() <= ONE_BLOCK else 2  # the links are the same
+    root = components(anchor_links(distinct, bits, group, blocks))
+    return distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text",
+             group: int = 20_000) -> DataFrame:
+    """``docs`` with one row of each component, whatever its ids: the one with
+    the smallest id, null ids last, of one id the text with the smallest hash.
+
+    A row is known by its id and 128 bits of hash of its text, so rows of one
+    id, or without any, are told apart unless their texts are equal, and then
+    they lie in one component."""
+    text = F.col(text_col).cast("string")
+    key = ["__none", "__id", "__h", "__g"]
+    keys = [F.col(id_col).isNull().cast("bigint"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)),
+            F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    keys = [k.alias(name) for k, name in zip(keys, key)]
+    own = _with_fingerprint(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *keys, text.alias("text")), shingle)
+    own = cut_lineage(own)
+    kept = own.join(_rooted(own, bits, group).select("fp", "root"), "fp").groupBy("root")
+    kept = kept.agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), *keys).join(kept, key, "left_semi")
+    return rows.dropDuplicates(key).select("__row.*")
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

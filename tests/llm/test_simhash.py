@@ -111,3 +111,12 @@ def test_one_document_of_each_group_stays(spark):
     rows = cases.texts()
     want = set(groups([(r[0], S.fingerprint(r[1])) for r in rows], 4))
     assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_null_and_repeated_ids_lose_no_other_document(spark):
+    rnd = random.Random(11)
+    a, b, c, d, e = (cases.prose(rnd, 120) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, c), (7, a), (8, d), (8, e), (8, e), (9, d), (3, d), (None, None), (None, " ")]
+    out = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert cases.as_bag(r for r in out if (r.text or "").strip()) == cases.as_bag([(7, a), (None, b), (None, c), (3, d), (8, e)])
+    assert len(out) == 6
