@@ -26,7 +26,7 @@ FIELD = b"<*>"
 DEPTH, SIMILARITY, MIN_TOKENS = 3, 0.7, 2
 #: Different lines that a leaf may hold before it is parted by further tokens.
 LEAF_LINES = 5_000
-#: A null id counts as a document of its own, after all others.
+#: Where documents with a null id stand: after all others.
 _NO_ID = (1 << 63) - 1
 _WORDS = 1 << 20  # of 64 bits, in the map of leaves that lie in several documents
 _DIGITS, _SPACE = b"0123456789", " \t\n\x0b\x0c\r"
@@ -92,16 +92,16 @@ def templates(lines: list[list[bytes]], similarity: float, depth: int = DEPTH) -
 
 def _shared_leaves(docs: DataFrame, depth: int, min_tokens: int) -> np.ndarray:
     """A bit map, of 8 MB at any size of the input, of the hashes of leaves that
-    lie in two or more documents; others may be marked, none is missed."""
-    schema = pa.schema([("doc_id", pa.int64()), ("leaf", pa.int64())])
+    lie in two or more documents (doc, text); others may be marked, none is missed."""
+    schema = pa.schema([("doc", pa.int64()), ("leaf", pa.int64())])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((i.as_py(), leaf) for b in batches for i, t in zip(b.column(0), b.column(1))
                 for leaf in set(lines_of(t.as_py(), depth, min_tokens).values()))
         return in_batches(rows, schema)
 
-    shared = (docs.mapInArrow(leaves, "doc_id bigint, leaf bigint").groupBy("leaf")
-              .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b"))
+    shared = (docs.select("doc", "text").mapInArrow(leaves, "doc bigint, leaf bigint").groupBy("leaf")
+              .agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b"))
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(leaf, 20) & 63 as int))")
     found = shared.groupBy(F.col("leaf").bitwiseAND(F.lit(_WORDS - 1)).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     bits = np.zeros(_WORDS, np.int64)
@@ -111,54 +111,63 @@ def _shared_leaves(docs: DataFrame, depth: int, min_tokens: int) -> np.ndarray:
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS,
                     leaf_lines: int = LEAF_LINES) -> DataFrame:
-    """(doc_id, line): hashes of the masked lines of (doc_id, text) whose
-    template occurs in a document of smaller id."""
+    """(doc, line): hashes of the masked lines of (doc_id, doc, text) whose
+    template occurs in an earlier document. ``doc`` tells documents apart,
+    ``doc_id`` is their order, and of equal ones ``doc``."""
     bits = docs.sparkSession.sparkContext.broadcast(_shared_leaves(docs, depth, min_tokens))
-    schema = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.binary())])
+    schema = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("doc_id", pa.int64()), ("doc", pa.int64()), ("tokens", pa.binary())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits.value
-        rows = ((leaf, _line_hash(line), i.as_py(), line) for b in batches for i, t in zip(b.column(0), b.column(1))
+        rows = ((leaf, _line_hash(line), i.as_py(), d.as_py(), line) for b in batches for i, d, t in zip(*b.columns)
                 for line, leaf in lines_of(t.as_py(), depth, min_tokens, known).items())
-        return in_batches(rows, schema, lambda r: len(r[3]))
+        return in_batches(rows, schema, lambda r: len(r[4]))
 
-    lines = cut_lineage(docs.mapInArrow(candidates, "leaf bigint, line bigint, doc_id bigint, tokens binary"))
-    variants = lines.groupBy("leaf", "line", "tokens").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    lines = cut_lineage(docs.select("doc_id", "doc", "text").mapInArrow(
+        candidates, "leaf bigint, line bigint, doc_id bigint, doc bigint, tokens binary"))
+    only = F.when(F.min("doc") == F.max("doc"), F.min("doc"))  # null if there are several
+    variants = lines.groupBy("leaf", "line", "tokens").agg(F.min("doc_id").alias("first"), only.alias("only"))
     variants = cut_lineage(_part_crowded(variants, depth, leaf_lines))
 
     def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((x["leaf"].as_py(), x["line"].as_py(), x["first"].as_py(), x["last"].as_py(), x["tokens"].as_py())
-                for b in batches for x in _rows(b))
-        return in_batches(_recurring(rows, similarity, depth), pa.schema([("line", pa.int64()), ("first", pa.int64())]))
-
-    found = (variants.repartition("leaf").sortWithinPartitions("leaf", "first", "tokens")
-             .mapInArrow(cluster, "line bigint, first bigint"))
-    return lines.select("line", "doc_id").join(found, "line").where("doc_id <> first").select("doc_id", "line")
-
-
-def _rows(b: pa.RecordBatch) -> Iterator[dict]:
-    names = b.schema.names
-    for values in zip(*b.columns, strict=True):
-        yield dict(zip(names, values))
-
-
-def _recurring(rows: Iterator[tuple], similarity: float, depth: int) -> Iterator[tuple[int, int]]:
-    """From sorted (leaf, line, first, last, tokens): the lines whose template
-    lies in several documents, with the first of these."""
+        rows = (tuple(v.as_py() for v in x) for b in batches for x in zip(*b.columns))
+        return in_batches(_recurring(rows, similarity, depth),
+                          pa.schema([("line", pa.int64()), ("first", pa.int64()), ("template", pa.int64())]))
+
+    found = (variants.select("leaf", "line", "first", "only", "tokens")
+             .repartition("leaf").sortWithinPartitions("leaf", "first", "tokens")
+             .mapInArrow(cluster, "line bigint, first bigint, template bigint"))
+    # ids that several documents share; a template that begins at one of them stays in one of its documents
+    shared = cut_lineage(docs.groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("doc_id"))
+    if shared.isEmpty():
+        return lines.select("line", "doc_id", "doc").join(found, "line").where("doc_id <> first").select("doc", "line")
+    found = cut_lineage(found)
+    of = lines.select("line", "doc_id", "doc").join(found, "line")
+    unsure = found.join(shared, found["first"] == shared["doc_id"], "left_semi")
+    firsts = (lines.select("line", "doc_id", "doc").join(unsure, "line").where("doc_id = first")
+              .groupBy("template").agg(F.min("doc").alias("stays")))
+    return of.join(firsts, "template", "left").where("doc_id <> first or doc <> stays").select("doc", "line")
+
+
+def _recurring(rows: Iterator[tuple], similarity: float, depth: int) -> Iterator[tuple[int, int, int]]:
+    """From sorted (leaf, line, first, only, tokens): the lines whose template
+    lies in several documents, with the least id of these and the template,
+    known by the hash of its first line."""
     for _, group in groupby(rows, key=lambda r: r[0]):
         group = list(group)
         if len(group) == 1:
-            _, line, first, last, _ = group[0]
-            if first != last:
-                yield line, first
+            _, line, first, only, _ = group[0]
+            if only is None:
+                yield line, first, line
             continue
         of = templates([r[4].split(b" ") for r in group], similarity, depth)
-        first, last = {}, {}
+        first, only, name = {}, {}, {}
         for k, r in zip(of, group):
-            first[k], last[k] = min(first.get(k, r[2]), r[2]), max(last.get(k, r[3]), r[3])
+            first[k], name[k] = min(first.get(k, r[2]), r[2]), name.get(k, r[1])
+            only[k] = r[3] if only.get(k, r[3]) == r[3] else None
         for k, r in zip(of, group):
-            if first[k] != last[k]:
-                yield r[1], first[k]
+            if only[k] is None:
+                yield r[1], first[k], name[k]
 
 
 def _part_crowded(variants: DataFrame, depth: int, most: int) -> DataFrame:
@@ -173,7 +182,7 @@ def _part_crowded(variants: DataFrame, depth: int, most: int) -> DataFrame:
             return variants
         deeper = F.xxhash64("leaf", F.array_join(F.slice(tokens, depth + 1, 2), " "))
         variants = variants.join(crowded, "leaf", "left").select(
-            F.when(F.col("crowded"), deeper).otherwise(F.col("leaf")).alias("leaf"), "line", "tokens", "first", "last")
+            F.when(F.col("crowded"), deeper).otherwise(F.col("leaf")).alias("leaf"), "line", "tokens", "first", "only")
         depth += 2
 
 
@@ -183,15 +192,17 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and of those dropped.
 
     A null text stays null and has no lines; a document that loses all its
-    lines has the empty text; rows that repeat an id are one document, and
-    each loses the same lines; documents with null ids are one document, the
-    last; an empty table gives no rows. Lines without a token and those under
-    the least number of tokens stay.
+    lines has the empty text; rows of one id and text are one document, and
+    each loses the same lines; rows of one id and different texts are
+    documents of their own, in the order of a hash; null ids come last; an
+    empty table gives no rows. Lines without a token and those under the least
+    number of tokens stay.
     """
-    own = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID))
-    lines = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    drops = recurring_lines(lines, **tree).groupBy("doc_id").agg(F.collect_set("line").alias("__drops"))
-    rows = docs.withColumn("__id", own).join(drops.withColumnRenamed("doc_id", "__doc"), F.col("__id") == F.col("__doc"), "left")
+    own = F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
+    lines = id_and_text(docs, id_col, text_col)
+    lines = lines.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc"), "text")
+    drops = recurring_lines(lines, **tree).groupBy("doc").agg(F.collect_set("line").alias("__drops"))
+    rows = docs.withColumn("__id", own).join(drops.withColumnRenamed("doc", "__doc"), F.col("__id") == F.col("__doc"), "left")
     rows = rows.select(*docs.columns, "__drops")
     fields = [*docs.schema.fields]
     ddl = rows.drop("__drops").schema.add("__lines", "long").add("__dropped", "long")

@@ -73,3 +73,19 @@ def test_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = L.op1_line_dedup(spark, f"/root/testdata/{sf}").select("doc_id", "text").collect()
     assert cases.as_bag(got) == cases.as_bag(brute(rows))
+
+
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
+    boiler = "Please read the terms of this site with care.\n"
+    sent = "Your parcel {} has left the shop in town today.\n"
+    rows = [(None, boiler + f"Own words {w} of a text without any id." + w) for w in ("ab", "cd", "ef")]
+    rows += [(None, rows[0][1]), (5, sent.format("one1") + "First text."), (5, sent.format("two2") + "Second text."),
+             (9, sent.format("ten3") + "Third text."), (None, None), (None, "")]
+    out = [r.text or "" for r in L.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    own = [t.split("\n")[-1] for _, t in rows[:3]]
+    with_line = [x for x in out if boiler in x]
+    assert len(set(with_line)) == 1  # one text keeps the line, and its copy does if it is that one
+    assert sorted(x for x in out if "Own words" in x and x not in with_line) == sorted(
+        x for x in [own[0], *own] if not with_line[0].endswith(x))
+    assert sum("parcel" in x for x in out) == 1 and "Third text." in out and len(out) == len(rows)
+    assert next(x for x in out if "parcel" in x).endswith(("First text.", "Second text."))
