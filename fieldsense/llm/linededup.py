@@ -8,8 +8,11 @@ of them (by id) and is dropped from the others."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import groupby
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,9 @@ FIELD = b"<*>"
 #: Leading tokens that lead to a leaf, share of equal places in a template,
 #: and the fewest tokens of a line that can be dropped.
 DEPTH, SIMILARITY, MIN_TOKENS = 3, 0.7, 2
-#: Different lines that a leaf may hold before it is parted by further tokens.
-LEAF_LINES = 5_000
+#: Templates of a leaf up to which a line is compared with each; from there on
+#: an index finds those in reach, the same ones.
+LEAF_LINES = 24
 #: Where documents with a null id stand: after all others.
 _NO_ID = (1 << 63) - 1
 _WORDS = 1 << 20  # of 64 bits, in the map of leaves that lie in several documents
@@ -67,27 +71,67 @@ def lines_of(text: str | None, depth: int, min_tokens: int, leaves: np.ndarray |
     return out
 
 
-def templates(lines: list[list[bytes]], similarity: float, depth: int = DEPTH) -> list[int]:
-    """For the lines of a leaf in their order, the number of the template that
-    each joins: the one with the most equal places after the ``depth`` leading
-    ones (the first of equals) if they are a share of ``similarity`` or more of
-    those places, else a new one. A place where a
-    line differs from its template becomes ``<*>``, which equals nothing else."""
-    known: list[list[bytes]] = []
-    out = []
-    for tokens in lines:
+class Templates:
+    """The templates of one leaf, to which its lines are added in their order."""
+
+    def __init__(self, similarity: float, depth: int = DEPTH, scanned: int = LEAF_LINES):
+        self.similarity, self.depth, self.scanned = similarity, depth, scanned
+        self.known: list[list[bytes]] = []
+        self.at: dict[tuple[int, bytes], set[int]] | None = None  # (place, token): templates
+
+    def add(self, tokens: list[bytes]) -> int:
+        """The number of the template that the line joins: the one with the
+        most equal places after the leading ones (the first of equals) if they
+        are a share of ``similarity`` or more of those places, else a new one."""
+        places = len(tokens) - self.depth
+        need = max(0, math.ceil(self.similarity * places))
         most, best = -1, -1
-        for k, t in enumerate(known):
-            same = sum(a == b for a, b in zip(t[depth:], tokens[depth:]))
+        tail = tokens[self.depth:]
+        for k in self._in_reach(tokens, need):
+            same = sum(map(eq, self.known[k][self.depth:], tail))
             if same > most:
                 most, best = same, k
-        if best >= 0 and most >= similarity * (len(tokens) - depth):
-            known[best] = [a if a == b else FIELD for a, b in zip(known[best], tokens)]
-        else:
-            best = len(known)
-            known.append(tokens)
-        out.append(best)
-    return out
+        if best < 0 or most < need:
+            best = len(self.known)
+            self.known.append(tokens)
+            if self.at is not None:
+                self._index(best)
+        elif most < places:
+            self._merge(best, tokens)
+        return best
+
+    def _in_reach(self, tokens: list[bytes], need: int) -> Iterable[int]:
+        """In their order, at least all templates with ``need`` equal places:
+        of any ``places - need + 1`` places, such a one equals the line in one."""
+        if need == 0 or len(self.known) <= self.scanned:
+            return range(len(self.known))
+        if self.at is None:
+            self.at = {}
+            for k in range(len(self.known)):
+                self._index(k)
+        of = sorted((self.at.get(x, ()) for x in enumerate(tokens[self.depth:])), key=len)
+        return sorted(set().union(*of[:len(of) - need + 1]))
+
+    def _index(self, k: int) -> None:
+        for x in enumerate(self.known[k][self.depth:]):
+            self.at.setdefault(x, set()).add(k)
+
+    def _merge(self, k: int, tokens: list[bytes]) -> None:
+        old = self.known[k]
+        self.known[k] = [a if a == b else FIELD for a, b in zip(old, tokens)]
+        if self.at is not None:
+            for x, now in zip(enumerate(old[self.depth:]), self.known[k][self.depth:]):
+                if now != x[1]:
+                    self.at[x].discard(k)
+                    self.at.setdefault((x[0], now), set()).add(k)
+
+
+def templates(lines: list[list[bytes]], similarity: float, depth: int = DEPTH, scanned: int = LEAF_LINES) -> list[int]:
+    """For the lines of a leaf in their order, the number of the template that
+    each joins. A place where a line differs from its template becomes
+    ``<*>``, which equals nothing else."""
+    own = Templates(similarity, depth, scanned)
+    return [own.add(tokens) for tokens in lines]
 
 
 def _shared_leaves(docs: DataFrame, depth: int, min_tokens: int) -> np.ndarray:
@@ -127,11 +171,10 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIM
         candidates, "leaf bigint, line bigint, doc_id bigint, doc bigint, tokens binary"))
     only = F.when(F.min("doc") == F.max("doc"), F.min("doc"))  # null if there are several
     variants = lines.groupBy("leaf", "line", "tokens").agg(F.min("doc_id").alias("first"), only.alias("only"))
-    variants = cut_lineage(_part_crowded(variants, depth, leaf_lines))
 
     def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (tuple(v.as_py() for v in x) for b in batches for x in zip(*b.columns))
-        return in_batches(_recurring(rows, similarity, depth),
+        return in_batches(_recurring(rows, similarity, depth, leaf_lines),
                           pa.schema([("line", pa.int64()), ("first", pa.int64()), ("template", pa.int64())]))
 
     found = (variants.select("leaf", "line", "first", "only", "tokens")
@@ -149,41 +192,28 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIM
     return of.join(firsts, "template", "left").where("doc_id <> first or doc <> stays").select("doc", "line")
 
 
-def _recurring(rows: Iterator[tuple], similarity: float, depth: int) -> Iterator[tuple[int, int, int]]:
+def _recurring(rows: Iterator[tuple], similarity: float, depth: int, scanned: int) -> Iterator[tuple[int, int, int]]:
     """From sorted (leaf, line, first, only, tokens): the lines whose template
     lies in several documents, with the least id of these and the template,
-    known by the hash of its first line."""
+    known by the hash of its first line. Of a leaf, its templates and two
+    numbers for each line are held, whatever the length of the lines."""
     for _, group in groupby(rows, key=lambda r: r[0]):
-        group = list(group)
-        if len(group) == 1:
-            _, line, first, only, _ = group[0]
-            if only is None:
-                yield line, first, line
-            continue
-        of = templates([r[4].split(b" ") for r in group], similarity, depth)
-        first, only, name = {}, {}, {}
-        for k, r in zip(of, group):
-            first[k], name[k] = min(first.get(k, r[2]), r[2]), name.get(k, r[1])
-            only[k] = r[3] if only.get(k, r[3]) == r[3] else None
-        for k, r in zip(of, group):
+        own, of, lines = Templates(similarity, depth, scanned), array("q"), array("q")
+        first, only, name = [], [], array("q")
+        for _, line, i, doc, tokens in group:
+            k = own.add(tokens.split(b" "))
+            if k == len(first):
+                first.append(i)
+                only.append(doc)
+                name.append(line)
+            elif only[k] != doc:
+                only[k] = None
+            first[k] = min(first[k], i)
+            of.append(k)
+            lines.append(line)
+        for k, line in zip(of, lines):
             if only[k] is None:
-                yield r[1], first[k], name[k]
-
-
-def _part_crowded(variants: DataFrame, depth: int, most: int) -> DataFrame:
-    """Leaves of more than ``most`` different lines are parted by two more
-    tokens, and again, so that no group grows with the input; equal lines stay
-    together at any depth."""
-    tokens = F.split(F.decode("tokens", "UTF-8"), " ")
-    while True:
-        variants = cut_lineage(variants)
-        crowded = variants.groupBy("leaf").count().where(F.col("count") > most).select("leaf", F.lit(True).alias("crowded"))
-        if crowded.isEmpty():
-            return variants
-        deeper = F.xxhash64("leaf", F.array_join(F.slice(tokens, depth + 1, 2), " "))
-        variants = variants.join(crowded, "leaf", "left").select(
-            F.when(F.col("crowded"), deeper).otherwise(F.col("leaf")).alias("leaf"), "line", "tokens", "first", "only")
-        depth += 2
+                yield line, first[k], name[k]
 
 
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **tree) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from fieldsense.llm import linededup as L
@@ -89,3 +91,37 @@ def test_null_and_repeated_ids_are_documents_of_their_own(spark):
         x for x in [own[0], *own] if not with_line[0].endswith(x))
     assert sum("parcel" in x for x in out) == 1 and "Third text." in out and len(out) == len(rows)
     assert next(x for x in out if "parcel" in x).endswith(("First text.", "Second text."))
+
+
+def scan(lines, similarity, depth=3):
+    known, out = [], []
+    for tokens in lines:
+        same = [sum(a == b for a, b in zip(t[depth:], tokens[depth:])) for t in known]
+        best = max(range(len(known)), key=lambda k: (same[k], -k), default=-1)
+        if best >= 0 and same[best] >= similarity * (len(tokens) - depth):
+            known[best] = [a if a == b else L.FIELD for a, b in zip(known[best], tokens)]
+        else:
+            best = len(known)
+            known.append(tokens)
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("places", [0, 1, 2, 5, 10])
+@pytest.mark.parametrize("similarity", [0.0, 0.3, 0.7, 1.0])
+def test_indexed_templates_equal_scanned_ones(places, similarity):
+    rnd = random.Random(places)
+    lines = [[b"a", b"b", b"c", *(rnd.choice((b"the", b"of", *(b"w%d" % k for k in range(6)), L.FIELD)) for _ in range(places))]
+             for _ in range(600)]
+    want = scan(lines, similarity)
+    assert L.templates(lines, similarity, scanned=0) == L.templates(lines, similarity) == want
+
+
+def test_crowded_leaf_has_the_templates_of_the_tree(spark):
+    rnd, words = random.Random(3), [w for w in cases.WORDS if "9" not in w]
+    rows = [(k, " ".join(["the", "same", "start", *(rnd.choice(words) for _ in range(10))])) for k in range(500)]
+    rows += [(1000 + k, " ".join([*(t := text.split())[:3], "other", *t[4:]])) for k, text in rows[:100]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = L.drop_recurring(docs, leaf_lines=20).select("doc_id", "text").collect()
+    assert cases.as_bag(got) == cases.as_bag(brute(rows))
+    assert all(r.text == "" for r in got if r.doc_id >= 1000)
