@@ -268,8 +268,9 @@ def keep_one(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col: str = "do
     keys = [k.alias(name) for k, name in zip(keys, key)]
     own = _with_fingerprint(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *keys, text.alias("text")), shingle)
     own = cut_lineage(own)
-    kept = own.join(_rooted(own, bits, group).select("fp", "root"), "fp").groupBy("root")
-    kept = kept.agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    # of each fingerprint first, so that no task joins all rows of one text
+    kept = own.groupBy("fp").agg(F.min(F.struct(*key)).alias("k")).join(_rooted(own, bits, group).select("fp", "root"), "fp")
+    kept = kept.groupBy("root").agg(F.min("k").alias("k")).select("k.*")
     rows = docs.select(F.struct(*docs.columns).alias("__row"), *keys).join(kept, key, "left_semi")
     return rows.dropDuplicates(key).select("__row.*")
 
