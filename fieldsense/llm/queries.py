@@ -12,6 +12,7 @@ from .pieces import op5_sentencepiece
 from .quality import op9_quality_rules
 from .sharding import op3_shard
 from .simhash import op8_simhash_near_dedup
+from .suffixes import op11_suffix_dedup
 from .toxicity import op7_toxicity
 from .whitening import op13_whitening
 from .winnow import op6_winnowing
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_mix_sources": op10_mix_sources,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_lexical_search": op12_lexical_search,
     "op13_whitening": op13_whitening,
 }
