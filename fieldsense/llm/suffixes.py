@@ -30,9 +30,9 @@ MATCH, GRAM = 50, 20
 #: Text bytes of a chunk (a task's unit of work) on average, and of a piece whose hashes are held at once.
 CHUNK_BYTES, PIECE_BYTES = 8_000_000, 1_000_000
 #: Suffixes of a batch, which is the size of the smallest level.
-BATCH = 1 << 15
+BATCH = 1 << 17
 #: Texts from which on an anchor is hot: its strings go to shards of their own.
-HOT_TEXTS = 1 << 16
+HOT_TEXTS = 1 << 14
 #: Texts that a task remembers having sent.
 HELD_TEXTS = 100_000
 #: Stands for a null doc_id, which comes last.
@@ -106,8 +106,8 @@ def stretches(data: np.ndarray, ends: np.ndarray, match: int = MATCH, gram: int
 
 @dataclass
 class Level:
-    """A suffix array cut to the strings' length: the strings in order as
-    big-endian words, each once, with the smallest doc_id that has it."""
+    """A suffix array cut to the strings' length: the strings in order, each
+    once, as columns of big-endian words, with the smallest doc_id that has it."""
 
     words: np.ndarray
     doc: np.ndarray
@@ -117,21 +117,21 @@ class Level:
 
 
 def _order(words: np.ndarray) -> np.ndarray:
-    return np.lexsort(words.T[::-1])
+    return np.lexsort(words[::-1])
 
 
 def _starts(words: np.ndarray) -> np.ndarray:
     """Whether a string of a sorted array differs from the one before, that is
     whether their longest common prefix is shorter than a match."""
-    return np.r_[True, (words[1:] != words[:-1]).any(axis=1)] if len(words) else np.empty(0, bool)
+    return np.r_[True, (words[:, 1:] != words[:, :-1]).any(axis=0)] if words.shape[1] else np.empty(0, bool)
 
 
 def merged(a: Level, b: Level) -> Level:
-    words, doc = np.concatenate([a.words, b.words]), np.concatenate([a.doc, b.doc])
+    words, doc = np.concatenate([a.words, b.words], axis=1), np.concatenate([a.doc, b.doc])
     order = _order(words)
-    words, doc = words[order], doc[order]
+    words, doc = words[:, order], doc[order]
     new = np.flatnonzero(_starts(words))
-    return Level(words[new], np.minimum.reduceat(doc, new) if len(new) else doc)
+    return Level(words[:, new], np.minimum.reduceat(doc, new) if len(new) else doc)
 
 
 class Family:
@@ -141,13 +141,13 @@ class Family:
         self.levels: list[Level] = []
 
     def add(self, words: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """For each string whether a smaller doc_id, of this batch or one
-        before, has it; then the batch is a level."""
+        """For each string (a column of ``words``) whether a smaller doc_id, of
+        this batch or one before, has it; then the batch is a level."""
         order = _order(words)
-        ranked = words[order]
+        ranked = words[:, order]
         new = _starts(ranked)
         group = np.cumsum(new) - 1
-        level = Level(ranked[new], np.minimum.reduceat(doc[order], np.flatnonzero(new)) if len(order) else doc)
+        level = Level(ranked[:, new], np.minimum.reduceat(doc[order], np.flatnonzero(new)) if len(order) else doc)
         least = level.doc.copy()
         for older in self.levels:
             found, where = _merge_scan(older, level)
@@ -164,36 +164,34 @@ class Family:
 def _merge_scan(older: Level, new: Level) -> tuple[np.ndarray, np.ndarray]:
     """The places in both arrays of the strings that both have, which are
     neighbours when the arrays are merged."""
-    words = np.concatenate([older.words, new.words])
+    words = np.concatenate([older.words, new.words], axis=1)
     order = _order(words)
-    twin = np.flatnonzero(~_starts(words[order]))
+    twin = np.flatnonzero(~_starts(words[:, order]))
     return order[twin - 1], order[twin] - len(older)
 
 
-def _words(bodies: list[bytes], match: int) -> tuple[np.ndarray, np.ndarray]:
-    """All strings of ``match`` bytes of the bodies as rows of big-endian words,
-    and the number of strings of each body."""
-    counts = np.array([len(b) - match + 1 for b in bodies], np.int64)
-    data = np.frombuffer(b"".join(bodies), np.uint8)
-    starts = np.repeat(np.cumsum([0, *map(len, bodies[:-1])]) - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-    wide = np.zeros((len(starts), -(-match // 8) * 8), np.uint8)
-    wide[:, :match] = np.lib.stride_tricks.sliding_window_view(data, match)[starts]
-    return wide.view(">u8").astype(np.uint64), counts
-
-
 def covered_strings(bodies: list[bytes], docs: np.ndarray, match: int = MATCH, batch: int = BATCH) -> list[np.ndarray]:
     """For the bodies of a shard, by rising doc_id, which of their strings a
-    smaller doc_id has."""
-    family, out, at = Family(), [], 0
-    while at < len(bodies):
-        to, size = at, 0
-        while to < len(bodies) and size < batch:
-            size, to = size + len(bodies[to]) - match + 1, to + 1
-        words, counts = _words(bodies[at:to], match)
-        found = family.add(words, np.repeat(docs[at:to], counts))
-        out += np.split(found, np.cumsum(counts)[:-1])
-        at = to
-    return out
+    smaller doc_id has.
+
+    Strings whose hash no other of the shard has are put aside first; the
+    others, batch by batch, go through the suffix arrays, which are exact."""
+    counts = np.array([len(b) - match + 1 for b in bodies], np.int64)
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    ends = np.cumsum(counts)
+    starts = np.repeat(np.cumsum([0, *map(len, bodies[:-1])]) - (ends - counts), counts) + np.arange(counts.sum())
+    hashes = gram_hashes(data, match)[starts]
+    order = np.argsort(hashes)
+    same = np.diff(hashes[order]) == 0
+    left = np.sort(order[np.r_[False, same] | np.r_[same, False]])
+    covered, doc, family = np.zeros(len(starts), bool), np.repeat(docs, counts), Family()
+    view = np.lib.stride_tricks.sliding_window_view(data, match)
+    for at in range(0, len(left), batch):
+        part = left[at:at + batch]
+        wide = np.zeros((len(part), -(-match // 8) * 8), np.uint8)
+        wide[:, :match] = view[starts[part]]
+        covered[part] = family.add(np.ascontiguousarray(wide.view(">u8").T).astype(np.uint64), doc[part])
+    return np.split(covered, ends[:-1])
 
 
 # --- tasks --------------------------------------------------------------------

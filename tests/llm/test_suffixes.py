@@ -81,14 +81,14 @@ def test_family_has_logarithmically_many_levels():
     for k in range(64):
         words = rnd.integers(0, 40, (100, 2)).astype(np.uint64)
         doc = np.sort(rnd.integers(10 * k, 10 * k + 10, 100))
-        got = family.add(words, doc)
+        got = family.add(words.T, doc)
         for w, d in zip(map(tuple, words.tolist()), doc.tolist()):
             least[w] = min(least.get(w, d), d)
         assert got.tolist() == [least[tuple(w)] < d for w, d in zip(words.tolist(), doc.tolist())]
         sizes = [len(x) for x in family.levels]
         assert len(sizes) <= 8 and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
         for level in family.levels:
-            rows = [tuple(w) for w in level.words.tolist()]
+            rows = [tuple(w) for w in level.words.T.tolist()]
             assert rows == sorted(set(rows))
     assert sum(map(len, family.levels)) >= len(least)
 
