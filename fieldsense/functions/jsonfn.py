@@ -22,24 +22,27 @@ def canonical_json(text: Column) -> Column:
     return canonical_variant(whole_variant(text))
 
 
-def whole_json(text: Column, schema: str) -> Column:
-    """``from_json`` of a text that is one JSON value and nothing else, else
-    NULL. The parser stops after the first value; put before a second one in
-    an array, the text must end exactly where its value does."""
-    ddl = schema if isinstance(schema, str) else schema.simpleString()
-    return _first_of_two(F.from_json(F.concat(F.lit("["), text, F.lit(",null]")), f"array<{ddl}>"))
+def is_one_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else; NULL for NULL.
+
+    A parser stops after the value it was asked for. Put into an array before
+    one element, and before two, a whole value gives arrays of two and of three
+    elements. A text that closes the array itself hides what stands behind it,
+    so it gives the same number both times."""
+    return ((F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit(",0]"))), F.lit(0)) == 2)
+            & (F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit(",0,0]"))), F.lit(0)) == 3))
 
 
-def _first_of_two(pair: Column) -> Column:
-    """The first of exactly two elements, else NULL; as a lambda's argument the
-    array is computed once."""
-    return F.get(F.transform(F.array(pair), lambda p: F.when(F.size(p) == 2, F.get(p, F.lit(0)))), F.lit(0))
+def whole_json(text: Column, schema: str) -> Column:
+    """``from_json`` of a text that is one JSON value and nothing else, else NULL."""
+    ddl = schema if isinstance(schema, str) else schema.simpleString()
+    return F.when(is_one_json(text), F.get(F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{ddl}>"), F.lit(0)))
 
 
 def whole_variant(text: Column) -> Column:
     """The same as a VARIANT. An object with repeated keys keeps the last of
     each, as jsonb does."""
-    value = _first_of_two(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]"))), "$", "array<variant>"))
+    value = F.when(is_one_json(text), F.try_parse_json(text))
     entries = F.map_entries(whole_json(text, "map<string,variant>"))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
     return F.coalesce(value, F.when(F.ltrim(text).startswith("{"), F.try_parse_json(F.to_json(F.map_from_entries(last)))))

@@ -43,3 +43,14 @@ def integer_in(text: Column, low: int, high: int) -> Column:
     """The whole number that a text writes, if within ``low`` and ``high``, else NULL."""
     d = finite_number(text)
     return F.when((d == F.floor(d)) & (d >= low) & (d <= high), d)
+
+
+#: How an integer column's text is written: no point, no exponent.
+_INTEGER = r"^\s*[+-]?\d+\s*$"
+
+
+def integer_text(text: Column, low: int, high: int) -> Column:
+    """The integer that a text writes as an integer column reads it, if within
+    ``low`` and ``high``, else NULL: ``1.0`` and ``1e2`` are no integers there."""
+    d = F.when(text.rlike(_INTEGER), F.trim(text).try_cast("decimal(38,0)"))
+    return F.when((d >= F.lit(low)) & (d <= F.lit(high)), d)

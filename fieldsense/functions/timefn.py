@@ -77,3 +77,67 @@ def day_range(day: Column, start: Column | None, end: Column | None, ntz: bool)
     if end is not None:
         pred = pred & (day <= F.date_add(utc_day(end, ntz), 1))
     return pred | day.isNull()
+
+
+#: Days of a week, months of a month, quarter and year.
+_DAYS, _MONTHS = {"day": 1, "week": 7}, {"month": 1, "quarter": 3, "year": 12}
+#: Where buckets are counted from: a Monday for weeks, the start of 1970 for all else.
+_MONDAY, _EPOCH = "1970-01-05", "1970-01-01"
+
+
+def parse_interval(every: str) -> tuple[int, str]:
+    """``"12 hours"``, ``"1 day"``, ``"2 weeks"``, ``"month"`` as (number, unit)."""
+    words = every.lower().split()
+    n, unit = (words[0], words[1]) if len(words) == 2 else ("1", words[0] if words else "")
+    unit = unit[:-1] if unit.endswith("s") else unit
+    if not n.isdigit() or int(n) < 1 or len(words) > 2 or unit not in ("hour", *_DAYS, *_MONTHS):
+        raise ValueError(f"not an interval of hours, days, weeks, months, quarters or years: {every!r}")
+    return int(n), unit
+
+
+def _wall(ts: Column, ntz: bool) -> Column:
+    return ts if ntz else ts.cast("timestamp_ntz")  # wall clock of the session zone
+
+
+def _from_wall(wall: Column, ntz: bool) -> Column:
+    return wall.cast("timestamp_ntz") if ntz else wall.cast("timestamp_ntz").cast("timestamp")
+
+
+def calendar_bucket(ts: Column, every: str, ntz: bool, anchor: str | None = None) -> Column:
+    """Start of the calendar interval that holds ``ts``.
+
+    Days, weeks, months, quarters and years begin at local midnight, counted
+    from ``anchor`` (a date; the start of 1970, or for weeks a Monday), so a day
+    of 23 or 25 hours is one bucket, whatever its length. Hours up to 24 are those
+    of ``bucket_start``; more are counted on the wall clock from the anchor's midnight."""
+    n, unit = parse_interval(every)
+    if unit == "hour" and n <= 24 and anchor is None:
+        return bucket_start(ts, n, ntz)
+    start = F.lit(anchor or (_MONDAY if unit == "week" else _EPOCH)).cast("date")
+    wall = _wall(ts, ntz)
+    if unit == "hour":
+        past = F.timestamp_diff("HOUR", start.cast("timestamp_ntz"), F.date_trunc("HOUR", wall).cast("timestamp_ntz"))
+        return _from_wall(start.cast("timestamp_ntz") + hours((F.floor(past / n) * n).cast("int")), ntz)
+    if unit in _DAYS:
+        days = n * _DAYS[unit]
+        past = F.floor(F.datediff(wall.cast("date"), start) / days) * days
+        return _from_wall(F.date_add(start, past.cast("int")), ntz)
+    months = n * _MONTHS[unit]
+    of = lambda d: F.year(d) * 12 + F.month(d)
+    first = F.trunc(start, "MM")
+    past = F.floor((of(wall) - of(start)) / months) * months
+    return _from_wall(F.add_months(first, past.cast("int")), ntz)
+
+
+def calendar_next(start: Column, every: str, ntz: bool, anchor: str | None = None) -> Column:
+    """Where the interval that begins at ``start`` ends: the start of the next.
+    The last hour bucket of a day ends with the day."""
+    n, unit = parse_interval(every)
+    wall = _wall(start, ntz)
+    if unit == "hour" and n <= 24 and anchor is None:
+        return F.least(start + hours(n), _from_wall(F.date_add(wall.cast("date"), 1), ntz))
+    if unit == "hour":
+        return _from_wall(wall + hours(n), ntz)
+    if unit in _DAYS:
+        return _from_wall(F.date_add(wall.cast("date"), n * _DAYS[unit]), ntz)
+    return _from_wall(F.add_months(wall.cast("date"), n * _MONTHS[unit]), ntz)

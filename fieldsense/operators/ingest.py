@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import empty_flags, integer_in, real_number, ts_literal, whole_json, with_computed
+from ..functions import empty_flags, integer_in, integer_text, real_number, ts_literal, whole_json, with_computed
 
 SHORT_MIN, SHORT_MAX = -32768, 32767
 
@@ -22,6 +22,11 @@ def _short_int(text: Column) -> Column:
     return integer_in(text, SHORT_MIN, SHORT_MAX).cast("smallint")
 
 
+def _short_text(text: Column) -> Column:
+    """A smallint as an integer column reads it from text, else NULL."""
+    return integer_text(text, SHORT_MIN, SHORT_MAX).cast("smallint")
+
+
 def _string(v: Column) -> Column:
     """The text of a VARIANT that is a string, else NULL."""
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
@@ -112,7 +117,7 @@ def insert_measurements(raw: DataFrame, as_of, raw_col: str = "raw", ntz: bool =
     type, description, val and battery are kept (other keys ignored), ts is
     ``as_of`` and sync empty. A document with any row that cannot be stored
     (missing mac/sid/type, mac or description no string, sid or battery not a
-    smallint, val not a number) is rejected whole: ``(rows, rejected)``.
+    smallint written as an integer, val not a number) is rejected whole: ``(rows, rejected)``.
     ``id`` is a hash of the request's columns and ``pos``."""
     doc = F.col(raw_col)
     parsed = F.when(F.ltrim(doc).startswith("{"), F.array(whole_json(doc, INSERT_ITEM))) \
@@ -121,18 +126,18 @@ def insert_measurements(raw: DataFrame, as_of, raw_col: str = "raw", ntz: bool =
     items = F.col("_items")
     keep = [c for c in raw.columns if c != raw_col]
     bad_item = F.exists(items, lambda x: _string(x["mac"]).isNull() | x["type"].isNull() | _not_string(x["description"])
-                        | _short_int(x["sid"]).isNull()
-                        | (x["battery"].isNotNull() & _short_int(x["battery"]).isNull())
+                        | _short_text(x["sid"]).isNull()
+                        | (x["battery"].isNotNull() & _short_text(x["battery"]).isNull())
                         | (x["val"].isNotNull() & _number(x["val"]).isNull()))
     reason = F.when(items.isNull(), F.lit("json")).when(bad_item, F.lit("row"))
     tagged = with_computed(with_computed(raw, _items=parsed), reason=reason)
     rows = (tagged.where(F.col("reason").isNull())
             .select(*keep, F.posexplode("_items").alias("pos", "_i"))
             .select(_row_id(*(F.col(c).cast("string") for c in keep), F.col("pos")).alias("id"), *keep, "pos",
-                    _string(F.col("_i.mac")).alias("mac"), _short_int(F.col("_i.sid")).alias("sid"), "_i.type",
+                    _string(F.col("_i.mac")).alias("mac"), _short_text(F.col("_i.sid")).alias("sid"), "_i.type",
                     _string(F.col("_i.description")).alias("description"),
                     _number(F.col("_i.val")).cast("float").alias("val"),
-                    _short_int(F.col("_i.battery")).alias("battery"),
+                    _short_text(F.col("_i.battery")).alias("battery"),
                     ts_literal(as_of, ntz).alias("ts"), empty_flags().alias("sync")))
     rejected = tagged.where(F.col("reason").isNotNull()).drop("_items")
     return rows, rejected

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import empty_flags, integer_in, is_ntz, micros_between, minutes, ts_literal, whole_json, with_computed
+from ..functions import empty_flags, integer_text, is_ntz, micros_between, minutes, ts_literal, whole_json, with_computed
 
 INT_MIN, INT_MAX = -(2 ** 31), 2 ** 31 - 1
 
@@ -36,11 +36,11 @@ def queue_decode(raw: DataFrame, as_of, raw_col: str = "raw", job_types=S.JOB_TY
                  ntz: bool = True):
     """Decode insert requests ``{job_type, delay?}`` into queue rows created
     at ``as_of``: ``(rows, rejected)``. Rejected (``reason``): not a JSON
-    object, ``job_type`` missing or not one of ``job_types``, ``delay`` not an
-    integer. A missing delay stays NULL (the column default is not applied)."""
+    object, ``job_type`` missing or not one of ``job_types``, ``delay`` not
+    written as an integer. A missing delay stays NULL (the column default is not applied)."""
     doc = F.col(raw_col)
     j = whole_json(doc, S.RAW_JOB)
-    d = integer_in(F.col("_j.delay"), INT_MIN, INT_MAX)
+    d = integer_text(F.col("_j.delay"), INT_MIN, INT_MAX)
     reason = (F.when(F.col("_j").isNull() | ~F.ltrim(doc).startswith("{"), F.lit("json"))
               .when(F.col("_j.job_type").isNull() | ~F.col("_j.job_type").isin(list(job_types)),
                     F.lit("job_type"))

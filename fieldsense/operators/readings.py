@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import (bucket_start, day_range, is_ntz, minutes, round_numeric, round_to_short,
+from ..functions import (bucket_start, calendar_bucket, calendar_next, day_range, is_ntz, minutes, round_numeric, round_to_short,
                          ts_literal)
 
 SERIES_KEYS = ("mac", "sid", "type")
@@ -114,10 +114,12 @@ def retain(df: DataFrame, as_of, keep_minutes: int, dest: str = S.CLOUD, ts: str
 
 def rollup(df: DataFrame, n_hours: int = 12, bounds: Bounds = STRICT_60, start=None, end=None,
            keys=SERIES_KEYS, series: DataFrame | None = None, types=None, sort: bool = True,
-           value: str = "val", ts: str = "ts", day_col: str | None = None) -> DataFrame:
+           value: str = "val", ts: str = "ts", day_col: str | None = None, every: str | None = None,
+           anchor: str | None = None) -> DataFrame:
     """Calendar rollup: per ``n_hours`` bucket (anchored at local midnight) and
     series, the average and population deviation rounded to 2 places, and
-    the count of values.
+    the count of values. ``every`` (``"1 day"``, ``"2 weeks"``, ``"1 month"``, ...)
+    takes calendar intervals from ``anchor`` on instead of ``n_hours``.
 
     ``types`` keeps only these reading types; ``series`` (a DataFrame of
     ``keys`` columns) keeps only those series through a semi join, which
@@ -129,7 +131,8 @@ def rollup(df: DataFrame, n_hours: int = 12, bounds: Bounds = STRICT_60, start=N
         rows = rows.where(F.col("type").isin(list(types)))
     if series is not None:
         rows = rows.join(series.select(*keys), list(keys), "left_semi")
-    bucket = bucket_start(F.col(ts), n_hours, is_ntz(df, ts)).alias("time")
+    ntz = is_ntz(df, ts)
+    bucket = (calendar_bucket(F.col(ts), every, ntz, anchor) if every else bucket_start(F.col(ts), n_hours, ntz)).alias("time")
     out = (rows.groupBy(bucket, *keys)
            .agg(round_numeric(F.avg(value)).alias("val_avg"),
                 round_numeric(F.stddev_pop(value)).alias("val_stddev"),
@@ -137,6 +140,45 @@ def rollup(df: DataFrame, n_hours: int = 12, bounds: Bounds = STRICT_60, start=N
     return out.orderBy("time", *keys) if sort else out
 
 
+@dataclass(frozen=True)
+class Mirror:
+    """The fixed parameters with which aggregated data is mirrored elsewhere:
+    being fixed, a time says what the mirror has already."""
+
+    intervals: tuple = S.MIRROR_INTERVALS
+    bounds: Bounds = STRICT_60
+    keys: tuple = SERIES_KEYS
+
+
+def mirror_rollup(df: DataFrame, as_of, sent_until=None, mirror: Mirror = Mirror(), ts: str = "ts", sort: bool = True,
+                  day_col: str | None = None) -> DataFrame:
+    """The rows to add to a mirror at ``as_of``: for each interval of
+    ``mirror`` the buckets that end by then, and after ``sent_until``, the time
+    of the last delivery. With each delivery from where the last one ended,
+    every bucket is delivered once, when it is over.
+
+    Output: every, time, time_end, *keys, val_avg, val_stddev, val_count. Each
+    interval reads only readings that its buckets can hold."""
+    ntz = is_ntz(df, ts)
+    now = ts_literal(as_of, ntz)
+    out = None
+    for every in mirror.intervals:
+        rows, until = df.where(F.col(ts) < now), None
+        if sent_until is not None:
+            # buckets that end after the last delivery begin at or after the one that held it
+            until = ts_literal(sent_until, ntz)
+            rows = rows.where(F.col(ts) >= calendar_bucket(until, every, ntz))
+        if day_col is not None:
+            rows = rows.where(day_range(F.col(day_col), None if until is None else calendar_bucket(until, every, ntz), now, ntz))
+        r = rollup(rows, bounds=mirror.bounds, keys=mirror.keys, every=every, sort=False, ts=ts)
+        end = calendar_next(F.col("time"), every, ntz)
+        over = end <= now if until is None else (end <= now) & (end > until)
+        r = r.where(over).select(F.lit(every).alias("every"), "time", end.alias("time_end"), *mirror.keys,
+                                 "val_avg", "val_stddev", "val_count")
+        out = r if out is None else out.unionByName(r)
+    return out.orderBy("every", "time", *mirror.keys) if sort else out
+
+
 def series_key(keys=SERIES_KEYS) -> Column:
     """``mac || '_' || sid || '_' || type``; NULL when any part is NULL."""
     parts = []

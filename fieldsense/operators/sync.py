@@ -68,8 +68,6 @@ def _payload(df: DataFrame, json_columns=()) -> Column:
     for f in df.schema.fields:
         if f.name in json_columns:
             fields.append(F.parse_json(F.col(f.name)).alias(f.name))
-        elif isinstance(f.dataType, T.FloatType):
-            fields.append(F.col(f.name).cast("double").alias(f.name))
         else:
             fields.append(_iso(df, f.name).alias(f.name))
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
@@ -162,10 +160,10 @@ def reset_sync(df: DataFrame, dest: str = S.CLOUD, sync: str = "sync") -> DataFr
 ACK_SCHEMA = "struct<id:bigint>"
 
 
-def ids_from_json(df: DataFrame, col: str = "reply") -> DataFrame:
+def ids_from_json(df: DataFrame, col: str = "reply", *keep: str) -> DataFrame:
     """Acknowledged ids from the receiver's JSON reply (``[{"id": 1}, ...]``
-    or a single object), one row per id; other keys are ignored. A text that
-    is not one JSON value acknowledges nothing."""
+    or a single object), one row per id with the columns ``keep``; other keys
+    are ignored. A text that is not one JSON value acknowledges nothing."""
     one, many = whole_json(F.col(col), ACK_SCHEMA), whole_json(F.col(col), f"array<{ACK_SCHEMA}>")
     items = F.when(F.ltrim(F.col(col)).startswith("{"), F.array(one)).otherwise(many)
-    return df.select(F.inline(items)).where(F.col("id").isNotNull())
+    return df.select(*keep, F.inline(items)).where(F.col("id").isNotNull())

@@ -9,7 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import ts_literal
+from ..operators import acks as AK
+from ..operators import ids as ID
 from ..operators import ingest as IN
+from ..operators import panes as PA
 from ..operators import queue as QU
 from ..operators import readings as R
 from ..operators import state as ST
@@ -47,6 +51,29 @@ def rollup_params(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "2024-01-05 00:00:00", "2024-01-20 00:00:00", types=("view", "click", "purchase"))
 
 
+def rollup_from_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 12-hour rollup from hour panes, those of the readings already
+    aggregated and those of the readings that came later."""
+    m = A.measurements(spark, sf_dir)
+    panes = [PA.hour_panes(m.where(late), A.EVENTS_BOUNDS, start=A.EVENTS_START, end=A.EVENTS_END)
+             for late in (F.col("agg"), ~F.col("agg"))]
+    return PA.rollup_from_panes(panes[0].unionByName(panes[1]), 12)
+
+
+def rollup_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollups of days, weeks, months and spans of ten days."""
+    m, out = A.measurements(spark, sf_dir), None
+    for every in ("1 day", "1 week", "1 month", "10 days"):
+        r = R.rollup(m, bounds=A.EVENTS_BOUNDS, every=every, sort=False).select(F.lit(every).alias("every"), "*")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def mirror_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mirror of hourly and daily rollups lacks two days after its last delivery."""
+    return R.mirror_rollup(A.measurements(spark, sf_dir), A.MIRROR_AS_OF, A.SYNC_CUTOFF, R.Mirror(bounds=A.EVENTS_BOUNDS))
+
+
 def trailing_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.trailing_aggregate(A.measurements(spark, sf_dir), A.EVENTS_AS_OF, 14400, A.EVENTS_LEGACY).drop("id")
 
@@ -105,6 +132,24 @@ def apply_ack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.to_json("sync").alias("sync_json"))
 
 
+def ack_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags of all measurements, acknowledgements merged when read."""
+    m = A.measurements(spark, sf_dir)
+    return AK.with_acks(m, A.acknowledged(spark, sf_dir), "measurements").select("id", F.to_json("sync").alias("sync_json"))
+
+
+def pending_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measurements that the acknowledgements leave to send."""
+    out = AK.pending_delta(A.measurements(spark, sf_dir), A.acknowledged(spark, sf_dir), "measurements", limit=None)
+    return out.select("id", "mac", "sid", "type", "val", "ts")
+
+
+def pending_delta_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next message: the oldest of them."""
+    return AK.pending_delta(A.measurements(spark, sf_dir), A.acknowledged(spark, sf_dir), "measurements",
+                            columns=SY.MEASUREMENT_COLUMNS)
+
+
 def ingest_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a sync would send of freshly ingested rows."""
     rows = _ingest_rows(spark, sf_dir)
@@ -208,6 +253,24 @@ def ingest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ingest_rows(spark, sf_dir).drop("sync", "id")
 
 
+def ingest_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Serial ids of ingested rows where some requests came twice, after those stored."""
+    raw = A.raw_batches(spark, sf_dir)
+    again = raw.where(F.col("batch_id").like("1%"))
+    rows = IN.reshape_batches(IN.validate_batches(raw.unionByName(again))[0], A.EVENTS_AS_OF)
+    start = ID.last_id(A.measurements(spark, sf_dir))
+    return ID.with_serial_ids(rows, ("batch_id", "pos"), start).drop("sync")
+
+
+def agg_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Serial ids of two runs of the trailing aggregate, by run and series."""
+    m, out = A.measurements(spark, sf_dir), None
+    for as_of in (A.SYNC_CUTOFF, A.EVENTS_AS_OF):
+        run = R.trailing_aggregate(m.where(F.col("ts") <= ts_literal(as_of, True)), as_of, 7200, A.EVENTS_LEGACY, sort=False)
+        out = run if out is None else out.unionByName(run)
+    return ID.with_serial_ids(out, ("ts", "mac", "sid", "type", "description")).select("id", "ts", "mac", "sid", "type", "description", "n")
+
+
 def ingest_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IN.ingest_receipt(_ingest_rows(spark, sf_dir), A.EVENTS_AS_OF)
 
@@ -257,6 +320,14 @@ QUERIES: dict[str, Query] = {
     "rollup_1h": rollup_1h,
     "rollup_12h": rollup_12h,
     "rollup_nested_json": rollup_nested_json,
+    "rollup_from_panes": rollup_from_panes,
+    "rollup_calendar": rollup_calendar,
+    "mirror_rollup": mirror_rollup,
+    "ack_merge": ack_merge,
+    "pending_delta": pending_delta,
+    "pending_delta_top": pending_delta_top,
+    "ingest_ids": ingest_ids,
+    "agg_ids": agg_ids,
     "rollup_params": rollup_params,
     "trailing_aggregate": trailing_aggregate,
     "trailing_mark_used": trailing_mark_used,
@@ -343,7 +414,7 @@ ORACLE.update({
     "sync_envelope": O.with_(O.MEASUREMENTS, O.OBSERVATIONS, O.RUNS) + f""", pm AS ({_PM}), ps AS ({_PS})
 SELECT 'measurements' AS source, id,
        CAST(to_json({{'id': id, 'mac': mac, 'sid': sid, 'type': type, 'description': description,
-                     'val': CAST(val AS DOUBLE), 'ts': strftime(ts, {_TS}), 'battery': battery}}) AS VARCHAR) AS payload
+                     'val': CAST(CAST(val AS VARCHAR) AS JSON), 'ts': strftime(ts, {_TS}), 'battery': battery}}) AS VARCHAR) AS payload
 FROM pm
 UNION ALL
 SELECT 'logState' AS source, id,
@@ -439,3 +510,40 @@ FROM qq""",
 })
 
 ORACLE["apply_ack"] = ORACLE["mark_synced"]
+
+ORACLE["rollup_from_panes"] = ORACLE["rollup_12h"]
+
+_WEEK = "date_trunc('week', ts)"
+_TEN = "DATE '1970-01-01' + CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) // 10 * 10 AS INTEGER)"
+
+ORACLE.update({
+    "rollup_calendar": _M + " UNION ALL ".join(
+        f"SELECT '{every}' AS every, * FROM ({O.rollup_sql(time=time)})" for every, time in
+        (("1 day", "date_trunc('day', ts)"), ("1 week", _WEEK), ("1 month", "date_trunc('month', ts)"), ("10 days", _TEN))),
+    "mirror_rollup": _M + " UNION ALL ".join(
+        f"""SELECT '1 {unit}' AS every, time, time + INTERVAL 1 {unit} AS time_end, mac, sid, type, val_avg, val_stddev, val_count
+FROM ({O.rollup_sql(time=f"date_trunc('{unit}', ts)")})
+WHERE time + INTERVAL 1 {unit} <= TIMESTAMP '2024-01-17 09:30:00' AND time + INTERVAL 1 {unit} > TIMESTAMP '2024-01-15 00:00:00'"""
+        for unit in ("hour", "day")),
+    "ack_merge": O.with_(O.MEASUREMENTS, O.ACKED) + """SELECT id, CASE WHEN acked IS NOT NULL THEN '{"cloud":' || CAST(acked AS VARCHAR) || '}'
+            WHEN sync_cloud IS NULL THEN '{}' ELSE '{"cloud":' || CAST(sync_cloud AS VARCHAR) || '}' END AS sync_json
+FROM ak""",
+    "pending_delta": O.with_(O.MEASUREMENTS, O.ACKED) + """SELECT id, mac, sid, type, val, ts FROM ak
+WHERE NOT COALESCE(acked, sync_cloud, FALSE)""",
+    "pending_delta_top": O.with_(O.MEASUREMENTS, O.ACKED) + """SELECT id, mac, sid, type, description, val, ts, battery FROM ak
+WHERE NOT COALESCE(acked, sync_cloud, FALSE) ORDER BY id LIMIT 500""",
+    "ingest_ids": O.with_(O.BATCHES) + """SELECT (SELECT MAX(event_id) FROM events)
+       + ROW_NUMBER() OVER (ORDER BY batch_id, pos) AS id, * FROM (
+  SELECT batch_id, CAST(ROW_NUMBER() OVER (PARTITION BY batch_id ORDER BY event_id) - 1 AS INTEGER) AS pos,
+         mac, sid, type, description, val, battery, TIMESTAMP '2024-01-31 00:00:00' AS ts
+  FROM b WHERE batch_id IN (SELECT batch_id FROM bv)
+  UNION ALL
+  SELECT batch_id, CAST(ROW_NUMBER() OVER (PARTITION BY batch_id ORDER BY event_id) - 1 AS INTEGER) AS pos,
+         mac, sid, type, description, val, battery, TIMESTAMP '2024-01-31 00:00:00' AS ts
+  FROM b WHERE batch_id IN (SELECT batch_id FROM bv) AND batch_id LIKE '1%')""",
+    "agg_ids": _M + f"""SELECT ROW_NUMBER() OVER (ORDER BY ts, mac, sid, type, description NULLS LAST) AS id, * FROM (
+  SELECT run AS ts, mac, sid, type, description, COUNT(val) AS n
+  FROM m, (VALUES (TIMESTAMP '2024-01-15 00:00:00'), (TIMESTAMP '2024-01-31 00:00:00')) AS r(run)
+  WHERE ts <= run AND ts > run - INTERVAL 7200 MINUTE AND {O.LEGACY_EVENTS} AND agg = FALSE
+  GROUP BY ALL)""",
+})

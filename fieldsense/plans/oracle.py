@@ -52,6 +52,14 @@ ag AS (
   GROUP BY date_trunc('day', ts), mac, sid, type, description
 )"""
 
+# one message of all views and purchases up to the cutoff, answered; then one of all purchases taken back
+ACKED = """
+ak AS (
+  SELECT *, CASE WHEN type = 'purchase' THEN FALSE
+                 WHEN type = 'view' AND ts < TIMESTAMP '2024-01-15 00:00:00' THEN TRUE END AS acked
+  FROM m
+)"""
+
 READING_TYPE = """CASE WHEN event_type IN ('view', 'purchase') THEN 't'
                        WHEN event_type IN ('click', 'signup') THEN 'h' ELSE event_type END"""
 
@@ -98,7 +106,7 @@ oo AS (
 ),
 o AS (
   SELECT device_id, id, ts, segment,
-         CASE id % 29 WHEN 0 THEN data || ' tail'
+         CASE id % 29 WHEN 0 THEN data || ',2] tail'
               WHEN 1 THEN regexp_replace(data, '"value": ([01])}}', '"value": \\1e0}}')
               WHEN 2 THEN regexp_replace(data, '^.', '{{"value": 9, ') ELSE data END AS data,
          CASE WHEN id % 29 = 0 THEN NULL ELSE canon END AS canon
@@ -174,8 +182,8 @@ def key_part(key: str, parts: int) -> str:
     return f"CAST(({' + '.join(digits)}) % {parts} AS INTEGER)"
 
 
-def rollup_sql(n: int, extra_where: str = "") -> str:
-    return f"""SELECT {bucket(n)} AS time, mac, sid, type,
+def rollup_sql(n: int = 1, extra_where: str = "", time: str = "") -> str:
+    return f"""SELECT {f"CAST({time} AS TIMESTAMP)" if time else bucket(n)} AS time, mac, sid, type,
        CAST(ROUND(CAST(AVG(val) AS DECIMAL(38,12)), 2) AS DOUBLE) AS val_avg,
        CAST(ROUND(CAST(STDDEV_POP(val) AS DECIMAL(38,12)), 2) AS DOUBLE) AS val_stddev,
        COUNT(val) AS val_count

@@ -31,6 +31,8 @@ GPIO_USER_KEY = "userId"
 GPIO_DEFAULT_USER = 0
 CLOUD = "cloud"
 DEFAULT_SYNC_LIMIT = 500
+# intervals of the rollups that are mirrored unless others are asked for
+MIRROR_INTERVALS = ("1 hour", "1 day")
 OTHER_TYPE_BOUNDS = (-99999.0, 99999.0)
 STRICT_70 = {"t": (-10.0, 70.0), "h": (-1.0, 101.0)}
 STRICT_60 = {"t": (-10.0, 60.0), "h": (-1.0, 101.0)}

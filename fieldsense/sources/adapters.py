@@ -18,6 +18,7 @@ from ..operators.readings import Bounds
 EVENTS_AS_OF = "2024-01-31 00:00:00"
 QUEUE_AS_OF = "1998-01-01 00:00:00"
 SYNC_CUTOFF = "2024-01-15 00:00:00"
+MIRROR_AS_OF = "2024-01-17 09:30:00"
 
 # bounds of the test mapping: reading type = event type
 EVENTS_BOUNDS = Bounds({"view": (1.0, 60.0), "click": (2.0, 101.0)}, other=(-99999.0, 99999.0))
@@ -73,6 +74,19 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def acknowledged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acknowledgements of two ticks, in the layout of ``operators.acks``: the
+    first takes all views and purchases up to the cutoff, the second, later one
+    takes back every purchase (twin: ``plans.oracle.ACKED``)."""
+    m = measurements(spark, sf_dir)
+    first = m.where(F.col("type").isin("view", "purchase") & (F.col("ts") < ts_literal(SYNC_CUTOFF, True)))
+    back = m.where(F.col("type") == "purchase")
+    both = first.select("id", "ts", F.lit(True).alias("value"), F.lit(1).cast("bigint").alias("tick")) \
+        .unionByName(back.select("id", "ts", F.lit(False).alias("value"), F.lit(2).cast("bigint").alias("tick")))
+    return both.select(F.lit("measurements").alias("source"), "id", F.to_date("ts").alias("day"), F.lit(None).cast("string").alias("version"),
+                       F.lit("cloud").alias("dest"), "value", "tick")
+
+
 def measurements_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows in the first layout (boolean sync, agg present)."""
     m = measurements(spark, sf_dir)
@@ -130,7 +144,7 @@ def raw_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.to_json(F.struct(F.col("user_id").cast("string").alias("mac"), data.alias("data")))
     kind = (F.col("user_id") + F.element_at(F.split("batch_id", "-"), -1).cast("bigint")) % SPOILT_BATCHES
     r = F.col("raw")
-    spoilt = {0: F.concat(r, F.lit(" xyz")), 1: F.concat(r, F.lit(","), r), 2: F.concat(F.lit("["), r, F.lit("]")),
+    spoilt = {0: F.concat(r, F.lit(",{}] xyz")), 1: F.concat(r, F.lit(","), r), 2: F.concat(F.lit("["), r, F.lit("]")),
               3: F.regexp_replace(r, r'"mac":"(\d+)"', '"mac":{"x":$1}'), 4: F.regexp_replace(r, r'"mac":"(\d+)"', '"mac":$1'),
               5: F.regexp_replace(r, r'"mac":"\d+"', '"mac":""'), 6: F.regexp_replace(r, r'^\{', '{"battery":"5d",'),
               7: F.regexp_replace(r, r'"data":\[.*\]', '"data":[]'), 8: F.regexp_replace(r, r'"sid":\d+', '"sid":"1f"'),
@@ -166,7 +180,7 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(by_k == "gpio", F.concat(F.lit('{"pin": 7, "value": '), bit, F.lit("}")))
             .otherwise(F.concat(F.lit('{"value": '), bit, F.lit("}"))))
     kind = F.col("event_id") % SPOILT_OBSERVATIONS
-    data = (F.when(kind == 0, F.concat(data, F.lit(" tail")))
+    data = (F.when(kind == 0, F.concat(data, F.lit(",2] tail")))
             .when(kind == 1, F.regexp_replace(data, r'"value": ([01])\}', '"value": $1e0}'))
             .when(kind == 2, F.regexp_replace(data, r'^\{', '{"value": 9, ')).otherwise(data))
     return ev.select(F.col("user_id").cast("string").alias("device_id"),
@@ -198,7 +212,7 @@ def raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queue insert requests: job_type missing for unspecified priority and
     unknown ('irrigation_pause') for low-priority pending orders; no delay for
     finished orders. By key, some have text after the document, two documents,
-    or a delay that is no decimal number."""
+    or a delay that an integer column refuses."""
     o = _spread(orders(spark, sf_dir))
     p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
     jt = (F.when(p == "4-NOT SPECIFIED", F.lit(None).cast("string"))
@@ -208,7 +222,7 @@ def raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.to_json(F.struct(jt.alias("job_type"), delay.alias("delay")))
     r = F.col("raw")
     return _spoil(o.select(F.col("o_orderkey").alias("id"), raw.alias("raw"), (F.col("o_orderkey") % SPOILT_JOBS).alias("_kind")),
-                  {0: F.concat(r, F.lit(" x")), 1: F.regexp_replace(r, r'"delay":\d+', '"delay":"5d"'), 2: F.concat(r, F.lit(","), r)})
+                  {0: F.concat(r, F.lit(",{}] x")), 1: F.regexp_replace(r, r'"delay":(\d+)', '"delay":$1.0'), 2: F.concat(r, F.lit(","), r)})
 
 
 def raw_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,6 +246,6 @@ def raw_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.when(F.col("event_type") == "signup", F.to_json(F.array(obj))).otherwise(F.to_json(obj))
     r = F.col("raw")
     return _spoil(ev.select(F.col("event_id").alias("req"), doc.alias("raw"), (F.col("event_id") % SPOILT_INSERTS).alias("_kind")),
-                  {0: F.concat(r, F.lit(" tail")), 1: F.concat(r, F.lit(","), r), 2: F.concat(r, F.lit(" ]garbage")),
+                  {0: F.concat(r, F.lit(",[]] tail")), 1: F.concat(r, F.lit(","), r), 2: F.concat(r, F.lit(" ]garbage")),
                    3: F.regexp_replace(r, r'"mac":"(\d+)"', '"mac":$1'), 4: F.regexp_replace(r, r'"val":[-+0-9.E]+', '"val":"10d"'),
-                   5: F.regexp_replace(r, r'"val":[-+0-9.E]+', '"val":1e300'), 6: F.regexp_replace(r, r'"battery":\d+', '"battery":"0x1"')})
+                   5: F.regexp_replace(r, r'"val":[-+0-9.E]+', '"val":1e300'), 6: F.regexp_replace(r, r'"battery":(\d+)', '"battery":$1.0')})

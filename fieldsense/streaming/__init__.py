@@ -3,7 +3,8 @@
 from .ingest import ingest_stream, read_batches, write_ingest_batch
 from .rollup import rollup_stream
 from .state import latest_versions, live_state_rows, rejected_stream, state_runs_stream
-from .sync import ack_tick, aggregate_stream, aggregate_tick, notify_stream, sync_stream, sync_tick, tick_stream
+from .sync import (ack_tick, acked_tick, aggregate_stream, aggregate_tick, answer_tick, notify_stream, sync_stream, sync_tick,
+                   tick_stream)
 
-__all__ = ["ack_tick", "aggregate_stream", "aggregate_tick", "ingest_stream", "latest_versions", "live_state_rows", "notify_stream", "read_batches", "rollup_stream",
+__all__ = ["ack_tick", "acked_tick", "answer_tick", "aggregate_stream", "aggregate_tick", "ingest_stream", "latest_versions", "live_state_rows", "notify_stream", "read_batches", "rollup_stream",
            "rejected_stream", "state_runs_stream", "sync_stream", "sync_tick", "tick_stream", "write_ingest_batch"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import ingest_receipt, reshape_batches, validate_batches
+from ..sources.epochs import serial_epoch
 from ..sources.tables import with_day
 
 RAW_SCHEMA = "batch_id string, raw string"
@@ -25,12 +26,14 @@ def write_ingest_batch(batch: DataFrame, epoch_id: int, rows_dir: str, reject_di
     """One micro-batch: validate, stamp every row with the batch's arrival
     time (``current_timestamp`` is fixed for a micro-batch, like ``now()`` in
     a transaction), write rows (partitioned by day) and rejects under ``epoch=<id>``, and, with
-    ``receipt_dir``, one receipt per request (``new_records``, ``ts``). A
-    replayed epoch overwrites its own folders, so output is exactly once."""
+    ``receipt_dir``, one receipt per request (``new_records``, ``ts``). Ids are
+    serial over all epochs, by request and place in it. A replayed epoch
+    overwrites its own folders, so output is exactly once."""
     batch = batch.persist()
     try:
         good, rejected = validate_batches(batch)
-        rows = reshape_batches(good, F.current_timestamp(), ntz=False).persist()
+        rows = reshape_batches(good, F.current_timestamp(), ntz=False)
+        rows = serial_epoch(rows, ("batch_id", "pos"), f"{rows_dir}/_ids", epoch_id).persist()
         with_day(rows).write.mode("overwrite").partitionBy("day").parquet(f"{rows_dir}/epoch={epoch_id}")
         if receipt_dir is not None:
             ingest_receipt(rows, F.current_timestamp(), ntz=False) \

@@ -9,7 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
 from ..operators.readings import LEGACY_CLOSED, Bounds, aggregate_and_mark, mark_used, mark_used_days
+from ..sources.epochs import done as _done, serial_epoch
 from ..session import cut_lineage
+from ..sources.acked import AckedTable
 from ..sources.tables import overwrite_partitions
 from ..operators.sync import (AGGREGATE_COLUMNS, MEASUREMENT_COLUMNS, STATE_COLUMNS, apply_reply, envelope_document,
                               pending, sync_envelope)
@@ -42,14 +44,36 @@ def tick_stream(spark: SparkSession, action: Callable[[int], None], checkpoint:
             .trigger(processingTime=interval).start())
 
 
-def sync_stream(spark: SparkSession, load_measurements: Callable[[], DataFrame],
-                load_state: Callable[[], DataFrame], outbox_dir: str, checkpoint: str,
-                interval: str = "5 minutes", limit: int = S.DEFAULT_SYNC_LIMIT,
-                from_day: Callable[[], object] | None = None) -> StreamingQuery:
-    """Periodic sync: each tick re-reads both tables and ships what is pending.
-    ``from_day`` gives each tick's day watermark (see ``oldest_pending_day``)."""
-    return tick_stream(spark, lambda i: sync_tick(load_measurements(), load_state(), outbox_dir, i, limit,
-                                                  from_day() if from_day else None), checkpoint, interval)
+def acked_tick(measurements: AckedTable, log_state: AckedTable, outbox_dir: str, tick_id: int,
+               limit: int = S.DEFAULT_SYNC_LIMIT) -> bool:
+    """``sync_tick`` over tables that keep their acknowledgements apart: it
+    reads the days that can hold rows to send, and keeps the ids of the message
+    before it goes out, so that its answer can be told from others."""
+    rows, runs = measurements.pending(limit).persist(), log_state.pending(limit).persist()  # one message
+    try:
+        document = envelope_document(sync_envelope(rows.select(*MEASUREMENT_COLUMNS), runs.select(*STATE_COLUMNS)), 2 * limit).first()
+        if document is None:
+            return False
+        measurements.note_sent(rows, tick_id)
+        log_state.note_sent(runs, tick_id)
+        spark = measurements.spark
+        spark.createDataFrame([tuple(document)], "document string").write.mode("overwrite").text(f"{outbox_dir}/tick={tick_id}")
+        return True
+    finally:
+        rows.unpersist()
+        runs.unpersist()
+
+
+def sync_stream(spark: SparkSession, measurements: AckedTable, log_state: AckedTable, outbox_dir: str, checkpoint: str,
+                interval: str = "5 minutes", limit: int = S.DEFAULT_SYNC_LIMIT) -> StreamingQuery:
+    """Periodic sync: each tick ships what is pending in both tables."""
+    return tick_stream(spark, lambda i: acked_tick(measurements, log_state, outbox_dir, i, limit), checkpoint, interval)
+
+
+def answer_tick(reply: DataFrame, tables: list[AckedTable], tick_id: int, status: int) -> bool:
+    """The answer (source, reply) to the message of ``tick_id``: its ids are
+    added to each table's acknowledgements. Returns whether any were."""
+    return any([t.acknowledge(reply, tick_id, status) for t in tables])
 
 
 def ack_tick(reply: DataFrame, tables: dict[str, DataFrame], dirs: dict[str, str], tick_id: int, status: int) -> bool:
@@ -84,13 +108,6 @@ def notify_stream(spark: SparkSession, agg_dir: str, schema, outbox_dir: str, ch
             .trigger(**(trigger or {"processingTime": debounce})).start())
 
 
-def _done(spark: SparkSession, path: str) -> bool:
-    """Whether a write to ``path`` has been committed."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 def _kept_as_of(spark: SparkSession, path: str, as_of) -> str:
     """The time of the tick's first try, kept as text."""
     if not _done(spark, path):
@@ -104,7 +121,8 @@ def aggregate_tick(measurements: DataFrame, agg_dir: str, marked_dir: str, tick_
     ``agg_dir/tick=<id>``, then the consumed flags are written. The first try
     of a tick keeps its ``as_of`` in ``agg_dir/_as_of/tick=<id>``; a replay takes
     that and overwrites the tick's own folder, so it repeats the same run and
-    no reading counts twice, wherever the first try failed.
+    no reading counts twice, wherever the first try failed. Ids go on where the
+    ticks before this one ended.
 
     When the measurements carry a ``day_col`` partition column, ``marked_dir``
     is that day-partitioned table and only the days of the window are
@@ -115,6 +133,7 @@ def aggregate_tick(measurements: DataFrame, agg_dir: str, marked_dir: str, tick_
     by_day = day_col if day_col in measurements.columns else None
     if not _done(spark, f"{agg_dir}/tick={tick_id}"):
         aggs, _ = aggregate_and_mark(measurements, as_of, window_minutes, bounds, day_col=by_day, run_id=tick_id)
+        aggs = serial_epoch(aggs, ("mac", "sid", "type", "description"), f"{agg_dir}/_ids", tick_id).select(*aggs.columns)
         aggs.write.mode("overwrite").parquet(f"{agg_dir}/tick={tick_id}")
     if by_day:
         changed = cut_lineage(mark_used_days(measurements, as_of, window_minutes, bounds))
