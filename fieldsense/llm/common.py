@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +69,12 @@ def row_groups(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, chars:
                 held, size = [], 0
     if held:
         yield held
+
+
+def by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places of the 64-bit ``keys`` that it has), for the shards that have any."""
+    shard = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % shards
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0]) if len(order) else []
+    for at in np.split(order, cuts[1:]) if len(order) else []:
+        yield int(shard[at[0]]), at

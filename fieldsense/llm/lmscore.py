@@ -1,169 +1,235 @@
 """Cross-entropy difference of two n-gram models.
 
 The target model counts the documents labelled good, the background model all
-documents. Both are bigram models over one vocabulary, the most frequent words
-of the corpus, smoothed alike towards their own unigrams; bigrams are counted
-in hashed cells of a fixed number, so that the models have the same size for
-any corpus. A document's score is the mean over its words of the target's
-loss less the background's: the lower, the more like the target."""
+documents. Both are bigram models over one vocabulary, all words of the corpus
+and the end of a text, smoothed alike towards their own unigrams; every bigram
+is counted, so what the models gather grows with the corpus, and of each context
+the probabilities add up to one. A document's score is the mean over its words
+and its end of the target's loss less the background's: the lower, the more
+like the target.
+
+Counting is spread by key: documents are dealt into chunks, a chunk sends each
+of its words and bigrams once, with its own counts, to the shard of the key, and
+gets the sums over all chunks back, so that no task holds the whole model and
+the most frequent bigram costs a task one entry for each chunk."""
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, row_groups
+from .common import by_shard, documents, id_and_text, row_groups
 
-#: Words of the vocabulary, and hashed cells of the bigrams.
-VOCABULARY, CELLS = 65_536, 1 << 20
 #: Pseudo-counts of the unigrams in a bigram's distribution, and of each word in the unigrams.
 PRIOR, FLOOR = 20.0, 0.5
-#: Different words that a task counts before it hands them on.
-HELD_WORDS = 400_000
-_UNKNOWN, _START = 0, 1
+#: Text bytes of a chunk on average.
+CHUNK_BYTES = 8_000_000
+#: Keys of the start and the end of a text; no word has an even key.
+START, END = np.uint64(2), np.uint64(4)
 
-
-class Vocabulary(dict):
-    """Word to number; 0 for other words, 1 for the start of a text."""
-
-    def __missing__(self, word: str) -> int:
-        return _UNKNOWN
+_A, _B, _MIX, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29), np.uint64(1)
 
 
 def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The ``size`` most frequent words of all texts, ties in code point order.
-
-    The words are sorted over all partitions and the first ones taken; a top-k
-    would send the driver ``size`` words from each partition."""
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for rows in row_groups(batches):
-            for _, text in rows:
-                counts.update(words_of(text))
-            if len(counts) > HELD_WORDS:
-                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], schema=schema)
-                counts = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], schema=schema)
-
-    ranked = (docs.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-              .orderBy(F.col("n").desc(), "word").select("word"))
-    as_sorted = ranked.mapInArrow(lambda batches: batches, "word string")  # keeps the sort apart from the limit
-    return [r["word"] for r in as_sorted.limit(size).collect()]
+def word_key(word: str) -> int:
+    """64 bits of hash; the lowest bit is set, which tells words from bigrams."""
+    return xxhash.xxh64_intdigest(word.encode()) | 1
 
 
-def _numbers(vocab: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' words as numbers, one text after the other, and their lengths."""
-    found = [np.fromiter(map(vocab.__getitem__, w), np.int64, len(w)) for w in map(words_of, texts)]
-    return np.concatenate([*found, np.empty(0, np.int64)]), np.fromiter(map(len, found), np.int64, len(found))
+class WordKeys(dict):
+    """Words to their keys, each worked out once."""
 
-
-def _before(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each word the one before it, the start for the first of a text."""
-    out = np.r_[_START, words[:-1]] if len(words) else words.copy()
-    firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    out[firsts] = _START
-    return out
+    def __missing__(self, word: str) -> int:
+        key = self[word] = word_key(word)
+        return key
 
 
-def _cells(before: np.ndarray, words: np.ndarray, cells: int) -> np.ndarray:
-    h = (before.astype(np.uint64) << np.uint64(32) | words.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.int64) % cells
+def bigram_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    h = (before * _A ^ (before >> _MIX)) + words
+    h = (h ^ (h >> _MIX)) * _B
+    return (h ^ (h >> _MIX)) & ~_ONE
 
 
 @dataclass
-class Model:
-    """Counts of bigram cells, of words as contexts and of words."""
+class Totals:
+    """Of both models, target first: texts with words, and words in all; and
+    the size of the vocabulary without the end."""
 
-    pairs: np.ndarray
-    contexts: np.ndarray
+    texts: np.ndarray
     words: np.ndarray
+    vocabulary: int
 
-    def losses(self, before: np.ndarray, words: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        unigram = (self.words[words] + FLOOR) / (self.words.sum() + FLOOR * len(self.words))
-        return -np.log((self.pairs[cells] + PRIOR * unigram) / (self.contexts[before] + PRIOR))
+    def losses(self, pair: np.ndarray, context: np.ndarray, word: np.ndarray, model: int) -> np.ndarray:
+        """The losses of words of which the model counted ``word``, after
+        contexts that it counted ``context`` times, ``pair`` times together."""
+        unigram = (word + FLOOR) / (self.words[model] + self.texts[model] + FLOOR * (self.vocabulary + 1))
+        return -np.log((pair + PRIOR * unigram) / (context + PRIOR))
 
 
-def train(docs: DataFrame, target: DataFrame, words: list[str], cells: int = CELLS) -> tuple[Model, Model]:
-    """Target and background model of (doc_id, text); ``target`` has the
-    target's doc_ids. Each task adds up its own counts; what reaches the driver
-    has ``cells`` + 2 * (vocabulary + 2) rows at most."""
-    vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary((w, k + 2) for k, w in enumerate(words)))
-    n = len(words) + 2
-    # by shuffle at any size: the target's ids have no bound
-    ids = target.select("doc_id").distinct().withColumn("target", F.lit(True)).hint("merge")
-    marked = docs.join(ids, "doc_id", "left")
-    marked = marked.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+@dataclass
+class Steps:
+    """The words of some texts, one after the other, each text with its end:
+    the keys of each step's context, word and bigram, and where the texts end."""
 
+    before: np.ndarray
+    words: np.ndarray
+    pairs: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, keys: WordKeys, texts: list[str | None]) -> Steps:
+        found = [words_of(t) for t in texts]
+        sizes = np.array([len(w) + 1 if w else 0 for w in found], np.int64)  # no words, no steps
+        words = np.fromiter((k for w in found if w for k in (*map(keys.__getitem__, w), 4)), np.uint64, int(sizes.sum()))
+        before = np.r_[START, words[:-1]] if len(words) else words
+        before[before == END] = START
+        return cls(before, words, bigram_keys(before, words), np.cumsum(sizes))
+
+
+def _chunk_counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a chunk's words and bigrams, sorted, and their counts in the
+    target's texts and in all. A word's count is also its count as context."""
+    keys, parts = WordKeys(), []
+    for rows in _groups(table):
+        s = Steps.of(keys, [t for _, t, _ in rows])
+        good = np.repeat([g for _, _, g in rows], np.diff(np.r_[0, s.ends]))
+        own_words = s.words != END
+        every = np.concatenate([s.pairs, s.words[own_words]])
+        in_target = np.concatenate([good, good[own_words]])
+        found, at = np.unique(every, return_inverse=True)
+        parts.append((found, np.bincount(at, in_target, len(found)).astype(np.int64), np.bincount(at, minlength=len(found))))
+    every = np.concatenate([np.empty(0, np.uint64), *(p[0] for p in parts)])
+    found, at = np.unique(every, return_inverse=True)
+    counts = [np.bincount(at, np.concatenate([np.empty(0), *(p[k] for p in parts)]), len(found)).astype(np.int64) for k in (1, 2)]
+    return found, np.stack(counts)
+
+
+def _groups(table: pa.Table, chars: int = 1_000_000) -> Iterator[list[tuple]]:
+    """(doc_id, text, whether in the target), in the table's order."""
+    held, size = [], 0
+    for i, t, g in zip(table["doc_id"], table["text"], table["target"]):
+        held.append((i.as_py(), t.as_py(), g.as_py()))
+        size += len(held[-1][1] or "")
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _totals(marked: DataFrame) -> Totals:
+    """One pass for the sums, and for the words' keys, of which a task sends each
+    once or so; their number is all that the driver learns."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, cells + 2 * n), np.int64)
+        sums, keys = np.zeros((2, 2), np.int64), WordKeys()
         for b in batches:
-            flags = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for at in range(0, b.num_rows, 1000):
-                part = flags[at:at + 1000]
-                numbers, sizes = _numbers(vocab.value, [t.as_py() for t in b.column(1)[at:at + 1000]])
-                before = _before(numbers, sizes)
-                own = np.concatenate([_cells(before, numbers, cells), cells + before, cells + n + numbers])
-                in_target = np.tile(np.repeat(part, sizes), 3)
-                total[0] += np.bincount(own[in_target], minlength=total.shape[1])
-                total[1] += np.bincount(own, minlength=total.shape[1])
-        used = np.flatnonzero(total[1])
-        for at in range(0, len(used), 200_000):
-            k = used[at:at + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total[0][k]), pa.array(total[1][k])],
-                                             names=["cell", "target", "background"])
-
-    sums = (marked.mapInArrow(count, "cell bigint, target bigint, background bigint")
-            .groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow())
-    out = np.zeros((2, cells + 2 * n))
-    at = sums["cell"].to_numpy()
-    out[0, at], out[1, at] = sums["target"].to_numpy(), sums["background"].to_numpy()
-    return tuple(Model(x[:cells], x[cells:cells + n], x[cells + n:]) for x in out)
-
-
-def score_documents(docs: DataFrame, target: DataFrame, size: int = VOCABULARY, cells: int = CELLS,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            flags, at = b.column(2).to_pylist(), 0
+            for rows in row_groups(iter([b])):
+                for _, text in rows:
+                    n, good, at = len([keys[w] for w in words_of(text)]), flags[at], at + 1
+                    sums += np.array([[good and n > 0, good * n], [n > 0, n]])
+                if len(keys) > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(list(keys.values()), np.uint64).view(np.int64))] + [pa.nulls(len(keys), pa.int64())] * 4, names=names)
+                    keys = WordKeys()
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(list(keys.values()), np.uint64).view(np.int64))] + [pa.nulls(len(keys), pa.int64())] * 4, names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] + [pa.array([int(x)], pa.int64()) for x in sums.ravel()], names=names)
+
+    names = ["key", "texts0", "words0", "texts1", "words1"]
+    rows = marked.mapInArrow(count, ", ".join(f"{n} bigint" for n in names))
+    by_key = rows.groupBy("key").agg(*(F.sum(n).alias(n) for n in names[1:]))
+    r = by_key.agg(F.count("key").alias("v"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names[1:])).first()
+    return Totals(np.array([r["texts0"], r["texts1"]], float), np.array([r["words0"], r["words1"]], float), r["v"])
+
+
+def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, target_loss and
-    background_loss (nats a word), difference (target less background).
+    background_loss (nats for a word or the end), difference (target less background).
 
-    A text without words, or null, has losses and difference 0; a null id
-    is in no target; repeated rows give equal rows and count as often as they
+    ``target`` has the target's doc_ids. Words and bigrams are known by 64 bits
+    of hash. A text without words, or null, has losses and difference 0; a null
+    id is in no target; repeated rows give equal rows and count as often as they
     are there; an empty target leaves its model to the smoothing; an empty
     table gives no rows; other columns are ignored.
     """
     own = id_and_text(docs, id_col, text_col)
-    words = vocabulary(own, size)
-    sc = docs.sparkSession.sparkContext
-    models = sc.broadcast(train(own, target, words, cells))
-    vocab = sc.broadcast(Vocabulary((w, k + 2) for k, w in enumerate(words)))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("target_loss", pa.float64()),
-                        ("background_loss", pa.float64()), ("difference", pa.float64())])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in row_groups(batches):
-            numbers, sizes = _numbers(vocab.value, [t for _, t in rows])
-            before = _before(numbers, sizes)
-            at = _cells(before, numbers, cells)
-            ends = np.cumsum(sizes)
-            means = []
-            for m in models.value:
-                total = np.r_[0.0, np.cumsum(m.losses(before, numbers, at))]
-                means.append((total[ends] - total[ends - sizes]) / np.maximum(sizes, 1))
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array(sizes),
-                                              *map(pa.array, (*means, means[0] - means[1]))], schema=schema)
-
-    return own.mapInArrow(score, "doc_id bigint, n_words bigint, target_loss double, background_loss double, difference double")
+    ids = target.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
+    marked = own.join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    totals = _totals(marked)
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(8, math.ceil(size / chunk_bytes))
+    # dealt by row number, so that no id or text can fill a chunk; read twice, shuffled once
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
+    texts = marked.withColumn("chunk", dealt).repartition(chunks, "chunk")
+
+    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys, counts = _chunk_counts(table)
+        rows = [(s, key[0].as_py(), keys[at].tobytes(), counts[:, at].astype(np.uint32).tobytes()) for s, at in by_shard(keys, chunks)]
+        cols = list(zip(*rows)) if rows else [()] * 4
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("shard", "chunk", "keys", "counts"), cols,
+                                                              (pa.int32(), pa.int32(), pa.binary(), pa.binary()))})
+
+    def add(table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(b, np.uint64) for b in table["keys"].to_pylist()]
+        counts = np.concatenate([np.frombuffer(b, np.uint32).reshape(2, -1) for b in table["counts"].to_pylist()], axis=1)
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.stack([np.bincount(at, c, len(found)) for c in counts]).astype(np.uint64)[:, at]
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        return pa.table({"shard": table["shard"], "chunk": table["chunk"],
+                         "sums": pa.array([s.tobytes() for s in np.split(sums, cuts, axis=1)], pa.binary())})
+
+    def score(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if left.num_rows:
+            known, _ = _chunk_counts(left)
+            sums = np.zeros((2, len(known)))
+            answer = dict(zip(right["shard"].to_pylist(), right["sums"].to_pylist()))
+            for s, at in by_shard(known, chunks):
+                sums[:, at] = np.frombuffer(answer[s], np.uint64).reshape(2, -1)
+            keys = WordKeys()
+            for rows in _groups(left):
+                s = Steps.of(keys, [t for _, t, _ in rows])
+                total = _text_losses(s, known, sums, totals)
+                sizes = np.diff(np.r_[0, s.ends])
+                means = total / np.maximum(sizes, 1)
+                out += zip([i for i, _, _ in rows], np.maximum(sizes - 1, 0).tolist(), *means.tolist(), (means[0] - means[1]).tolist())
+        cols = list(zip(*out)) if out else [()] * 5
+        return pa.table({f.name: pa.array(c, f.type) for f, c in zip(_SCORES, cols)})
+
+    sent = texts.groupBy("chunk").applyInArrow(count, "shard int, chunk int, keys binary, counts binary")
+    sums = sent.groupBy("shard").applyInArrow(add, "shard int, chunk int, sums binary")
+    return (texts.groupBy("chunk").cogroup(sums.groupBy("chunk"))
+            .applyInArrow(score, "doc_id bigint, n_words bigint, target_loss double, background_loss double, difference double"))
+
+
+def _text_losses(s: Steps, known: np.ndarray, sums: np.ndarray, totals: Totals) -> np.ndarray:
+    """(model, text): the sums of the losses of each text's steps."""
+    if not len(s.words):
+        return np.zeros((2, len(s.ends)))
+    pair = np.searchsorted(known, s.pairs)
+    end, start = s.words == END, s.before == START
+    word, before = (np.minimum(np.searchsorted(known, k), len(known) - 1) for k in (s.words, s.before))
+    out = []
+    for model in (0, 1):
+        n_word = np.where(end, totals.texts[model], sums[model][word])
+        n_before = np.where(start, totals.texts[model], sums[model][before])
+        run = np.r_[0.0, np.cumsum(totals.losses(sums[model][pair], n_before, n_word, model))]
+        out.append(run[s.ends] - run[np.r_[0, s.ends[:-1]]])
+    return np.stack(out)
+
+
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("target_loss", pa.float64()),
+                     ("background_loss", pa.float64()), ("difference", pa.float64())])
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:

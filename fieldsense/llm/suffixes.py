@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, documents
+from .common import by_shard, documents, id_and_text
 
 #: Bytes of a string that counts as a match, and of the grams that anchor it.
 MATCH, GRAM = 50, 20
@@ -274,15 +274,6 @@ def _u64(blobs: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(b for b in blobs.to_pylist() if b), np.uint64)
 
 
-def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, places of ``keys`` that it has), for the shards that have any."""
-    shard = (keys * _A >> np.uint64(33)).astype(np.int64) % shards
-    order = np.argsort(shard, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0]) if len(order) else []
-    for at in np.split(order, cuts[1:]) if len(order) else []:
-        yield int(shard[at[0]]), at
-
-
 def _send_texts(chunks: int):
     """Rows (chunk, sha, doc_id, body): each text once for each task that has it
     (or so: a task remembers ``HELD_TEXTS``), with the smallest doc_id so far."""
@@ -336,7 +327,7 @@ def text_results(own: DataFrame, match: int = MATCH, gram: int = GRAM, chunk_byt
 
     def anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         chunk, found = key[0].as_py(), Chunk(_with_bodies(table), match, gram).anchors()
-        rows = [(s, chunk, found[at].tobytes()) for s, at in _by_shard(found >> _LOG, chunks)]
+        rows = [(s, chunk, found[at].tobytes()) for s, at in by_shard(found >> _LOG, chunks)]
         s, c, keys = zip(*rows) if rows else ((), (), ())
         return pa.table({"shard": pa.array(s, pa.int32()), "chunk": pa.array(c, pa.int32()), "keys": pa.array(keys, pa.binary())})
 
@@ -368,7 +359,7 @@ def text_results(own: DataFrame, match: int = MATCH, gram: int = GRAM, chunk_byt
         if left.num_rows and right.num_rows:
             found = Chunk(_with_bodies(left), match, gram).bodies(np.unique(_u64(right["keys"])))
             own_bodies, facts = list(found), np.array(list(found.values()), np.int64).reshape(-1, 3)
-            for s, at in _by_shard(facts[:, 2].astype(np.uint64), chunks):
+            for s, at in by_shard(facts[:, 2].astype(np.uint64), chunks):
                 mine = [own_bodies[k] for k in at]
                 sizes = np.array([len(b) for b in mine], np.int64)
                 rows.append((s, key[0].as_py(), np.stack([facts[at, 0], sizes]).tobytes(), facts[at, 1].tobytes(), b"".join(mine)))
