@@ -16,23 +16,25 @@ the most frequent bigram costs a task one entry for each chunk."""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_shard, documents, id_and_text, row_groups
+from .common import by_shard, documents, id_and_text
 
 #: Pseudo-counts of the unigrams in a bigram's distribution, and of each word in the unigrams.
 PRIOR, FLOOR = 20.0, 0.5
 #: Text bytes of a chunk on average.
 CHUNK_BYTES = 8_000_000
-#: Keys of the start and the end of a text; no word has an even key.
-START, END = np.uint64(2), np.uint64(4)
+#: Chunks that rows of one doc_id may lie in.
+SPREAD = 16
+#: Keys of the start and the end of a text. Words and the end have odd keys, bigrams even ones.
+START, END = np.uint64(2), np.uint64(5)
 
 _A, _B, _MIX, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29), np.uint64(1)
 
@@ -62,176 +64,165 @@ def bigram_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Totals:
-    """Of both models, target first: texts with words, and words in all; and
-    the size of the vocabulary without the end."""
+    """The size of the vocabulary, and of both models, target first, the words
+    in all and the texts with words. The end of a text counts as a word."""
 
-    texts: np.ndarray
-    words: np.ndarray
     vocabulary: int
+    words: np.ndarray
+    texts: np.ndarray
 
     def losses(self, pair: np.ndarray, context: np.ndarray, word: np.ndarray, model: int) -> np.ndarray:
-        """The losses of words of which the model counted ``word``, after
+        """The losses of words that the model counted ``word`` times, after
         contexts that it counted ``context`` times, ``pair`` times together."""
-        unigram = (word + FLOOR) / (self.words[model] + self.texts[model] + FLOOR * (self.vocabulary + 1))
+        unigram = (word + FLOOR) / (self.words[model] + FLOOR * self.vocabulary)
         return -np.log((pair + PRIOR * unigram) / (context + PRIOR))
 
 
-@dataclass
 class Steps:
-    """The words of some texts, one after the other, each text with its end:
-    the keys of each step's context, word and bigram, and where the texts end."""
+    """The words of some texts, each text with its end, one after the other:
+    ``keys`` are those of their words and bigrams, sorted, each once; ``pair`` and
+    ``word`` say where each step's bigram and word are among them, ``first``
+    which steps begin a text, ``ends`` where the texts end."""
 
-    before: np.ndarray
-    words: np.ndarray
-    pairs: np.ndarray
-    ends: np.ndarray
-
-    @classmethod
-    def of(cls, keys: WordKeys, texts: list[str | None]) -> Steps:
+    def __init__(self, texts: list[str | None]):
+        known = WordKeys()
         found = [words_of(t) for t in texts]
         sizes = np.array([len(w) + 1 if w else 0 for w in found], np.int64)  # no words, no steps
-        words = np.fromiter((k for w in found if w for k in (*map(keys.__getitem__, w), 4)), np.uint64, int(sizes.sum()))
+        words = np.fromiter((k for w in found if w for k in (*map(known.__getitem__, w), int(END))), np.uint64, int(sizes.sum()))
         before = np.r_[START, words[:-1]] if len(words) else words
-        before[before == END] = START
-        return cls(before, words, bigram_keys(before, words), np.cumsum(sizes))
-
-
-def _chunk_counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of a chunk's words and bigrams, sorted, and their counts in the
-    target's texts and in all. A word's count is also its count as context."""
-    keys, parts = WordKeys(), []
-    for rows in _groups(table):
-        s = Steps.of(keys, [t for _, t, _ in rows])
-        good = np.repeat([g for _, _, g in rows], np.diff(np.r_[0, s.ends]))
-        own_words = s.words != END
-        every = np.concatenate([s.pairs, s.words[own_words]])
-        in_target = np.concatenate([good, good[own_words]])
-        found, at = np.unique(every, return_inverse=True)
-        parts.append((found, np.bincount(at, in_target, len(found)).astype(np.int64), np.bincount(at, minlength=len(found))))
-    every = np.concatenate([np.empty(0, np.uint64), *(p[0] for p in parts)])
-    found, at = np.unique(every, return_inverse=True)
-    counts = [np.bincount(at, np.concatenate([np.empty(0), *(p[k] for p in parts)]), len(found)).astype(np.int64) for k in (1, 2)]
-    return found, np.stack(counts)
-
-
-def _groups(table: pa.Table, chars: int = 1_000_000) -> Iterator[list[tuple]]:
-    """(doc_id, text, whether in the target), in the table's order."""
-    held, size = [], 0
-    for i, t, g in zip(table["doc_id"], table["text"], table["target"]):
-        held.append((i.as_py(), t.as_py(), g.as_py()))
-        size += len(held[-1][1] or "")
-        if size >= chars:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def _totals(marked: DataFrame) -> Totals:
-    """One pass for the sums, and for the words' keys, of which a task sends each
-    once or so; their number is all that the driver learns."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, keys = np.zeros((2, 2), np.int64), WordKeys()
-        for b in batches:
-            flags, at = b.column(2).to_pylist(), 0
-            for rows in row_groups(iter([b])):
-                for _, text in rows:
-                    n, good, at = len([keys[w] for w in words_of(text)]), flags[at], at + 1
-                    sums += np.array([[good and n > 0, good * n], [n > 0, n]])
-                if len(keys) > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(list(keys.values()), np.uint64).view(np.int64))] + [pa.nulls(len(keys), pa.int64())] * 4, names=names)
-                    keys = WordKeys()
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(list(keys.values()), np.uint64).view(np.int64))] + [pa.nulls(len(keys), pa.int64())] * 4, names=names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] + [pa.array([int(x)], pa.int64()) for x in sums.ravel()], names=names)
-
-    names = ["key", "texts0", "words0", "texts1", "words1"]
-    rows = marked.mapInArrow(count, ", ".join(f"{n} bigint" for n in names))
-    by_key = rows.groupBy("key").agg(*(F.sum(n).alias(n) for n in names[1:]))
-    r = by_key.agg(F.count("key").alias("v"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names[1:])).first()
-    return Totals(np.array([r["texts0"], r["texts1"]], float), np.array([r["words0"], r["words1"]], float), r["v"])
+        self.first = before == END
+        self.first[:1] = True
+        before[self.first] = START
+        self.sizes, self.ends = sizes, np.cumsum(sizes)
+        self.keys, at = np.unique(np.concatenate([bigram_keys(before, words), words]), return_inverse=True)
+        self.pair, self.word = at[:len(words)], at[len(words):]
+
+    def counts(self, target: np.ndarray) -> np.ndarray:
+        """(model, key): the counts in the texts of the target, and in all. A
+        word's count is also its count as a context."""
+        good = np.repeat(target, self.sizes)
+        return np.stack([np.bincount(self.pair, g, len(self.keys)) + np.bincount(self.word, g, len(self.keys))
+                         for g in (good, np.ones(len(good)))]).astype(np.uint32)
+
+    def losses(self, sums: np.ndarray, totals: Totals) -> np.ndarray:
+        """(model, text): the sums of the losses of each text's steps, from the
+        counts (model, key) over all chunks."""
+        out = []
+        for model in (0, 1):
+            word = sums[model][self.word]
+            context = np.where(self.first, totals.texts[model], np.r_[0.0, word[:-1]] if len(word) else word)
+            run = np.r_[0.0, np.cumsum(totals.losses(sums[model][self.pair], context, word, model))]
+            out.append(run[self.ends] - run[self.ends - self.sizes])
+        return np.stack(out)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte of equal weight, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(blob: bytes, dtype) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def _rows(columns: dict, rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows)) if rows else [()] * len(columns)
+    return pa.table({n: pa.array(c, t) for (n, t), c in zip(columns.items(), cols)})
+
+
+_SENT = {"shard": pa.int32(), "chunk": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
+_SUMS = {"shard": pa.int32(), "chunk": pa.int32(), "sums": pa.binary(), "vocabulary": pa.int64(), "words0": pa.int64(),
+         "words1": pa.int64(), "texts0": pa.int64(), "texts1": pa.int64()}
+_SCORES = {"doc_id": pa.int64(), "n_words": pa.int64(), "target_loss": pa.float64(), "background_loss": pa.float64(),
+           "difference": pa.float64()}
+_TOTALS = list(_SUMS)[3:]
+
+
+def _targets(table: pa.Table) -> tuple[list, list, np.ndarray]:
+    """The ids and texts of a chunk's rows, and which are in the target: rows
+    without text come from the target's ids."""
+    ids, texts, is_id = table["doc_id"].to_pylist(), table["text"].to_pylist(), table["is_target"].to_pylist()
+    good = {i for i, t in zip(ids, is_id) if t}
+    rows = [k for k, t in enumerate(is_id) if not t]
+    return [ids[k] for k in rows], [texts[k] for k in rows], np.array([ids[k] in good for k in rows], float)
 
 
 def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+                    chunk_bytes: int = CHUNK_BYTES, spread: int = SPREAD) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, target_loss and
     background_loss (nats for a word or the end), difference (target less background).
 
     ``target`` has the target's doc_ids. Words and bigrams are known by 64 bits
-    of hash. A text without words, or null, has losses and difference 0; a null
-    id is in no target; repeated rows give equal rows and count as often as they
+    of hash. Rows lie in a chunk by their id and one of ``spread`` numbers dealt
+    to the rows in turn, rows without an id by a number alone; the target's ids
+    go to all chunks that can have them, so no join moves the texts.
+
+    A text without words, or null, has losses and difference 0; a null id
+    is in no target; repeated rows give equal rows and count as often as they
     are there; an empty target leaves its model to the smoothing; an empty
     table gives no rows; other columns are ignored.
     """
     own = id_and_text(docs, id_col, text_col)
-    ids = target.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
-    marked = own.join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    totals = _totals(marked)
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(8, math.ceil(size / chunk_bytes))
-    # dealt by row number, so that no id or text can fill a chunk; read twice, shuffled once
-    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
-    texts = marked.withColumn("chunk", dealt).repartition(chunks, "chunk")
+    of = lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(chunks)).cast("int")
+    number = F.monotonically_increasing_id()
+    rows = own.withColumn("number", number).select(
+        "doc_id", "text", F.lit(False).alias("is_target"),
+        F.when(F.col("doc_id").isNull(), of("number")).otherwise(of("doc_id", F.pmod("number", F.lit(spread)))).alias("chunk"))
+    ids = (target.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+           .select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))).alias("number"))
+           .select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("is_target"), of("doc_id", "number").alias("chunk")))
+    # read twice, shuffled once: the plan reuses the exchange
+    texts = rows.unionByName(ids).repartition(chunks, "chunk")
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys, counts = _chunk_counts(table)
-        rows = [(s, key[0].as_py(), keys[at].tobytes(), counts[:, at].astype(np.uint32).tobytes()) for s, at in by_shard(keys, chunks)]
-        cols = list(zip(*rows)) if rows else [()] * 4
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("shard", "chunk", "keys", "counts"), cols,
-                                                              (pa.int32(), pa.int32(), pa.binary(), pa.binary()))})
-
-    def add(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(b, np.uint64) for b in table["keys"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(b, np.uint32).reshape(2, -1) for b in table["counts"].to_pylist()], axis=1)
+        _, texts, good = _targets(table)
+        s = Steps(texts)
+        counts = s.counts(good)
+        return _rows(_SENT, [(k, key[0].as_py(), pack(np.diff(s.keys[at], prepend=np.uint64(0))), pack(counts[:, at].ravel()))
+                             for k, at in by_shard(s.keys, chunks)])
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpack(b, np.uint64), dtype=np.uint64) for b in table["keys"].to_pylist()]
+        counts = np.concatenate([unpack(b, np.uint32).reshape(2, -1) for b in table["counts"].to_pylist()], axis=1)
         found, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.stack([np.bincount(at, c, len(found)) for c in counts]).astype(np.uint64)[:, at]
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
-        return pa.table({"shard": table["shard"], "chunk": table["chunk"],
-                         "sums": pa.array([s.tobytes() for s in np.split(sums, cuts, axis=1)], pa.binary())})
+        total = np.stack([np.bincount(at, c, len(found)) for c in counts]).astype(np.uint64)
+        words = (found & _ONE) == 1
+        texts = total[:, found == END].sum(axis=1).tolist()
+        sums, cuts = total[:, at], np.cumsum([len(k) for k in keys])[:-1]
+        out = [(key[0].as_py(), c, pack(part.ravel()), None, None, None, None, None)
+               for c, part in zip(table["chunk"].to_pylist(), np.split(sums, cuts, axis=1))]
+        # the shard's part of the totals goes under a chunk that isn't there
+        out.append((key[0].as_py(), -1, None, int(words.sum()), *total[:, words].sum(axis=1).tolist(), *texts))
+        return _rows(_SUMS, out)
 
     def score(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        if left.num_rows:
-            known, _ = _chunk_counts(left)
-            sums = np.zeros((2, len(known)))
-            answer = dict(zip(right["shard"].to_pylist(), right["sums"].to_pylist()))
-            for s, at in by_shard(known, chunks):
-                sums[:, at] = np.frombuffer(answer[s], np.uint64).reshape(2, -1)
-            keys = WordKeys()
-            for rows in _groups(left):
-                s = Steps.of(keys, [t for _, t, _ in rows])
-                total = _text_losses(s, known, sums, totals)
-                sizes = np.diff(np.r_[0, s.ends])
-                means = total / np.maximum(sizes, 1)
-                out += zip([i for i, _, _ in rows], np.maximum(sizes - 1, 0).tolist(), *means.tolist(), (means[0] - means[1]).tolist())
-        cols = list(zip(*out)) if out else [()] * 5
-        return pa.table({f.name: pa.array(c, f.type) for f, c in zip(_SCORES, cols)})
+        ids, texts, _ = _targets(left)
+        if ids:
+            s = Steps(texts)
+            at_total = int(np.flatnonzero(right["shard"].to_numpy() == -1)[0])
+            v, w0, w1, t0, t1 = (right[n][at_total].as_py() or 0 for n in _TOTALS)
+            sums, answer = np.zeros((2, len(s.keys))), dict(zip(right["shard"].to_pylist(), right["sums"].to_pylist()))
+            for k, at in by_shard(s.keys, chunks):
+                sums[:, at] = unpack(answer[k], np.uint64).reshape(2, -1)
+            loss = s.losses(sums, Totals(v, np.array([w0, w1], float), np.array([t0, t1], float))) / np.maximum(s.sizes, 1)
+            out = list(zip(ids, np.maximum(s.sizes - 1, 0).tolist(), *loss.tolist(), (loss[0] - loss[1]).tolist()))
+        return _rows(_SCORES, out)
 
     sent = texts.groupBy("chunk").applyInArrow(count, "shard int, chunk int, keys binary, counts binary")
-    sums = sent.groupBy("shard").applyInArrow(add, "shard int, chunk int, sums binary")
-    return (texts.groupBy("chunk").cogroup(sums.groupBy("chunk"))
+    sums = sent.groupBy("shard").applyInArrow(
+        add, "shard int, chunk int, sums binary, vocabulary bigint, words0 bigint, words1 bigint, texts0 bigint, texts1 bigint")
+    totals = (sums.where("chunk = -1").agg(*(F.sum(n).alias(n) for n in _TOTALS))
+              .select(F.lit(-1).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
+                      F.lit(None).cast("binary").alias("sums"), *_TOTALS))
+    return (texts.groupBy("chunk").cogroup(sums.where("chunk >= 0").unionByName(totals).groupBy("chunk"))
             .applyInArrow(score, "doc_id bigint, n_words bigint, target_loss double, background_loss double, difference double"))
 
 
-def _text_losses(s: Steps, known: np.ndarray, sums: np.ndarray, totals: Totals) -> np.ndarray:
-    """(model, text): the sums of the losses of each text's steps."""
-    if not len(s.words):
-        return np.zeros((2, len(s.ends)))
-    pair = np.searchsorted(known, s.pairs)
-    end, start = s.words == END, s.before == START
-    word, before = (np.minimum(np.searchsorted(known, k), len(known) - 1) for k in (s.words, s.before))
-    out = []
-    for model in (0, 1):
-        n_word = np.where(end, totals.texts[model], sums[model][word])
-        n_before = np.where(start, totals.texts[model], sums[model][before])
-        run = np.r_[0.0, np.cumsum(totals.losses(sums[model][pair], n_before, n_word, model))]
-        out.append(run[s.ends] - run[np.r_[0, s.ends[:-1]]])
-    return np.stack(out)
-
-
-_SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("target_loss", pa.float64()),
-                     ("background_loss", pa.float64()), ("difference", pa.float64())])
-
-
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """All documents scored against those labelled to be of good quality."""
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")

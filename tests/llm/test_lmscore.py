@@ -3,8 +3,8 @@ import random
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fieldsense.llm import lmscore as M
 
@@ -57,15 +57,14 @@ def test_documents(spark, chunk_bytes):
 def test_probabilities_add_up_to_one():
     """Of every context, by the operator's own counting and smoothing."""
     rows = [(k, cases.prose(random.Random(k), 40)) for k in range(30)]
-    table = pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows], "target": [i in GOOD for i, _ in rows]})
-    keys, counts = M._chunk_counts(table)
-    of = {int(k): counts[:, j] for j, k in enumerate(keys)}
-    words = sorted({w for _, t in rows for w in M.words_of(t)})
-    texts, n = np.array([len(GOOD & {i for i, _ in rows}), len(rows)]), np.array([sum(of[M.word_key(w)][m] for w in words) for m in (0, 1)])
-    totals, zero = M.Totals(texts, n, len(words)), np.zeros(2, np.int64)
-    nexts = np.array([M.word_key(w) for w in words] + [int(M.END)], np.uint64)
-    n_next = np.array([of[M.word_key(w)] for w in words] + [texts])
-    for before in [int(M.START), *(M.word_key(w) for w in words)]:
+    steps = M.Steps([t for _, t in rows])
+    of = dict(zip(steps.keys.tolist(), steps.counts(np.array([float(i in GOOD) for i, _ in rows])).T))
+    nexts = np.array(sorted({M.word_key(w) for _, t in rows for w in M.words_of(t)}) + [int(M.END)], np.uint64)
+    n_next = np.array([of[int(k)] for k in nexts])
+    texts = n_next[-1]
+    assert texts.tolist() == [4, 30]
+    totals, zero = M.Totals(len(nexts), n_next.sum(axis=0), texts), np.zeros(2, np.int64)
+    for before in [int(M.START), *nexts[:-1].tolist()]:
         pairs = np.array([of.get(int(k), zero) for k in M.bigram_keys(np.full(len(nexts), before, np.uint64), nexts)])
         for m in (0, 1):
             context = texts[m] if before == int(M.START) else of[before][m]
@@ -73,6 +72,11 @@ def test_probabilities_add_up_to_one():
             assert p.sum() == pytest.approx(1.0, abs=1e-9)
 
 
+def test_packing():
+    for a in (np.array([], np.uint64), np.array([5], np.uint64), np.arange(0, 1 << 60, 1 << 50, np.uint64), np.arange(300, dtype=np.uint32)):
+        assert M.unpack(M.pack(a), a.dtype).tolist() == a.tolist()
+
+
 def test_empty(spark):
     docs = cases.documents(spark)
     target = spark.createDataFrame([], "doc_id long")
@@ -85,6 +89,7 @@ def test_texts_are_shuffled_once_and_dealt_evenly(spark):
     rows = [(None, "the same text again", None, None, None)] * 3000 + [r for r in cases.texts() if r[0] != 306]
     out = M.score_documents(cases.documents(spark, rows), spark.createDataFrame([(1,)], "doc_id long"), chunk_bytes=4000)
     assert len(out.collect()) == len(rows)
+    assert max(r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < len(rows) / 4
     assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
