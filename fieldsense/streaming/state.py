@@ -133,9 +133,10 @@ def latest_versions(updates: DataFrame) -> DataFrame:
             .select("device_id", "id", "r.*"))
 
 
-def live_state_rows(updates: DataFrame, segment: str = S.GPIO_SEGMENT) -> DataFrame:
+def live_state_rows(updates: DataFrame, segment: str = S.GPIO_SEGMENT, keep=()) -> DataFrame:
     """The live push of a segment's state: ``{state, updatedAt}`` JSON per
-    run update (second sink of the state stream, e.g. in ``foreachBatch``)."""
+    run update (second sink of the state stream, see ``outbox.live_stream``)
+    with the device and the columns ``keep``."""
     doc = F.struct(F.get_json_object("data", "$.value").cast("int").alias("state"),
                    F.date_format("ts_end", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("updatedAt"))
-    return updates.where(F.col("segment") == segment).select("device_id", F.to_json(doc).alias("payload"))
+    return updates.where(F.col("segment") == segment).select("device_id", *keep, F.to_json(doc).alias("payload"))

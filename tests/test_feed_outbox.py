@@ -1,0 +1,127 @@
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from fieldsense.operators.ids import with_serial_ids
+from fieldsense.sources import fixtures as FX
+from fieldsense.streaming import feed_stream, live_stream, state_runs_stream
+from fieldsense.streaming.feed import TickFeed, _TickReader
+from fieldsense.streaming.outbox import Outbox, delivered, messages, write_messages
+
+SCHEMA = ("id long, mac string, sid short, type string, description string, avg float, stddev float, "
+          "n long, ts timestamp_ntz, battery short, sync boolean")
+
+
+def _tick(spark, folder, tick, first, n):
+    rows = [(first + k, f"m{k % 3}", 1, "t", None, 1.5, 0.0, 1, FX.T0, None, False) for k in range(n)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.mode("overwrite").parquet(f"{folder}/tick={tick}")
+
+
+def _run(spark, folder, out, ck, **kw):
+    q = feed_stream(spark, folder, out, ck, limit=4, schema=SCHEMA, trigger={"availableNow": True}, **kw)
+    q.awaitTermination(300)
+    assert q.exception() is None
+
+
+def _ids(spark, out):
+    found = []
+    for r in delivered(spark, out).collect():
+        ids = [x["id"] for x in json.loads(r.document)]
+        assert ids == sorted(ids) and len(ids) <= 4
+        found += ids
+    return sorted(found)
+
+
+def test_feed_reads_each_tick_once_across_restarts(spark, tmp_path, monkeypatch):
+    from fieldsense.streaming import feed
+    folder, out, ck = (str(tmp_path / n) for n in ("agg", "out", "ck"))
+    os.makedirs(folder)
+    read, before = [], feed.changed_rows
+    monkeypatch.setattr(feed, "changed_rows", lambda s, d, ticks, schema=None: (read.extend(ticks), before(s, d, ticks, schema))[1])
+    _tick(spark, folder, 0, 1, 10)
+    _tick(spark, folder, 1, 11, 3)
+    _run(spark, folder, out, ck)
+    assert read == [0, 1] and _ids(spark, out) == list(range(1, 14))
+    _run(spark, folder, out, ck)  # nothing new
+    assert read == [0, 1]
+    _tick(spark, folder, 2, 14, 7)
+    _tick(spark, folder, 4, 30, 2)  # the third isn't there yet
+    _run(spark, folder, out, ck)
+    assert read == [0, 1, 2] and _ids(spark, out) == list(range(1, 21))
+    _tick(spark, folder, 3, 21, 9)
+    _run(spark, folder, out, ck)
+    assert read == [0, 1, 2, 3, 4] and _ids(spark, out) == list(range(1, 32))
+
+
+def test_a_batch_that_fails_is_sent_again(spark, tmp_path, monkeypatch):
+    from fieldsense.streaming import outbox
+    folder, out, ck = (str(tmp_path / n) for n in ("agg", "out", "ck"))
+    _tick(spark, folder, 0, 1, 9)
+
+    def lost(*a, **k):
+        raise OSError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(outbox, "write_messages", lost)
+        with pytest.raises(Exception, match="lost"):
+            _run(spark, folder, out, ck)
+    assert _ids(spark, out) == []
+    _run(spark, folder, out, ck)
+    assert _ids(spark, out) == list(range(1, 10))
+
+
+def test_offsets(tmp_path):
+    for t in (2, 3, 4, 7):
+        os.makedirs(tmp_path / f"tick={t}")
+        (tmp_path / f"tick={t}" / "_SUCCESS").touch()
+    os.makedirs(tmp_path / "tick=5")  # still being written
+    reader = lambda **o: _TickReader({"path": str(tmp_path), **o})
+    assert reader().latestOffset() == {"next": 0} and reader(start="2").latestOffset() == {"next": 5}
+    assert reader(start="2", ticksPerBatch="2").latestOffset() == {"next": 4}
+    assert reader(gaps="true").latestOffset() == {"next": 8}
+    assert [p.tick for p in reader(start="2").partitions({"next": 3}, {"next": 5})] == [3, 4]
+    assert TickFeed({}).name() == "tick_feed"
+
+
+def test_nothing_is_delivered_when_a_task_fails(spark, tmp_path):
+    out = str(tmp_path / "out")
+    docs = spark.range(40, numPartitions=4).select(F.col("id").cast("string").alias("name"), F.lit("{}").alias("document"))
+    bad = docs.withColumn("document", F.when(F.col("name") == "37", F.raise_error(F.lit("broken"))).otherwise(F.col("document")))
+    with pytest.raises(Exception, match="broken"):
+        write_messages(bad, out, 0)
+    assert delivered(spark, out).count() == 0
+    write_messages(docs, out, 0)
+    write_messages(docs.limit(3), out, 1)
+    write_messages(docs, out, 0)  # a batch that is written again counts once
+    got = delivered(spark, out).groupBy("batch").count().orderBy("batch").collect()
+    assert [tuple(r) for r in got] == [(0, 40), (1, 3)]
+    write_messages(docs.where("false"), out, 2)
+    assert delivered(spark, out).count() == 43 and Outbox({}).name() == "outbox"
+
+
+def test_messages_by_serial_ids(spark):
+    rows = with_serial_ids(spark.range(11).selectExpr("id AS k", "CAST(NULL AS STRING) AS d"), "k")
+    got = {r.name: json.loads(r.document) for r in messages(rows, 4).collect()}
+    assert {n: len(d) for n, d in got.items()} == {"message-0": 4, "message-1": 4, "message-2": 3}
+    assert got["message-2"] == [{"id": i, "k": i - 1, "d": None} for i in (9, 10, 11)]
+
+
+def test_live_push_reaches_the_outbox(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    os.makedirs(src)
+    for part in range(3):
+        rows = [(i, m, seg, data) for i, m, seg, data in FX.STATE_SEQUENCE if i % 3 == part] if part else []
+        with open(f"{src}/{part}.json", "w") as f:
+            for i, m, seg, data in rows:
+                ts = (FX.T0.replace(microsecond=0)).isoformat()
+                f.write(json.dumps({"device_id": "d", "id": i, "segment": seg, "data": data, "ts": ts}) + "\n")
+    stream = state_runs_stream(spark.readStream.schema(FX.OBS_SCHEMA).json(src))
+    q = live_stream(stream, out, str(tmp_path / "ck"), trigger={"availableNow": True})
+    q.awaitTermination(300)
+    assert q.exception() is None
+    docs = delivered(spark, out).collect()
+    assert docs and all(set(json.loads(r.document)) >= {"updatedAt"} for r in docs)
+    gpio = {i for i, _, seg, _ in FX.STATE_SEQUENCE if seg == "gpio" and i % 3}
+    assert {int(r.name.split("-")[1]) for r in docs} <= gpio
