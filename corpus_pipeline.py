@@ -15,6 +15,9 @@ from fieldsense.llm.quality import keep_clean
 from fieldsense.llm.simhash import keep_one
 from fieldsense.session import checkpoint_dir
 
+#: Columns that the mix adds: where in training a copy comes (0 to 1), and which copy of its document it is.
+POSITION, COPY = "mix_position", "mix_copy"
+
 
 def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
     """The columns of ``docs``, with the length of the text as it is now."""
@@ -40,13 +43,16 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's copies of the documents in training order: a document is there
-    as often as the mix takes it."""
-    return in_training_order(curriculum_mix(docs)).select(docs.columns)
+    as often as the mix takes it. Files keep no order, so each copy carries its
+    position in training and its number."""
+    return in_training_order(curriculum_mix(docs), POSITION, COPY)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every copy."""
-    return encode_documents(docs)
+    """The pieces of every copy, with its position in training and its number,
+    by which copies of one document are segmented differently."""
+    placed = [c for c in (POSITION, COPY) if c in docs.columns]
+    return encode_documents(docs, copy_col=COPY if COPY in docs.columns else None, carry=tuple(placed))
 
 
 STAGES = [

@@ -8,6 +8,7 @@ functions only."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,8 @@ from .common import WORD, documents
 #: Knots (time, rate) of the schedules, dealt to the sources in turn: rising, even, falling.
 SCHEDULES = (((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)))
 WEIGHTS = (3, 1, 2)
+#: Rows of a bin of the running totals, about.
+BIN_ROWS = 16_384
 
 
 def _position(q: Column, knots: Sequence[tuple[float, float]]) -> Column:
@@ -67,9 +70,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 
 def _keyed(docs: DataFrame, source_col: str, text_col: str, id_col: str, seed: int, carry: Sequence[str]) -> DataFrame:
     """The ``carry`` columns as one struct, with the size, the source without null, and the
-    place in the source's order: a digest of the id, whose first digits are the bin."""
+    place in the source's order: a digest of the id and the text, whose first digits are the bin."""
     text = F.col(text_col).cast("string")
-    mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"),
+                           F.md5(F.coalesce(text, F.lit("")))))
     return docs.select(
         F.struct(*carry).alias("row"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("source_key"),
@@ -77,24 +81,28 @@ def _keyed(docs: DataFrame, source_col: str, text_col: str, id_col: str, seed: i
 
 
 def curriculum_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0,
-                   schedules=SCHEDULES, seed: int = 1, bin_digits: int = 3, id_col: str = "doc_id",
+                   schedules=SCHEDULES, seed: int = 1, bin_digits: int | None = None, id_col: str = "doc_id",
                    text_col: str = "text", source_col: str = "source", carry: Sequence[str] | None = None) -> DataFrame:
     """One row for each row of ``docs``: ``row`` (its columns, or those of ``carry``), size,
     source_size, target, ``copies`` the mix takes and their ``positions`` in
     training, from 0 to 1.
 
-    Every source goes round its documents in the order of a digest of the id:
-    whole rounds first, then the documents whose middle lies before the rest
+    Every source goes round its documents in the order of a digest of the id
+    and text: whole rounds first, then the documents whose middle lies before the rest
     of the target, so its words miss the target by half a document at most.
     Running totals come from a total for each (source, bin) and a window in
     each bin, so a source that holds a third of all rows is spread over
-    16 ** ``bin_digits`` groups.
+    16 ** ``bin_digits`` groups, by default as many as leave a bin some
+    ``BIN_ROWS`` rows, and 4,096 at least.
 
     A null source is a source of its own, the last; a null text has size 0
-    and is taken as often as its source's whole rounds; repeated rows are
-    documents of their own, and tie in any order without effect on the totals;
+    and is taken as often as its source's whole rounds; null and repeated ids
+    are told apart by their texts; rows alike in id and text are documents of
+    their own in one bin, and tie in any order without effect on the totals;
     an empty table gives no rows.
     """
+    if bin_digits is None:
+        bin_digits = max(3, math.ceil(math.log(max(docs.count(), 1) / BIN_ROWS, 16)))
     keyed = (_keyed(docs, source_col, text_col, id_col, seed, docs.columns if carry is None else carry)
              .withColumn("bin", F.substring("place", 1, bin_digits)))
     bins = keyed.groupBy("source_key", "bin").agg(F.sum("size").alias("bin_size"))
@@ -127,11 +135,16 @@ def _by_source(q: Column, schedules) -> Column:
     return out
 
 
-def in_training_order(mix: DataFrame) -> DataFrame:
+def in_training_order(mix: DataFrame, position: str | None = None, copy: str | None = None) -> DataFrame:
     """The taken copies as rows with the columns of the documents, sorted by
-    position over all partitions."""
-    copies = mix.select("row", F.explode("positions").alias("position"))
-    return copies.orderBy("position").select("row.*")
+    position over all partitions. Files keep no order: with the names ``position``
+    and ``copy`` given, the rows carry their place in training and the copy's
+    number, from 0, by which the order can be had again; columns of these names
+    that the documents have are replaced."""
+    copies = mix.select("row", F.posexplode("positions").alias("_copy", "_position")).orderBy("_position", "_copy")
+    added = [F.col(c).alias(name) for c, name in (("_position", position), ("_copy", copy)) if name]
+    own = [f.name for f in mix.schema["row"].dataType.fields if f.name not in (position, copy)]
+    return copies.select(*(F.col("row").getField(c).alias(c) for c in own), *added)
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -148,7 +161,7 @@ def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place
+         md5('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS place
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM s),

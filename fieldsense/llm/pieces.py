@@ -20,10 +20,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, row_groups
+from .common import BATCH_CHARS, BATCH_ROWS, documents
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -229,8 +231,9 @@ class Encoder:
         self.chunks = [Chunks(agendas, Dropout(rate, seed, v), KEPT_CHUNKS // variants) for v in range(variants)]
         self.sign = array("i", [model.bytes[b] for b in SPACE.encode()]).tobytes()
 
-    def variant(self, doc_id: int | None) -> int:
-        return xxhash.xxh64_intdigest(str(doc_id).encode(), self.seed) % self.variants
+    def variant(self, doc_id: int | None, copy: int | None = 0) -> int:
+        """Copies of a document that follow each other have different ones."""
+        return (xxhash.xxh64_intdigest(str(doc_id).encode(), self.seed) + (copy or 0)) % self.variants
 
     def encode(self, text: str | None, variant: int = 0) -> np.ndarray:
         """Ids as int32; none for a null or empty text. A space sign that the
@@ -259,29 +262,34 @@ def encoder_at(path: str, rate: float, seed: int, variants: int) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL, rate: float = 0.1, seed: int = 0, variants: int = 4,
-                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                     id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None,
+                     carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: doc_id, variant, n_tokens, ids, and
-    whether decoding the ids gave back the text.
-
-    ``model`` is a path that every executor can read. A null text gives no
-    ids, like an empty one, and decodes to the empty text; a null id has a
-    variant of its own; repeated rows give equal rows; an empty table gives
-    none; other columns are ignored. One pass over the rows, no shuffle.
+    whether decoding the ids gave back the text, and the columns ``carry``.
+
+    ``model`` is a path that every executor can read. With ``copy_col``, the
+    number of a document's copy, up to ``variants`` copies of a document get
+    different segmentations. A null text gives no ids, like an empty one, and
+    decodes to the empty text; a null id has a variant of its own; repeated rows
+    give equal rows; an empty table gives none; other columns are ignored. One
+    pass over the rows, no shuffle.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("variant", pa.int32()), ("n_tokens", pa.int64()),
                         ("ids", pa.list_(pa.int32())), ("lossless", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder_at(model, rate, seed, variants)
-        for rows in row_groups(batches):
+        for b in _pieces_of(batches):
+            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
             by_variant: dict[int, list[int]] = {}
-            for k, (doc_id, _) in enumerate(rows):
-                by_variant.setdefault(own.variant(doc_id), []).append(k)
+            for k, (doc_id, _, copy) in enumerate(rows):
+                by_variant.setdefault(own.variant(doc_id, copy), []).append(k)
             out: list = [None] * len(rows)
             for v, at in by_variant.items():
                 for k, ids in zip(at, own.encode_all([rows[k][1] for k in at], v), strict=True):
                     out[k] = (rows[k][0], v, ids, decode(own.model, ids.tolist()) == (rows[k][1] or ""))
-            yield pack(out)
+            packed = pack(out)
+            yield pa.RecordBatch.from_arrays([*packed.columns, *b.columns[3:]], names=[*schema.names, *b.schema.names[3:]])
 
     def pack(held: list) -> pa.RecordBatch:
         doc_ids, vs, ids, same = zip(*held, strict=True)
@@ -290,8 +298,24 @@ def encode_documents(docs: DataFrame, model: str = MODEL, rate: float = 0.1, see
         return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(vs, pa.int32()), pa.array(sizes, pa.int64()),
                                            lists, pa.array(same, pa.bool_())], schema=schema)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(
-        run, "doc_id bigint, variant int, n_tokens bigint, ids array<int>, lossless boolean")
+    copy = F.col(copy_col).cast("int") if copy_col else F.lit(0)
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                      copy.alias("__copy"), *carry)
+    extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return own.mapInArrow(run, f"doc_id bigint, variant int, n_tokens bigint, ids array<int>, lossless boolean{extra}")
+
+
+def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut to ``BATCH_ROWS`` rows and about ``BATCH_CHARS`` bytes of text (column 1)."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = int(np.searchsorted(ends, before + BATCH_CHARS, side="left")) + 1
+            to = min(max(to, at + 1), at + BATCH_ROWS, b.num_rows)
+            yield b.slice(at, to - at)
+            at = to
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:

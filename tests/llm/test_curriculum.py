@@ -77,3 +77,12 @@ def test_training_order(spark):
     assert out.columns == docs.columns
     assert out.count() == sum(r.copies for r in C.curriculum_mix(docs).collect())
     assert C.in_training_order(C.curriculum_mix(docs.where("false"))).count() == 0
+
+
+def test_rows_without_ids_are_spread_and_reruns_agree(spark):
+    docs = spark.range(6000).selectExpr("CASE WHEN id % 3 > 0 THEN id END AS doc_id", "concat('w', id, ' a b') AS text", "'x' AS source")
+    keyed = C._keyed(docs, "source", "text", "doc_id", 1, ["text"])
+    bins = [r["n"] for r in keyed.groupBy(F.substring("place", 1, 1).alias("bin")).agg(F.count("*").alias("n")).collect()]
+    assert len(bins) == 16 and max(bins) < 2 * 6000 / 16
+    runs = [cases.as_bag(C.curriculum_mix(docs.repartition(p)).select("row.text", "copies", "positions").collect()) for p in (2, 11)]
+    assert runs[0] == runs[1]
