@@ -61,3 +61,25 @@ def test_moved_rows_keep_their_columns(spark):
     assert out.columns == [*docs.columns, "shard"]
     a = cases.as_bag(out.select("doc_id", "shard").collect())
     assert a == cases.as_bag(H.shard_by_bytes(docs, shards=4).select("doc_id", "shard").collect())
+
+
+def test_equal_rows_without_id_are_parted(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") >= 1000, F.col("id")).alias("doc_id"), F.when(
+        F.col("id") < 1000, F.lit("copy " * 40)).otherwise(F.concat(F.lit("word " * 19), F.col("id"))).alias("text")).repartition(5)
+    texts = [tuple(r) for r in docs.collect()]
+    rows = H.shard_by_bytes(docs, shards=8, ranges_per_shard=2).collect()
+    check(rows, texts, 8)
+    size = [sum(r.size for r in rows if r.shard == s) for s in range(8)]
+    assert max(size) <= 1.04 * min(size)
+    assert sum(len({r.shard for r in rows if r.text_crc32 == c}) > 1 for c in {r.text_crc32 for r in rows}) == 1
+    moved = H.move_to_shards(docs, shards=8, ranges_per_shard=2)
+    assert cases.as_bag(moved.select("doc_id", "text").collect()) == cases.as_bag(texts)
+    size = [r.b for r in moved.groupBy("shard").agg(F.sum(F.octet_length("text") + 8).alias("b")).collect()]
+    assert len(size) == 8 and max(size) <= 1.04 * min(size)
+
+
+def test_one_text_only(spark):
+    docs = spark.range(500).select(F.lit(7).alias("doc_id"), F.lit("same").alias("text"))
+    rows = H.shard_by_bytes(docs, shards=5, ranges_per_shard=2).collect()
+    check(rows, [(7, "same")] * 500, 5)
+    assert all(95 <= sum(r.shard == s for r in rows) <= 105 for s in range(5))
