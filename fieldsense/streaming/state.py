@@ -1,8 +1,9 @@
-"""Streaming run collapse: one stateful group per device.
+"""Streaming run collapse: one stateful group per device and segment.
 
-The state of a device is its last restart id and, per segment, the run
-currently open (id, data, start, end, count, epoch): a handful of values,
-whatever the stream length. Each micro-batch emits the runs it opened or
+A restart is copied to each segment's group of its device. The state of a group is
+the last restart id and the run that can still be extended (id, data, start, end,
+count, epoch): a handful of values, whatever the stream length, and none of a run
+that a restart has cut off. Each micro-batch emits the runs it opened or
 changed (output mode ``update``); the latest version of a run is the row
 with the greatest ``n_obs``/``ts_end``.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import schemas as S
-from ..operators.state import check_observations
+from ..operators.state import check_observations, is_restart
 
 RUN_FIELDS = ["device_id", "id", "segment", "data", "ts_start", "ts_end", "epoch", "n_obs"]
 STATE_SCHEMA = T.StructType([T.StructField("json", T.StringType())])
@@ -33,91 +35,110 @@ def run_schema(ts_type: T.DataType) -> T.StructType:
     ])
 
 
-def _restart(segment: str, data: str) -> bool:
-    if segment != S.RESTART_SEGMENT:
-        return False
-    try:
-        return json.loads(data).get("value") == S.RESTART_VALUE
-    except (ValueError, AttributeError):
-        return False
+def with_restarts(valid: DataFrame) -> DataFrame:
+    """(device_id, segment, id, data, ts, restart, own): each observation under
+    its segment and, where it is a restart, a marker (not ``own``, no data) under each
+    other segment of its device."""
+    restart = is_restart(F.col("segment"), F.col("data"))
+    each = F.explode(F.when(F.col("restart"), F.array(*map(F.lit, S.SEGMENTS))).otherwise(F.array("segment"))).alias("to")
+    own = F.col("to") == F.col("segment")
+    return (valid.select("device_id", "segment", "id", "data", "ts", F.coalesce(restart, F.lit(False)).alias("restart"))
+            .select("*", each)
+            .select("device_id", F.col("to").alias("segment"), "id", F.when(own, F.col("data")).alias("data"), "ts", "restart",
+                    own.alias("own")))
 
 
-def _segment_runs(g: pd.DataFrame, open_run: dict | None) -> tuple[list[dict], dict]:
-    """Runs touched by one segment's rows of a micro-batch (sorted by id),
-    given the run left open by earlier batches; vectorised over the rows.
-    Returns the touched runs and the run left open afterwards."""
-    prev_data = g["data"].shift(1)
-    prev_ep = g["epoch"].shift(1)
+def _touched_runs(g: pd.DataFrame, open_run: dict | None) -> list[dict]:
+    """Runs touched by a group's rows (sorted by id, data as a code) of a
+    micro-batch, given the run left open by earlier batches; the last is the one left open."""
+    prev_data, prev_ep = g["data"].shift(1), g["epoch"].shift(1)
     if open_run is not None:
-        prev_data.iloc[0] = open_run["data"]
-        prev_ep.iloc[0] = open_run["epoch"]
-    start = prev_ep.isna() | (prev_ep != g["epoch"]) | (prev_data.notna() & (prev_data != g["data"]))
-    run = g["id"].where(start).ffill()
-    cont = run.isna()                      # leading rows that extend the open run
-    same_next = g["epoch"].shift(-1) == g["epoch"]
-    end = g["ts"].astype("float64").where(~same_next, g["ts"].shift(-1))
-    touched = []
-    kept = None
+        prev_data.iloc[0], prev_ep.iloc[0] = open_run["data"], open_run["epoch"]
+    start = prev_ep.isna() | (prev_ep != g["epoch"]) | (prev_data != g["data"])
+    # the row's run, -1 for leading rows that extend the open run
+    run = np.maximum.accumulate(np.where(start, np.arange(len(g)), -1))
+    end = np.where(g["epoch"].shift(-1) == g["epoch"], g["ts"].shift(-1, fill_value=0), g["ts"])
+    touched, cont = [], int((run < 0).sum())
     if open_run is not None:
-        if cont.any():
-            kept = dict(open_run, end=int(end[cont].iloc[-1]), n=open_run["n"] + int(cont.sum()))
-            touched.append(kept)
+        if cont:
+            touched.append(dict(open_run, end=int(end[cont - 1]), n=open_run["n"] + cont))
         elif open_run["epoch"] == g["epoch"].iloc[0]:
             # the first row changes the data: the open run ends there
             touched.append(dict(open_run, end=int(g["ts"].iloc[0])))
         # else it was opened before a restart and is left as it is
-    new = g[~cont].assign(_run=run[~cont], _end=end[~cont])
-    for rid, r in new.groupby("_run", sort=True):
-        touched.append({"id": int(rid), "data": r["data"].iloc[0], "start": int(r["ts"].iloc[0]),
-                        "end": int(r["_end"].iloc[-1]), "n": int(len(r)), "epoch": int(r["epoch"].iloc[0])})
-    return touched, (touched[-1] if not new.empty else kept)
-
-
-def _advance(key, batches, state):
-    """Apply one micro-batch of a device's observations in id order."""
-    (device,) = key
-    st = json.loads(state.get[0]) if state.exists else {"restart": -1, "open": {}}
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    pdf = pd.concat(frames).sort_values("id", kind="stable").reset_index(drop=True)
-    pdf["ts"] = pd.to_datetime(pdf["ts"]).dt.as_unit("us").astype("int64")  # microseconds
-    app = pdf["segment"] == S.RESTART_SEGMENT
-    restart = pd.Series([bool(a) and _restart(S.RESTART_SEGMENT, d) for a, d in zip(app, pdf["data"])],
-                        index=pdf.index, dtype=bool)
-    # epoch: last restart strictly before the row (a restart belongs to the epoch before it)
-    pdf["epoch"] = (pdf["id"].where(restart).shift(1).ffill().fillna(st["restart"]).astype("int64"))
-    if restart.any():
-        st["restart"] = int(pdf.loc[restart, "id"].iloc[-1])
-    rows = []
-    for seg, g in pdf.groupby("segment", sort=False):
-        touched, last = _segment_runs(g.reset_index(drop=True), st["open"].get(seg))
-        st["open"][seg] = last
-        rows += [dict(t, seg=seg) for t in touched]
-    state.update((json.dumps(st),))
-    if rows:
-        yield pd.DataFrame({
-            "device_id": [device] * len(rows),
-            "id": [r["id"] for r in rows],
-            "segment": [r["seg"] for r in rows],
-            "data": [r["data"] for r in rows],
-            "ts_start": pd.to_datetime([r["start"] for r in rows], unit="us"),
-            "ts_end": pd.to_datetime([r["end"] for r in rows], unit="us"),
-            "epoch": [r["epoch"] for r in rows],
-            "n_obs": [r["n"] for r in rows],
-        })
-
-
-def state_runs_stream(observations: DataFrame) -> DataFrame:
+    first = np.flatnonzero(start)
+    last = np.r_[first[1:], len(g)] - 1
+    ids, data, ts, epoch = (g[c].to_numpy() for c in ("id", "data", "ts", "epoch"))
+    touched += [{"id": int(ids[a]), "data": int(data[a]), "start": int(ts[a]), "end": int(end[b]), "n": int(b - a + 1),
+                 "epoch": int(epoch[a])} for a, b in zip(first, last[:len(first)])]
+    return touched
+
+
+def _coded(batches, codes: dict[str | None, int]) -> pd.DataFrame:
+    """The rows of all batches in id order, their data as numbers of ``codes``, so
+    that a row held costs some bytes and each different state is held once."""
+    frames = [pd.DataFrame({
+        "id": b["id"].astype("int64"), "ts": pd.to_datetime(b["ts"]).dt.as_unit("us").astype("int64"),
+        "data": np.fromiter((codes.setdefault(d, len(codes)) for d in b["data"]), np.int64, len(b)),
+        "restart": b["restart"].astype(bool), "own": b["own"].astype(bool)}) for b in batches if len(b)]
+    return pd.concat(frames).sort_values("id", kind="stable").reset_index(drop=True) if frames else pd.DataFrame()
+
+
+def _advance(expire_ms: int | None):
+    def advance(key, batches, state):
+        """Apply one micro-batch of a group's observations and restarts in id order."""
+        device, segment = key
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = json.loads(state.get[0]) if state.exists else {"restart": -1, "open": None}
+        open_run, codes = held["open"], {}
+        if open_run is not None:
+            codes[open_run["data"]] = 0
+            open_run = dict(open_run, data=0)
+        rows = _coded(batches, codes)
+        if not len(rows):
+            return
+        # epoch: last restart strictly before the row (a restart belongs to the epoch before it)
+        rows["epoch"] = rows["id"].where(rows["restart"]).shift(1).ffill().fillna(held["restart"]).astype("int64")
+        if rows["restart"].any():
+            held["restart"] = int(rows.loc[rows["restart"], "id"].iloc[-1])
+        own = rows[rows["own"]].reset_index(drop=True)
+        touched = _touched_runs(own, open_run) if len(own) else []
+        texts = list(codes)
+        touched = [dict(t, data=texts[t["data"]]) for t in touched]
+        last = touched[-1] if touched else held["open"]
+        held["open"] = last if last is not None and last["epoch"] == held["restart"] else None
+        state.update((json.dumps(held),))
+        if expire_ms is not None:
+            state.setTimeoutDuration(expire_ms)
+        if touched:
+            yield pd.DataFrame({
+                "device_id": device, "id": [t["id"] for t in touched], "segment": segment,
+                "data": [t["data"] for t in touched],
+                "ts_start": pd.to_datetime([t["start"] for t in touched], unit="us"),
+                "ts_end": pd.to_datetime([t["end"] for t in touched], unit="us"),
+                "epoch": [t["epoch"] for t in touched], "n_obs": [t["n"] for t in touched]})
+
+    return advance
+
+
+def state_runs_stream(observations: DataFrame, expire_hours: float | None = None) -> DataFrame:
     """Streaming observations -> run upserts of the valid ones; the others are
     the stream of ``rejected_stream``. Sorting happens inside each group, since arrival order within a
-    micro-batch is not guaranteed."""
+    micro-batch is not guaranteed; a task holds some bytes for each of its groups'
+    rows of a micro-batch, and each different state once.
+
+    With ``expire_hours``, a group that nothing came for in so many hours of processing
+    time, a restart included, is forgotten, its last restart with it: the next
+    observation opens a run, of epoch -1, even if the state is unchanged."""
     valid, _ = check_observations(observations)
     ts_type = observations.schema["ts"].dataType
-    return (valid.select("device_id", "id", "segment", "data", "ts")
-            .groupBy("device_id")
-            .applyInPandasWithState(_advance, run_schema(ts_type), STATE_SCHEMA, "update",
-                                    GroupStateTimeout.NoTimeout))
+    expire_ms = None if expire_hours is None else max(1, round(expire_hours * 3_600_000))
+    return (with_restarts(valid)
+            .groupBy("device_id", "segment")
+            .applyInPandasWithState(_advance(expire_ms), run_schema(ts_type), STATE_SCHEMA, "update",
+                                    GroupStateTimeout.NoTimeout if expire_ms is None else GroupStateTimeout.ProcessingTimeTimeout))
 
 
 def rejected_stream(observations: DataFrame) -> DataFrame:

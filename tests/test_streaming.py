@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import os
+import random
 import tempfile
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from fieldsense.operators import state as ST
 from fieldsense.sources import fixtures as FX
 from fieldsense.streaming import (ingest_stream, latest_versions, rollup_stream, state_runs_stream,
                                   sync_tick)
+from fieldsense.streaming.state import with_restarts
 
 from .test_state import _random_observations
 
@@ -127,3 +129,41 @@ def test_state_stream_many_batches(spark):
         df = spark.createDataFrame(obs, FX.OBS_SCHEMA)
         want = {tuple(r) for r in ST.collapse_runs(ST.check_observations(df)[0]).drop("sync").collect()}
         assert got == want
+
+
+def test_state_stream_of_a_hot_device(spark):
+    rnd = random.Random(5)
+    obs = sorted(_random_observations(41, n=400, devices=6), key=lambda r: r[1])
+    top = obs[-1][1]
+    # one device has a third of all rows, nearly all in one segment, and restarts that cut it
+    hot = [("hot", top + 1 + i, "app" if i % 67 == 0 else "gpio" if i % 5 else "cloud",
+            '{"value":"restart"}' if i % 67 == 0 else json.dumps({"value": rnd.randrange(2)}),
+            FX.T0 + dt.timedelta(minutes=i)) for i in range(200)]
+    obs = [r for pair in zip(obs[::2], hot, obs[1::2]) for r in pair]
+    obs = [(d, i, s, data, ts) for i, (d, _, s, data, ts) in enumerate(obs, 1)]
+    got = _stream_runs(spark, obs, 5, "runs_hot")
+    df = spark.createDataFrame(obs, FX.OBS_SCHEMA)
+    valid, _ = ST.check_observations(df)
+    assert got == {tuple(r) for r in ST.collapse_runs(valid).drop("sync").collect()}
+    # a group has its own rows and the device's restarts, whatever its other segments have
+    groups = {(r.device_id, r.segment): r.n for r in with_restarts(valid).groupBy("device_id", "segment").agg(
+        F.count("*").alias("n")).collect()}
+    restarts = sum(d == "hot" and s == "app" for d, _, s, _, _ in obs)
+    assert groups["hot", "cloud"] == sum(d == "hot" and s == "cloud" for d, _, s, _, _ in obs) + restarts
+    assert groups["hot", "connectivity"] == restarts
+
+
+def test_state_of_idle_groups_expires(spark):
+    src = _tmp()
+    one = {"segment": "gpio", "data": '{"value":1,"userId":0}'}
+    for k, (device, i) in enumerate([("d1", 1), ("d1", 2), ("d2", 3), ("d1", 4)]):
+        _write_jsonl(src, f"part-{k}.json", [dict(one, device_id=device, id=i, ts=(FX.T0 + dt.timedelta(minutes=i)).isoformat())])
+    stream = spark.readStream.schema(FX.OBS_SCHEMA).option("maxFilesPerTrigger", 1).json(src)
+    runs = {}
+    for name, hours in (("runs_kept", None), ("runs_expired", 1e-9)):
+        q = (state_runs_stream(stream, hours).writeStream.format("memory").queryName(name).outputMode("update")
+             .option("checkpointLocation", _tmp()).trigger(availableNow=True).start())
+        q.awaitTermination(300)
+        runs[name] = {(r.device_id, r.id, r.n_obs) for r in latest_versions(spark.table(name)).collect()}
+    assert runs["runs_kept"] == {("d1", 1, 3), ("d2", 3, 1)}
+    assert runs["runs_expired"] == {("d1", 1, 2), ("d2", 3, 1), ("d1", 4, 1)}
