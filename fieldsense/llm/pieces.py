@@ -1,21 +1,22 @@
 """SentencePiece BPE with seeded merge-dropout, and its exact decoding.
 
 Merges are taken from an agenda, best score first and leftmost of equals. A
-candidate that comes up is skipped when a hash of the seed, the variant, the
-chunk of text, the place and the merged piece falls under the dropout rate, so
-that a text gives other segmentations in other variants, the same on every run.
-A document's variant is a keyed hash of its id.
+candidate that comes up is skipped when a hash of the seed, the document's id, the
+copy's number, the chunk's place in the text, the place in the chunk and the merged
+piece falls under the dropout rate. So a word has other segmentations at other places,
+in other documents and in other copies, the same on every run.
 
 No merge can cross a border between a character and a following space, nor a
-line end, so a text is segmented in such chunks; a process keeps those that it
-has met, up to a bound, as their ids depend on nothing else."""
+line end, so a text is segmented in such chunks. A process keeps, up to a bound, what
+the agenda of a chunk does when nothing is skipped; where the hash skips
+none of those merges, this is the segmentation, else the agenda runs anew."""
 
 from __future__ import annotations
 
 import heapq
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -30,8 +31,10 @@ from .common import BATCH_CHARS, BATCH_ROWS, documents
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _MASK = (1 << 64) - 1
-#: Chunks that a process keeps, over all variants, and their length at most.
-KEPT_CHUNKS, KEPT_CHARS = 600_000, 64
+#: Chunks that a process keeps, and their length at most.
+KEPT_CHUNKS, KEPT_CHARS = 300_000, 64
+#: Chunks of a text that are worked out together.
+TOGETHER = 1 << 16
 
 
 class PieceModel:
@@ -59,6 +62,9 @@ class PieceModel:
         self.text = [p.piece.replace(SPACE, " ").encode() if p.type == kinds.NORMAL else b"" for p in m.pieces]
         for value, i in self.bytes.items():
             self.text[i] = bytes([value])
+        self.sizes = np.array([len(t) for t in self.text], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.all_text = np.frombuffer(b"".join(self.text), np.uint8)
 
     def of_symbol(self, symbol: str) -> list[int]:
         i = self.ids.get(symbol)
@@ -70,16 +76,28 @@ def model_at(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``values[start:start + size]`` of each, one after the other."""
+    ends = np.cumsum(sizes)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
+
+
 class Dropout:
     """Decides on a candidate merge by hash alone."""
 
-    def __init__(self, rate: float, seed: int, variant: int):
+    def __init__(self, rate: float, seed: int):
         if not 0 <= rate <= 1:
             raise ValueError("the dropout rate lies between 0 and 1")
-        self.limit, self.key = int(rate * (1 << 32)), (seed * 0x9E3779B97F4A7C15 + variant + 1) & _MASK
+        self.limit, self.seed = int(rate * (1 << 32)), seed & _MASK
 
-    def base(self, chunk: str) -> int:
-        return xxhash.xxh64_intdigest(chunk.encode(), self.key)
+    def key(self, doc_id: int | None, copy: int | None = 0) -> int:
+        return xxhash.xxh64_intdigest(f"{doc_id}:{copy or 0}".encode(), self.seed)
+
+    def bases(self, key: int, first: int, n: int) -> np.ndarray:
+        """The hash bases of ``n`` chunks in a row."""
+        h = np.uint64(key) ^ np.arange(first, first + n, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
 
     def skips(self, base: int, place: int, piece: int) -> bool:
         h = (base ^ (place * 0x9E3779B97F4A7C15 + piece * 0xC2B2AE3D27D4EB4F)) & _MASK
@@ -92,7 +110,7 @@ class Dropout:
         return h >> np.uint64(32) < np.uint64(self.limit)
 
 
-def segment(model: PieceModel, chunk: str, dropout: Dropout | None = None) -> list[str]:
+def segment(model: PieceModel, chunk: str, dropout: Dropout | None = None, base: int = 0) -> list[str]:
     """The chunk's symbols when the agenda is empty. A skipped candidate is
     gone until one of its symbols changes."""
     ids, rank = model.ids, model.rank
@@ -107,7 +125,6 @@ def segment(model: PieceModel, chunk: str, dropout: Dropout | None = None) -> li
     for k in range(n - 1):
         propose(k, k + 1)
     dropout = dropout if dropout and dropout.limit else None
-    base = dropout.base(chunk) if dropout else 0
     while agenda:
         _, left, right, merged = heapq.heappop(agenda)
         if not symbols[left] or not symbols[right] or after[left] != right or len(symbols[left]) + len(symbols[right]) != len(merged):
@@ -147,8 +164,11 @@ class Agendas:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], self.none)
 
-    def run(self, chunks: list[str], dropout: Dropout) -> list[bytes]:
-        """The ids of each chunk, as bytes; chunks have at most ``KEPT_CHARS`` characters."""
+    def run(self, chunks: list[str], dropout: Dropout, base: np.ndarray,
+            merges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, one after the other, and how many each has; chunks have
+        at most ``KEPT_CHARS`` characters. Each round's merges go to ``merges`` as
+        (chunk, place, piece)."""
         sym = self.symbol[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         own = np.repeat(np.arange(len(chunks)), sizes)
@@ -156,7 +176,6 @@ class Agendas:
         rank = np.full(len(sym), self.none, np.int32)
         inner = np.flatnonzero(own[1:] == own[:-1])
         rank[inner] = self.rank(sym[inner], sym[inner + 1])
-        base = np.array([dropout.base(c) for c in chunks], np.uint64)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(sym):
             first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
@@ -170,9 +189,12 @@ class Agendas:
             at = np.flatnonzero(rank == best)
             at = at[np.r_[True, own[at][1:] != own[at][:-1]]]  # the leftmost of equals
             piece = self.by_rank[rank[at]]
-            skip = dropout.skip_all(base[own[at]], place[at], piece)
-            rank[at[skip]] = self.none
-            at, piece = at[~skip], piece[~skip]
+            if dropout.limit:
+                skip = dropout.skip_all(base[own[at]], place[at], piece)
+                rank[at[skip]] = self.none
+                at, piece = at[~skip], piece[~skip]
+            if merges is not None:
+                merges.append((own[at], place[at], piece))
             sym[at] = piece
             on = np.ones(len(sym), bool)
             on[at + 1] = False
@@ -185,109 +207,172 @@ class Agendas:
                 rank[left] = self.rank(sym[left], sym[left + 1])
         own, ids = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(own, kind="stable")
-        ids, ends = ids[order], 4 * np.cumsum(np.bincount(own, minlength=len(chunks)))
-        data = ids.astype(np.int32).tobytes()
-        out = [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
-        for k in np.unique(own[order][ids < 0]).tolist():  # they have characters that no piece is
-            out[k] = ids_of(self.model, chunks[k], dropout)
-        return out
-
-
-def ids_of(model: PieceModel, chunk: str, dropout: Dropout | None = None) -> bytes:
+        own, ids = own[order], ids[order]
+        sizes = np.bincount(own, minlength=len(chunks))
+        odd = np.unique(own[ids < 0])  # they have characters that no piece is
+        if len(odd):
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for k in odd.tolist():
+                parts[k] = ids_of(self.model, chunks[k], dropout, int(base[k]))
+            ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
+        return ids.astype(np.int32), sizes
+
+
+def ids_of(model: PieceModel, chunk: str, dropout: Dropout | None = None, base: int = 0) -> np.ndarray:
     out = array("i")
-    for s in segment(model, chunk, dropout):
+    for s in segment(model, chunk, dropout, base):
         out.extend(model.of_symbol(s))
-    return out.tobytes()
+    return np.frombuffer(out, np.int32) if out else np.empty(0, np.int32)
+
+
+class Ragged:
+    """Runs of numbers, one after the other."""
 
+    def __init__(self, *types):
+        self.values = [np.empty(0, t) for t in types]
+        self.starts = self.sizes = np.empty(0, np.int64)
 
-class Chunks(dict):
-    """Ids, as bytes, of chunks in which a space is a space; those that are
-    missing are worked out alone, or many at once by :meth:`add`."""
+    def add(self, sizes: np.ndarray, *values: np.ndarray) -> None:
+        self.starts = np.r_[self.starts, len(self.values[0]) + np.cumsum(sizes) - sizes]
+        self.sizes = np.r_[self.sizes, sizes]
+        self.values = [np.r_[a, b.astype(a.dtype)] for a, b in zip(self.values, values, strict=True)]
 
-    def __init__(self, agendas: Agendas, dropout: Dropout, most: int):
-        self.agendas, self.dropout, self.most = agendas, dropout, most
 
-    def __missing__(self, chunk: str) -> bytes:
-        return ids_of(self.agendas.model, chunk.replace(" ", SPACE), self.dropout)
+class Chunks:
+    """What the agendas of chunks do without dropout: their ids, and their
+    merges by place and piece."""
 
-    def add(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self and len(c) <= KEPT_CHARS]
-        if len(self) + len(new) > self.most:
+    def __init__(self, agendas: Agendas, most: int):
+        self.agendas, self.most, self.plain = agendas, most, Dropout(0.0, 0)
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.ids, self.merges = Ragged(np.int32), Ragged(np.uint8, np.int32)
+
+    def slots_of(self, chunks: list[str]) -> np.ndarray:
+        """The slot of each chunk; chunks have at most ``KEPT_CHARS`` characters."""
+        new = [c for c in dict.fromkeys(chunks) if c not in self.slots]
+        if len(self.slots) + len(new) > self.most:
             self.clear()
-            new = [c for c in chunks if len(c) <= KEPT_CHARS]
+            new = list(dict.fromkeys(chunks))
         if new:
-            self.update(zip(new, self.agendas.run([c.replace(" ", SPACE) for c in new], self.dropout), strict=True))
+            done: list = []
+            ids, sizes = self.agendas.run([c.replace(" ", SPACE) for c in new], self.plain, np.zeros(len(new), np.uint64), done)
+            own, place, piece = (np.concatenate(x) for x in zip(*done)) if done else (np.empty(0, np.int64),) * 3
+            order = np.argsort(own, kind="stable")
+            self.ids.add(sizes, ids)
+            self.merges.add(np.bincount(own, minlength=len(new)), place[order], piece[order])
+            self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
+        return np.fromiter(map(self.slots.__getitem__, chunks), np.int64, len(chunks))
 
 
-_CHUNK = re.compile(" *[^ \n]+| +|\n")
+_CHUNK = re.compile(f" *[^ \n{SPACE}]+| +|\n|{SPACE}")
 
 
 class Encoder:
     """Texts to ids by one model, rate and seed."""
 
-    def __init__(self, model: PieceModel, rate: float = 0.1, seed: int = 0, variants: int = 4):
-        self.model, self.rate, self.seed, self.variants = model, rate, seed, variants
-        agendas = Agendas(model)
-        self.chunks = [Chunks(agendas, Dropout(rate, seed, v), KEPT_CHUNKS // variants) for v in range(variants)]
-        self.sign = array("i", [model.bytes[b] for b in SPACE.encode()]).tobytes()
-
-    def variant(self, doc_id: int | None, copy: int | None = 0) -> int:
-        """Copies of a document that follow each other have different ones."""
-        return (xxhash.xxh64_intdigest(str(doc_id).encode(), self.seed) + (copy or 0)) % self.variants
+    def __init__(self, model: PieceModel, rate: float = 0.1, seed: int = 0):
+        self.model, self.dropout = model, Dropout(rate, seed)
+        self.agendas = Agendas(model)
+        self.chunks = Chunks(self.agendas, KEPT_CHUNKS)
+        self.sign = np.array([model.bytes[b] for b in SPACE.encode()], np.int32)
 
-    def encode(self, text: str | None, variant: int = 0) -> np.ndarray:
+    def encode(self, text: str | None, key: int = 0) -> np.ndarray:
         """Ids as int32; none for a null or empty text. A space sign that the
         text itself has is written as bytes, so that it isn't taken for a space."""
-        if not text:
-            return np.empty(0, np.int32)
-        return self.encode_all([text], variant)[0]
-
-    def encode_all(self, texts: list[str | None], variant: int = 0) -> list[np.ndarray]:
-        """The texts of a batch, whose new chunks are worked out together."""
-        own = self.chunks[variant]
-        split = [[_CHUNK.findall(p) for p in (" " + t).split(SPACE)] if t else [] for t in texts]
-        own.add({c for parts in split for part in parts for c in part})
-        return [np.frombuffer(self.sign.join(b"".join(map(own.__getitem__, part)) for part in parts), np.int32) for parts in split]
-
-
-def decode(model: PieceModel, ids: Iterable[int]) -> str:
+        return self.encode_all([text], [key])[0]
+
+    def encode_all(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray]:
+        """The texts of a batch, each with the key of its dropout (``Dropout.key``);
+        their chunks are worked out together."""
+        parts, bases, held, out, sizes = [], [], 0, [], []
+        split = [_CHUNK.findall(" " + t) if t else [] for t in texts]
+        for chunks, key in zip(split, keys, strict=True):
+            sizes.append([])
+            for at in range(0, len(chunks), TOGETHER):
+                part = chunks[at:at + TOGETHER]
+                parts.append((len(sizes) - 1, part))
+                bases.append(self.dropout.bases(key, at, len(part)))
+                held += len(part)
+                if held >= TOGETHER:
+                    out += self._together(parts, bases)
+                    parts, bases, held = [], [], 0
+        out += self._together(parts, bases)
+        for k, ids in out:
+            sizes[k].append(ids)
+        none = np.empty(0, np.int32)
+        return [own[0] if len(own) == 1 else np.concatenate(own) if own else none for own in sizes]
+
+    def _together(self, parts: list[tuple[int, list[str]]], bases: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
+        """(text, ids) of each part."""
+        if not parts:
+            return []
+        chunks, base = [c for _, part in parts for c in part], np.concatenate(bases)
+        alone = [k for k, c in enumerate(chunks) if len(c) > KEPT_CHARS or c == SPACE]
+        apart = {k: self.sign if chunks[k] == SPACE else
+                 ids_of(self.model, chunks[k].replace(" ", SPACE), self.dropout, int(base[k])) for k in alone}
+        usual = np.ones(len(chunks), bool)
+        usual[alone] = False
+        usual = np.flatnonzero(usual)
+        slots = self.chunks.slots_of([chunks[k] for k in usual.tolist()] if alone else chunks)
+        kept, merges = self.chunks.ids, self.chunks.merges
+        pool, starts, sizes = [kept.values[0]], np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        starts[usual], sizes[usual] = kept.starts[slots], kept.sizes[slots]
+        held = len(pool[0])
+        if self.dropout.limit:
+            n, first = merges.sizes[slots], merges.starts[slots]
+            skip = self.dropout.skip_all(np.repeat(base[usual], n), *(gather(v, first, n) for v in merges.values))
+            anew = usual[np.unique(np.repeat(np.arange(len(usual)), n)[skip])]
+            if len(anew):
+                ids, m = self.agendas.run([chunks[k].replace(" ", SPACE) for k in anew.tolist()], self.dropout, base[anew])
+                starts[anew], sizes[anew] = held + np.cumsum(m) - m, m
+                pool.append(ids)
+                held += len(ids)
+        for k, ids in apart.items():
+            starts[k], sizes[k] = held, len(ids)
+            pool.append(ids)
+            held += len(ids)
+        ids, ends = gather(np.concatenate(pool), starts, sizes), np.r_[0, np.cumsum(sizes)]
+        cuts = ends[np.cumsum([0, *(len(part) for _, part in parts)])].tolist()
+        return [(k, ids[a:b]) for (k, _), a, b in zip(parts, cuts, cuts[1:])]
+
+
+def decode(model: PieceModel, ids: Sequence[int] | np.ndarray) -> str:
     """The text; the space put before it on encoding goes."""
-    data = b"".join(map(model.text.__getitem__, ids))
+    ids = np.asarray(ids, np.int64)
+    data = gather(model.all_text, model.starts[ids], model.sizes[ids]).tobytes()
     return data.removeprefix(b" ").decode("utf-8", "replace")
 
 
 @cache
-def encoder_at(path: str, rate: float, seed: int, variants: int) -> Encoder:
-    return Encoder(model_at(path), rate, seed, variants)
+def encoder_at(path: str, rate: float, seed: int) -> Encoder:
+    return Encoder(model_at(path), rate, seed)
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL, rate: float = 0.1, seed: int = 0, variants: int = 4,
+def encode_documents(docs: DataFrame, model: str = MODEL, rate: float = 0.1, seed: int = 0,
                      id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None,
                      carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, variant, n_tokens, ids, and
+    """One row for each row of ``docs``: doc_id, copy, n_tokens, ids, and
     whether decoding the ids gave back the text, and the columns ``carry``.
 
-    ``model`` is a path that every executor can read. With ``copy_col``, the
-    number of a document's copy, up to ``variants`` copies of a document get
-    different segmentations. A null text gives no ids, like an empty one, and
-    decodes to the empty text; a null id has a variant of its own; repeated rows
+    ``model`` is a path that every executor can read. ``copy_col`` has the
+    number of a document's copy (else, or null, 0); copies of a document get
+    segmentations of their own. A null text gives no ids, like an empty one, and
+    decodes to the empty text; a null id is an id like others; repeated rows
     give equal rows; an empty table gives none; other columns are ignored. One
     pass over the rows, no shuffle.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("variant", pa.int32()), ("n_tokens", pa.int64()),
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int32()), ("n_tokens", pa.int64()),
                         ("ids", pa.list_(pa.int32())), ("lossless", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder_at(model, rate, seed, variants)
+        own = encoder_at(model, rate, seed)
         for b in _pieces_of(batches):
-            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
-            by_variant: dict[int, list[int]] = {}
-            for k, (doc_id, _, copy) in enumerate(rows):
-                by_variant.setdefault(own.variant(doc_id, copy), []).append(k)
-            out: list = [None] * len(rows)
-            for v, at in by_variant.items():
-                for k, ids in zip(at, own.encode_all([rows[k][1] for k in at], v), strict=True):
-                    out[k] = (rows[k][0], v, ids, decode(own.model, ids.tolist()) == (rows[k][1] or ""))
+            doc_ids, texts, copies = (b.column(k).to_pylist() for k in range(3))
+            all_ids = own.encode_all(texts, list(map(own.dropout.key, doc_ids, copies)))
+            out = [(i, c, ids, decode(own.model, ids) == (t or "")) for i, t, c, ids in zip(doc_ids, texts, copies, all_ids)]
             packed = pack(out)
             yield pa.RecordBatch.from_arrays([*packed.columns, *b.columns[3:]], names=[*schema.names, *b.schema.names[3:]])
 
@@ -298,11 +383,11 @@ def encode_documents(docs: DataFrame, model: str = MODEL, rate: float = 0.1, see
         return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(vs, pa.int32()), pa.array(sizes, pa.int64()),
                                            lists, pa.array(same, pa.bool_())], schema=schema)
 
-    copy = F.col(copy_col).cast("int") if copy_col else F.lit(0)
+    copy = F.coalesce(F.col(copy_col).cast("int"), F.lit(0)) if copy_col else F.lit(0)
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                       copy.alias("__copy"), *carry)
     extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return own.mapInArrow(run, f"doc_id bigint, variant int, n_tokens bigint, ids array<int>, lossless boolean{extra}")
+    return own.mapInArrow(run, f"doc_id bigint, copy int, n_tokens bigint, ids array<int>, lossless boolean{extra}")
 
 
 def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
