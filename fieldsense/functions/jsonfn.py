@@ -18,8 +18,57 @@ def canonical_variant(v: Column) -> Column:
 
 
 def canonical_json(text: Column) -> Column:
-    """Canonical text of a JSON document; NULL for a text that is not one JSON value."""
-    return canonical_variant(whole_variant(text))
+    """Canonical text of a JSON document, the same for equal values and for no others;
+    NULL for a text that is not one JSON value."""
+    return unmarked_json(whole_variant(marked_json(text)))
+
+
+#: A JSON string; a number, or what may be one; anything else.
+_REST = r'[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_STRING = f'"{_REST}'
+_TOKEN = rf'(?s){_STRING}|-?\d[\d.eE+-]*+|[^"\d-]++|.'
+_NUMBER = r"^-?(0|[1-9]\d*+)(?:\.(\d++))?(?:[eE]([+-]?\d++))?$"
+#: A marked number; a string that begins with the mark; another string.
+_MARKED = rf'(?s)"~n([^"\\]*+)"|(")~(~{_REST})|({_STRING})'
+#: Powers of ten up to which numbers are written without one.
+_PLAIN_POWER = 400
+
+
+def exact_number(text: Column) -> Column:
+    """The one text of a JSON number's value: its digits, without a power of ten
+    up to the 400th. NULL for a power of over 18 digits."""
+    part = lambda k: F.regexp_extract(text, _NUMBER, k)
+    digits = F.ltrim(F.concat(part(1), part(2)), F.lit("0"))
+    core = F.rtrim(digits, F.lit("0"))
+    power = (F.when(part(3) == "", F.lit(0).cast("bigint")).otherwise(part(3).try_cast("bigint"))
+             - F.length(part(2)) + F.length(digits) - F.length(core))
+    point = F.length(core) + power
+    zeros = lambda n: F.repeat(F.lit("0"), F.least(n, F.lit(_PLAIN_POWER)).cast("int"))
+    size = (F.when((power > _PLAIN_POWER) | (point < -_PLAIN_POWER), F.concat(core, F.lit("e"), power.cast("string")))
+            .when(power >= 0, F.concat(core, zeros(power)))
+            .when(point > 0, F.concat(F.substring(core, F.lit(1), point.cast("int")), F.lit("."),
+                                      F.substring(core, (point + 1).cast("int"), F.length(core))))
+            .otherwise(F.concat(F.lit("0."), zeros(-point), core)))
+    return F.when(core == "", F.lit("0")).when(power.isNotNull(), F.concat(F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit("")), size))
+
+
+def marked_json(text: Column) -> Column:
+    """A JSON text whose numbers are strings that hold their exact text behind a
+    mark, so that a VARIANT of it loses no digit; NULL for a text that is not one JSON value."""
+    def token(t: Column) -> Column:
+        return (F.when(t.rlike(_NUMBER), F.concat(F.lit('"~n'), exact_number(t), F.lit('"')))
+                .when(t.rlike(r'^"(~|\\u007[eE])'), F.concat(F.lit('"~'), F.substring(t, F.lit(2), F.length(t))))
+                .otherwise(t))
+
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), token)
+    # a number without a text makes the document none
+    return F.when(is_one_json(text) & ~F.exists(tokens, F.isnull), F.array_join(tokens, ""))
+
+
+def unmarked_json(v: Column) -> Column:
+    """Canonical text of a VARIANT of ``marked_json``: keys sorted, each number in
+    the one text of its value."""
+    return F.regexp_replace(F.to_json(v), F.lit(_MARKED), F.lit("$1$2$3$4"))
 
 
 def is_one_json(text: Column) -> Column:
@@ -41,7 +90,9 @@ def whole_json(text: Column, schema: str) -> Column:
 
 def whole_variant(text: Column) -> Column:
     """The same as a VARIANT. An object with repeated keys keeps the last of
-    each, as jsonb does."""
+    each, as jsonb does; in nested objects too where the session has
+    ``spark.sql.variant.allowDuplicateKeys``, as ``get_session`` sets it, else a
+    document with those is NULL."""
     value = F.when(is_one_json(text), F.try_parse_json(text))
     entries = F.map_entries(whole_json(text, "map<string,variant>"))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
@@ -53,11 +104,11 @@ def object_key_count(v: Column) -> Column:
     return F.size(F.try_variant_get(v, "$", "map<string,variant>"))
 
 
-def with_default_key(v: Column, key: str, default_json: str) -> Column:
+def with_default_key(v: Column, key: str, default_json: str, text=canonical_variant) -> Column:
     """Add ``key: default`` to a JSON object (VARIANT) when the key is absent
-    or JSON null (``jsonb_set`` when ``->>key`` is NULL); canonical text out."""
+    or JSON null (``jsonb_set`` when ``->>key`` is NULL); its ``text`` out."""
     current = F.try_variant_get(v, f"$.{key}", "variant")
     others = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: k != F.lit(key))
     patched = F.map_concat(others, F.create_map(F.lit(key), F.parse_json(F.lit(default_json))))
-    return (F.when(current.isNull() | F.is_variant_null(current), canonical_variant(F.try_parse_json(F.to_json(patched))))
-            .otherwise(canonical_variant(v)))
+    return (F.when(current.isNull() | F.is_variant_null(current), text(F.try_parse_json(F.to_json(patched))))
+            .otherwise(text(v)))

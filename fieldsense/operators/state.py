@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import canonical_variant, drop_flag, object_key_count, whole_variant, with_computed, with_default_key
+from ..functions import drop_flag, marked_json, object_key_count, unmarked_json, whole_variant, with_computed, with_default_key
 from ..session import cut_lineage
 
 CHUNK_ROWS = 1 << 20
@@ -37,20 +37,20 @@ def tag_observations(obs: DataFrame, segments=S.SEGMENTS) -> DataFrame:
 
     Rejected: no device ('device'); segment missing or unknown ('segment');
     data not one JSON object, or with no key ('data'); of repeated keys the
-    last counts. A gpio row without a (non-null) ``userId`` gets ``userId: 0``."""
+    last counts; numbers are compared in all their digits. A gpio row without a (non-null) ``userId`` gets ``userId: 0``."""
     seg, data = F.col("segment"), F.col("data")
-    parsed = with_computed(obs, _v=whole_variant(data))   # one parse per row
+    parsed = with_computed(with_computed(obs, _m=marked_json(data)), _v=whole_variant(F.col("_m")))   # one parse per row
     v = F.col("_v")
     canon = F.when(seg == F.lit(S.GPIO_SEGMENT),
-                   with_default_key(v, S.GPIO_USER_KEY, str(S.GPIO_DEFAULT_USER))) \
-        .otherwise(canonical_variant(v))
+                   with_default_key(v, S.GPIO_USER_KEY, str(S.GPIO_DEFAULT_USER), unmarked_json)) \
+        .otherwise(unmarked_json(v))
     # invalid JSON parses to NULL; non-objects have no key count
     reason = (F.when(F.col("device_id").isNull(), F.lit("device"))
               .when(seg.isNull() | ~seg.isin(list(segments)), F.lit("segment"))
               .when(F.coalesce(object_key_count(v), F.lit(0)) == 0, F.lit("data")))
     tagged = with_computed(parsed, _canon=canon, reason=reason)
     return (tagged.withColumn("data", F.when(F.col("reason").isNull(), F.col("_canon")).otherwise(data))
-            .drop("_canon", "_v"))
+            .drop("_canon", "_v", "_m"))
 
 
 def check_observations(obs: DataFrame, segments=S.SEGMENTS):

@@ -11,7 +11,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                 app: str = "fieldsense", extra: dict | None = None) -> SparkSession:
     """A session configured the way the operators expect: AQE on (runtime
     coalescing, skew-join splitting, runtime broadcast of small sides), UTC
-    session zone so calendar buckets are reproducible, no UI server. Master
+    session zone so calendar buckets are reproducible, the last of repeated JSON
+    keys counts at every depth, no UI server. Master
     and shuffle partitions stay what the cluster submit says unless given."""
     b = (SparkSession.builder.appName(app)
          .config("spark.ui.enabled", "false")
@@ -20,6 +21,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+         .config("spark.sql.variant.allowDuplicateKeys", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if master:

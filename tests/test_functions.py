@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -68,3 +69,26 @@ def test_number_forms_are_one(spark, numbers):
 def test_drop_flag(spark):
     df = spark.createDataFrame([({"cloud": True, "x": True},), ({"x": None},), (None,)], "m map<string,boolean>")
     assert [r.m for r in df.select(drop_flag(F.col("m"), "cloud").alias("m")).collect()] == [{"x": True}, {"x": None}, None]
+
+
+@pytest.mark.parametrize("a, b", [("1e20", "1" + "0" * 20), ("1.0", "1"), ("-0", "0.00"), ("12.5e1", "125"), ("-0.50", "-5E-1"),
+                                  ("1e-500", "0.1e-499"), ('{"a":{"x":1,"x":[2]}}', '{"a":{"x":[2.0]}}'), ("1e401", "0.1e402"),
+                                  ("0e99999999999999999999", "0")])
+def test_equal_json_has_one_text(spark, a, b):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    row = df.select(canonical_json(F.col("a")).alias("a"), canonical_json(F.col("b")).alias("b")).first()
+    assert row.a == row.b is not None
+
+
+def test_different_json_has_different_texts(spark):
+    long = "1" * 39
+    docs = [long + "5", long + "6", '"~n5"', "5", '"\\u007en5"', '"~~n5"', '"~"', '"5"', '"a\\"~n5\\""', "0." + long + "1", "0." + long + "2",
+            '{"~a":1}', '{"~~a":1}', "-5", "5e400", "5e-500"]
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, d string")
+    got = {r.i: r.c for r in df.select("i", canonical_json(F.col("d")).alias("c")).collect()}
+    # the third and the fifth are the same string, written differently
+    assert got[2] == got[4] == '"~n5"' and len(set(got.values())) == len(docs) - 1
+    assert [got[k] for k in (0, 3, 5, 6, 7, 8, 11, 12)] == [docs[k] for k in (0, 3, 5, 6, 7, 8, 11, 12)]
+    many = json.dumps({f"k{k}": [k / 7, "~n" + str(k), {"~": "x" * k}] for k in range(300)}, separators=(",", ":"))
+    assert json.loads(spark.createDataFrame([(many,)], "d string").select(canonical_json(F.col("d"))).first()[0]) == json.loads(many)
+    assert spark.createDataFrame([("1e99999999999999999999",)], "d string").select(canonical_json(F.col("d"))).first()[0] is None
