@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
+from ..functions import is_ntz
 from ..operators.readings import LEGACY_CLOSED, Bounds, aggregate_and_mark, mark_used, mark_used_days
 from ..sources.epochs import done as _done, serial_epoch
 from ..session import cut_lineage
@@ -143,14 +145,21 @@ def aggregate_tick(measurements: DataFrame, agg_dir: str, marked_dir: str, tick_
             .write.mode("overwrite").parquet(f"{marked_dir}/v={tick_id}")
 
 
+def literal_text(instant: Column, ntz: bool) -> Column:
+    """An instant as the text of a time literal: with its offset, as the hour that
+    a zone repeats has two instants for each time of day; wall-clock time of the
+    session's zone for columns that have no zone."""
+    return F.date_format(instant, "yyyy-MM-dd HH:mm:ss" + ("" if ntz else "xxx"))
+
+
 def aggregate_stream(spark: SparkSession, load_measurements: Callable[[], DataFrame], agg_dir: str,
                      marked_dir: str, checkpoint: str, window_minutes: int,
                      bounds: Bounds = LEGACY_CLOSED, interval: str = "30 minutes") -> StreamingQuery:
     """Periodic trailing aggregate: every ``interval`` aggregate what the
     last ``window_minutes`` brought, with the trigger time as ``as_of``."""
     def run(i: int) -> None:
-        # wall-clock text of the session zone, which is how time literals are read
-        now = spark.sql("SELECT date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss') AS t").first()["t"]
-        aggregate_tick(load_measurements(), agg_dir, marked_dir, i, now, window_minutes, bounds)
+        measurements = load_measurements()
+        now = spark.range(1).select(literal_text(F.current_timestamp(), is_ntz(measurements, "ts"))).first()[0]
+        aggregate_tick(measurements, agg_dir, marked_dir, i, now, window_minutes, bounds)
 
     return tick_stream(spark, run, checkpoint, interval)

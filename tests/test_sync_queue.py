@@ -1,9 +1,12 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from fieldsense.functions import ts_literal
 from fieldsense.operators import queue as QU
 from fieldsense.operators import sync as SY
+from fieldsense.streaming.sync import literal_text
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -166,3 +169,18 @@ def test_ingest_to_pending_to_ack(spark):
     after = SY.mark_synced(rows, spark.createDataFrame([(r.id,) for r in first], "id long"))
     left = SY.pending(after, limit=None, columns=SY.MEASUREMENT_COLUMNS).collect()
     assert len(left) == 6 and not {r.id for r in first} & {r.id for r in left}
+
+
+def test_tick_time_in_a_repeated_hour(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Lisbon")
+    try:
+        first = 1_729_989_000  # 00:30 UTC on 27 October 2024, 01:30 in summer time; an hour later it is 01:30 again
+        for second in (first, first + 3600):
+            text = spark.range(1).select(literal_text(F.timestamp_seconds(F.lit(second)), False)).first()[0]
+            assert text.startswith("2024-10-27 01:30:00")
+            assert spark.range(1).select(F.unix_timestamp(ts_literal(text, False))).first()[0] == second
+            plain = spark.range(1).select(literal_text(F.timestamp_seconds(F.lit(second)), True)).first()[0]
+            assert plain == "2024-10-27 01:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
