@@ -1,8 +1,8 @@
 """Toxicity by a learned lexicon, matched with spelling errors.
 
 Terms and stems that toxic documents have and others lack make up a trie. The
-Levenshtein automaton of a few errors runs along the trie, so a word is held
-against all terms at once; states are worked out when a text first reaches
+Levenshtein automaton of a few errors (a swap of neighbours is one) runs along
+the trie, so a word is held against all terms at once; states are worked out when a text first reaches
 them. The words around a match tell quotation from abuse, and a logistic model
 of the weighted matches gives the score."""
 
@@ -23,9 +23,11 @@ from ..session import cut_lineage
 from .common import documents, id_and_text, in_batches
 
 #: The model is fitted on so many labelled documents at most, those with the
-#: smallest hash of the id, and has so many terms at most.
-FIT_TOXIC, FIT_CLEAN, TERMS = 4_000, 8_000, 2_000
+#: smallest hash of the id; it has all terms that these show.
+FIT_TOXIC, FIT_CLEAN = 4_000, 8_000
 FOLDS = 5
+#: Letters and digits of a term at least.
+LEAST = 3
 STEMS = (4, 5, 6)
 #: Words on either side of a match that make up its context.
 WINDOW = 5
@@ -46,13 +48,14 @@ _ADDRESS = frozenset("you your you're u ur tu toi vous votre du dich dein sie ih
 
 def edits(term: str) -> int:
     """Errors that a term may have."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
 class Automaton:
     """The intersection of the terms' Levenshtein automata with their trie. A
     state holds, for each node that the word read so far can lead to, the
-    fewest errors."""
+    fewest errors, and for each (node, letter) the fewest errors with which the
+    letter leads to the node as the second of two that are swapped."""
 
     DEAD = 0
 
@@ -83,14 +86,14 @@ class Automaton:
         return path
 
     def _reset(self) -> None:
-        self.states: list[dict[int, int]] = [{}, self._missing({0: 0})]
+        self.states: list[dict] = [{}, self._missing({0: 0})]
         self.known = {frozenset(s.items()): k for k, s in enumerate(self.states)}
         self.moves: list[dict[str, int]] = [{}, {}]
         self.made = 0
 
     def _missing(self, state: dict[int, int]) -> dict[int, int]:
         """With the nodes that letters left out of the word lead to."""
-        todo = list(state.items())
+        todo = [(node, e) for node, e in state.items() if type(node) is int]
         while todo:
             node, e = todo.pop()
             if e > state[node]:
@@ -104,14 +107,20 @@ class Automaton:
     def _move(self, state: int, c: str) -> int:
         if self.made > KEPT_MOVES:
             return -1
-        new: dict[int, int] = {}
+        new: dict[int | tuple[int, str], int] = {}
         for node, e in self.states[state].items():
+            if type(node) is tuple:
+                if node[1] == c:
+                    new[node[0]] = min(e, new.get(node[0], 99))
+                continue
             if e < self.room[node]:  # a letter too many
                 new[node] = min(e + 1, new.get(node, 99))
             for letter, child in self.children[node].items():
                 cost = e + (letter != c)
                 if cost <= self.room[child] and cost < new.get(child, 99):
                     new[child] = cost
+                if letter != c and (after := self.children[child].get(c)) and e < self.room[after]:
+                    new[after, letter] = min(e + 1, new.get((after, letter), 99))
         new = self._missing(new)
         key = frozenset(new.items())
         if key not in self.known:
@@ -138,7 +147,7 @@ class Automaton:
                 return -1
             if k >= 3 and any(e == 0 and self.stem[n] for n, e in self.states[state].items()):
                 return 0
-        return min((e for n, e in self.states[state].items() if e <= self.term[n]), default=-1)
+        return min((e for n, e in self.states[state].items() if type(n) is int and e <= self.term[n]), default=-1)
 
 
 @dataclass
@@ -226,16 +235,18 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of the labelled rows to learn from, at most ``FIT_TOXIC``
-    and ``FIT_CLEAN`` of either kind."""
+    and ``FIT_CLEAN`` of either kind. Ids with both labels teach nothing; of
+    rows that repeat an id the one with the least hash of its text counts."""
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out())
-    own = own.dropDuplicates(["doc_id"]).withColumn("order", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
+    own = own.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").withColumn("order", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
     counts = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
     # the smallest hashes lie, but for chance, under twice the share that is wanted; so no task has many to sort
     under = {k: min(1.0, 2 * (n + 100) / counts.get(k, 1)) * 2.0 ** 63 for k, n in ((1, FIT_TOXIC), (0, FIT_CLEAN))}
     ids = [own.where((F.col("toxic") == k) & (F.col("order").cast("double") <= under[k])).orderBy("order", "doc_id").limit(n)
            .select("doc_id", "toxic") for k, n in ((1, FIT_TOXIC), (0, FIT_CLEAN))]
     ids = ids[0].union(ids[1])  # FIT_TOXIC + FIT_CLEAN rows at most
-    return cut_lineage(docs.join(F.broadcast(ids), "doc_id").select("text", "toxic"))
+    rows = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("row"))
+    return cut_lineage(rows.select("row.text", "toxic"))
 
 
 def _terms(sample: DataFrame) -> DataFrame:
@@ -249,7 +260,7 @@ def _terms(sample: DataFrame) -> DataFrame:
                 for t, y in zip(b.column(0), b.column(1)):
                     w = _WORD.findall((t.as_py() or "").lower())
                     sketch = min((xxhash.xxh64_intdigest(" ".join(x)) for x in zip(w, w[1:], w[2:])), default=0) >> 1
-                    words = {x for x in w if len(x) >= 4 and x.isalpha()}
+                    words = {x for x in w if len(x) >= LEAST and not x.isdigit()}
                     yield sketch, y.as_py(), [*words, *{f"{x[:n]}*" for x in words for n in STEMS if len(x) >= n}]
 
         return in_batches(rows(), schema, lambda r: 8 * len(r[2]))
@@ -276,8 +287,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     ratio = 2 * (part("toxic", both * p / (p + n)) + part("clean", both * n / (p + n)))
     odds = (F.col("toxic") / p) / ((F.col("clean") + 0.5) / (n + 1))
     best = (found.where("toxic >= 3").withColumn("ratio", ratio).where((odds >= 10) & (F.col("ratio") >= 2 * F.log("looked")))
-            .orderBy(F.col("ratio").desc(), "term").limit(TERMS).select("term").collect())
-    terms = [r["term"] for r in best]
+            .select("term").collect())  # of FIT_TOXIC documents
+    terms = sorted(r["term"] for r in best)
     lexicon = Lexicon([t for t in terms if t[-1] != "*"], [t[:-1] for t in terms if t[-1] == "*"])
     near = sample.where("toxic = 0").mapInArrow(_near_words(lexicon), "word string").distinct().collect()
     lexicon = Lexicon(lexicon.terms, lexicon.stems, frozenset(r["word"] for r in near))
@@ -317,7 +328,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     and what the score is made of.
 
     A null text counts as empty, and scores what a text without matches does;
-    a null id is held out; repeated rows give repeated rows; an empty table
+    a null id is held out; repeated rows give repeated rows; what repeated ids
+    and conflicting labels teach, :func:`_sample` states; an empty table
     gives none; without labels of both kinds all scores are 0 or 1 alike; other
     columns of ``docs`` are ignored. One pass over all rows after the fit.
     """
