@@ -2,13 +2,13 @@
 
 from .flags import drop_flag, empty_flags, is_pending, set_flag
 from .jsonfn import canonical_json, canonical_variant, exact_number, is_one_json, marked_json, object_key_count, unmarked_json, whole_json, whole_variant, with_default_key
-from .numeric import finite_number, integer_in, integer_text, real_number, round_numeric, round_to_short
+from .numeric import decimal_number, finite_number, integer_in, integer_text, integer_within, real_number, real_within, round_numeric, round_to_short
 from .timefn import bucket_start, calendar_bucket, calendar_next, day_range, day_start, hours, is_ntz, micros_between, minutes, ts_literal, utc_day
 
 __all__ = [
-    "bucket_start", "calendar_bucket", "calendar_next", "canonical_json", "canonical_variant", "day_range", "day_start", "drop_flag", "empty_flags", "exact_number", "finite_number", "hours", "integer_in",
-    "integer_text", "is_one_json", "marked_json",
-    "is_ntz", "is_pending", "object_key_count", "micros_between", "minutes", "real_number", "round_numeric",
+    "bucket_start", "calendar_bucket", "calendar_next", "canonical_json", "canonical_variant", "day_range", "day_start", "decimal_number", "drop_flag", "empty_flags", "exact_number", "finite_number", "hours", "integer_in",
+    "integer_text", "integer_within", "is_one_json", "marked_json",
+    "is_ntz", "is_pending", "object_key_count", "micros_between", "minutes", "real_number", "real_within", "round_numeric",
     "round_to_short", "set_flag", "ts_literal", "unmarked_json", "utc_day", "whole_json", "whole_variant", "with_default_key",
 ]
 

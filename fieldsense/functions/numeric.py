@@ -27,22 +27,38 @@ _DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _REAL_MAX = 3.4028235677973366e38
 
 
+def decimal_number(text: Column) -> Column:
+    """The number that a text writes in decimal notation (infinite where a
+    double holds none so large), else NULL. Inside a lambda function every use of
+    an expression evaluates it anew, so there this comes first, as a field of its
+    own, and the range check after it."""
+    return F.when(text.rlike(_DECIMAL), F.trim(text).try_cast("double"))
+
+
+def real_within(number: Column) -> Column:
+    """The number if a 4-byte float holds it without becoming infinite, else NULL."""
+    return F.when(F.abs(number) < F.lit(_REAL_MAX), number)
+
+
+def integer_within(number: Column, low: int, high: int) -> Column:
+    """The number if whole and within ``low`` and ``high``, else NULL."""
+    return F.when((number == F.floor(number)) & (number >= low) & (number <= high), number)
+
+
 def finite_number(text: Column) -> Column:
     """The number that a text writes in decimal notation, if finite, else NULL."""
-    d = F.when(text.rlike(_DECIMAL), F.trim(text).try_cast("double"))
+    d = decimal_number(text)
     return F.when(F.abs(d) != F.lit(float("inf")), d)
 
 
 def real_number(text: Column) -> Column:
     """The same, if a 4-byte float holds it without becoming infinite."""
-    d = finite_number(text)
-    return F.when(F.abs(d) < F.lit(_REAL_MAX), d)
+    return real_within(decimal_number(text))
 
 
 def integer_in(text: Column, low: int, high: int) -> Column:
     """The whole number that a text writes, if within ``low`` and ``high``, else NULL."""
-    d = finite_number(text)
-    return F.when((d == F.floor(d)) & (d >= low) & (d <= high), d)
+    return integer_within(decimal_number(text), low, high)
 
 
 #: How an integer column's text is written: no point, no exponent.

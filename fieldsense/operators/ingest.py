@@ -7,21 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import empty_flags, integer_in, integer_text, real_number, ts_literal, whole_json, with_computed
+from ..functions import decimal_number, empty_flags, integer_text, integer_within, real_number, real_within, ts_literal, whole_json, with_computed
 
 SHORT_MIN, SHORT_MAX = -32768, 32767
 
 
-def _number(text: Column) -> Column:
-    """A number that a 4-byte float holds, given as JSON number or numeric text, else NULL."""
-    return real_number(text)
-
-
-def _short_int(text: Column) -> Column:
-    """An integral number inside the smallint range, else NULL."""
-    return integer_in(text, SHORT_MIN, SHORT_MAX).cast("smallint")
-
-
 def _short_text(text: Column) -> Column:
     """A smallint as an integer column reads it from text, else NULL."""
     return integer_text(text, SHORT_MIN, SHORT_MAX).cast("smallint")
@@ -32,9 +22,33 @@ def _string(v: Column) -> Column:
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def _not_string(v: Column) -> Column:
-    """Present, not null, and no string."""
-    return F.coalesce(~F.schema_of_variant(v).isin("STRING", "VOID"), F.lit(False))
+#: What an item can fail, in the order in which a batch's rules are looked at.
+ITEM_RULES = ("sid", "value", "type", "battery", "desc")
+
+
+def _first_fault(*rules) -> Column:
+    """The number of the first rule that holds, else NULL."""
+    fault = F.when(rules[0], F.lit(0))
+    for k, rule in enumerate(rules[1:], 1):
+        fault = fault.when(rule, F.lit(k))
+    return fault
+
+
+def _typed_items(items: Column, types: list[str]) -> Column:
+    """The items with their columns' types and ``fault``, the first of
+    ``ITEM_RULES`` that each fails. Every text is read once, in a first pass."""
+    kind = F.schema_of_variant
+    read = F.transform(items, lambda x: F.struct(
+        decimal_number(x["sid"]).alias("sid"), x["type"].alias("type"), x["desc"].alias("desc"), kind(x["desc"]).alias("kind"),
+        decimal_number(x["value"]).alias("val"), x["battery"].isNotNull().alias("powered"),
+        decimal_number(x["battery"]).alias("battery")))
+    short = lambda number: integer_within(number, SHORT_MIN, SHORT_MAX).cast("smallint")
+    return F.transform(read, lambda x: F.struct(
+        short(x["sid"]).alias("sid"), x["type"].alias("type"),
+        F.when(x["kind"] == "STRING", F.try_variant_get(x["desc"], "$", "string")).alias("description"),
+        real_within(x["val"]).cast("float").alias("val"), short(x["battery"]).alias("battery"),
+        _first_fault(short(x["sid"]).isNull(), real_within(x["val"]).isNull(), x["type"].isNull() | ~x["type"].isin(types),
+                     x["powered"] & short(x["battery"]).isNull(), ~x["kind"].isin("STRING", "VOID")).alias("fault")))
 
 
 def _row_id(*parts: Column) -> Column:
@@ -48,7 +62,7 @@ def validate_batches(raw: DataFrame, batch_col: str = "batch_id", raw_col: str =
     """Check batches ``{mac, battery?, data: [{sid, value, type, desc?}, ...]}``.
 
     Returns ``(good, rejected)``. ``good``: batch id, ``mac``, ``battery``
-    (float or NULL) and ``items`` (array of typed structs). ``rejected``:
+    (float or NULL) and ``items`` (array of structs in the columns' types). ``rejected``:
     batch id, raw text and the first failing rule as ``reason``:
     ``json`` (not one JSON object), ``mac`` (missing, empty or no string), ``battery``
     (not a number), ``data`` (missing, not a list or empty), then, over
@@ -60,31 +74,19 @@ def validate_batches(raw: DataFrame, batch_col: str = "batch_id", raw_col: str =
     per-row expression: no shuffle."""
     doc = F.col(raw_col)
     parsed = whole_json(doc, S.RAW_BATCH)
-    items = F.col("_b.data")
-    types = list(valid_types)
-
-    def any_item(pred) -> Column:
-        return F.exists(items, pred)
-
-    def bad_num(x):
-        return _number(x).isNull()
-
     reason = (
         F.when(F.col("_b").isNull() | ~F.ltrim(doc).startswith("{"), F.lit("json"))
-        .when(F.coalesce(_string(F.col("_b.mac")), F.lit("")) == "", F.lit("mac"))
-        .when(F.col("_b.battery").isNotNull() & _number(F.col("_b.battery")).isNull(), F.lit("battery"))
-        .when(items.isNull() | (F.size(items) < 1), F.lit("data"))
-        .when(any_item(lambda x: x.isNull() | _short_int(x["sid"]).isNull()), F.lit("sid"))
-        .when(any_item(lambda x: bad_num(x["value"])), F.lit("value"))
-        .when(any_item(lambda x: x["type"].isNull() | ~x["type"].isin(types)), F.lit("type"))
-        .when(any_item(lambda x: x["battery"].isNotNull() & _short_int(x["battery"]).isNull()), F.lit("battery"))
-        .when(any_item(lambda x: _not_string(x["desc"])), F.lit("desc"))
+        .when(F.coalesce(F.col("_mac"), F.lit("")) == "", F.lit("mac"))
+        .when(F.col("_b.battery").isNotNull() & F.col("_battery").isNull(), F.lit("battery"))
+        .when(F.col("items").isNull() | (F.size("items") < 1), F.lit("data"))
+        # an item's first fault, and of those the first of the batch
+        .otherwise(F.get(F.array(*map(F.lit, ITEM_RULES)), F.array_min(F.col("items.fault"))))
     )
-    tagged = with_computed(with_computed(raw, _b=parsed), reason=reason)
+    read = with_computed(with_computed(raw, _b=parsed), _mac=_string(F.col("_b.mac")), _battery=real_number(F.col("_b.battery")),
+                         items=_typed_items(F.col("_b.data"), list(valid_types)))
+    tagged = with_computed(read, reason=reason)
     good = (tagged.where(F.col("reason").isNull())
-            .select(batch_col, _string(F.col("_b.mac")).alias("mac"),
-                    _number(F.col("_b.battery")).cast("float").alias("battery"),
-                    items.alias("items")))
+            .select(batch_col, F.col("_mac").alias("mac"), F.col("_battery").cast("float").alias("battery"), "items"))
     rejected = tagged.where(F.col("reason").isNotNull()).select(batch_col, raw_col, "reason")
     return good, rejected
 
@@ -96,10 +98,8 @@ def reshape_batches(good: DataFrame, as_of, batch_col: str = "batch_id", ntz: bo
     time ``as_of``, sync flags empty. ``pos`` is the item's place in its
     batch, so (batch, pos) identifies the row, and ``id`` is a hash of the two."""
     rows = good.select(batch_col, "mac", F.posexplode("items").alias("pos", "_i"))
-    return rows.select(_row_id(F.col(batch_col).cast("string"), F.col("pos")).alias("id"), batch_col, "pos", "mac", _short_int(F.col("_i.sid")).alias("sid"),
-                       F.col("_i.type").alias("type"), _string(F.col("_i.desc")).alias("description"),
-                       _number(F.col("_i.value")).cast("float").alias("val"),
-                       _short_int(F.col("_i.battery")).alias("battery"),
+    return rows.select(_row_id(F.col(batch_col).cast("string"), F.col("pos")).alias("id"), batch_col, "pos", "mac", "_i.sid",
+                       "_i.type", "_i.description", "_i.val", "_i.battery",
                        ts_literal(as_of, ntz).alias("ts"), empty_flags().alias("sync"))
 
 
@@ -112,6 +112,23 @@ def ingest_receipt(rows: DataFrame, as_of, batch_col: str = "batch_id", ntz: boo
 INSERT_ITEM = "struct<mac:variant,sid:string,type:string,description:variant,val:string,battery:string>"
 
 
+def _insert_items(items: Column) -> Column:
+    """The items with the table's types and ``bad``, whether one cannot be
+    stored. Every text is read once, in a first pass."""
+    read = F.transform(items, lambda x: F.struct(
+        x["mac"].alias("mac"), F.schema_of_variant(x["mac"]).alias("mac_kind"), _short_text(x["sid"]).alias("sid"), x["type"].alias("type"),
+        x["description"].alias("desc"), F.schema_of_variant(x["description"]).alias("kind"),
+        x["val"].isNotNull().alias("valued"), decimal_number(x["val"]).alias("val"),
+        x["battery"].isNotNull().alias("powered"), _short_text(x["battery"]).alias("battery")))
+    text = lambda v, kind: F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
+    return F.transform(read, lambda x: F.struct(
+        text(x["mac"], x["mac_kind"]).alias("mac"), x["sid"], x["type"], text(x["desc"], x["kind"]).alias("description"),
+        real_within(x["val"]).cast("float").alias("val"), x["battery"],
+        ((F.coalesce(x["mac_kind"], F.lit("")) != "STRING") | x["sid"].isNull() | x["type"].isNull()
+         | ~F.coalesce(x["kind"], F.lit("VOID")).isin("STRING", "VOID")
+         | x["powered"] & x["battery"].isNull() | x["valued"] & real_within(x["val"]).isNull()).alias("bad")))
+
+
 def insert_measurements(raw: DataFrame, as_of, raw_col: str = "raw", ntz: bool = True):
     """Direct insert of a JSON object or array of readings: only mac, sid,
     type, description, val and battery are kept (other keys ignored), ts is
@@ -123,21 +140,14 @@ def insert_measurements(raw: DataFrame, as_of, raw_col: str = "raw", ntz: bool =
     parsed = F.when(F.ltrim(doc).startswith("{"), F.array(whole_json(doc, INSERT_ITEM))) \
         .when(F.ltrim(doc).startswith("["), whole_json(doc, f"array<{INSERT_ITEM}>"))
     parsed = F.when(~F.exists(parsed, lambda x: x.isNull()), parsed)
-    items = F.col("_items")
     keep = [c for c in raw.columns if c != raw_col]
-    bad_item = F.exists(items, lambda x: _string(x["mac"]).isNull() | x["type"].isNull() | _not_string(x["description"])
-                        | _short_text(x["sid"]).isNull()
-                        | (x["battery"].isNotNull() & _short_text(x["battery"]).isNull())
-                        | (x["val"].isNotNull() & _number(x["val"]).isNull()))
-    reason = F.when(items.isNull(), F.lit("json")).when(bad_item, F.lit("row"))
-    tagged = with_computed(with_computed(raw, _items=parsed), reason=reason)
+    reason = F.when(F.col("_items").isNull(), F.lit("json")).when(F.array_max(F.col("_items.bad")), F.lit("row"))
+    read = with_computed(with_computed(raw, _items=parsed), _items=_insert_items(F.col("_items")))
+    tagged = with_computed(read, reason=reason)
     rows = (tagged.where(F.col("reason").isNull())
             .select(*keep, F.posexplode("_items").alias("pos", "_i"))
             .select(_row_id(*(F.col(c).cast("string") for c in keep), F.col("pos")).alias("id"), *keep, "pos",
-                    _string(F.col("_i.mac")).alias("mac"), _short_text(F.col("_i.sid")).alias("sid"), "_i.type",
-                    _string(F.col("_i.description")).alias("description"),
-                    _number(F.col("_i.val")).cast("float").alias("val"),
-                    _short_text(F.col("_i.battery")).alias("battery"),
+                    "_i.mac", "_i.sid", "_i.type", "_i.description", "_i.val", "_i.battery",
                     ts_literal(as_of, ntz).alias("ts"), empty_flags().alias("sync")))
     rejected = tagged.where(F.col("reason").isNotNull()).drop("_items")
     return rows, rejected
