@@ -59,3 +59,12 @@ def test_calendar_rollups_share_one_dealt_out_scan(spark, one_group, many_splits
     assert plan.count("RoundRobinPartitioning") >= 1 and plan.count("ReusedExchange") == 3
     want = {tuple(r) for r in C.R.rollup(A.measurements(spark, one_group), bounds=A.EVENTS_BOUNDS, every="1 week").collect()}
     assert {tuple(r)[1:] for r in got if r.every == "1 week"} == want and want
+
+
+def test_observations_are_dealt_out_before_their_json_is_read(spark, one_group, many_splits):
+    valid, rejected = C.state_valid(spark, one_group), C.state_rejected(spark, one_group)
+    assert valid.rdd.getNumPartitions() >= ROWS // LIMIT
+    # rejected rows are few: what a task reads is what the partitions of all observations hold
+    largest, rows = _largest(A.raw_observations(spark, one_group))
+    assert rows == ROWS and largest <= 1.5 * LIMIT
+    assert valid.count() + rejected.count() == ROWS and rejected.count() > 0
