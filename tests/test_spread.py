@@ -68,3 +68,15 @@ def test_observations_are_dealt_out_before_their_json_is_read(spark, one_group,
     largest, rows = _largest(A.raw_observations(spark, one_group))
     assert rows == ROWS and largest <= 1.5 * LIMIT
     assert valid.count() + rejected.count() == ROWS and rejected.count() > 0
+
+
+
+@pytest.mark.parametrize("name", ["raw_batches", "raw_inserts"])
+def test_partitions_grow_with_the_rows(spark, one_group, many_splits, monkeypatch, name):
+    dealt = []
+    monkeypatch.setattr(A, "_spread", lambda df, spread=A._spread: dealt.append(spread(df)) or dealt[-1])
+    getattr(A, name)(spark, one_group)
+    few = dealt[-1].rdd.getNumPartitions()
+    monkeypatch.setattr(A, "SPREAD_ROWS", LIMIT // 4)
+    getattr(A, name)(spark, one_group)
+    assert few >= ROWS // LIMIT and dealt[-1].rdd.getNumPartitions() == -(-ROWS // (LIMIT // 4)) > few
