@@ -70,7 +70,6 @@ def test_observations_are_dealt_out_before_their_json_is_read(spark, one_group,
     assert valid.count() + rejected.count() == ROWS and rejected.count() > 0
 
 
-
 @pytest.mark.parametrize("name", ["raw_batches", "raw_inserts"])
 def test_partitions_grow_with_the_rows(spark, one_group, many_splits, monkeypatch, name):
     dealt = []
@@ -80,3 +79,12 @@ def test_partitions_grow_with_the_rows(spark, one_group, many_splits, monkeypatc
     monkeypatch.setattr(A, "SPREAD_ROWS", LIMIT // 4)
     getattr(A, name)(spark, one_group)
     assert few >= ROWS // LIMIT and dealt[-1].rdd.getNumPartitions() == -(-ROWS // (LIMIT // 4)) > few
+
+
+def test_runs_and_envelope_are_dealt_out(spark, one_group, many_splits, monkeypatch):
+    kept = []
+    monkeypatch.setattr(C.ST, "cut_lineage", lambda df, cut=C.ST.cut_lineage: kept.append(_largest(df)) or cut(df))
+    runs, envelope = C.state_runs_chunked(spark, one_group), C.sync_envelope(spark, one_group)
+    assert len(kept) == 2 and all(largest <= 3 * LIMIT < rows for largest, rows in kept)   # with copies of restarts
+    assert runs.agg(F.sum("n_obs")).first()[0] == C.state_valid(spark, one_group).count()
+    assert envelope.groupBy("source").count().count() == 2
