@@ -13,7 +13,7 @@ NUMBERS = ["0", "-0", "0.0", "7", "-7", "100", "1" + "0" * 399, "1" + "0" * 400,
 
 def test_a_number_is_taken_apart_once(spark):
     text = F.col("t")
-    # written out, each use of a part was another search: hundreds for a number
+    # written out, each use of a part was another search: 94 for a number
     assert str(exact_number(text)).count("regexp_extract(") == 3
     assert str(marked_json(text)).count("regexp_extract_all(") == 1
 
